@@ -1,6 +1,14 @@
 """Queries of this subpackage and, where SQL can express them, their oracles."""
 
 from .byte_bpe import op8_byte_bpe
+from .exact_dedup import OP10_SQL, op10_exact_dedup
+from .line_dedup import OP9_SQL, op9_line_dedup
+from .sharding import OP2_SQL, op2_shard_lookup
 
-QUERIES = {"op8_byte_bpe": op8_byte_bpe}
-ORACLES: dict[str, str] = {}
+QUERIES = {
+    "op2_shard_lookup": op2_shard_lookup,
+    "op8_byte_bpe": op8_byte_bpe,
+    "op9_line_dedup": op9_line_dedup,
+    "op10_exact_dedup": op10_exact_dedup,
+}
+ORACLES: dict[str, str] = {"op2_shard_lookup": OP2_SQL, "op9_line_dedup": OP9_SQL, "op10_exact_dedup": OP10_SQL}
