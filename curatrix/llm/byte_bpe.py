@@ -103,7 +103,7 @@ class Codec:
         try:
             return b"".join(map(self.cache.__getitem__, words))
         except KeyError:
-            new = set(words) - self.cache.keys()
+            new = {w for w in words if w not in self.cache}
             if len(self.cache) + len(new) > self.cache_size:
                 self.cache.clear()
                 new = set(words)
