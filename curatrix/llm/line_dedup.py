@@ -19,15 +19,19 @@ from .common import stored, table
 
 LINES = 3
 HOT_SHARE, HOT_ROWS = 100_000, 64
-EDGES = r"^[\x09-\x0D\x20]+|[\x09-\x0D\x20]+$"
+EDGES = " \t\n\x0b\x0c\r"
 
 
-def _windows(lines: Column, n: int) -> Column:
-    """[(hash, first line)] of the windows of n lines that hold a character other than white space."""
-    text = lambda i: F.array_join(F.slice(lines, i + 1, n), "\n")  # noqa: E731  a line holds no newline, so this is one to one
-    made = F.transform(F.sequence(F.lit(0), F.size(lines) - n), lambda i: F.struct(text(i).alias("t"), i.alias("at")))
-    full = F.filter(made, lambda w: F.length(w["t"]) >= n)
-    return F.when(F.size(lines) >= n, F.transform(full, lambda w: F.struct(F.unhex(F.md5(w["t"])).alias("h"), w["at"].alias("at"))))
+def _windows(lines: str, n: int) -> Column:
+    """[(hash, first line)] of the windows of n lines that hold a character other than white space.
+
+    The lines come as a column of their own and are zipped with their shifts: an expression
+    inside a lambda would be evaluated again for every window.
+    """
+    zipped = F.arrays_zip(F.sequence(F.lit(0), F.size(lines) - 1).alias("at"), F.col(lines).alias("l0"), *(F.slice(lines, i + 1, F.greatest(F.size(lines) - i, F.lit(0))).alias(f"l{i}") for i in range(1, n)))
+    full = F.filter(F.slice(zipped, 1, F.greatest(F.size(lines) - n + 1, F.lit(0))), lambda w: sum(F.length(w[f"l{i}"]) for i in range(n)) > 0)
+    text = lambda w: F.concat_ws("\n", *(w[f"l{i}"] for i in range(n)))  # noqa: E731  a line holds no newline, so this is one to one
+    return F.transform(full, lambda w: F.struct(F.unhex(F.md5(text(w))).alias("h"), w["at"].alias("at")))
 
 
 def line_dedup(df: DataFrame, id_col: str = "doc_id", text: str = "text", n: int = LINES, hot_rows: int = HOT_ROWS) -> DataFrame:
@@ -43,8 +47,8 @@ def line_dedup(df: DataFrame, id_col: str = "doc_id", text: str = "text", n: int
     """
     keep = [F.col(f"`{c}`") for c in df.columns if c not in (text, "n_lines", "n_removed")]
     key = F.struct(F.col(id_col).alias("id"), F.md5(F.coalesce(F.col(text), F.lit(""))).alias("m"))
-    lines = F.transform(F.split(F.col(text), "\n"), lambda x: F.regexp_replace(x, EDGES, ""))
-    occurs = df.filter(F.instr(text, "\n") > 0).select(key.alias("__k"), F.explode(_windows(lines, n)).alias("__w"))
+    lines = F.transform(F.split(F.col(text), "\n"), lambda x: F.btrim(x, F.lit(EDGES)))
+    occurs = df.filter(F.instr(text, "\n") > 0).select(key.alias("__k"), lines.alias("__lines")).select("__k", F.explode(_windows("__lines", n)).alias("__w"))
     occurs = occurs.select(F.col("__w.h").alias("__h"), F.struct("__k", "__w.at").alias("__p"))
     ends = occurs.groupBy("__h").agg(F.min("__p").alias("__first"), F.max("__p").alias("__last"), F.count(F.lit(1)).alias("__n"))
     repeated = stored(ends.filter(F.col("__first") != F.col("__last")).drop("__last"), "line-windows")
@@ -55,15 +59,15 @@ def line_dedup(df: DataFrame, id_col: str = "doc_id", text: str = "text", n: int
     covered = met.filter(F.col("__p") != F.col("__first")).select("__p.__k", "__p.at")
     gone = covered.groupBy("__k").agg(F.collect_set("at").alias("__at"))
     gone = gone.select(F.col("__k.id").alias("__id"), F.col("__k.m").alias("__m"), F.flatten(F.transform("__at", lambda i: F.sequence(i, i + n - 1))).alias("__gone"))
-    whole = df.withColumn("__m2", F.md5(F.coalesce(F.col(text), F.lit(""))))
-    both = whole.join(gone, whole[id_col].eqNullSafe(gone["__id"]) & (whole["__m2"] == gone["__m"]), "left")
-    raw = F.split(F.col(text), "\n")
-    left = F.array_except(F.sequence(F.lit(0), F.size(raw) - 1), F.col("__gone"))
-    thin = F.array_join(F.transform(left, lambda i: F.element_at(raw, i + 1)), "\n")
+    # The lines cross the join in place of the text, so that they are split once.
+    whole = df.select(*keep, F.col(id_col).alias("__key"), F.split(F.col(text), "\n").alias("__raw"), F.md5(F.coalesce(F.col(text), F.lit(""))).alias("__m2"))
+    both = whole.join(gone, whole["__key"].eqNullSafe(gone["__id"]) & (whole["__m2"] == gone["__m"]), "left")
+    left = F.array_except(F.sequence(F.lit(0), F.size("__raw") - 1), F.col("__gone"))
+    thin = F.transform(left, lambda i: F.element_at("__raw", i + 1))
     count = lambda x: F.coalesce(x, F.lit(0)).cast("long")
     return both.select(
-        *keep, F.when(F.col("__gone").isNull(), F.col(text)).otherwise(thin).alias(text),
-        count(F.when(F.col(text).isNotNull(), F.size(raw))).alias("n_lines"), count(F.when(F.col("__gone").isNotNull(), F.size(F.array_distinct("__gone")))).alias("n_removed"),
+        *keep, F.array_join(F.when(F.col("__gone").isNull(), F.col("__raw")).otherwise(thin), "\n").alias(text),
+        count(F.when(F.col("__raw").isNotNull(), F.size("__raw"))).alias("n_lines"), count(F.when(F.col("__gone").isNotNull(), F.size(F.array_distinct("__gone")))).alias("n_removed"),
     )
 
 
