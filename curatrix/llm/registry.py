@@ -4,6 +4,7 @@ from .byte_bpe import op8_byte_bpe
 from .exact_dedup import OP10_SQL, op10_exact_dedup
 from .line_dedup import OP9_SQL, op9_line_dedup
 from .decontaminate import op3_decontaminate
+from .jaccard_join import op5_jaccard_join
 from .quality import op4_quality
 from .sharding import OP2_SQL, op2_shard_lookup
 from .substring_dedup import op6_substring_dedup
@@ -14,6 +15,7 @@ QUERIES = {
     "op2_shard_lookup": op2_shard_lookup,
     "op3_decontaminate": op3_decontaminate,
     "op4_quality": op4_quality,
+    "op5_jaccard_join": op5_jaccard_join,
     "op6_substring_dedup": op6_substring_dedup,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_line_dedup": op9_line_dedup,
