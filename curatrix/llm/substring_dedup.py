@@ -24,21 +24,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import shuffle_partitions, small_batches, table
-from .wordhash import Words, buffers, mix, ngrams, pieces, ranges
+from .wordhash import BASES, Words, buffers, mix, ngrams, pieces, powers, ranges
 
 WINDOW, MER = 20, 4
-#: Packed bytes that a bucket is meant for, and text bytes that a mapper packs at a time.
-BUCKET_BYTES, PACK_BYTES = 8 << 20, 8 << 20
+#: Packed bytes that a bucket is meant for, that a mapper gathers before it sends, and text bytes that it works on at a time.
+BUCKET_BYTES, PACK_BYTES, PIECE_BYTES = 8 << 20, 24 << 20, 1 << 20
+LEVEL = 5
+_INVERSE = pow(BASES[0], -1, 1 << 64)
 NO_ID = np.iinfo(np.int64).min
 
 
 def _pack(columns: dict[str, np.ndarray]) -> bytes:
-    sink = pa.BufferOutputStream()
-    with pa.CompressedOutputStream(sink, "zstd") as out:
-        for a in columns.values():
-            out.write(np.int64(len(a)).tobytes())
-            out.write(np.ascontiguousarray(a).tobytes())
-    return sink.getvalue().to_pybytes()
+    raw = b"".join(x for a in columns.values() for x in (np.int64(len(a)).tobytes(), np.ascontiguousarray(a).tobytes()))
+    return np.int64(len(raw)).tobytes() + pa.Codec("zstd", LEVEL).compress(raw, asbytes=True)
 
 
 _PACKED = {"doc": np.int64, "row": np.int64, "start": np.int32, "words": np.int32, "bytes": np.int32, "text": np.uint8}
@@ -46,7 +44,7 @@ _COVER = {"doc": np.int64, "row": np.int64, "start": np.int32, "words": np.int32
 
 
 def _unpack(blob: bytes, kinds: dict[str, type]) -> dict[str, np.ndarray]:
-    raw, at, out = pa.CompressedInputStream(pa.BufferReader(blob), "zstd").read(), 0, {}
+    raw, at, out = pa.Codec("zstd").decompress(pa.py_buffer(blob)[8:], int(np.frombuffer(blob, np.int64, 1)[0]), asbytes=True), 0, {}
     for k, t in kinds.items():
         n = int(np.frombuffer(raw, np.int64, 1, at)[0])
         out[k] = np.frombuffer(raw, t, n, at + 8)
@@ -79,50 +77,60 @@ def _spans(n: int) -> Iterator[tuple[int, bool]]:
         have += step
 
 
+def _strings(b: pa.RecordBatch, window: int, mer: int, buckets: int) -> dict[str, np.ndarray] | None:
+    """The super-k-mers of a batch (identifier, row, text), with their bucket, two keys and packed words."""
+    ids = b.column(0).fill_null(int(NO_ID)).to_numpy(zero_copy_only=False).astype(np.int64)
+    rows = b.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
+    data, offsets = buffers(b.column(2))
+    words = Words(data, offsets)
+    first, count, low = super_kmers(h := words.hashes(), words.doc, window, mer)
+    if not len(first):
+        return None
+    length = count + window - 1
+    doc = words.doc[first]
+    start = first - np.searchsorted(words.doc, np.arange(len(ids)), side="left")[doc]
+    left, size = words.starts[first], words.ends[first + length - 1] - words.starts[first]
+    out = {"doc": ids[doc], "row": rows[doc], "start": start.astype(np.int32), "words": length.astype(np.int32), "bytes": size.astype(np.int32), "bucket": (mix(low) % np.uint64(buckets)).astype(np.int64)}
+    up, down = powers(BASES[0], len(h) + 1), powers(_INVERSE, len(h) + 1)
+    for k, x in (("one", h), ("two", words.hashes(1))):
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(x * up[:-1], dtype=np.uint64)])
+        out[k] = mix((total[first + length] - total[first]) * down[first] + length.astype(np.uint64))
+    return out | {"text": data[ranges(left, size)]}
+
+
 def _map(batches: Iterator[pa.RecordBatch], window: int, mer: int, buckets: int) -> Iterator[pa.RecordBatch]:
-    for b in pieces(batches, 2, PACK_BYTES):
-        ids = b.column(0).fill_null(int(NO_ID)).to_numpy(zero_copy_only=False).astype(np.int64)
-        rows = b.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
-        order = np.lexsort((rows, ids))
-        ids, rows = ids[order], rows[order]
-        data, offsets = buffers(b.column(2).take(pa.array(order)))
-        words = Words(data, offsets)
-        first, count, low = super_kmers(h := words.hashes(), words.doc, window, mer)
-        if not len(first):
-            continue
-        length = count + window - 1
-        begin = np.searchsorted(words.doc, np.arange(len(ids)), side="left")
-        doc = words.doc[first]
-        # Equal strings within this piece: all but the earliest are settled here.
-        every = ranges(first, length)
-        at = np.cumsum(length) - length
-        place = np.arange(len(every)) - np.repeat(at, length)
-        salt = mix(place.astype(np.uint64) + np.uint64(77))
-        key = np.empty(len(first), "V16").view(np.uint64).reshape(-1, 2)
-        for which, x in enumerate((h, words.hashes(1))):
-            key[:, which] = np.add.reduceat(mix(x[every] ^ salt), at) ^ length.astype(np.uint64)
-        _, earliest, same = np.unique(key[:, 0] * np.uint64(3) ^ mix(key[:, 1]), return_index=True, return_inverse=True)
-        same = earliest[same]
-        repeat = (same != np.arange(len(first))) & (key == key[same]).all(axis=1) & ~((ids[doc] == ids[doc[same]]) & (rows[doc] == rows[doc[same]]) & (first - begin[doc] == first[same] - begin[doc[same]]))
-        start = (first - begin[doc]).astype(np.int32)
-        take = lambda who: {"doc": ids[doc[who]], "row": rows[doc[who]], "start": start[who], "words": length[who].astype(np.int32)}
-        out_bucket, out_packed, out_cover = [], [], []
-        settled, sent = np.flatnonzero(repeat), np.flatnonzero(~repeat)
-        bucket = (mix(low) % np.uint64(buckets)).astype(np.int64)
-        sent = sent[np.argsort(bucket[sent], kind="stable")]
-        left, right = words.starts[first], words.ends[first + length - 1]
-        cuts = np.flatnonzero(np.diff(bucket[sent], prepend=-1, append=-1))
-        for i, j in zip(cuts[:-1], cuts[1:], strict=True):
-            who = sent[i:j]
-            size = right[who] - left[who]
-            out_bucket.append(int(bucket[who[0]]))
-            out_packed.append(_pack(take(who) | {"bytes": size.astype(np.int32), "text": data[ranges(left[who], size)]}))
-            out_cover.append(None)
-        if len(settled):
-            out_bucket.append(int(bucket[settled[0]]))
-            out_packed.append(None)
-            out_cover.append(_pack(take(settled)))
-        yield pa.RecordBatch.from_arrays([pa.array(out_bucket, pa.int64()), pa.array(out_packed, pa.binary()), pa.array(out_cover, pa.binary())], names=["bucket", "packed", "cover"])
+    held: list[dict[str, np.ndarray]] = []
+    for b in pieces(batches, 2, PIECE_BYTES):
+        if (x := _strings(b, window, mer, buckets)) is not None:
+            held.append(x)
+        if sum(len(x["text"]) for x in held) >= PACK_BYTES:
+            yield _by_bucket(held)
+            held = []
+    if held:
+        yield _by_bucket(held)
+
+
+def _by_bucket(held: list[dict[str, np.ndarray]]) -> pa.RecordBatch:
+    """A row of packed strings for each bucket. Of equal strings only the earliest travels; what the others cover is settled here."""
+    x = {k: np.concatenate([p[k] for p in held]) for k in held[0]}
+    held.clear()
+    at = np.cumsum(x["bytes"].astype(np.int64)) - x["bytes"]
+    order = np.lexsort((x["start"], x["row"], x["doc"], x["two"], x["one"]))
+    key = x["one"][order], x["two"][order]
+    head = np.concatenate([[True], (key[0][1:] != key[0][:-1]) | (key[1][1:] != key[1][:-1])])
+    lead = order[np.maximum.accumulate(np.where(head, np.arange(len(order)), 0))]
+    same = (x["doc"][order] == x["doc"][lead]) & (x["row"][order] == x["row"][lead]) & (x["start"][order] == x["start"][lead])
+    settled, sent = np.sort(order[~head & ~same]), np.sort(order[head])
+    sent = sent[np.argsort(x["bucket"][sent], kind="stable")]
+    out = []
+    cuts = np.flatnonzero(np.diff(x["bucket"][sent], prepend=-1, append=-1))
+    for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+        who = sent[i:j]
+        parts = {k: x[k][who] for k in ("doc", "row", "start", "words", "bytes")} | {"text": x["text"][ranges(at[who], x["bytes"][who].astype(np.int64))]}
+        out.append((int(x["bucket"][who[0]]), _pack(parts), None))
+    if len(settled):
+        out.append((int(x["bucket"][settled[0]]), None, _pack({k: x[k][settled] for k in _COVER})))
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "packed", "cover"])
 
 
 def later_windows(parts: list[dict[str, np.ndarray]], window: int) -> dict[str, np.ndarray]:
