@@ -1,10 +1,11 @@
 """Queries of this subpackage and, where SQL can express them, their oracles."""
 
 from .byte_bpe import op8_byte_bpe
-from .exact_dedup import OP10_SQL, op10_exact_dedup
-from .line_dedup import OP9_SQL, op9_line_dedup
 from .decontaminate import op3_decontaminate
+from .exact_dedup import OP10_SQL, op10_exact_dedup
+from .html_extract import op7_html_extract
 from .jaccard_join import op5_jaccard_join
+from .line_dedup import OP9_SQL, op9_line_dedup
 from .quality import op4_quality
 from .sharding import OP2_SQL, op2_shard_lookup
 from .substring_dedup import op6_substring_dedup
@@ -17,6 +18,7 @@ QUERIES = {
     "op4_quality": op4_quality,
     "op5_jaccard_join": op5_jaccard_join,
     "op6_substring_dedup": op6_substring_dedup,
+    "op7_html_extract": op7_html_extract,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_line_dedup": op9_line_dedup,
     "op10_exact_dedup": op10_exact_dedup,
