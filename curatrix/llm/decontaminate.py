@@ -163,12 +163,11 @@ def leaks(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: str
     out = None
     for block in range(blocks):
         index = Index([tuple(r) for r in items.filter(F.pmod(F.xxhash64("t"), F.lit(blocks)) == block).collect()])
-        given = spark.sparkContext.broadcast(index)
 
-        def run(batches: Iterator[pa.RecordBatch], given=given) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             for b in pieces(batches, 1):
-                ids, rows = b.column(0).to_pylist(), list(given.value.find(Templates(b.column(1))))
-                yield pa.RecordBatch.from_arrays([pa.array([ids[r[0]] for r in rows], pa.int64()), pa.array([given.value.ids[r[1]] for r in rows], pa.int64()), *(pa.array([r[k] for r in rows], kind) for k, kind in ((2, pa.int32()), (3, pa.int32()), (4, pa.float64())))], names=["id", "item", "start", "end", "share"])
+                ids, rows = b.column(0).to_pylist(), list(index.find(Templates(b.column(1))))
+                yield pa.RecordBatch.from_arrays([pa.array([ids[r[0]] for r in rows], pa.int64()), pa.array([index.ids[r[1]] for r in rows], pa.int64()), *(pa.array([r[k] for r in rows], kind) for k, kind in ((2, pa.int32()), (3, pa.int32()), (4, pa.float64())))], names=["id", "item", "start", "end", "share"])
 
         part = docs.mapInArrow(run, f"`{id_col}` long, item_id long, start_token int, end_token int, share double")
         out = part if out is None else out.unionByName(part)

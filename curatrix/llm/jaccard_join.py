@@ -29,11 +29,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, stored, table
+from .common import bucketed, small_batches, stored, table
 from .wordhash import Words, buffers, mix, ngrams, pieces
 
 COUNTER_BITS, CHUNK_BITS = 22, 16
 STARS = 2
+#: Identifiers of up to so many bytes are broadcast to pick out texts; more are joined by shuffle.
+BROADCAST_BYTES = 32 << 20
 
 
 def shingles(column: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -119,11 +121,17 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) of representatives that link."""
-    one = sets.select(F.col("rep").alias("a"), F.col("shingles").alias("x"))
-    two = sets.select(F.col("rep").alias("b"), F.col("shingles").alias("y"))
-    both = pairs.join(one, "a").join(two, "b").select("a", "b", F.size("x").alias("n"), F.size("y").alias("m"), F.size(F.array_intersect("x", "y")).alias("i"))
-    return both.filter(F.col("i") * (num + den) >= (F.col("n") + F.col("m")) * num).select("a", "b")
+    """The pairs (a, b) of representatives that link.
+
+    First by prefixes alone: common shingles are in both prefixes, or behind the end of the one
+    that ends first, so the overlap is at most that of the prefixes and the longer rest.
+    """
+    side = lambda k, c, *more: sets.select(F.col("rep").alias(k), F.col(c).alias(f"{k}_{c}"), *(F.col(m).alias(f"{k}_{m}") for m in more))
+    need = _needed(F.col("a_n"), F.col("b_n"), num, den)
+    rest = F.greatest(F.col("a_n") - F.size("a_prefix"), F.col("b_n") - F.size("b_prefix"))
+    may = pairs.join(side("a", "prefix", "n"), "a").join(side("b", "prefix", "n"), "b").filter(F.size(F.array_intersect("a_prefix", "b_prefix")) + rest >= need)
+    both = may.select("a", "b", "a_n", "b_n").join(side("a", "shingles"), "a").join(side("b", "shingles"), "b")
+    return both.filter(F.size(F.array_intersect("a_shingles", "b_shingles")) >= need).select("a", "b")
 
 
 def jaccard_components(df: DataFrame, id_col: str = "doc_id", text: str = "text", n: int = 3, num: int = 9, den: int = 10) -> DataFrame:
@@ -139,28 +147,35 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text: str = "text"
     """
     spark = df.sparkSession
     small_batches(spark)
-    docs = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(text, F.lit("")).alias("text"))
+    docs = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(text, F.lit("")).alias("text")).withColumn("hash", F.xxhash64("text"))
     levels = spark.sparkContext.broadcast(_frequencies(docs, n))
 
+    def sets_of(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+        """Shingles, offsets, sizes and prefixes of a batch's texts."""
+        h, off = shingles(b.column(1), n)
+        level = levels.value[(mix(h) >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)]
+        size = np.diff(off)
+        by = h[np.lexsort((h, level, np.repeat(np.arange(len(size)), size)))].view(np.int64)
+        take = np.where(size > 0, size - -(-size * num // den) + 1, 0)
+        return h, off, size.astype(np.int64), [by[i : i + k] for i, k in zip(off[:-1], take, strict=True)]
+
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches, 1):
-            h, off = shingles(b.column(1), n)
-            level = levels.value[(mix(h) >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)]
-            size = np.diff(off)
-            doc = np.repeat(np.arange(len(size)), size)
-            by = h[np.lexsort((h, level, doc))].view(np.int64)
-            take = np.where(size > 0, size - -(-size * num // den) + 1, 0)
+            h, off, size, prefix = sets_of(b)
             digest = [hashlib.blake2b(h[i:j].tobytes(), digest_size=16).digest() if j > i else None for i, j in zip(off[:-1], off[1:], strict=True)]
-            prefix = [by[i : i + k] for i, k in zip(off[:-1], take, strict=True)]
             group = [hashlib.blake2b(p.tobytes() + int(s).to_bytes(8, "big"), digest_size=16).digest() if s else None for p, s in zip(prefix, size, strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size.astype(np.int64)), pa.array(digest, pa.binary()), pa.array(group, pa.binary()), pa.array([p.tolist() for p in prefix], pa.list_(pa.int64()))], names=["id", "n", "digest", "grp", "prefix"])
-
-    rows = stored(docs.mapInArrow(describe, "id long, n long, digest binary, grp binary, prefix array<long>"), "jaccard-rows")
-    with_set = rows.filter("digest is not null and id is not null")
-    reps = stored(with_set.groupBy("digest").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("grp").alias("grp")), "jaccard-sets")
-    groups = with_set.groupBy("grp").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-    groups = groups.join(reps.groupBy("grp").agg(F.count(F.lit(1)).alias("c")), "grp")
-    posts = groups.select("grp", "n", "c", F.posexplode("prefix").alias("p", "s"))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(size), pa.array(digest, pa.binary()), pa.array(group, pa.binary()), pa.array(prefix, pa.list_(pa.int64()))], names=["id", "hash", "n", "digest", "grp", "prefix"])
+
+    def texts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in pieces(batches, 1):
+            h, off, size, prefix = sets_of(b)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size), pa.array(prefix, pa.list_(pa.int64())), pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(h.view(np.int64)))], names=["rep", "n", "prefix", "shingles"])
+
+    rows = stored(docs.mapInArrow(describe, "id long, hash long, n long, digest binary, grp binary, prefix array<long>"), "jaccard-rows")
+    reps = rows.filter("digest is not null and id is not null").groupBy("digest").agg(F.min(F.struct("id", "hash")).alias("r"), F.first("n").alias("n"), F.first("grp").alias("grp"), F.first("prefix").alias("prefix"))
+    reps = stored(reps.select("digest", F.col("r.id").alias("rep"), "r.hash", "n", "grp", "prefix"), "jaccard-sets")
+    groups = reps.groupBy("grp").agg(F.min("rep").alias("g"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.count(F.lit(1)).alias("c"))
+    posts = groups.select("g", F.col("n").cast("int").alias("n"), F.col("c").cast("int").alias("c"), F.posexplode("prefix").alias("p", "s"))
     alive = posts.groupBy("s").agg(F.sum("c").alias("t")).filter("t > 1").select("s")
     posts = stored(posts.join(alive, "s"), "jaccard-postings")
     classes = posts.groupBy("s", "n", "p").agg(F.sum("c").alias("c"))
@@ -170,18 +185,14 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text: str = "text"
     pairs = classes.alias("x").join(classes.alias("y"), (F.col("x.s") == F.col("y.s")) & order & own & match)
     pairs = stored(pairs.select("x.s", F.struct("x.n", "x.p").alias("x"), F.struct("y.n", "y.p").alias("y")), "jaccard-classes")
     used = pairs.select("s", F.col("x").alias("k")).unionByName(pairs.select("s", F.col("y").alias("k"))).distinct()
-    members = posts.withColumn("k", F.struct("n", "p")).join(used, ["s", "k"]).select("s", "k", "grp").join(reps.select("grp", "rep"), "grp").select("s", "k", "rep")
+    of_group = reps.select("grp", "rep").join(groups.filter("c > 1").select("grp", "g"), "grp").select("g", "rep")
+    led = posts.withColumn("k", F.struct("n", "p")).join(used, ["s", "k"]).select("s", "k", "g", "c")
+    members = led.filter("c = 1").select("s", "k", F.col("g").alias("rep")).unionByName(led.filter("c > 1").join(of_group, "g").select("s", "k", "rep"))
     members = stored(members, "jaccard-members")
-    wanted = members.select("rep").distinct()
-
-    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in pieces(batches, 1):
-            h, off = shingles(b.column(1), n)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(h.view(np.int64))), pa.array([hashlib.blake2b(h[i:j].tobytes(), digest_size=16).digest() for i, j in zip(off[:-1], off[1:], strict=True)], pa.binary())], names=["rep", "shingles", "digest"])
-
-    chosen = docs.withColumnRenamed("id", "rep").join(wanted, "rep", "left_semi")
-    sets = chosen.mapInArrow(sets_of, "rep long, shingles array<long>, digest binary")
-    sets = stored(sets.join(reps.select("rep", "digest"), ["rep", "digest"], "left_semi").dropDuplicates(["rep"]).drop("digest"), "jaccard-texts")
+    wanted = stored(members.select("rep").distinct().join(reps.select("rep", "hash"), "rep").select(F.col("rep").alias("id"), "hash"), "jaccard-wanted")
+    picked = F.broadcast(wanted) if 16 * wanted.count() <= BROADCAST_BYTES else wanted
+    # A repeated row comes twice here, which at worst finds a link twice.
+    sets = bucketed(docs.join(picked, ["id", "hash"], "left_semi").select("id", "text").mapInArrow(texts_of, "rep long, n long, prefix array<long>, shingles array<long>"), "jaccard_texts", "rep")
     comps, links = None, None
     for star in range(STARS + 1):
         if comps is None:
