@@ -61,8 +61,8 @@ def jaccard(a: Column, b: Column) -> Column:
 
 
 def letters(text: Column) -> Column:
-    """Lower-case ASCII words between word boundaries."""
-    return F.regexp_extract_all(F.lower(text), F.lit(r"\b[a-zA-Z]+\b"), F.lit(0))
+    """Lower-case words of ASCII letters only; a word with any other letter, digit or underscore is none."""
+    return F.filter(F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)), lambda w: w.rlike("^[a-z]+$"))
 
 
 def text_hash(text: Column) -> Column:
