@@ -23,9 +23,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import small_batches, table
+from .wordhash import pieces
 
 #: Distinct pre-tokens that a worker remembers; more are encoded again.
-CACHE = 400_000
+CACHE = 200_000
 
 
 def byte_characters() -> list[str]:
@@ -131,7 +132,7 @@ def byte_bpe(df: DataFrame, rank_file: bytes, pattern: str, text: str = "text",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(*given.value)
-        for b in batches:
+        for b in pieces(batches, len(kept)):
             out = []
             for t in b.column(b.num_columns - 1).to_pylist():
                 packed = codec.encode(t)

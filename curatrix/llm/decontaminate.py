@@ -29,7 +29,7 @@ from .wordhash import TO_LOWER, Words, buffers, ngrams, pieces
 WINDOW, SHARE, RUN = 5, 0.8, 13
 #: Windows of the form with names need so many tokens that aren't placeholders.
 LITERALS = 3
-INDEX_BYTES = 16 << 20
+INDEX_BYTES, PIECE_BYTES = 16 << 20, 1 << 20
 UNITS = "mm cm m km inch inches foot feet yard yards mile miles mg g kg gram grams pound pounds ounce ounces ton tons ml l liter liters litre litres second seconds minute minutes hour hours day days week weeks month months year years dollar dollars cent cents euro euros percent degree degrees meter meters metre metres kilometer kilometers".split()
 
 _CLASS = np.zeros(256, np.uint8)  # 1 kept, 2 digit (kept), 3 upper-case (kept), 4 ends a sentence
@@ -46,22 +46,21 @@ class Templates:
     """Tokens of some texts in both canonical forms."""
 
     def __init__(self, column: pa.Array):
+        count = lambda mask: np.concatenate([np.zeros(1, np.int32), np.cumsum(mask, dtype=np.int32)])
         data, offsets = buffers(column)
         two = np.zeros(len(data), bool)  # second bytes of À to Þ
         if len(data) > 1:
             two[1:] = (data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97)
-        low = TO_LOWER[data] + np.where(two, 32, 0).astype(np.uint8)
+        low = TO_LOWER[data] + (two.view(np.uint8) << 5)
         kind = _CLASS[data]
         keep = (kind & 3) > 0
         if len(data) > 2:  # general punctuation, U+2000 to U+203F
             for at in np.flatnonzero((data[:-2] == 0xE2) & (data[1:-1] == 0x80)):
                 keep[at : at + 3] = False
         at = np.flatnonzero(keep)
-        before = np.zeros(len(data) + 1, np.int64)
-        np.cumsum(keep, out=before[1:])
+        before = count(keep)
         self.words = words = Words(low[at], before[offsets])
         left, right = (at[words.starts], at[words.ends - 1] + 1) if len(words) else (words.starts, words.ends)
-        count = lambda mask: np.concatenate([[0], np.cumsum(mask)])
         digits, stops = count(kind == 2), count(kind >= 4)
         number = digits[right] > digits[left]
         upper = (kind[left] == 3) | ((data[left] == 0xC3) & two[np.minimum(left + 1, max(len(data) - 1, 0))]) if len(words) else number
@@ -154,18 +153,13 @@ def leaks(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: str
     of documents or items give repeated rows. An empty table gives an empty result; other
     columns are ignored.
     """
-    spark = df.sparkSession
-    small_batches(spark)
+    small_batches(df.sparkSession)
     docs = df.select(F.col(id_col).cast("long").alias("__id"), F.col(text).alias("__text"))
-    items = benchmark.select(F.col(item_id).cast("long").alias("i"), F.col(item_text).alias("t")).dropna()
-    total = items.agg(F.sum(F.octet_length("t").cast("long"))).first()[0] or 0
-    blocks = 1 + total // index_bytes
     out = None
-    for block in range(blocks):
-        index = Index([tuple(r) for r in items.filter(F.pmod(F.xxhash64("t"), F.lit(blocks)) == block).collect()])
+    for index in _indices(benchmark, item_id, item_text, index_bytes):
 
         def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
-            for b in pieces(batches, 1):
+            for b in pieces(batches, 1, PIECE_BYTES):
                 ids, rows = b.column(0).to_pylist(), list(index.find(Templates(b.column(1))))
                 yield pa.RecordBatch.from_arrays([pa.array([ids[r[0]] for r in rows], pa.int64()), pa.array([index.ids[r[1]] for r in rows], pa.int64()), *(pa.array([r[k] for r in rows], kind) for k, kind in ((2, pa.int32()), (3, pa.int32()), (4, pa.float64())))], names=["id", "item", "start", "end", "share"])
 
@@ -174,10 +168,28 @@ def leaks(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: str
     return out
 
 
-def decontaminate(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """df without the rows whose identifier holds an item; rows with a null identifier stay only if no such row holds one."""
-    held = leaks(df, benchmark, id_col, **options).select(F.col(id_col).alias("__held")).distinct()
-    return df.join(held, df[id_col].eqNullSafe(F.col("__held")), "left_anti")
+def _indices(benchmark: DataFrame, item_id: str, item_text: str, index_bytes: int) -> Iterator[Index]:
+    """The benchmark in blocks of a bounded size."""
+    items = benchmark.select(F.col(item_id).cast("long").alias("i"), F.col(item_text).alias("t")).dropna()
+    total = items.agg(F.sum(F.octet_length("t").cast("long"))).first()[0] or 0
+    blocks = 1 + total // index_bytes
+    for block in range(blocks):
+        yield Index([tuple(r) for r in items.filter(F.pmod(F.xxhash64("t"), F.lit(blocks)) == block).collect()])
+
+
+def decontaminate(df: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", index_bytes: int = INDEX_BYTES) -> DataFrame:
+    """df without the rows whose text holds an item; a map for each block of items, no shuffle."""
+    small_batches(df.sparkSession)
+    at, names, schema = df.columns.index(text), df.columns, df.schema
+    for index in _indices(benchmark, item_id, item_text, index_bytes):
+
+        def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
+            for b in pieces(batches, at, PIECE_BYTES):
+                held = {r[0] for r in index.find(Templates(b.column(at)))}
+                yield b.filter(pa.array([i not in held for i in range(b.num_rows)])) if held else b
+
+        df = df.mapInArrow(run, schema)
+    return df.select(*(f"`{c}`" for c in names))
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -224,7 +224,9 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text: str = "text"
 def keep_one(df: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """df with one document of each component, the one with the smallest identifier (of rows that share it, all whose own component it is); rows with a null identifier stay."""
     found = jaccard_components(df, id_col, **options).filter(f"`{id_col}` <> component_id").select(F.col(id_col).alias("__gone")).distinct()
-    return df.join(found, df[id_col] == found["__gone"], "left_anti")
+    found = stored(found, "jaccard-gone")
+    gone = F.broadcast(found) if 16 * found.count() <= BROADCAST_BYTES else found
+    return df.join(gone, df[id_col] == gone["__gone"], "left_anti")
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import shuffle_partitions, small_batches, table
-from .wordhash import BASES, Words, buffers, mix, ngrams, pieces, powers, ranges
+from .wordhash import BASES, Words, buffers, mix, ngrams, pieces, powers, ranges, release
 
 WINDOW, MER = 20, 4
 #: Packed bytes that a bucket is meant for, that a mapper gathers before it sends, and text bytes that it works on at a time.
@@ -170,6 +170,7 @@ def _reduce(group: pa.Table, window: int) -> pa.Table:
         covers.append(later_windows(packed, window))
     x = {k: np.concatenate([c[k] for c in covers]) for k in _COVER}
     ids = pa.array(x["doc"], mask=x["doc"] == NO_ID)
+    release()
     return pa.table([ids, *(pa.array(x[k]) for k in ("row", "start", "words"))], names=["doc", "row", "start", "words"])
 
 

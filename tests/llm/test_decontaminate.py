@@ -43,6 +43,7 @@ def test_templates(spark):
         got = leaks(df, items, index_bytes=size).filter("item_id = 0").collect()
         assert sorted((r.doc_id or 0) for r in got) == [0, 1, 1, 2, 3, 4]
     assert {r.doc_id for r in decontaminate(df, items.filter("item_id = 0")).collect()} == {5, 6, 7, 8, 9, 10}
+    assert decontaminate(df.limit(0), items).count() == 0 and decontaminate(df, items.limit(0)).count() == len(docs)
     assert leaks(df.limit(0), items).count() == 0 and leaks(df, items.limit(0)).count() == 0
 
 
