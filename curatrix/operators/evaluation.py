@@ -99,7 +99,7 @@ def replication(df: DataFrame, by: str, value: str) -> DataFrame:
     """n, mean, std (population), least, most, cv in percent, half-width 1.96 std / sqrt(n) and a label of robustness by group."""
     g = df.groupBy(by).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), F.min(value).alias("least"), F.max(value).alias("most"))
     cv = F.col("std") / F.nullif(F.abs("mean"), F.lit(0.0)) * 100
-    return g.withColumns({"cv": cv, "half_width": 1.96 * F.col("std") / F.sqrt("n"), "label": F.when(cv < 15, "robust").when(cv < 30, "acceptable").otherwise("high variance")})
+    return g.withColumns({"cv": cv, "half_width": 1.96 * F.col("std") / F.sqrt("n"), "label": F.when(F.col("std") < 1.0, "robust").when(F.col("std") < 2.0, "acceptable").otherwise("high variance")})
 
 
 def seed_stats(df: DataFrame, by: list[str], value: str) -> DataFrame:
@@ -167,8 +167,12 @@ def categorize(name: Column, prefixes: list[tuple[str, str]], otherwise: str = "
     return out.otherwise(otherwise)
 
 
-def recommendations(acceptance: Column, similarity: Column, confidence: Column) -> Column:
-    """Texts of what to change, as an array: low acceptance, low similarity, low confidence, or nothing."""
-    said = F.array(F.when(acceptance < 0.3, F.lit("loosen the filters")), F.when(acceptance > 0.9, F.lit("tighten the filters")), F.when(similarity < 0.5, F.lit("choose better anchors")), F.when(confidence < 0.5, F.lit("train a better classifier")))
-    found = F.filter(said, lambda x: x.isNotNull())
-    return F.when(F.size(found) == 0, F.array(F.lit("keep the settings"))).otherwise(found)
+#: What to change when a filter dominates the rejections.
+ADVICE = {"length": "change the token bounds", "similarity": "lower the similarity threshold", "classifier": "lower the confidence threshold", "knn": "lower the neighbour threshold"}
+
+
+def recommendations(acceptance: Column, shares: Column) -> Column:
+    """What to change, as an array of texts: acceptance under 0.05 or over 0.50, and reasons with over 40 % of the rejections. shares: map of reason to share."""
+    said = [F.when(acceptance < 0.05, F.lit("relax the thresholds")), F.when(acceptance > 0.50, F.lit("tighten the filters"))]
+    said += [F.when(F.coalesce(F.try_element_at(shares, F.lit(k)), F.lit(0.0)) > 0.40, F.lit(v)) for k, v in ADVICE.items()]
+    return F.filter(F.array(*said), lambda x: x.isNotNull())
