@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -14,6 +13,7 @@ from curatrix.functions.ladders import uniform
 from curatrix.functions.vectors import cosine, mean_vector
 from curatrix.operators.dedup import greedy_keep
 from curatrix.operators.neighbors import nearest, purity, similar_pairs
+from curatrix.sources.storage import stored
 
 
 def to_centroid(df: DataFrame, group: str, vector: str = "embedding") -> DataFrame:
@@ -70,26 +70,25 @@ def diverse_midband(df: DataFrame, group: str, id_col: str = "vec_id", vector: s
     return first_by(t.join(mid, [group, id_col]), group, F.round("diversity", 9).desc(), id_col).select(group, id_col, "diversity")
 
 
-def farthest_first(df: DataFrame, group: str, k: int, id_col: str = "vec_id", vector: str = "embedding", sample: int = 20_000) -> DataFrame:
+def farthest_first(df: DataFrame, group: str, k: int, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(group, id, step): farthest-first traversal by cosine distance from the smallest identifier.
 
-    Inherently sequential within a group; a group is one task of at most `sample` rows, taken
-    in hash order, as the step count k is small and the traversal only needs the hull.
+    Each step is one pass: the distance of every row to the nearest chosen one goes down by
+    the row chosen last (one per group, broadcast), and the farthest row is found by a partial
+    aggregation. Exact, k passes, no group in one task.
     """
-    part = Window.partitionBy(group).orderBy(uniform(F.col(id_col)), id_col)
-    few = df.withColumn("__r", F.row_number().over(part)).filter(F.col("__r") <= sample).select(group, F.col(id_col).cast("long").alias("i"), F.col(vector).cast("array<double>").alias("v"))
-
-    def run(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values("i")
-        x = np.stack(p["v"])
-        x = x / np.linalg.norm(x, axis=1, keepdims=True)
-        chosen, near = [0], 1 - x @ x[0]
-        while len(chosen) < min(k, len(x)):
-            chosen.append(int(np.argmax(np.round(near, 12))))
-            near = np.minimum(near, 1 - x @ x[chosen[-1]])
-        return pd.DataFrame({group: p[group].iloc[0], id_col: p["i"].to_numpy()[chosen], "step": range(len(chosen))})
-
-    return few.groupBy(group).applyInPandas(run, f"`{group}` {df.schema[group].dataType.simpleString()}, `{id_col}` long, step int")
+    near = stored(df.select(group, F.col(id_col).cast("long").alias("i"), F.col(vector).cast("array<double>").alias("v"), F.lit(4.0).alias("d")), "farthest")
+    best = near.groupBy(group).agg(F.min_by(F.struct("i", "v"), "i").alias("x"))
+    out = None
+    for step in range(k):
+        best = stored(best, "farthest-best")
+        this = best.select(group, F.col("x.i").alias(id_col), F.lit(step).alias("step"))
+        out = this if out is None else out.unionByName(this)
+        if step + 1 < k:
+            met = near.join(F.broadcast(best), group).select(group, "i", "v", F.least("d", F.round(1 - cosine(F.col("v"), F.col("x.v")), 12)).alias("d"), (F.col("i") == F.col("x.i")).alias("own"))
+            near = stored(met.filter(~F.col("own")).drop("own"), "farthest")
+            best = near.groupBy(group).agg(F.max_by(F.struct("i", "v"), F.struct(F.col("d"), -F.col("i"))).alias("x"))
+    return out
 
 
 def hard(df: DataFrame, label: str, k: int, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:

@@ -110,8 +110,9 @@ def mixup(df: DataFrame, n: int, alpha: float = 0.2, label: str = "label", id_co
 
 
 def contrastive(df: DataFrame, label: str = "label", id_col: str = "vec_id", vector: str = "embedding", steps: int = 200, rate: float = 0.01, gap: float = 0.5, seed: int = 42, sample: int = 5000) -> DataFrame:
-    """(id, refined): vectors drawn to a row of their class and pushed from one of another, step by step. Sequential, so one task over at most `sample` rows in hash order."""
-    few = df.select(F.lit(0).alias("g"), F.col(id_col).cast("long").alias("i"), F.col(label).cast("string").alias("l"), F.col(vector).cast("array<double>").alias("v")).orderBy(F.xxhash64(F.lit(seed), "i")).limit(sample)
+    """(id, refined): vectors drawn to a row of their class and pushed from one of another, step by step. Sequential, so one task refines at most `sample` rows, the first in hash order; the others stay as they are."""
+    every = df.select(F.lit(0).alias("g"), F.col(id_col).cast("long").alias("i"), F.col(label).cast("string").alias("l"), F.col(vector).cast("array<double>").alias("v"))
+    few = every.orderBy(F.xxhash64(F.lit(seed), "i"), "i").limit(sample)
 
     def run(p: pd.DataFrame) -> pd.DataFrame:
         p = p.sort_values("i")
@@ -126,7 +127,9 @@ def contrastive(df: DataFrame, label: str = "label", id_col: str = "vec_id", vec
                     x[i] += rate * d / size
         return pd.DataFrame({id_col: p["i"], "refined": list(x)})
 
-    return few.groupBy("g").applyInPandas(run, f"`{id_col}` long, refined array<double>")
+    done = few.groupBy("g").applyInPandas(run, f"`{id_col}` long, refined array<double>")
+    rest = every.join(few.select("i"), "i", "left_anti").select(F.col("i").alias(id_col), F.col("v").alias("refined"))
+    return done.unionByName(rest)
 
 
 def representatives(df: DataFrame, share: float = 0.1, method: str = "centroid", id_col: str = "vec_id", vector: str = "embedding", seed: int = 42) -> DataFrame:
