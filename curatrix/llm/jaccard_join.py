@@ -34,6 +34,8 @@ from .wordhash import Words, buffers, mix, ngrams, pieces
 
 COUNTER_BITS, CHUNK_BITS = 22, 16
 STARS = 2
+#: A lead with over 1/HOT_SHARE of a round's pairs, and HOT_ROWS at least, is hot.
+HOT_SHARE, HOT_ROWS = 1000, 64
 #: Identifiers of up to so many bytes are broadcast to pick out texts; more are joined by shuffle.
 BROADCAST_BYTES = 32 << 20
 
@@ -124,14 +126,31 @@ def _verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """The pairs (a, b) of representatives that link.
 
     First by prefixes alone: common shingles are in both prefixes, or behind the end of the one
-    that ends first, so the overlap is at most that of the prefixes and the longer rest.
+    that ends first, so the overlap is at most that of the prefixes and the longer rest. A lead
+    with very many pairs is met by broadcast, if the sets of all such leads (fewer than
+    2 HOT_SHARE) are small; otherwise by shuffle like the rest.
     """
-    side = lambda k, c, *more: sets.select(F.col("rep").alias(k), F.col(c).alias(f"{k}_{c}"), *(F.col(m).alias(f"{k}_{m}") for m in more))
+    pairs = stored(pairs, "jaccard-pairs")
+    limit = max(HOT_ROWS, pairs.count() // HOT_SHARE)
+    each = pairs.select(F.explode(F.array(F.struct(F.lit("a").alias("side"), F.col("a").alias("rep")), F.struct(F.lit("b").alias("side"), F.col("b").alias("rep")))).alias("x")).select("x.*")
+    hot = stored(each.groupBy("side", "rep").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > limit).select("side", "rep"), "jaccard-hot")
+    big = sets.join(F.broadcast(hot.select("rep").distinct()), "rep", "left_semi") if not hot.isEmpty() else None
+    if big is not None and 9 * (big.agg(F.sum("n")).first()[0] or 0) > BROADCAST_BYTES:
+        big = None
+
+    def attach(df: DataFrame, k: str, columns: dict[str, str]) -> DataFrame:
+        side = lambda s: s.select(F.col("rep").alias(k), *(F.col(c).alias(n) for n, c in columns.items()))
+        if big is None:
+            return df.join(side(sets), k)
+        keys = F.broadcast(hot.filter(F.col("side") == k).select(F.col("rep").alias(k)))
+        return df.join(keys, k, "left_anti").join(side(sets), k).unionByName(df.join(keys, k, "left_semi").join(F.broadcast(side(big)), k))
+
     need = _needed(F.col("a_n"), F.col("b_n"), num, den)
     rest = F.greatest(F.col("a_n") - F.size("a_prefix"), F.col("b_n") - F.size("b_prefix"))
-    may = pairs.join(side("a", "prefix", "n"), "a").join(side("b", "prefix", "n"), "b").filter(F.size(F.array_intersect("a_prefix", "b_prefix")) + rest >= need)
-    both = may.select("a", "b", "a_n", "b_n").join(side("a", "shingles"), "a").join(side("b", "shingles"), "b")
-    return both.filter(F.size(F.array_intersect("a_shingles", "b_shingles")) >= need).select("a", "b")
+    may = attach(attach(pairs, "a", {"a_n": "n", "a_prefix": "prefix"}), "b", {"b_n": "n", "b_prefix": "prefix"})
+    may = may.filter(F.size(F.array_intersect("a_prefix", "b_prefix")) + rest >= need).select("a", "b", "a_n", "b_n")
+    both = attach(attach(stored(may, "jaccard-pairs"), "a", {"a_s": "shingles"}), "b", {"b_s": "shingles"})
+    return both.filter(F.size(F.array_intersect("a_s", "b_s")) >= need).select("a", "b")
 
 
 def jaccard_components(df: DataFrame, id_col: str = "doc_id", text: str = "text", n: int = 3, num: int = 9, den: int = 10) -> DataFrame:

@@ -3,6 +3,7 @@ import re
 
 import pytest
 
+from curatrix.llm import jaccard_join
 from curatrix.llm.jaccard_join import components, jaccard_components, keep_one, op5_jaccard_join
 
 
@@ -28,8 +29,9 @@ def brute(docs, n=3, num=9, den=10):
     return {i: (len(s[i]), root(i)) for i in s}
 
 
-@pytest.mark.parametrize("num,den", [(9, 10), (6, 10)])
-def test_cases(spark, num, den):
+@pytest.mark.parametrize("num,den,hot", [(9, 10, 64), (6, 10, 3)])
+def test_cases(spark, num, den, hot, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "HOT_ROWS", hot)
     r = random.Random(num)
     base = [[r.choice("abcdefghijklmnop") + str(r.randrange(9)) for _ in range(r.choice([2, 3, 8, 40, 90]))] for _ in range(9)]
     docs = []
