@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -83,7 +84,6 @@ def t_quantile(p: float, df: float) -> float:
 
 def significance(stats: DataFrame, level: float = 0.95) -> DataFrame:
     """paired() rows with p_value, ci_low, ci_high and significant. A row is a configuration, so the few rows are finished one by one in a Pandas UDF."""
-    import pandas as pd
     from pyspark.sql.functions import pandas_udf
 
     @pandas_udf("p double, w double")
