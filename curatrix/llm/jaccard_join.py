@@ -74,7 +74,8 @@ def _frequencies(docs: DataFrame, n: int) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
         for b in pieces(batches, 1):
-            h, _ = shingles(b.column(1), n)
+            words = Words(*buffers(b.column(1), lower=True))
+            h = ngrams(words.hashes(), n)[words.doc[: max(0, len(words) - n + 1)] == words.doc[n - 1 :]]  # every occurrence: an order needs no better
             part = np.bincount((mix(h) >> np.uint64(64 - COUNTER_BITS)).astype(np.int64), minlength=1 << COUNTER_BITS)
             total = part.astype(np.int32) if total is None else total + part.astype(np.int32)
         if total is not None:
@@ -137,6 +138,7 @@ def _verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     big = sets.join(F.broadcast(hot.select("rep").distinct()), "rep", "left_semi") if not hot.isEmpty() else None
     if big is not None and 9 * (big.agg(F.sum("n")).first()[0] or 0) > BROADCAST_BYTES:
         big = None
+    big = stored(big, "jaccard-leads") if big is not None else None
 
     def attach(df: DataFrame, k: str, columns: dict[str, str]) -> DataFrame:
         side = lambda s: s.select(F.col("rep").alias(k), *(F.col(c).alias(n) for n, c in columns.items()))
