@@ -1 +1 @@
-
+"""Column functions without Python."""

@@ -48,9 +48,15 @@ def strip_tag(line: Column, tags: Sequence[str]) -> Column:
 
 
 def shingles(text: Column, n: int = 3) -> Column:
-    """Distinct word n-grams of the lower-cased text; fewer words: the distinct words."""
+    """Distinct word n-grams of the lower-cased text; fewer words: the distinct words.
+
+    The words are zipped with their shifts: a slice inside a lambda would split the text anew
+    for every n-gram.
+    """
     w = words(F.lower(text))
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(w, i, n), " "))
+    shifted = (F.slice(w, i + 1, F.greatest(F.size(w) - i, F.lit(0))).alias(f"w{i}") for i in range(1, n))
+    zipped = F.slice(F.arrays_zip(w.alias("w0"), *shifted), 1, F.greatest(F.size(w) - n + 1, F.lit(0)))
+    grams = F.transform(zipped, lambda z: F.concat_ws(" ", *(z[f"w{i}"] for i in range(n))))
     return F.array_distinct(F.when(F.size(w) < n, w).otherwise(grams))
 
 

@@ -1 +1 @@
-
+"""Operators on DataFrames of texts, labels and vectors."""

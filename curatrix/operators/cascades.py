@@ -69,10 +69,10 @@ def main_cascade(df: DataFrame, tokens: str = "tokens", sim: str = "sim", anchor
 
 def batch_duplicates(df: DataFrame, batch: str, id_col: str, order: str, text: str = "text", n: int = 3, threshold: float = 0.85) -> DataFrame:
     """df with kept: within a batch, in order, a row goes if its shingles are nearly those of a kept one. Pairs come from an equi-join on shingles within the batch."""
-    s = df.select(batch, F.col(id_col).alias("i"), T.shingles(F.col(text), n).alias("s")).select(batch, "i", F.size("s").alias("m"), F.explode("s").alias("g"))
+    s = df.select(F.col(batch).alias("__b"), F.col(id_col).alias("__i"), T.shingles(F.col(text), n).alias("s")).select("__b", "__i", F.size("s").alias("__m"), F.explode("s").alias("__g"))
     x, y = s.alias("x"), s.alias("y")
-    on = (F.col(f"x.{batch}") == F.col(f"y.{batch}")) & (F.col("x.g") == F.col("y.g")) & (F.col("x.i") < F.col("y.i"))
-    k = x.join(y, on).groupBy(F.col("x.i").alias("a"), F.col("y.i").alias("b")).agg(F.count(F.lit(1)).alias("k"), F.first("x.m").alias("m"), F.first("y.m").alias("n"))
+    on = (F.col("x.__b") == F.col("y.__b")) & (F.col("x.__g") == F.col("y.__g")) & (F.col("x.__i") < F.col("y.__i"))
+    k = x.join(y, on).groupBy(F.col("x.__i").alias("a"), F.col("y.__i").alias("b")).agg(F.count(F.lit(1)).alias("k"), F.first("x.__m").alias("m"), F.first("y.__m").alias("n"))
     return greedy_keep(df, k.filter(F.col("k") / (F.col("m") + F.col("n") - F.col("k")) > threshold).select("a", "b"), id_col, order)
 
 

@@ -45,7 +45,7 @@ def assign(df: DataFrame, centroids: DataFrame, vector: str = "embedding", centr
     from curatrix.functions.vectors import euclidean
 
     every = centroids.agg(F.collect_list(F.struct(F.col(centroid_id).alias("k"), F.col(centroid).alias("c"))).alias("__cs"))
-    near = F.array_min(F.transform("__cs", lambda s: F.struct(F.round(euclidean(F.col(vector), s["c"]), 9).alias("d"), s["k"].alias("k"))))
+    near = F.array_min(F.transform("__cs", lambda s: F.struct(F.round(euclidean(F.col(vector), s["c"]), 9).alias("r"), s["k"].alias("k"), euclidean(F.col(vector), s["c"]).alias("d"))))
     return df.join(F.broadcast(every)).withColumn("__near", near).withColumns({"cluster": F.col("__near.k"), "distance": F.col("__near.d")}).drop("__near", "__cs")
 
 

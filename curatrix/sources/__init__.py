@@ -1 +1 @@
-
+"""Corpora, caches, result files, injected generators and encoders."""

@@ -1 +1 @@
-
+"""Nothing yet: the engine's queries are batch queries; its operators on columns can be used in streaming queries as they are."""
