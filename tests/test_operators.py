@@ -175,18 +175,17 @@ def test_sources(spark, tmp_path):
     assert cache.list() == []
 
 
-class Flaky:
-    def __init__(self):
-        self.calls = 0
-
-    def generate(self, prompt, temperature=1.0):
-        self.calls += 1
-        if prompt == "bad" or self.calls == 1:
-            raise RuntimeError("no")
-        return f"1) {prompt}\n\n2. {temperature:g}\n{prompt}", {"prompt_tokens": 1, "completion_tokens": 2}
+def test_generators(spark):
+    class Flaky:
+        def __init__(self):
+            self.calls = 0
 
+        def generate(self, prompt, temperature=1.0):
+            self.calls += 1
+            if prompt == "bad" or self.calls == 1:
+                raise RuntimeError("no")
+            return f"1) {prompt}\n\n2. {temperature:g}\n{prompt}", {"prompt_tokens": 1, "completion_tokens": 2}
 
-def test_generators(spark):
     df = spark.createDataFrame([(1, "good"), (2, "bad")], "i int, p string").coalesce(1)
     out = generators.generate(df, "p", Flaky, (0.5, 1.0), retries=2, wait=0.0)
     rows = {(r.i, r.temperature): r for r in out.collect()}
