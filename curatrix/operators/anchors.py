@@ -123,7 +123,7 @@ def ensemble_scores(anchors: DataFrame, df: DataFrame, label: str = "label", id_
     p = purity(a, df.select(id_col, label, vector), k, "cosine", id_col, vector, label, exclude_self=False).select(id_col, "purity")
     enemy = nearest(a, df, 1, "cosine", id_col, id_col, vector, label, label, same=False).select(F.col("q").alias(id_col), F.exp(-2.0 * (1 - F.col("score"))).alias("hardness"))
     # The deviation needs sums of distances and of their squares over the class: one pass of the class against its few anchors.
-    pairs = df.select(F.col(label).alias("__l"), F.col(vector).alias("__v")).join(F.broadcast(a), F.col("__l") == F.col(label))
+    pairs = df.select(F.col(label).alias("__l"), F.col(vector).alias("__v")).join(a, F.col("__l") == F.col(label))
     stability = pairs.groupBy(id_col).agg((1 / (1 + F.stddev_pop(1 - cosine(F.col(vector), F.col("__v"))))).alias("stability"))
     out = a.select(id_col, label).join(diversity, id_col).join(p, id_col).join(enemy, id_col, "left").join(stability, id_col).na.fill({"hardness": 0.0})
     score = sum(w * F.col(c) for w, c in zip(weights, ("diversity", "purity", "hardness", "stability"), strict=True))

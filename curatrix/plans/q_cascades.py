@@ -261,11 +261,11 @@ def _(spark, d):
     return D.greedy_dedup(emb(spark, d).withColumn("component", c("vec_id") % 3), 0.25, component="component").select("vec_id", "kept")
 
 
-@query("an10_anchor_dedup", WALK.format(emb=EMB.replace("FROM embeddings", "FROM embeddings WHERE vec_id % 4 = 0"), t=0.25, extra="", order="e.label, e.vec_id").replace("> 0.25", ">= 0.25"))
+@query("an10_anchor_dedup", WALK.format(emb=EMB, t=0.25, extra="", order="e.label, e.vec_id").replace("> 0.25", ">= 0.25"))
 def _(spark, d):
     from curatrix.operators.anchors import dedup_anchors
 
-    return dedup_anchors(emb(spark, d).filter("vec_id % 4 = 0"), "label", 0.25).select("vec_id", "kept")
+    return dedup_anchors(emb(spark, d), "label", 0.25).select("vec_id", "kept")
 
 
 @query("se01_union_components", "SELECT 'real' AS origin, count(*) AS n FROM embeddings WHERE vec_id % 5 <> 0 UNION ALL SELECT 'synthetic', count(*) FROM embeddings WHERE vec_id % 5 = 0")
@@ -281,10 +281,11 @@ def _(spark, d):
     return D.exact_keep_first(t, "text", [c("component"), c("doc_id")]).select("doc_id", "component")
 
 
-@query("se04_class_coverage_difference", "SELECT label FROM embeddings EXCEPT SELECT label FROM embeddings WHERE vec_id % 50 = 0")
+@query("se04_class_coverage_difference", "SELECT lang, source FROM (SELECT DISTINCT lang FROM documents) CROSS JOIN (SELECT DISTINCT source FROM documents) EXCEPT SELECT lang, source FROM documents")
 def _(spark, d):
-    e = emb(spark, d).select("label")
-    return e.distinct().join(emb(spark, d).filter("vec_id % 50 = 0").select("label").distinct(), "label", "left_anti")
+    t = table(spark, d, "documents").select("lang", "source").distinct()
+    expected = t.select("lang").distinct().join(F.broadcast(t.select("source").distinct()))  # names of classes, not rows
+    return expected.join(t, ["lang", "source"], "left_anti")
 
 
 @query("dv04_weighted_sample", "SELECT vec_id, k AS component FROM (SELECT vec_id, vec_id % 3 AS k, row_number() OVER (PARTITION BY vec_id % 3 ORDER BY ('0x' || substr(md5(CAST(vec_id AS VARCHAR)), 1, 8))::BIGINT, vec_id) AS r, count(*) OVER (PARTITION BY vec_id % 3) AS n FROM embeddings) WHERE r <= floor(n * 0.8::DOUBLE * CASE k WHEN 0 THEN 0.5 WHEN 1 THEN 0.3 ELSE 0.2 END::DOUBLE)")

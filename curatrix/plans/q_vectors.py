@@ -91,10 +91,10 @@ def _(spark, d):
     return rounded(class_diversity(emb(spark, d)))
 
 
-@query("ag22_semantic_drift", f"WITH {EMB}, x AS (SELECT b.vec_id, b.label, min({DIST.format('a', 'b')}) AS d FROM e a, e b WHERE a.vec_id % 10 = 0 AND b.vec_id % 5 = 1 GROUP BY b.vec_id, b.label) SELECT label, round(avg(d), 6) AS drift FROM x GROUP BY label")
+@query("ag22_semantic_drift", f"WITH {EMB}, x AS (SELECT b.vec_id, b.label, min({DIST.format('a', 'b')}) AS d FROM e a, e b WHERE a.vec_id % 5 <> 0 AND b.vec_id % 5 = 0 GROUP BY b.vec_id, b.label) SELECT label, round(avg(d), 6) AS drift FROM x GROUP BY label")
 def _(spark, d):
     e = emb(spark, d)
-    near = N.nearest(e.filter("vec_id % 5 = 1"), e.filter("vec_id % 10 = 0"), 1, "euclidean", exclude_self=False)
+    near = N.nearest(e.filter("vec_id % 5 = 0"), e.filter("vec_id % 5 <> 0"), 1, "euclidean")
     return rounded(near.join(e.select(c("vec_id").alias("q"), "label"), "q").groupBy("label").agg(F.avg("score").alias("drift")))
 
 
@@ -172,7 +172,7 @@ def _(spark, d):
 
 @query("cl04_elbow_k")
 def _(spark, d):
-    return spark.createDataFrame([(K.choose_k(emb(spark, d).filter("label = 0"), high=6),)], "k int")
+    return spark.createDataFrame([(K.choose_k(emb(spark, d), high=6),)], "k int")
 
 
 @query("cl08_interpolated_pairs")
@@ -181,11 +181,11 @@ def _(spark, d):
     return K.smote_pairs(e, A.centroid_nearest(e, "label"), 50).select("i", "anchor", "neighbour", "by", F.size("synthetic").alias("n"))
 
 
-@query("cl09_weighted_support", f"""WITH {NC}, w AS (SELECT q, k, r, 1 / (1 - s + 0.01) AS w FROM nc WHERE r <= 8 AND q % 50 = 0), x AS (SELECT q, k, r, greatest(1, least(3, CAST(floor(round(w / sum(w) OVER (PARTITION BY q) * 8 * 2, 9)) AS INTEGER))) AS n FROM w),
+@query("cl09_weighted_support", f"""WITH {NC}, w AS (SELECT q, k, r, 1 / (1 - s + 0.01) AS w FROM nc WHERE r <= 8), x AS (SELECT q, k, r, greatest(1, least(3, CAST(floor(round(w / sum(w) OVER (PARTITION BY q) * 8 * 2, 9)) AS INTEGER))) AS n FROM w),
 y AS (SELECT q, k, r, n, unnest(range(0, n)) AS i FROM x) SELECT q, k AS c, CAST(r AS INTEGER) AS rank, n AS repeats, CAST(p AS INTEGER) AS pos FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY r, i) AS p FROM y) WHERE p <= 12""")
 def _(spark, d):
     e = emb(spark, d)
-    return K.weighted_support(e.filter("vec_id % 50 = 0"), e)
+    return K.weighted_support(e, e)
 
 
 @query("cl10_mixup")
@@ -245,7 +245,7 @@ def _(spark, d):
     return A.random_anchors(emb(spark, d), "label", 3)
 
 
-@query("an11_ensemble_rank", f"""WITH {EMB}, an AS (SELECT * FROM e WHERE vec_id % 7 = 0),
+@query("an11_ensemble_rank", f"""WITH {EMB}, an AS (SELECT * FROM e),
 dv AS (SELECT a.vec_id, coalesce(avg(1 - {COS.format('a', 'b')}), 1.0) AS diversity FROM an a LEFT JOIN an b ON a.label = b.label AND a.vec_id <> b.vec_id GROUP BY a.vec_id),
 pu AS (SELECT vec_id, avg(CASE WHEN al = bl THEN 1.0 ELSE 0.0 END) AS purity FROM (SELECT a.vec_id, a.label AS al, b.label AS bl, row_number() OVER (PARTITION BY a.vec_id ORDER BY round({COS.format('a', 'b')}, 12) DESC, b.vec_id) AS r FROM an a, e b) WHERE r <= 15 GROUP BY vec_id),
 hd AS (SELECT a.vec_id, exp(-2.0 * min(1 - {COS.format('a', 'b')})) AS hardness FROM an a JOIN e b ON a.label <> b.label GROUP BY a.vec_id),
@@ -253,12 +253,12 @@ st AS (SELECT a.vec_id, 1 / (1 + stddev_pop(1 - {COS.format('a', 'b')})) AS stab
 x AS (SELECT an.label, vec_id, diversity, purity, hardness, stability, 0.3 * diversity + 0.3 * purity + 0.2 * hardness + 0.2 * stability AS score FROM an JOIN dv USING (vec_id) JOIN pu USING (vec_id) JOIN hd USING (vec_id) JOIN st USING (vec_id))
 SELECT label, vec_id, round(diversity, 6) AS diversity, round(purity, 6) AS purity, round(hardness, 6) AS hardness, round(stability, 6) AS stability, round(score, 6) AS score, CAST(row_number() OVER (PARTITION BY label ORDER BY round(score, 9) DESC, vec_id) AS INTEGER) AS rank FROM x""")
 def _(spark, d):
-    return rounded(A.ensemble_scores(emb(spark, d).filter("vec_id % 7 = 0"), emb(spark, d)).select("label", "vec_id", "diversity", "purity", "hardness", "stability", "score", "rank"))
+    return rounded(A.ensemble_scores(emb(spark, d), emb(spark, d)).select("label", "vec_id", "diversity", "purity", "hardness", "stability", "score", "rank"))
 
 
 @query("an11b_ensemble_rank_old")
 def _(spark, d):
-    return rounded(A.ensemble_scores(emb(spark, d).filter("vec_id % 7 = 0"), emb(spark, d), weights=(0.3, 0.4, 0.0, 0.3)))
+    return rounded(A.ensemble_scores(emb(spark, d), emb(spark, d), weights=(0.3, 0.4, 0.0, 0.3)))
 
 
 @query("an12_central_anchors", f"""WITH {SIMS}, q AS (SELECT label, quantile_cont(sim, 0.25) AS l, quantile_cont(sim, 0.75) AS h FROM s GROUP BY label), i AS (SELECT s.*, sim >= l - 1.5 * (h - l) AS ok FROM s JOIN q USING (label)), k AS (SELECT *, count(*) FILTER (ok) OVER (PARTITION BY label) AS k, row_number() OVER (PARTITION BY label ORDER BY ok DESC, round(sim, 9) DESC, vec_id) AS r FROM i)
@@ -274,5 +274,5 @@ def _(spark, d):
 
 @query("an14_ensemble_metrics")
 def _(spark, d):
-    ranked = A.ensemble_scores(emb(spark, d).filter("vec_id % 7 = 0"), emb(spark, d)).withColumn("strategy", c("vec_id") % 3)
+    ranked = A.ensemble_scores(emb(spark, d), emb(spark, d)).withColumn("strategy", c("vec_id") % 3)
     return rounded(A.ensemble_metrics(ranked, "strategy"))

@@ -89,10 +89,10 @@ def candidates(responses: DataFrame, keys: list[str], most: int = 5) -> DataFram
 
     from curatrix.functions import text as T
 
-    lines = responses.select(*keys, "temperature", F.posexplode(T.response_lines(F.col("response"), 1000)).alias("i", "line")).withColumn("text", T.strip_number(F.col("line")))
-    first = Window.partitionBy(*keys, "text").orderBy("temperature", "i")
+    lines = responses.select(*keys, "temperature", F.posexplode(T.response_lines(F.col("response"), 1000)).alias("__i", "line")).withColumn("text", T.strip_number(F.col("line")))
+    first = Window.partitionBy(*keys, "text").orderBy("temperature", "__i")
     once = lines.withColumn("r", F.row_number().over(first)).filter("r = 1")
-    return once.withColumn("pos", F.row_number().over(Window.partitionBy(*keys).orderBy("temperature", "i"))).filter(F.col("pos") <= most).select(*keys, "pos", "text")
+    return once.withColumn("pos", F.row_number().over(Window.partitionBy(*keys).orderBy("temperature", "__i"))).filter(F.col("pos") <= most).select(*keys, "pos", "text")
 
 
 def encode(df: DataFrame, text: str, make: Callable[[], Callable[[list[str]], list]], out: str = "embedding", normalize: bool = True) -> DataFrame:
