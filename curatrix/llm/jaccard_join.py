@@ -108,14 +108,24 @@ def _may_match(a: str, b: str, num: int, den: int) -> Column:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, component): the smallest node reachable over edges (a, b); nodes without edges are left out."""
+    """(node, component): the smallest node reachable over edges (a, b); nodes without edges are left out.
+
+    Edges point from the larger node u to the smaller v. Large star: each edge's v gives way to
+    v's smallest neighbour; small star: all smaller neighbours of u, and u, point to the
+    smallest of them. The smallest neighbours are stored first, so that a hub's edges meet a
+    table of one row a key: by broadcast if that is small, else in a join that can be split.
+    """
     edges = stored(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "edges")
+
+    def lowest(e: DataFrame) -> DataFrame:
+        low = stored(e.groupBy("u").agg(F.min("v").alias("m")), "edges-low")
+        return F.broadcast(low) if 16 * low.count() <= BROADCAST_BYTES else low
+
     while True:
         before = edges
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = edges.join(lowest(edges).withColumnRenamed("u", "v"), "v", "left").select("u", F.coalesce("m", "v").alias("v")).filter("u <> v").distinct()
+        large = stored(large, "edges")
+        low = lowest(large)
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.withColumnRenamed("m", "v")).filter("u <> v").distinct()
         edges = stored(small, "edges")
         if edges.exceptAll(before).isEmpty() and before.exceptAll(edges).isEmpty():
