@@ -36,8 +36,8 @@ COUNTER_BITS, CHUNK_BITS = 22, 16
 STARS = 2
 #: A lead with over 1/HOT_SHARE of a round's pairs, and HOT_ROWS at least, is hot.
 HOT_SHARE, HOT_ROWS = 1000, 64
-#: Identifiers of up to so many bytes are broadcast to pick out texts; more are joined by shuffle.
-BROADCAST_BYTES = 32 << 20
+#: Tables of identifiers of up to so many bytes, at so many a row, are broadcast; larger ones are joined by shuffle.
+BROADCAST_BYTES, ROW_BYTES = 32 << 20, 64
 
 
 def shingles(column: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -119,7 +119,7 @@ def components(edges: DataFrame) -> DataFrame:
 
     def lowest(e: DataFrame) -> DataFrame:
         low = stored(e.groupBy("u").agg(F.min("v").alias("m")), "edges-low")
-        return F.broadcast(low) if 16 * low.count() <= BROADCAST_BYTES else low
+        return F.broadcast(low) if ROW_BYTES * low.count() <= BROADCAST_BYTES else low
 
     while True:
         before = edges
@@ -221,7 +221,7 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text: str = "text"
     members = led.filter("c = 1").select("s", "k", F.col("g").alias("rep")).unionByName(led.filter("c > 1").join(of_group, "g").select("s", "k", "rep"))
     members = stored(members, "jaccard-members")
     wanted = stored(members.select("rep").distinct().join(reps.select("rep", "hash"), "rep").select(F.col("rep").alias("id"), "hash"), "jaccard-wanted")
-    picked = F.broadcast(wanted) if 16 * wanted.count() <= BROADCAST_BYTES else wanted
+    picked = F.broadcast(wanted) if ROW_BYTES * wanted.count() <= BROADCAST_BYTES else wanted
     # A repeated row comes twice here, which at worst finds a link twice.
     sets = bucketed(docs.join(picked, ["id", "hash"], "left_semi").select("id", "text").mapInArrow(texts_of, "rep long, n long, prefix array<long>, shingles array<long>"), "jaccard_texts", "rep")
     comps, links = None, None
@@ -256,7 +256,7 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """df with one document of each component, the one with the smallest identifier (of rows that share it, all whose own component it is); rows with a null identifier stay."""
     found = jaccard_components(df, id_col, **options).filter(f"`{id_col}` <> component_id").select(F.col(id_col).alias("__gone")).distinct()
     found = stored(found, "jaccard-gone")
-    gone = F.broadcast(found) if 16 * found.count() <= BROADCAST_BYTES else found
+    gone = F.broadcast(found) if ROW_BYTES * found.count() <= BROADCAST_BYTES else found
     return df.join(gone, df[id_col] == gone["__gone"], "left_anti")
 
 
