@@ -245,18 +245,22 @@ def _(spark, d):
     return A.random_anchors(emb(spark, d), "label", 3)
 
 
-@query("an11_ensemble_rank", f"""WITH {EMB}, an AS (SELECT * FROM e),
+ENSEMBLE = f"""WITH {EMB}, an AS (SELECT * FROM e),
 dv AS (SELECT a.vec_id, coalesce(avg(1 - {COS.format('a', 'b')}), 1.0) AS diversity FROM an a LEFT JOIN an b ON a.label = b.label AND a.vec_id <> b.vec_id GROUP BY a.vec_id),
 pu AS (SELECT vec_id, avg(CASE WHEN al = bl THEN 1.0 ELSE 0.0 END) AS purity FROM (SELECT a.vec_id, a.label AS al, b.label AS bl, row_number() OVER (PARTITION BY a.vec_id ORDER BY round({COS.format('a', 'b')}, 12) DESC, b.vec_id) AS r FROM an a, e b) WHERE r <= 15 GROUP BY vec_id),
 hd AS (SELECT a.vec_id, exp(-2.0 * min(1 - {COS.format('a', 'b')})) AS hardness FROM an a JOIN e b ON a.label <> b.label GROUP BY a.vec_id),
 st AS (SELECT a.vec_id, 1 / (1 + stddev_pop(1 - {COS.format('a', 'b')})) AS stability FROM an a JOIN e b ON a.label = b.label GROUP BY a.vec_id),
-x AS (SELECT an.label, vec_id, diversity, purity, hardness, stability, 0.3 * diversity + 0.3 * purity + 0.2 * hardness + 0.2 * stability AS score FROM an JOIN dv USING (vec_id) JOIN pu USING (vec_id) JOIN hd USING (vec_id) JOIN st USING (vec_id))
-SELECT label, vec_id, round(diversity, 6) AS diversity, round(purity, 6) AS purity, round(hardness, 6) AS hardness, round(stability, 6) AS stability, round(score, 6) AS score, CAST(row_number() OVER (PARTITION BY label ORDER BY round(score, 9) DESC, vec_id) AS INTEGER) AS rank FROM x""")
+y AS (SELECT an.label, vec_id, diversity, purity, hardness, stability FROM an JOIN dv USING (vec_id) JOIN pu USING (vec_id) JOIN hd USING (vec_id) JOIN st USING (vec_id))"""
+RANKED = """, x AS (SELECT *, {} * diversity + {} * purity + {} * hardness + {} * stability AS score FROM y)
+SELECT label, vec_id, round(diversity, 6) AS diversity, round(purity, 6) AS purity, round(hardness, 6) AS hardness, round(stability, 6) AS stability, round(score, 6) AS score, CAST(row_number() OVER (PARTITION BY label ORDER BY round(score, 9) DESC, vec_id) AS INTEGER) AS rank FROM x"""
+
+
+@query("an11_ensemble_rank", ENSEMBLE + RANKED.format(0.3, 0.3, 0.2, 0.2))
 def _(spark, d):
     return rounded(A.ensemble_scores(emb(spark, d), emb(spark, d)).select("label", "vec_id", "diversity", "purity", "hardness", "stability", "score", "rank"))
 
 
-@query("an11b_ensemble_rank_old")
+@query("an11b_ensemble_rank_old", ENSEMBLE + RANKED.format(0.3, 0.4, 0.0, 0.3))
 def _(spark, d):
     return rounded(A.ensemble_scores(emb(spark, d), emb(spark, d), weights=(0.3, 0.4, 0.0, 0.3)))
 
@@ -272,7 +276,7 @@ def _(spark, d):
     return A.recommended(emb(spark, d).withColumn("text", c("vec_id").cast("string")), "label", "vec_id", "text", ask=lambda prompt: "Number 2, I think")
 
 
-@query("an14_ensemble_metrics")
+@query("an14_ensemble_metrics", ENSEMBLE + "SELECT count(*) AS anchors, count(DISTINCT vec_id % 3) AS strategies, round(avg(purity), 6) AS mean_purity, round(min(purity), 6) AS least_purity, round(max(purity), 6) AS most_purity, round(avg(diversity), 6) AS diversity FROM y")
 def _(spark, d):
     ranked = A.ensemble_scores(emb(spark, d), emb(spark, d)).withColumn("strategy", c("vec_id") % 3)
     return rounded(A.ensemble_metrics(ranked, "strategy"))
