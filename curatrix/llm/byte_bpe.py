@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import small_batches, table
 from .wordhash import pieces
 
-#: Distinct pre-tokens that a worker remembers; more are encoded again.
+#: Distinct pre-tokens that a worker remembers as the newer half; the half before it is kept too, older ones are encoded again.
 CACHE = 200_000
 
 
@@ -83,7 +83,7 @@ class Codec:
         self.split = regex.compile(pattern).findall
         self.mapped = {b: c for b, c in enumerate(byte_characters())}
         self.tokens = {r: t for t, r in self.ranks.items()}
-        self.cache_size, self.cache = cache, {}
+        self.cache_size, self.cache, self.older = cache, {}, {}
 
     def _learn(self, words: set[str]) -> None:
         rest = []
@@ -106,9 +106,10 @@ class Codec:
         except KeyError:
             new = {w for w in words if w not in self.cache}
             if len(self.cache) + len(new) > self.cache_size:
-                self.cache.clear()
+                self.older, self.cache = self.cache, {}
                 new = set(words)
-            self._learn(new)
+            self.cache |= {w: self.older[w] for w in new if w in self.older}
+            self._learn({w for w in new if w not in self.older})
             return b"".join(map(self.cache.__getitem__, words))
 
     def decode(self, ids: bytes) -> bytes:
