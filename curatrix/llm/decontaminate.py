@@ -1,12 +1,14 @@
 """Benchmark decontamination by template canonicalisation.
 
-Texts become token sequences: A-Z, À-Þ lower-cased, punctuation dropped. Two canonical forms
-are made: numbers and the units that follow them as placeholders, and besides that names
-(capitalised words inside a sentence). Windows of WINDOW tokens of the benchmark's items are
+Texts become token sequences: A-Z, À-Þ lower-cased, punctuation dropped. Three canonical forms
+are made: numbers and the units that follow them as placeholders; besides that names, once
+capitalised words inside a sentence, once all capitalised words that aren't function words, as
+names open sentences and lines too. Windows of WINDOW tokens of the benchmark's items are
 hash-joined with those of the documents. Where they meet, slots must be consistent: every
 value of an item's slot stands for one value in the document; windows against the majority
-value don't count. A document holds an item if SHARE of the item's windows count, or RUN
-tokens in a row do.
+value don't count, unless they have the item's own values. A document holds an item if SHARE
+of the item's windows count, or RUN tokens in a row do; first without the third form, then
+with it.
 
 The item side is joined as a broadcast sorted hash index. Its size is checked: items are cut
 into blocks of at most INDEX_BYTES of text and each block is run against all documents, so no
@@ -32,6 +34,9 @@ LITERALS = 3
 INDEX_BYTES, PIECE_BYTES = 16 << 20, 1 << 20
 UNITS = "mm cm m km inch inches foot feet yard yards mile miles mg g kg gram grams pound pounds ounce ounces ton tons ml l liter liters litre litres second seconds minute minutes hour hours day days week weeks month months year years dollar dollars cent cents euro euros percent degree degrees meter meters metre metres kilometer kilometers".split()
 
+#: Words that aren't names where they open a sentence. Those that are names too (will, may) are not among them.
+FUNCTION_WORDS = "a about above after again against all although an and another any are as at be because been before being below between both but by can could did do does during each either every few find for from given had has have he her hers him his how i if in into is it its let many more most much must my neither no nor not now of off on once only or other our out over she should since so some such than that the their them then there these they this those through to under until up upon us was we were what when where whether which while who whom whose why with within without would you your".split()
+
 _CLASS = np.zeros(256, np.uint8)  # 1 kept, 2 digit (kept), 3 upper-case (kept), 4 ends a sentence
 _CLASS[128:] = 1
 _CLASS[97:123] = 1
@@ -43,7 +48,7 @@ _NUM, _UNIT, _NAME = (np.uint64(0xA0761D6478BD642F + i) for i in range(3))
 
 
 class Templates:
-    """Tokens of some texts in both canonical forms."""
+    """Tokens of some texts in the canonical forms."""
 
     def __init__(self, column: pa.Array):
         count = lambda mask: np.concatenate([np.zeros(1, np.int32), np.cumsum(mask, dtype=np.int32)])
@@ -72,16 +77,23 @@ class Templates:
         unit[1:] = number[:-1] & np.isin(h[1:], UNIT_HASHES) & (words.doc[1:] == words.doc[:-1])
         self.slot = np.where(number, 1, np.where(unit, 2, 0)).astype(np.int8)
         self.name = upper & ~opens & (self.slot == 0)
+        wide = upper & (self.slot == 0) & ~np.isin(h, FUNCTION_HASHES)
         plain = np.where(number, _NUM, np.where(unit, _UNIT, h))
-        named = np.where(self.name, _NAME, plain)
         n = len(words) - WINDOW + 1
         whole = words.doc[:n] == words.doc[WINDOW - 1 :] if n > 0 else np.zeros(0, bool)
         self.at = np.flatnonzero(whole)
-        first, second = ngrams(plain, WINDOW), ngrams(named, WINDOW)
-        literal = count((self.slot == 0) & ~self.name)
+        first = ngrams(plain, WINDOW)
         self.plain = first[self.at]
-        some = (second != first)[self.at] & (literal[self.at + WINDOW] - literal[self.at] >= LITERALS)
-        self.named_at, self.named = self.at[some], second[self.at[some]] ^ np.uint64(0x5851F42D4C957F2D)
+
+        def form(name: np.ndarray, salt: int) -> tuple[np.ndarray, np.ndarray]:
+            """Places and hashes of the windows that hold a name."""
+            other, literal = ngrams(np.where(name, _NAME, plain), WINDOW), count((self.slot == 0) & ~name)
+            some = (other != first)[self.at] & (literal[self.at + WINDOW] - literal[self.at] >= LITERALS)
+            return self.at[some], other[self.at[some]] ^ np.uint64(salt)
+
+        self.named_at, self.named = form(self.name, 0x5851F42D4C957F2D)
+        self.wide_at, self.wide = form(wide, 0x14057B7EF767814F)
+        self.name = self.name | wide
         self.begin = np.searchsorted(words.doc, np.arange(len(offsets)), side="left")
 
     def value(self, i: int) -> bytes:
@@ -93,7 +105,7 @@ def _hashes_of(names: list[str]) -> np.ndarray:
     return Words(data, offsets).hashes()
 
 
-UNIT_HASHES = _hashes_of(UNITS)
+UNIT_HASHES, FUNCTION_HASHES = _hashes_of(UNITS), _hashes_of(FUNCTION_WORDS)
 
 
 class Index:
@@ -102,8 +114,8 @@ class Index:
     def __init__(self, items: list[tuple[int, str]]):
         self.ids = [i for i, _ in items]
         t = Templates(pa.array([x for _, x in items], pa.string()))
-        hashes = np.concatenate([t.plain, t.named])
-        at = np.concatenate([t.at, t.named_at])
+        hashes = np.concatenate([t.plain, t.named, t.wide])
+        at = np.concatenate([t.at, t.named_at, t.wide_at])
         order = np.argsort(hashes, kind="stable")
         self.hashes, self.at = hashes[order], at[order]
         self.item = t.words.doc[self.at]
@@ -113,25 +125,40 @@ class Index:
 
     def find(self, t: Templates) -> Iterator[tuple[int, int, int, int, float]]:
         """(document, item number, first and end token in the document, share of the item's windows)."""
-        found: dict[tuple[int, int], set[tuple[int, int]]] = defaultdict(set)
-        for at, h in ((t.at, t.plain), (t.named_at, t.named)):
+        strict, every = ({}, {})
+        for into, at, h in ((strict, t.at, t.plain), (strict, t.named_at, t.named), (every, t.wide_at, t.wide)):
             lo, hi = np.searchsorted(self.hashes, h, "left"), np.searchsorted(self.hashes, h, "right")
             for k in np.flatnonzero(hi > lo):
                 for j in range(lo[k], hi[k]):
-                    found[int(t.words.doc[at[k]]), int(self.item[j])].add((int(at[k]), int(self.at[j])))
-        for (doc, item), pairs in found.items():
-            votes: dict[tuple[int, bytes], Counter] = defaultdict(Counter)
-            seen = {(d + o, i + o) for d, i in pairs for o in range(WINDOW) if i + o in self.slots}
-            for d, i in seen:
-                votes[self.slots[i]][t.value(d)] += 1
-            # The item's own value wins ties, then the smallest.
-            means = {k: min(v, key=lambda x: (-v[x], x != k[1], x)) for k, v in votes.items()}
-            clash = {(d, i) for d, i in seen if t.value(d) != means[self.slots[i]]}
-            good = {(d, i) for d, i in pairs if not clash or not any((d + o, i + o) in clash for o in range(WINDOW))}
-            share = len({i for _, i in good}) / self.windows[item]
-            if share >= SHARE or _longest(good) >= RUN - WINDOW + 1:
-                start = int(t.begin[doc])
-                yield doc, item, min(d for d, _ in good) - start, max(d for d, _ in good) + WINDOW - start, share
+                    into.setdefault((int(t.words.doc[at[k]]), int(self.item[j])), set()).add((int(at[k]), int(self.at[j])))
+        for (doc, item), wide in every.items():
+            wide |= strict.get((doc, item), set())
+        for doc, item in dict.fromkeys([*strict, *every]):
+            for pairs in (strict.get((doc, item)), every.get((doc, item))):
+                if pairs and (row := self._held(t, item, pairs)):
+                    start = int(t.begin[doc])
+                    yield doc, item, row[0] - start, row[1] - start, row[2]
+                    break
+
+    def _held(self, t: Templates, item: int, pairs: set[tuple[int, int]]) -> tuple[int, int, float] | None:
+        """First and end token and share, if these pairs of windows suffice."""
+        most = len({i for _, i in pairs}) / self.windows[item]
+        if most < SHARE and len(pairs) < RUN - WINDOW + 1:
+            return None
+        votes: dict[tuple[int, bytes], Counter] = defaultdict(Counter)
+        seen = {(d + o, i + o) for d, i in pairs for o in range(WINDOW) if i + o in self.slots}
+        for d, i in seen:
+            votes[self.slots[i]][t.value(d)] += 1
+        # The item's own value wins ties, then the smallest.
+        means = {k: min(v, key=lambda x: (-v[x], x != k[1], x)) for k, v in votes.items()}
+        clash = {(d, i) for d, i in seen if t.value(d) != means[self.slots[i]]}
+        new = {(d, i) for d, i in seen if t.value(d) != self.slots[i][1]} if clash else clash
+        touches = lambda d, i, x: any((d + o, i + o) in x for o in range(WINDOW))
+        good = {(d, i) for d, i in pairs if not clash or not touches(d, i, clash) or not touches(d, i, new)}
+        share = len({i for _, i in good}) / self.windows[item]
+        if share >= SHARE or _longest(good) >= RUN - WINDOW + 1:
+            return min(d for d, _ in good), max(d for d, _ in good) + WINDOW, share
+        return None
 
 
 def _longest(pairs: set[tuple[int, int]]) -> int:

@@ -51,3 +51,13 @@ def test_numbers_alone_need_their_own_values(spark):
     df = spark.createDataFrame([(1, "9 8 7 6 5 4 3 2"), (2, "1 1 1 1 1 1 1 1")], "doc_id long, text string")
     items = spark.createDataFrame([(3, "1 2 1 4 1 6 1 8")], "item_id long, text string")
     assert leaks(df, items).filter("doc_id = 1").count() == 0
+
+
+def test_names_that_open_sentences(spark):
+    item = "Tom has 5 apples. Tom gives 2 apples to Anna. How many apples does Tom have now?"
+    docs = [
+        (1, "Bill has 9 apples. Bill gives 4 apples to Mary. How many apples does Bill have now?"), (2, "So Mr. Bill has 9 apples.\nBill gives 4 apples to\nMary. How many apples does Bill have now?"),
+        (3, "Bill has 9 apples. Carl gives 4 apples to Mary. How many apples does Dora have now?"), (4, "Rain fell. " + item + " Bill has 9 apples. " * 20), (5, "How many apples does the shop have now?"),
+    ]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert {r.doc_id for r in leaks(df, spark.createDataFrame([(0, item)], "item_id long, text string")).collect()} == {1, 2, 4}
