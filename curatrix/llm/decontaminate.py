@@ -8,7 +8,9 @@ hash-joined with those of the documents. Where they meet, slots must be consiste
 value of an item's slot stands for one value in the document; windows against the majority
 value don't count, unless they have the item's own values. A document holds an item if SHARE
 of the item's windows count, or RUN tokens in a row do; first without the third form, then
-with it.
+with it. Numbers are tokens with a digit and number words. A window with names needs no number
+of literals: one without any is not looked up by itself but counts where it continues a hit,
+and an item whose counted tokens are other names for the most part (RENAMED) is not held.
 
 The item side is joined as a broadcast sorted hash index. Its size is checked: items are cut
 into blocks of at most INDEX_BYTES of text and each block is run against all documents, so no
@@ -29,11 +31,15 @@ from .common import small_batches, table
 from .wordhash import TO_LOWER, Words, buffers, ngrams, pieces
 
 WINDOW, SHARE, RUN = 5, 0.8, 13
-#: Windows of the form with names need so many tokens that aren't placeholders.
-LITERALS = 3
+#: An item with more than this share of its counted tokens renamed is not held: such are lists of names.
+RENAMED = 0.6
 INDEX_BYTES, PIECE_BYTES = 16 << 20, 1 << 20
 UNITS = "mm cm m km inch inches foot feet yard yards mile miles mg g kg gram grams pound pounds ounce ounces ton tons ml l liter liters litre litres second seconds minute minutes hour hours day days week weeks month months year years dollar dollars cent cents euro euros percent degree degrees meter meters metre metres kilometer kilometers".split()
 
+_ONES = "one two three four five six seven eight nine".split()
+_TENS = "twenty thirty forty fifty sixty seventy eighty ninety".split()
+#: A hyphen is dropped, so twenty-five is twentyfive.
+NUMBER_WORDS = [*_ONES, *_TENS, *(t + o for t in _TENS for o in _ONES), *"zero ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen hundred thousand million billion dozen".split()]
 #: Words that aren't names where they open a sentence. Those that are names too (will, may) are not among them.
 FUNCTION_WORDS = "a about above after again against all although an and another any are as at be because been before being below between both but by can could did do does during each either every few find for from given had has have he her hers him his how i if in into is it its let many more most much must my neither no nor not now of off on once only or other our out over she should since so some such than that the their them then there these they this those through to under until up upon us was we were what when where whether which while who whom whose why with within without would you your".split()
 
@@ -67,32 +73,37 @@ class Templates:
         self.words = words = Words(low[at], before[offsets])
         left, right = (at[words.starts], at[words.ends - 1] + 1) if len(words) else (words.starts, words.ends)
         digits, stops = count(kind == 2), count(kind >= 4)
-        number = digits[right] > digits[left]
+        h = words.hashes()
+        spelled = _among(h, NUMBER_HASHES)
+        number = (digits[right] > digits[left]) | spelled
         upper = (kind[left] == 3) | ((data[left] == 0xC3) & two[np.minimum(left + 1, max(len(data) - 1, 0))]) if len(words) else number
         opens = np.ones(len(words), bool)
         if len(words) > 1:
             opens[1:] = (stops[left[1:]] > stops[right[:-1]]) | (words.doc[1:] != words.doc[:-1])
-        h = words.hashes()
         unit = np.zeros(len(words), bool)
-        unit[1:] = number[:-1] & np.isin(h[1:], UNIT_HASHES) & (words.doc[1:] == words.doc[:-1])
+        unit[1:] = number[:-1] & _among(h[1:], UNIT_HASHES) & (words.doc[1:] == words.doc[:-1])
         self.slot = np.where(number, 1, np.where(unit, 2, 0)).astype(np.int8)
+        spelled[1:] |= spelled[:-1] & unit[1:]
+        self.slot[spelled] = 4  # may be plain words too, as in "one of them"
         self.name = upper & ~opens & (self.slot == 0)
-        wide = upper & (self.slot == 0) & ~np.isin(h, FUNCTION_HASHES)
+        wide = upper & (self.slot == 0) & ~_among(h, FUNCTION_HASHES)
         plain = np.where(number, _NUM, np.where(unit, _UNIT, h))
         n = len(words) - WINDOW + 1
         whole = words.doc[:n] == words.doc[WINDOW - 1 :] if n > 0 else np.zeros(0, bool)
         self.at = np.flatnonzero(whole)
         first = ngrams(plain, WINDOW)
-        self.plain = first[self.at]
+        self.plain, self.whole = first[self.at], whole
 
-        def form(name: np.ndarray, salt: int) -> tuple[np.ndarray, np.ndarray]:
-            """Places and hashes of the windows that hold a name."""
+        def form(name: np.ndarray, salt: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+            """Places and hashes of the windows that hold a name and a literal; all windows' hashes; which hold no literal."""
             other, literal = ngrams(np.where(name, _NAME, plain), WINDOW), count((self.slot == 0) & ~name)
-            some = (other != first)[self.at] & (literal[self.at + WINDOW] - literal[self.at] >= LITERALS)
-            return self.at[some], other[self.at[some]] ^ np.uint64(salt)
+            bare = whole & (literal[WINDOW : WINDOW + len(whole)] == literal[: len(whole)])
+            some = self.at[(other != first)[self.at] & ~bare[self.at]]
+            return some, other[some] ^ np.uint64(salt), other, bare
 
-        self.named_at, self.named = form(self.name, 0x5851F42D4C957F2D)
-        self.wide_at, self.wide = form(wide, 0x14057B7EF767814F)
+        self.named_at, self.named, *strict = form(self.name, 0x5851F42D4C957F2D)
+        self.wide_at, self.wide, *every = form(wide, 0x14057B7EF767814F)
+        self.forms = (strict, every)
         self.name = self.name | wide
         self.begin = np.searchsorted(words.doc, np.arange(len(offsets)), side="left")
 
@@ -102,10 +113,15 @@ class Templates:
 
 def _hashes_of(names: list[str]) -> np.ndarray:
     data, offsets = buffers(pa.array(names))
-    return Words(data, offsets).hashes()
+    return np.sort(Words(data, offsets).hashes())
+
+
+def _among(h: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Which of h are in the sorted table."""
+    return table[np.minimum(np.searchsorted(table, h), len(table) - 1)] == h
 
 
-UNIT_HASHES, FUNCTION_HASHES = _hashes_of(UNITS), _hashes_of(FUNCTION_WORDS)
+UNIT_HASHES, NUMBER_HASHES, FUNCTION_HASHES = (_hashes_of(x) for x in (UNITS, NUMBER_WORDS, FUNCTION_WORDS))
 
 
 class Index:
@@ -121,6 +137,8 @@ class Index:
         self.item = t.words.doc[self.at]
         self.windows = np.maximum(np.diff(t.begin) - WINDOW + 1, 0)
         self.begin = t.begin
+        # Windows without a literal, by form: place and hash.
+        self.bare = [{int(i): int(h[i]) for i in np.flatnonzero(bare)} for h, bare in t.forms]
         self.slots = {int(i): (int(t.slot[i]) or 3, t.value(int(i))) for i in np.flatnonzero((t.slot > 0) | t.name)}
 
     def find(self, t: Templates) -> Iterator[tuple[int, int, int, int, float]]:
@@ -131,11 +149,14 @@ class Index:
             for k in np.flatnonzero(hi > lo):
                 for j in range(lo[k], hi[k]):
                     into.setdefault((int(t.words.doc[at[k]]), int(self.item[j])), set()).add((int(at[k]), int(self.at[j])))
-        for (doc, item), wide in every.items():
-            wide |= strict.get((doc, item), set())
         for doc, item in dict.fromkeys([*strict, *every]):
-            for pairs in (strict.get((doc, item)), every.get((doc, item))):
-                if pairs and (row := self._held(t, item, pairs)):
+            pairs: set[tuple[int, int]] = set()
+            for more, bare, (hashes, _) in zip((strict, every), self.bare, t.forms, strict=True):
+                before = len(pairs)
+                pairs |= more.get((doc, item), set())
+                if bare:
+                    _extend(pairs, bare, hashes, t.whole, self.begin[item], self.begin[item + 1])
+                if len(pairs) > before and (row := self._held(t, item, pairs)):
                     start = int(t.begin[doc])
                     yield doc, item, row[0] - start, row[1] - start, row[2]
                     break
@@ -151,16 +172,29 @@ class Index:
             votes[self.slots[i]][t.value(d)] += 1
         # The item's own value wins ties, then the smallest.
         means = {k: min(v, key=lambda x: (-v[x], x != k[1], x)) for k, v in votes.items()}
-        clash = {(d, i) for d, i in seen if t.value(d) != means[self.slots[i]]}
+        clash = {(d, i) for d, i in seen if t.value(d) != means[self.slots[i]] and (self.slots[i][0] != 4 or t.value(d) != self.slots[i][1])}
         new = {(d, i) for d, i in seen if t.value(d) != self.slots[i][1]} if clash else clash
         touches = lambda d, i, x: any((d + o, i + o) in x for o in range(WINDOW))
         good = {(d, i) for d, i in pairs if not clash or not touches(d, i, clash) or not touches(d, i, new)}
+        held = {(d + o, i + o) for d, i in good for o in range(WINDOW)}
+        if sum(self.slots[i][0] == 3 and t.value(d) != self.slots[i][1] for d, i in held if i in self.slots) > RENAMED * len(held):
+            return None
         share = len({i for _, i in good}) / self.windows[item]
         if share >= SHARE or _longest(good) >= RUN - WINDOW + 1:
             return min(d for d, _ in good), max(d for d, _ in good) + WINDOW, share
         return None
 
 
+def _extend(pairs: set[tuple[int, int]], bare: dict[int, int], hashes: np.ndarray, whole: np.ndarray, first: int, end: int) -> None:
+    """Add the windows without a literal that continue the pairs of one item (tokens first to end)."""
+    for d, i in list(pairs):
+        for step in (-1, 1):
+            x, y = d + step, i + step
+            while first <= y < end and 0 <= x < len(whole) and whole[x] and (x, y) not in pairs and bare.get(y) == int(hashes[x]):
+                pairs.add((x, y))
+                x, y = x + step, y + step
+
+
 def _longest(pairs: set[tuple[int, int]]) -> int:
     best = 0
     for d, i in pairs:

@@ -61,3 +61,13 @@ def test_names_that_open_sentences(spark):
     ]
     df = spark.createDataFrame(docs, "doc_id long, text string")
     assert {r.doc_id for r in leaks(df, spark.createDataFrame([(0, item)], "item_id long, text string")).collect()} == {1, 2, 4}
+
+
+def test_names_number_words_and_lists(spark):
+    items = [(0, "Bob gave Anna 3 of Carl Dean Finn Gus Hal and Ivo. Now Ivo has Bob and Anna."), (1, "There were three red hens and seven blue ducks on the old farm for two hours."), (2, "Names: Adam Bert Carl Dean Emil Finn Gus Hal Ivo Jon Karl Lars Max Nils Otto Paul")]
+    docs = [
+        (1, "Tim gave Sue 8 of Otto Paul Rob Sam Ted and Urs. Now Urs has Tim and Sue."), (2, "There were nine red hens and twenty-five blue ducks on the old farm for six minutes."),
+        (3, "Names: Zeno Yann Xaver Wim Vito Urs Tom Sam Rob Quinn Pete Olaf Nick Mark Leo Kurt"), (4, items[2][1]), (5, "There were red hens and blue ducks on the old farm for hours."),
+    ]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in leaks(df, spark.createDataFrame(items, "item_id long, text string")).collect()} == {(1, 0), (2, 1), (4, 2)}
