@@ -5,9 +5,10 @@ its text blocks (by path and text). Over the pages of a host, tokens with equal
 vectors form an equivalence class. A class is valid if enough different pages hold it, if it
 holds an element that is told apart by class or id, and, on each page, if its tokens come in
 the class's order. Valid classes nest into the host's template; what lies in their slots is
-data. Of a page's slots the article is kept: the largest article element or the main element,
-or else the container with most running text; menus, headers, footers, sidebars, notices,
-adverts, forms, comments and blocks of the template go.
+data. Of a page's slots the article is kept: the largest article element with those beside it,
+or the main element, or else all text but lists of links around it; menus, headers, footers,
+sidebars, notices, adverts, forms, comments and blocks of the template go. Inside the article
+most class names only count where more than half of the text is links.
 
 Occurrence vectors are never gathered: a vector is told by two sums over pages of hashes of
 (page, count), which partial aggregation adds up, so a host with a third of all pages is no
@@ -44,6 +45,7 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 SCOPE = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("table", "tr"), "th": ("table", "tr"), "option": ("select",)}
 ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
+GROUPS = frozenset("ul ol dl table nav".split())
 CONTAINERS = frozenset("body div section main article td center".split())
 
 OUT_TAGS = frozenset("nav aside footer form button select dialog menu head fieldset".split())
@@ -53,19 +55,23 @@ OUT_STARTS = ("adsby", "adslot", "adunit", "adbox", "advert", "announce", "discl
 #: Names of page headers; an article's own header (post-header, entry-header) stays.
 HEADER_STARTS = ("header", "siteheader", "pageheader", "mainheader", "topheader", "globalheader", "navheader")
 AD_NAMES = frozenset("ad ads adv adsense advert advertisement adsbygoogle sponsored".split())
+#: Names that suffice inside an article: as one of a name's words, and as the whole name.
+SURE_WORDS = AD_NAMES | frozenset("comments commentlist disqus respond newsletter sidebar paywall".split())
+SURE_NAMES = frozenset("comment cookienotice cookiebanner cookiebar cookieconsent".split())
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|([^<]+|<)""", re.S)
 _ATTR = re.compile(r"""([^\s=/"'<>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
+_COMMENTS = re.compile(r"[.#](?:comment|disqus|respond|replies)", re.I)
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 
 class Element:
-    """named: left out by its own tag, role or names; out: left out for itself or what it lies in."""
+    """named: left out by its own tag, role or names; doubted: if most of it is links; out: left out for itself or what it lies in."""
 
-    __slots__ = ("tag", "names", "parent", "path", "named", "out", "size", "linked", "holds_article", "holds_title")
+    __slots__ = ("tag", "names", "parent", "path", "named", "doubted", "out", "size", "linked", "holds_article", "holds_title")
 
-    def __init__(self, tag: str, names: str, parent: Element | None, named: bool):
-        self.tag, self.names, self.parent, self.named = tag, names, parent, named
+    def __init__(self, tag: str, names: str, parent: Element | None, named: bool, doubted: bool = False):
+        self.tag, self.names, self.parent, self.named, self.doubted = tag, names, parent, named, doubted
         self.path = (parent.path if parent else "") + ">" + tag + names
         self.size = self.linked = 0
         self.out = self.holds_article = self.holds_title = False
@@ -98,10 +104,19 @@ def _is_out(tag: str, attrs: dict[str, str], in_article: bool) -> bool:
         return not AD_NAMES.isdisjoint(attrs.get("class", "").lower().split())
     if tag == "header" and not in_article:
         return True
+    return not in_article and _by_name(attrs, False) or in_article and _by_name(attrs, True, sure=True)
+
+
+def _by_name(attrs: dict[str, str], in_article: bool, sure: bool = False) -> bool:
+    """Whether a class or the id is that of something left out; sure: beyond doubt."""
     for value in (attrs.get("class", ""), attrs.get("id", "")):
         for name in value.split():
             words = [w.lower() for w in _NAME.findall(name)]
             joined = "".join(words)
+            if sure:
+                if joined in SURE_NAMES or not SURE_WORDS.isdisjoint(words):
+                    return True
+                continue
             if any(w in OUT_NAMES or w.startswith(OUT_STARTS) for w in words) or joined in OUT_NAMES or joined.startswith(OUT_STARTS) or not in_article and joined.startswith(HEADER_STARTS):
                 return True
     return False
@@ -177,7 +192,7 @@ def parse(source: str) -> tuple[list[Element], list[Block]]:
         names = "".join("." + x for x in sorted(attrs.get("class", "").split())) + ("#" + attrs["id"] if attrs.get("id") else "")
         parent = stack[-1]
         in_article = any(e.tag in ("article", "main") for e in stack)
-        e = Element(tag, names, parent, tag not in ("html", "body") and _is_out(tag, attrs, in_article))
+        e = Element(tag, names, parent, tag not in ("html", "body") and _is_out(tag, attrs, in_article), in_article and tag not in INLINE and _by_name(attrs, True))
         if tag in ("article", "main") and not e.named:
             for x in parent.up():
                 x.holds_article = True
@@ -193,16 +208,19 @@ def parse(source: str) -> tuple[list[Element], list[Block]]:
 
 
 def _measure(elements: list[Element], blocks: list[Block]) -> None:
-    """Sizes of elements, and which are out: one that is out only by its names stays if it holds the article, or the title and half of the text."""
+    """Sizes of elements, and which are out: one that is out only by its names stays if it holds the article, or the title and half of the text. Comments don't stay for articles of their own."""
     for b in blocks:
         for e in b.element.up():
             e.size += len(b.text)
+            e.linked += b.linked
     total = sum(len(b.text) for b in blocks)
+    comments = {id(e) for e in elements if e.named and _COMMENTS.search(e.names)}
+    other = any(e.tag in ("article", "main") and not any(id(x) in comments for x in e.up()) for e in elements)
     for e in elements:  # parents come first
-        stays = e.tag not in OUT_TAGS and (e.holds_article or e.holds_title and 2 * e.size >= total)
-        e.out = e.parent.out or e.named and not stays
+        stays = e.tag not in OUT_TAGS and (e.holds_article and not (other and id(e) in comments) or e.holds_title and 2 * e.size >= total)
+        e.out = e.parent.out or (e.named or e.doubted and 2 * e.linked > e.size) and not stays
     for e in elements:
-        e.size = 0
+        e.size = e.linked = 0
     for b in blocks:
         for e in b.element.up() if not b.element.out else ():
             e.size += len(b.text)
@@ -215,6 +233,21 @@ def tokens(elements: list[Element], blocks: list[Block]) -> list[tuple[int, bool
     return [(h("e", e.path), False, bool(e.names) or e.tag in OUT_TAGS) for e in elements] + [(h("t", b.element.path, b.text), True, False) for b in blocks]
 
 
+def _without_link_lists(blocks: list[Block], good: list[int]) -> list[int]:
+    """good without the short link blocks of groups that are mostly links and come before all running text, or after it and not beside a part of it."""
+    links = {i for i in good if blocks[i].linked > 0.5 * len(blocks[i].text) and len(blocks[i].text) < 200 and blocks[i].element.tag != "h1"}
+    running = [i for i in good if i not in links]
+    if not running:
+        return running
+    holds = {id(e) for i in running for e in (blocks[i].element, blocks[i].element.parent)}
+
+    def goes(i: int) -> bool:
+        group = next((e for e in blocks[i].element.up() if e.tag in GROUPS or e.tag in CONTAINERS), blocks[i].element)
+        return 2 * group.linked > group.size and (i < running[0] or i > running[-1] and id(group.parent) not in holds)
+
+    return [i for i in good if i not in links or not goes(i)]
+
+
 def article(elements: list[Element], blocks: list[Block], template: frozenset[int] | set[int] = frozenset()) -> str:
     """The main text; template: positions of blocks that are the host's."""
     _measure(elements, blocks)
@@ -224,17 +257,10 @@ def article(elements: list[Element], blocks: list[Block], template: frozenset[in
     tops = [e for e in tops if not any(within(e.parent, o) for o in tops)] or [e for e in elements if (e.tag == "main") and not e.out and e.size]
     if tops:
         top = max(tops, key=lambda e: e.size)
-        kept = [i for i in good if within(blocks[i].element, top)]
+        beside = [e for e in tops if e.parent is top.parent]
+        kept = [i for i in good if any(within(blocks[i].element, e) for e in beside)]
     else:
-        kept = [i for i in good if not (blocks[i].linked > 0.5 * len(blocks[i].text) and len(blocks[i].text) < 200)]
-        total = sum(len(blocks[i].text) for i in kept)
-        top = None
-        titled = any(e.tag == "h1" and not e.out and e.size for e in elements)
-        for e in elements:
-            if e.tag in CONTAINERS and not e.out and e.size - e.linked >= 0.6 * total and (e.holds_title or not titled):
-                top = e  # the innermost of those in page order
-        if top is not None:
-            kept = [i for i in kept if within(blocks[i].element, top)]
+        kept = _without_link_lists(blocks, good)
     size = sum(len(blocks[i].text) for i in kept)
     if sum(len(blocks[i].text) for i in kept if i in template) <= TEMPLATE_SHARE * size:
         kept = [i for i in kept if i not in template]

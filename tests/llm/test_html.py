@@ -53,3 +53,17 @@ def test_query(spark):
         inner = re.search(r"<article>(.*?)</article>", rows[r.page_id].html, re.S)[1]
         want = " ".join(html.unescape(re.sub(r"<[^>]*>", "", re.sub(r"</?(p|br|h1)\b[^>]*>", " ", inner))).split())
         assert r.text == want, (r.page_id, r.text[:200], want[:200])
+
+
+def test_no_part_of_the_article_is_lost():
+    text = lambda n: " ".join(["Long text."] * n)
+    links = "".join(f"<li><a href='/{i}'>Item {i}</a></li>" for i in range(5))
+    # Sections side by side, a paragraph and a list of links inside the text; the menu and the last list go.
+    page = f"<body><div><ul>{links}</ul></div><div><h2>Title</h2><p>{text(35)}</p></div><div><p><a href='x'>See this</a></p><p>{text(65)}</p><ul><li><a href='s'>Source</a></li></ul></div><div><ul>{links}</ul></div></body>"
+    assert article(*parse(page)) == f"Title {text(35)} See this {text(65)} Source"
+    # Articles side by side; one in comments goes.
+    page = f"<body><main><article><p>{text(5)}</p></article><article><p>{text(3)} end</p></article></main><div class='comments'><article><p>{text(9)}</p></article></div></body>"
+    assert article(*parse(page)) == f"{text(5)} {text(3)} end"
+    # Class names that only begin like those of adverts or menus; such with links only go.
+    page = f"<article><div class='promotion-rules'><p>{text(3)}</p></div><div class='alert'>Mind the step.</div><div id='related-work'><p>{text(2)} end</p></div><div class='related-links'><a href='y'>More</a></div><div class='ad-slot'>Buy</div><section class='comments'><p>I disagree</p></section></article>"
+    assert article(*parse(page)) == f"{text(3)} Mind the step. {text(2)} end"
