@@ -109,26 +109,40 @@ def mixup(df: DataFrame, n: int, alpha: float = 0.2, label: str = "label", id_co
     return both.select(label, "a", "b", "va", "vb").mapInPandas(run, f"`{label}` {df.schema[label].dataType.simpleString()}, a long, b long, by double, synthetic array<double>")
 
 
-def contrastive(df: DataFrame, label: str = "label", id_col: str = "vec_id", vector: str = "embedding", steps: int = 200, rate: float = 0.01, gap: float = 0.5, seed: int = 42, sample: int = 5000) -> DataFrame:
-    """(id, refined): vectors drawn to a row of their class and pushed from one of another, step by step. Sequential, so one task refines at most `sample` rows, the first in hash order; the others stay as they are."""
+def contrastive(df: DataFrame, label: str = "label", id_col: str = "vec_id", vector: str = "embedding", steps: int = 200, rate: float = 0.01, gap: float = 0.5, seed: int = 42, sample: int | None = None) -> DataFrame:
+    """(id, refined): vectors drawn to a row of their class and pushed from one of another, step by step. The rows of each step are drawn from all (or, if given, the `sample` first in hash order); the at most 3 × steps drawn are refined in one task, the others stay as they are."""
     every = df.select(F.lit(0).alias("g"), F.col(id_col).cast("long").alias("i"), F.col(label).cast("string").alias("l"), F.col(vector).cast("array<double>").alias("v"))
-    few = every.orderBy(F.xxhash64(F.lit(seed), "i"), "i").limit(sample)
+    pool = every.select("i", "l") if sample is None else every.select("i", "l").orderBy(F.xxhash64(F.lit(seed), "i"), "i").limit(sample)
+    sizes = sorted(((r.l, r["count"]) for r in pool.groupBy("l").count().collect()), key=lambda x: (x[0] is not None, x[0]))  # one row a class
+    ends = np.cumsum([n for _, n in sizes], dtype=np.int64)
+    total, rng, draws = int(ends[-1]) if sizes else 0, np.random.default_rng(seed), []
+    for _ in range(steps if total else 0):  # places in order of class and identifier
+        i = int(rng.integers(total))
+        c = int(np.searchsorted(ends, i, side="right"))
+        n, start = sizes[c][1], int(ends[c]) - sizes[c][1]
+        same = start + int(rng.integers(n))
+        other = int(rng.integers(total - n)) if total > n else None
+        draws.append((i, same, other + n if other is not None and other >= start else other))
+    places = sorted({x for d in draws for x in d if x is not None})
+    of = [int(np.searchsorted(ends, x, side="right")) for x in places]
+    keys = df.sparkSession.createDataFrame([(sizes[c][0], x - int(ends[c]) + sizes[c][1] + 1, x) for x, c in zip(places, of, strict=True)], "kl string, kr long, place long")
+    ranked = pool.withColumn("r", F.row_number().over(Window.partitionBy("l").orderBy("i")))
+    few = ranked.join(F.broadcast(keys), F.col("l").eqNullSafe(F.col("kl")) & (F.col("r") == F.col("kr"))).select("i", "place")
 
     def run(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values("i")
-        x, y, rng = np.stack(p["v"]).copy(), p["l"].to_numpy(), np.random.default_rng(seed)
-        for _ in range(steps):
-            i = rng.integers(len(x))
-            same, other = np.flatnonzero(y == y[i]), np.flatnonzero(y != y[i])
-            x[i] += rate * (x[rng.choice(same)] - x[i])
-            if len(other):
-                d = x[i] - x[rng.choice(other)]
+        p = p.sort_values("place")
+        x, at = np.stack(p["v"]).copy(), {place: k for k, place in enumerate(p["place"])}
+        for one, same, other in draws:
+            i = at[one]
+            x[i] += rate * (x[at[same]] - x[i])
+            if other is not None:
+                d = x[i] - x[at[other]]
                 if (size := np.linalg.norm(d)) < gap and size > 0:
                     x[i] += rate * d / size
         return pd.DataFrame({id_col: p["i"], "refined": list(x)})
 
-    done = few.groupBy("g").applyInPandas(run, f"`{id_col}` long, refined array<double>")
-    rest = every.join(few.select("i"), "i", "left_anti").select(F.col("i").alias(id_col), F.col("v").alias("refined"))
+    done = every.join(F.broadcast(few), "i").groupBy("g").applyInPandas(run, f"`{id_col}` long, refined array<double>")
+    rest = every.join(F.broadcast(few.select("i")), "i", "left_anti").select(F.col("i").alias(id_col), F.col("v").alias("refined"))
     return done.unionByName(rest)
 
 

@@ -211,3 +211,22 @@ def test_entry_without_llm(tmp_path):
     said = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), any(k.startswith('op') for k in e.queries()), len(e.oracle_sql()))"], cwd=tmp_path, env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"}, capture_output=True, text=True)
     n, llm, m = said.stdout.split()
     assert int(n) > 150 and llm == "False" and int(m) > 120, said.stderr
+
+
+def test_contrastive_draws_from_all_rows(spark):
+    import numpy as np
+
+    rows = [(k, None if k % 7 == 0 else f"c{k % 3}", [k % 11 / 50, k % 13 / 50]) for k in range(6000)]
+    df = spark.createDataFrame(rows, "vec_id long, label string, embedding array<double>")
+    order = sorted(rows, key=lambda r: (r[1] is not None, r[1] or "", r[0]))
+    want, rng = {r[0]: np.array(r[2]) for r in rows}, np.random.default_rng(42)
+    for _ in range(200):
+        i = order[rng.integers(6000)]
+        same, other = [r for r in order if r[1] == i[1]], [r for r in order if r[1] != i[1]]
+        want[i[0]] += 0.01 * (want[same[rng.integers(len(same))][0]] - want[i[0]])
+        d = want[i[0]] - want[other[rng.integers(len(other))][0]]
+        if 0 < (size := np.linalg.norm(d)) < 0.5:
+            want[i[0]] += 0.01 * d / size
+    got = {r.vec_id: r.refined for r in K.contrastive(df).collect()}
+    assert got.keys() == want.keys() and all(np.allclose(got[k], want[k], atol=1e-12) for k in want)
+    assert K.contrastive(df.limit(0)).count() == 0
