@@ -172,7 +172,7 @@ def _(spark, d):
 
 @query("cl04_elbow_k")
 def _(spark, d):
-    return spark.createDataFrame([(K.choose_k(emb(spark, d), high=6),)], "k int")
+    return spark.createDataFrame([(K.choose_k(emb(spark, d)),)], "k int")
 
 
 @query("cl08_interpolated_pairs")

@@ -230,3 +230,12 @@ def test_contrastive_draws_from_all_rows(spark):
     got = {r.vec_id: r.refined for r in K.contrastive(df).collect()}
     assert got.keys() == want.keys() and all(np.allclose(got[k], want[k], atol=1e-12) for k in want)
     assert K.contrastive(df.limit(0)).count() == 0
+
+
+def test_elbow_query_searches_the_default_range(spark, monkeypatch):
+    from curatrix.plans import registry
+
+    tried = []
+    monkeypatch.setattr(K, "kmeans", lambda df, k, *a: (tried.append(k), (None, None, 1.0 / k))[1])
+    assert registry.QUERIES["cl04_elbow_k"](spark, "/root/testdata/sf0.001").count() == 1
+    assert tried == list(range(2, 16))
