@@ -4,8 +4,8 @@ A page is read as a sequence of tokens: its elements (by their path of tags and
 its text blocks (by path and text). Over the pages of a host, tokens with equal occurrence
 vectors form an equivalence class. A class is valid if enough different pages hold it, if it
 holds an element that is told apart by class or id, and, on each page, if its tokens come in
-the class's order. Valid classes nest into the host's template; what lies in their slots is
-data. Of a page's slots the article is kept: the largest article element with those beside it,
+the class's order. Only classes with text are used, of tokens that no page holds twice, and they
+are not nested: their text blocks are the host's template. Of a page the article is kept: the largest article element with those beside it,
 or the main element, or else all text but lists of links around it; menus, headers, footers,
 sidebars, notices, adverts, forms, comments and blocks of the template go. Inside the article
 most class names only count where more than half of the text is links.
