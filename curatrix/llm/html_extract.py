@@ -1,42 +1,53 @@
 """Main-text extraction from HTML with equivalence-class template deduction.
 
-A page is read as a sequence of tokens: its elements (by their path of tags and classes) and
-its text blocks (by path and text). Over the pages of a host, tokens with equal occurrence
-vectors form an equivalence class. A class is valid if enough different pages hold it, if it
-holds an element that is told apart by class or id, and, on each page, if its tokens come in
-the class's order. Only classes with text are used, of tokens that no page holds twice, and they
-are not nested: their text blocks are the host's template. Of a page the article is kept: the largest article element with those beside it,
-or the main element, or else all text but lists of links around it; menus, headers, footers,
-sidebars, notices, adverts, forms, comments and blocks of the template go. Inside the article
-most class names only count where more than half of the text is links.
+A page is a sequence of tokens in page order: its elements (by their path of tags, classes and
+ids, numbers of three digits and more alike) and its text blocks (by path and text). Over the distinct pages of a host, tokens
+with equal occurrence vectors (how often each page holds them) form an equivalence class. A
+class counts if SUPPORT different pages hold it and it has an element told apart by class, id or
+kind. A class whose text is most of the text of its pages is a set of copies, no template. On a
+page a class is valid if its tokens come in the class's order, round after round, and if it is
+nested: each of its rounds lies between two neighbouring tokens of every class with wider rounds.
+
+Text blocks of valid classes are the host's template. What is left lies in slots, and slots in
+the template's containers (elements that every page of theirs holds once), which nest. From the
+top down, the slots of a container's parts are compared over all pages of the host: parts
+mostly of links go; if less than SIDE of a container's slot text lies outside its parts, the
+parts kept are those from the one with the heading (or the first large one) to the last large
+one, a large one holding SIDE of the container's slot text. So the article is the innermost part
+of the template that leaves out no large slot. Tags, roles and names only label parts: menus,
+headers, footers, sidebars, notices, adverts, forms and comments go, and where a page says which
+element is its article (article or main, not of comments), its slots are taken.
+A host with fewer than SUPPORT different pages has no template; then lists of links around the
+text go and the rest stays.
 
 Occurrence vectors are never gathered: a vector is told by two sums over pages of hashes of
 (page, count), which partial aggregation adds up, so a host with a third of all pages is no
-hot group. The templates (recurring tokens only) meet the pages in a broadcast join if their
-measured size is small, otherwise in a join salted by page.
+hot group. What is known of recurring tokens meets the pages as a broadcast sorted table if its
+measured size is small, otherwise token by token in a shuffled join.
 """
 
 from __future__ import annotations
 
-import hashlib
 import html
-import itertools
 import re
+from bisect import bisect_right
 from collections import defaultdict
 from collections.abc import Iterator
+from hashlib import blake2b
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import small_batches, stored, table
 from .wordhash import pieces
 
 SUPPORT = 4
-#: Templates of more bytes than this are joined by shuffle, salted so often.
-BROADCAST_BYTES, SALTS = 32 << 20, 32
-#: A template that would take more than this share of an article is not applied to it.
-TEMPLATE_SHARE = 0.3
+#: Share of a container's slot text that makes a part of it a large one.
+SIDE = 0.2
+#: What is known of recurring tokens is broadcast up to so many bytes, at so many a token; beyond that it is joined by shuffle.
+BROADCAST_BYTES, TOKEN_BYTES = 32 << 20, 40
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template iframe svg math object canvas textarea title noframes xmp".split())
@@ -47,6 +58,7 @@ SCOPE = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table
 ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 GROUPS = frozenset("ul ol dl table nav".split())
 CONTAINERS = frozenset("body div section main article td center".split())
+HEADINGS = ("h1", "h2")
 
 OUT_TAGS = frozenset("nav aside footer form button select dialog menu head fieldset".split())
 OUT_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
@@ -63,16 +75,21 @@ _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?
 _ATTR = re.compile(r"""([^\s=/"'<>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 _COMMENTS = re.compile(r"[.#](?:comment|disqus|respond|replies)", re.I)
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
+_DIGITS = re.compile(r"\d{3,}")
+
+
+def _key(parent: bytes, name: str) -> bytes:
+    return blake2b(parent + name.encode(), digest_size=8).digest()
 
 
 class Element:
-    """named: left out by its own tag, role or names; doubted: if most of it is links; out: left out for itself or what it lies in."""
+    """at: place in page order; named: left out by its own tag, role or names; doubted: if most of it is links; out: left out for itself or what it lies in."""
 
-    __slots__ = ("tag", "names", "parent", "path", "named", "doubted", "out", "size", "linked", "holds_article", "holds_title")
+    __slots__ = ("tag", "names", "parent", "key", "at", "named", "doubted", "out", "size", "linked", "holds_article", "holds_title")
 
-    def __init__(self, tag: str, names: str, parent: Element | None, named: bool, doubted: bool = False):
-        self.tag, self.names, self.parent, self.named, self.doubted = tag, names, parent, named, doubted
-        self.path = (parent.path if parent else "") + ">" + tag + names
+    def __init__(self, tag: str, names: str, parent: Element | None, named: bool, doubted: bool = False, at: int = -1, key: bytes = b""):
+        self.tag, self.names, self.parent, self.named, self.doubted, self.at = tag, names, parent, named, doubted, at
+        self.key = _key(parent.key, f">{tag}{_DIGITS.sub('0', names) if names else ''}") if parent else key
         self.size = self.linked = 0
         self.out = self.holds_article = self.holds_title = False
 
@@ -82,14 +99,26 @@ class Element:
             yield e
             e = e.parent
 
+    @property
+    def token(self) -> int:
+        return int.from_bytes(self.key, "big", signed=True)
+
+    @property
+    def apart(self) -> bool:
+        return bool(self.names) or self.tag in OUT_TAGS
+
 
 class Block:
     """A run of text without block boundaries, and the element it lies in."""
 
-    __slots__ = ("element", "text", "linked")
+    __slots__ = ("element", "text", "linked", "at")
+
+    def __init__(self, element: Element, text: str, linked: int, at: int):
+        self.element, self.text, self.linked, self.at = element, text, linked, at
 
-    def __init__(self, element: Element, text: str, linked: int):
-        self.element, self.text, self.linked = element, text, linked
+    @property
+    def token(self) -> int:
+        return int.from_bytes(_key(self.element.key, "\0" + self.text), "big", signed=True)
 
 
 def _hidden(attrs: dict[str, str]) -> bool:
@@ -98,8 +127,10 @@ def _hidden(attrs: dict[str, str]) -> bool:
 
 def _is_out(tag: str, attrs: dict[str, str], in_article: bool) -> bool:
     """Whether an element is left out for itself. Of inline elements, which mostly are words of a sentence, only hidden ones and adverts."""
-    if _hidden(attrs) or tag in OUT_TAGS or attrs.get("role", "").lower() in OUT_ROLES:
+    if tag in OUT_TAGS or attrs and (_hidden(attrs) or attrs.get("role", "").lower() in OUT_ROLES):
         return True
+    if not attrs:
+        return tag == "header" and not in_article
     if tag in INLINE:
         return not AD_NAMES.isdisjoint(attrs.get("class", "").lower().split())
     if tag == "header" and not in_article:
@@ -122,35 +153,43 @@ def _by_name(attrs: dict[str, str], in_article: bool, sure: bool = False) -> boo
     return False
 
 
-def parse(source: str) -> tuple[list[Element], list[Block]]:
-    """The elements of a page in order of their start tags, and its text blocks in page order."""
-    root = Element("", "", None, False)
+def parse(source: str, host: str = "") -> tuple[list[Element], list[Block]]:
+    """The elements of a page in order of their start tags, and its text blocks in page order. Paths begin with the host."""
+    root = Element("", "", None, False, key=_key(b"", host))
     stack, elements, blocks = [root], [], []
     text: list[str] = []
-    linked = at = 0
+    linked = at = place = links = 0
 
     def flush() -> None:
-        nonlocal linked
+        nonlocal linked, place
         if text:
             joined = " ".join(html.unescape("".join(text)).split())
             if joined:
-                inner = next(e for e in reversed(stack) if e.tag not in INLINE)
-                blocks.append(Block(inner, joined, min(linked, len(joined))))
+                inner = stack[-1]
+                while inner.tag in INLINE:
+                    inner = inner.parent
+                blocks.append(Block(inner, joined, min(linked, len(joined)), place))
+                place += 1
             text.clear()
         linked = 0
 
     def close_to(i: int) -> None:
+        nonlocal links
         if any(e.tag not in INLINE for e in stack[i:]):
             flush()
+        links -= sum(e.tag == "a" for e in stack[i:])
         del stack[i:]
 
     while m := _TOKEN.match(source, at):
         at = m.end()
         if m[7] is not None:
-            if any(e.named for e in itertools.takewhile(lambda e: e.tag in INLINE, reversed(stack))):
+            e = stack[-1]
+            while e.tag in INLINE and not e.named:
+                e = e.parent
+            if e.tag in INLINE:
                 continue
             text.append(m[7])
-            if any(e.tag == "a" for e in stack):
+            if links:
                 linked += len(m[7])
             continue
         tag = (m[2] or m[5] or "").lower()
@@ -188,11 +227,12 @@ def parse(source: str) -> tuple[list[Element], list[Block]]:
             flush()
         if tag in VOID:
             continue
-        attrs = {k.lower(): html.unescape(v.strip("\"'")) for k, v in _ATTR.findall(rest)}
-        names = "".join("." + x for x in sorted(attrs.get("class", "").split())) + ("#" + attrs["id"] if attrs.get("id") else "")
+        attrs = {k.lower(): html.unescape(v.strip("\"'")) for k, v in _ATTR.findall(rest)} if rest else {}
+        names = "" if not attrs else "".join("." + x for x in sorted(attrs.get("class", "").split())) + ("#" + attrs["id"] if attrs.get("id") else "")
         parent = stack[-1]
         in_article = any(e.tag in ("article", "main") for e in stack)
-        e = Element(tag, names, parent, tag not in ("html", "body") and _is_out(tag, attrs, in_article), in_article and tag not in INLINE and _by_name(attrs, True))
+        e = Element(tag, names, parent, tag not in ("html", "body") and _is_out(tag, attrs, in_article), in_article and bool(attrs) and tag not in INLINE and _by_name(attrs, True), place)
+        place += 1
         if tag in ("article", "main") and not e.named:
             for x in parent.up():
                 x.holds_article = True
@@ -203,6 +243,7 @@ def parse(source: str) -> tuple[list[Element], list[Block]]:
             continue
         elements.append(e)
         stack.append(e)
+        links += tag == "a"
     flush()
     return elements, blocks
 
@@ -227,15 +268,80 @@ def _measure(elements: list[Element], blocks: list[Block]) -> None:
             e.linked += b.linked
 
 
-def tokens(elements: list[Element], blocks: list[Block]) -> list[tuple[int, bool, bool]]:
-    """(token, is text, told apart by class or id) of a page: its elements, then its blocks; each kind in page order."""
-    h = lambda *x: int.from_bytes(hashlib.blake2b("\x00".join(x).encode(), digest_size=8).digest(), "big", signed=True)
-    return [(h("e", e.path), False, bool(e.names) or e.tag in OUT_TAGS) for e in elements] + [(h("t", b.element.path, b.text), True, False) for b in blocks]
+class Known:
+    """What is known of recurring tokens: their class, place in it, whether every page holds them once, whether their class may be a template's text, and whether a container's slots are kept (-1: undecided)."""
+
+    FIELDS = ("token", "cls", "place", "once", "template", "size", "kept")
+
+    def __init__(self, columns: dict[str, np.ndarray], in_order: bool = False):
+        order = slice(None) if in_order else np.argsort(columns["token"], kind="stable")
+        self.of = {k: columns[k][order] for k in self.FIELDS}
+
+    @classmethod
+    def read(cls, t: pa.Table | pa.StructArray) -> Known:
+        get = (lambda k: t.field(k)) if isinstance(t, pa.StructArray) else (lambda k: t.column(k).combine_chunks())
+        return cls({k: get(k).to_numpy(zero_copy_only=False) for k in cls.FIELDS})
+
+    def __len__(self) -> int:
+        return len(self.of["token"])
+
+    def find(self, tokens: list[int]) -> tuple[list[int], dict[str, list]]:
+        """Indices of the tokens that are known, and their fields."""
+        have = self.of["token"]
+        if not len(have) or not tokens:
+            return [], {k: [] for k in self.FIELDS}
+        wanted = np.array(tokens, np.int64)
+        at = np.minimum(np.searchsorted(have, wanted), len(have) - 1)
+        hit = np.flatnonzero(have[at] == wanted)
+        return hit.tolist(), {k: v[at[hit]].tolist() for k, v in self.of.items()}
+
+
+class Template:
+    """A page's part in its host's template: positions of blocks that are template text, and its once-only elements that are kept or not."""
+
+    def __init__(self, elements: list[Element], blocks: list[Block], known: Known | None):
+        self.text: set[int] = set()
+        self.once: dict[int, int] = {}  # id of an element -> kept: 1, 0 or -1
+        if known is None or not len(known):
+            return
+        n = len(elements)
+        hit, of = known.find([x.token for x in (*elements, *blocks)])
+        seen: dict[int, list] = defaultdict(list)  # class -> (place on the page, place in the class, block or -1)
+        template: dict[int, int] = {}  # class that may be a template's text -> its tokens
+        for k, i in enumerate(hit):
+            x = elements[i] if i < n else blocks[i - n]
+            seen[of["cls"][k]].append((x.at, of["place"][k], i - n if i >= n else -1))
+            if i < n and of["once"][k]:
+                self.once[id(x)] = of["kept"][k]
+            elif i >= n and of["template"][k]:
+                template[of["cls"][k]] = of["size"][k]
+        rounds = {c: r for c in seen if (r := _rounds(sorted(seen[c]))) is not None} if template else {}
+        widest = lambda c: max(r[-1][0] - r[0][0] for r in rounds[c])
+        wider: list[list[int]] = []
+        for c in sorted(rounds, key=lambda c: (-widest(c), c)):
+            if not _nested(rounds[c], wider):
+                continue
+            wider.append([x[0] for r in rounds[c] for x in r])
+            if len(rounds[c][0]) == template.get(c):
+                self.text |= {x[2] for r in rounds[c] for x in r if x[2] >= 0}
+
+
+def _rounds(tokens: list[tuple[int, float, int]]) -> list[list[tuple[int, float, int]]] | None:
+    """The rounds in which a class's tokens come on a page, each in the class's order; None if they don't."""
+    width = len({x[1] for x in tokens})
+    rounds = [tokens[i : i + width] for i in range(0, len(tokens), width)]
+    order = sorted({x[1] for x in tokens})
+    return rounds if all([x[1] for x in r] == order for r in rounds) else None
+
+
+def _nested(rounds: list[list[tuple[int, float, int]]], wider: list[list[int]]) -> bool:
+    """Whether each round lies between two neighbouring tokens of each wider class."""
+    return all(bisect_right(c, r[0][0]) == bisect_right(c, r[-1][0]) for c in wider for r in rounds)
 
 
 def _without_link_lists(blocks: list[Block], good: list[int]) -> list[int]:
-    """good without the short link blocks of groups that are mostly links and come before all running text, or after it and not beside a part of it."""
-    links = {i for i in good if blocks[i].linked > 0.5 * len(blocks[i].text) and len(blocks[i].text) < 200 and blocks[i].element.tag != "h1"}
+    """good without the link blocks of groups that are mostly links and come before all running text, or after it and not beside a part of it."""
+    links = {i for i in good if 2 * blocks[i].linked > len(blocks[i].text) and blocks[i].element.tag not in HEADINGS}
     running = [i for i in good if i not in links]
     if not running:
         return running
@@ -248,98 +354,184 @@ def _without_link_lists(blocks: list[Block], good: list[int]) -> list[int]:
     return [i for i in good if i not in links or not goes(i)]
 
 
-def article(elements: list[Element], blocks: list[Block], template: frozenset[int] | set[int] = frozenset()) -> str:
-    """The main text; template: positions of blocks that are the host's."""
-    _measure(elements, blocks)
-    good = [i for i, b in enumerate(blocks) if not b.element.out]
-    within = lambda e, top: any(x is top for x in e.up())
+def labelled(elements: list[Element]) -> list[Element]:
+    """The elements that say they are the article: the largest article element and those beside it, else the main element. _measure comes first."""
+    within = lambda e, tops: any(x is o for x in e.up() for o in tops)
     tops = [e for e in elements if e.tag == "article" and not e.out and e.size]
-    tops = [e for e in tops if not any(within(e.parent, o) for o in tops)] or [e for e in elements if (e.tag == "main") and not e.out and e.size]
-    if tops:
-        top = max(tops, key=lambda e: e.size)
-        beside = [e for e in tops if e.parent is top.parent]
-        kept = [i for i in good if any(within(blocks[i].element, e) for e in beside)]
+    tops = [e for e in tops if not within(e.parent, tops)] or [e for e in elements if e.tag == "main" and not e.out and e.size]
+    top = max(tops, key=lambda e: e.size, default=None)
+    return [e for e in tops if e.parent is top.parent]
+
+
+def slots(elements: list[Element], blocks: list[Block], template: Template | None = None) -> list[tuple[int, bool]]:
+    """(block, main) of the blocks that lie in slots: those that aren't the template's; main: it is of the article."""
+    _measure(elements, blocks)
+    held = template.text if template else ()
+    data = [i for i in range(len(blocks)) if i not in held]
+    good = [i for i in data if not blocks[i].element.out]
+    if tops := {id(e) for e in labelled(elements)}:
+        main = {i for i in good if any(id(e) in tops for e in blocks[i].element.up())}
     else:
-        kept = _without_link_lists(blocks, good)
-    size = sum(len(blocks[i].text) for i in kept)
-    if sum(len(blocks[i].text) for i in kept if i in template) <= TEMPLATE_SHARE * size:
-        kept = [i for i in kept if i not in template]
-    return " ".join(blocks[i].text for i in kept)
+        if template:
+            good = [i for i in good if all(template.once.get(id(e)) != 0 for e in blocks[i].element.up())]
+        main = set(_without_link_lists(blocks, good))
+    return [(i, i in main) for i in data]
 
 
-def template_blocks(page: list[tuple[int, bool, bool]], n_elements: int, classes: list[list[int]]) -> set[int]:
-    """Positions of the page's blocks that lie in valid classes of the host."""
-    which = {t: k for k, c in enumerate(classes) for t in c}
-    seen: dict[int, list[int]] = defaultdict(list)
-    for t, _, _ in page:
-        if (k := which.get(t)) is not None:
-            seen[k].append(t)
-    valid = {k for k, s in seen.items() if s == classes[k]}
-    return {i - n_elements for i, (t, is_text, _) in enumerate(page) if is_text and which.get(t) in valid}
+def article(elements: list[Element], blocks: list[Block], template: Template | None = None) -> str:
+    """The main text of a page."""
+    return " ".join(blocks[i].text for i, main in slots(elements, blocks, template) if main)
+
+
+def parts(elements: list[Element], blocks: list[Block], template: Template) -> Iterator[tuple[int, int, int, int, int, int, int]]:
+    """(part, container, slot text of the part, of the container, of it linked, whether it holds the heading, place) of the template's containers on a page."""
+    _measure(elements, blocks)
+    size, linked, top = defaultdict(int), defaultdict(int), set()
+    good = [b for i, b in enumerate(blocks) if i not in template.text and not b.element.out]
+    heading = next((b for h in HEADINGS for b in good if b.element.tag == h), None)
+    for b in good:
+        for e in b.element.up():
+            size[id(e)] += len(b.text)
+            linked[id(e)] += b.linked
+    if heading is not None:
+        top = {id(e) for e in heading.element.up()}
+    for e in elements:
+        if id(e) in template.once and size[id(e)] and e.tag in CONTAINERS and not e.out:
+            for c in e.parent.up():
+                if id(c) in template.once and c.tag in CONTAINERS:
+                    yield e.token, c.token, size[id(e)], size[id(c)], linked[id(e)], int(id(e) in top), e.at
+                    break
+
+
+def _columns(rows: list[tuple], fields: list[tuple[str, pa.DataType]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows, strict=True) if rows else [()] * len(fields), fields, strict=True)], names=[n for n, _ in fields])
+
+
+_FOUND = [("page", pa.int64()), ("token", pa.int64()), ("n", pa.int32()), ("place", pa.int32()), ("is_text", pa.bool_()), ("apart", pa.bool_()), ("size", pa.int64()), ("whole", pa.int64())]
 
 
 def templates(pages: DataFrame, support: int = SUPPORT) -> DataFrame:
-    """(host, classes): the equivalence classes of each host that hold text, each in page order."""
+    """What is known of the tokens that `support` different pages hold: token, cls, place, once, template, size (of the class). pages: page, host, html."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in pieces(batches, 1):
+        for b in pieces(batches, 2):
             rows = []
-            for host, source in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                page = hashlib.blake2b(source.encode(), digest_size=8).digest()
+            for page, host, source in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                elements, blocks = parse(source, host)
+                _measure(elements, blocks)
+                whole = sum(len(x.text) for x in blocks if not x.element.out)
                 count: dict[int, list] = {}
-                for place, (t, is_text, apart) in enumerate(tokens(*parse(source))):
-                    c = count.setdefault(t, [0, place, is_text, apart])
+                for x in (*elements, *blocks):
+                    c = count.setdefault(x.token, [0, x.at, isinstance(x, Block), isinstance(x, Element) and x.apart, 0])
                     c[0] += 1
-                for t, (n, place, is_text, apart) in count.items():
-                    s = int.from_bytes(hashlib.blake2b(page + n.to_bytes(4, "big"), digest_size=8).digest(), "big")
-                    rows.append((host, t, s & 0x7FFFFFFF, s >> 33, int.from_bytes(page, "big", signed=True), n, place, is_text, apart))
-            kinds = (pa.string(), *[pa.int64()] * 4, pa.int32(), pa.int32(), pa.bool_(), pa.bool_())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [()] * 9, kinds, strict=True)], names=["host", "token", "s1", "s2", "page", "n", "place", "is_text", "apart"])
+                    c[4] += len(x.text) if c[2] and not x.element.out else 0
+                rows += [(page, t, *c, whole) for t, c in count.items()]
+            yield _columns(rows, _FOUND)
+
+    found = pages.mapInArrow(run, "page long, token long, n int, place int, is_text boolean, apart boolean, size long, whole long")
+    # Pages that come twice count once; then tokens are added up over pages. Both combine before they shuffle.
+    once = found.groupBy("token", "page").agg(*(F.max(c).alias(c) for c in ("n", "place", "is_text", "apart", "size", "whole")))
+    mark = F.xxhash64("page", "n")
+    each = once.groupBy("token").agg(F.sum(F.shiftright(mark, 32)).alias("s1"), F.sum(mark.bitwiseAND(F.lit(0xFFFFFFFF))).alias("s2"), F.count(F.lit(1)).alias("pages"), F.max("n").alias("n"), F.avg("place").alias("place"), *(F.max(c).alias(c) for c in ("is_text", "apart")), *(F.sum(c).alias(c) for c in ("size", "whole")))
+    each = stored(each.filter(F.col("pages") >= support), "tokens")
+    classes = each.groupBy("s1", "s2").agg(F.count(F.lit(1)).cast("int").alias("members"), F.max("apart").alias("counts"), F.sum(F.when(F.col("is_text"), F.col("size")).otherwise(0)).alias("texts"))
+    both = each.join(classes, ["s1", "s2"])
+    template = F.col("is_text") & F.col("counts") & (2 * F.col("texts") <= F.col("whole"))
+    return both.select("token", F.xxhash64("s1", "s2").alias("cls"), "place", (F.col("n") == 1).alias("once"), template.alias("template"), F.col("members").alias("size"))
+
+
+def decisions(found: DataFrame) -> DataFrame:
+    """(token, kept): whether a part's slots are kept, from parts() of all pages."""
+    each = found.groupBy("token", "container").agg(F.sum("v").alias("v"), F.sum("vc").alias("vc"), F.sum("linked").alias("linked"), F.avg("heading").alias("heading"), F.avg("place").alias("place"))
+    w = Window.partitionBy("container")
+    d = each.withColumns({"share": F.col("v") / F.col("vc"), "links": 2 * F.col("linked") > F.col("v")})
+    d = d.withColumns({"outside": 1 - F.sum("share").over(w), "most": F.max(F.when(~F.col("links"), F.struct("v", -F.col("place")))).over(w)})
+    main = ~F.col("links") & (F.struct("v", -F.col("place")) == F.col("most"))
+    large = main | ~F.col("links") & (F.col("share") >= SIDE)
+    d = d.withColumns({"large": large, "end": F.max(F.when(large, F.col("place"))).over(w), "main_place": F.max(F.when(main, F.col("place"))).over(w)})
+    first = F.col("large") | ~F.col("links") & (2 * F.col("heading") >= 1) & (F.col("place") <= F.col("main_place"))
+    d = d.withColumn("start", F.min(F.when(first, F.col("place"))).over(w))
+    inside = (F.col("outside") >= SIDE) | F.col("most").isNull() | F.col("place").between(F.col("start"), F.col("end"))
+    return d.select("token", F.when(F.col("most").isNotNull() & F.col("links"), 0).otherwise(inside.cast("int")).alias("kept"))
+
+
+def _meet(rows: DataFrame, known: DataFrame):
+    """Rows with what is known of their tokens, and a function that reads it from a batch (whose last column may be made for it): one broadcast table if it is small, else a list for each page."""
+    if known.count() * TOKEN_BYTES <= BROADCAST_BYTES:
+        given = rows.sparkSession.sparkContext.broadcast(Known.read(known.toArrow()).of)
+
+        def every(b: pa.RecordBatch) -> Iterator[Known]:
+            one = Known(given.value, True)
+            yield from (one for _ in range(b.num_rows))
+
+        return rows.withColumn("known", F.lit(None).cast("int")), every
+
+    def tokens_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in pieces(batches, 2):
+            held = [(page, t) for page, host, source in zip(*(c.to_pylist() for c in b.columns), strict=True) for t in {x.token for part in parse(source, host) for x in part}]
+            yield _columns(held, _FOUND[:2])
 
-    found = pages.select("host", "html").mapInArrow(run, "host string, token long, s1 long, s2 long, page long, n int, place int, is_text boolean, apart boolean")
-    each = found.groupBy("host", "token").agg(F.sum("s1").alias("s1"), F.sum("s2").alias("s2"), F.approx_count_distinct("page", 0.02).alias("pages"), F.max("n").alias("n"), F.avg("place").alias("place"), F.max("is_text").alias("is_text"), F.max("apart").alias("apart"))
-    each = each.filter((F.col("pages") >= support) & (F.col("n") == 1))
-    sets = each.groupBy("host", "s1", "s2").agg(F.max("is_text").alias("text"), F.max("apart").alias("apart"), F.sort_array(F.collect_list(F.struct("is_text", "place", "token"))).alias("c"))
-    sets = sets.filter("text and apart").select("host", F.transform("c", lambda x: x["token"]).alias("c"))
-    return sets.groupBy("host").agg(F.collect_list("c").alias("classes"))
+    def each(b: pa.RecordBatch) -> Iterator[Known | None]:
+        lists = b.column(b.num_columns - 1)
+        yield from (Known.read(x.values) if x.is_valid else None for x in lists)
 
+    mine = rows.select("page", "host", "html").mapInArrow(tokens_of, "page long, token long").distinct()
+    lists = mine.join(known, "token").groupBy("page").agg(F.collect_list(F.struct(*Known.FIELDS)).alias("known"))
+    return rows.join(lists, "page", "left"), each
 
-def extract(pages: DataFrame, id_col: str = "page_id", url: str = "url", source: str = "html", support: int = SUPPORT) -> DataFrame:
-    """One row for each row of pages: id_col, url, text string, n_chars long (code points).
 
-    The text's blocks are in page order, joined by one space; character references are decoded,
-    white space inside a block is one space. Null and empty html give an empty text. Pages with
-    a null url or one without a host count as one host. Repeated rows give equal texts (and
-    count as one page for a template's support). An empty table gives an empty result. Other
-    columns are ignored.
+def _lookup(known: DataFrame, kept: DataFrame | None) -> DataFrame:
+    both = known.withColumn("kept", F.lit(-1)) if kept is None else known.join(kept, "token", "left").withColumn("kept", F.coalesce("kept", F.lit(-1)))
+    return both.select(*Known.FIELDS)
+
+
+def extract(pages: DataFrame, id_col: str = "page_id", url: str = "url", source: str = "html", support: int = SUPPORT) -> DataFrame:
+    """One row for each row of pages: id_col, url, text string, n_chars long (code points), slots array<struct<text, main>>.
+
+    slots are the text blocks that aren't the host's template, in page order; text joins those
+    of the article by one space. Character references are decoded, white space inside a block is
+    one space. Null and empty html give an empty text. Pages with a null url or one without a
+    host count as one host. Repeated pages of a host get equal texts and count once for the
+    template (in the sizes of slots as often as they come). Of article elements apart from each other that
+    are equally large the first counts, with those beside it. An empty table gives an empty
+    result. Other columns are ignored.
     """
     spark = pages.sparkSession
     small_batches(spark)
     host = F.lower(F.regexp_extract(F.coalesce(F.col(url), F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
-    rows = pages.select(F.col(id_col).alias("__id"), F.col(url).alias("__url"), host.alias("host"), F.coalesce(source, F.lit("")).alias("html"))
-    known = stored(templates(rows, support), "templates")
-    size = known.agg(F.sum(F.size(F.flatten("classes"))).alias("n")).first()[0] or 0
-    if 8 * size <= BROADCAST_BYTES:
-        joined = rows.join(F.broadcast(known), "host", "left")
-    else:
-        salted = known.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        joined = rows.withColumn("salt", F.pmod(F.xxhash64("__id", "__url"), F.lit(SALTS)).cast("int")).join(salted, ["host", "salt"], "left")
+    rows = pages.select(F.col(id_col).alias("__id"), F.col(url).alias("__url"), host.alias("host"), F.coalesce(source, F.lit("")).alias("html")).withColumn("page", F.xxhash64("host", "html"))
+    known = stored(templates(rows.select("page", "host", "html"), support), "templates")
+    # Pages that say which element is their article don't ask for the slots' sizes.
+    unlabelled, told = _meet(rows.filter(~F.col("html").rlike("(?i)<(article|main)[\\s>/]")), _lookup(known, None))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches, 2):
-            texts = []
-            for page, classes in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                elements, blocks = parse(page)
-                mine = template_blocks(tokens(elements, blocks), len(elements), classes) if classes else frozenset()
-                texts.append(article(elements, blocks, mine))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["__id", "__url", "text", "n_chars"])
+            found = []
+            for host, page, k in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), told(b), strict=True):
+                elements, blocks = parse(page, host)
+                found += parts(elements, blocks, Template(elements, blocks, k))
+            yield _columns(found, [(n, pa.int64()) for n in ("token", "container", "v", "vc", "linked", "heading", "place")])
+
+    sizes = unlabelled.select("page", "host", "html", "known").mapInArrow(weigh, "token long, container long, v long, vc long, linked long, heading long, place long")
+    met, known_of = _meet(rows, _lookup(known, stored(decisions(sizes), "slots")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in pieces(batches, 3):
+            texts, kept = [], []
+            for host, page, k in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), known_of(b), strict=True):
+                elements, blocks = parse(page, host)
+                mine = slots(elements, blocks, Template(elements, blocks, k))
+                texts.append(" ".join(blocks[i].text for i, main in mine if main))
+                kept.append([{"text": blocks[i].text, "main": main} for i, main in mine])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64()), pa.array(kept, pa.list_(pa.struct([("text", pa.string()), ("main", pa.bool_())])))], names=["__id", "__url", "text", "n_chars", "slots"])
 
-    from pyspark.sql.types import LongType, StringType, StructField, StructType
+    from pyspark.sql.types import ArrayType, BooleanType, LongType, StringType, StructField, StructType
 
-    schema = StructType([StructField("__id", pages.schema[id_col].dataType), StructField("__url", StringType()), StructField("text", StringType()), StructField("n_chars", LongType())])
-    out = joined.select("__id", "__url", "html", "classes").mapInArrow(run, schema)
-    return out.select(F.col("__id").alias(id_col), F.col("__url").alias(url), "text", "n_chars")
+    slot = StructType([StructField("text", StringType()), StructField("main", BooleanType())])
+    schema = StructType([StructField("__id", pages.schema[id_col].dataType), StructField("__url", StringType()), StructField("text", StringType()), StructField("n_chars", LongType()), StructField("slots", ArrayType(slot))])
+    out = met.select("__id", "__url", "host", "html", "known").mapInArrow(run, schema)
+    return out.select(F.col("__id").alias(id_col), F.col("__url").alias(url), "text", "n_chars", "slots")
 
 
 def op7_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extract(table(spark, sf_dir, "pages"))
+    return extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
