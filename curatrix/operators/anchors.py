@@ -12,7 +12,7 @@ from curatrix.functions import text as T
 from curatrix.functions.ladders import uniform
 from curatrix.functions.vectors import cosine, mean_vector
 from curatrix.operators.dedup import greedy_keep
-from curatrix.operators.neighbors import nearest, purity, similar_pairs
+from curatrix.operators.neighbors import cosine_spread, nearest, purity, similar_pairs
 from curatrix.sources.storage import stored
 
 
@@ -115,16 +115,14 @@ def ensemble_scores(anchors: DataFrame, df: DataFrame, label: str = "label", id_
 
     diversity: mean cosine distance to the other anchors (1 if alone); purity of the k nearest
     rows, the anchor's own row included; hardness e^(-2 d) of the nearest row of another class
-    (0 if none); stability 1 / (1 + deviation of the distances to the class).
+    (0 if none); stability 1 / (1 + deviation of the distances to the class), from the class's moments.
     """
     a = anchors.select(id_col, label, vector)
     t = _total_distance(a, label, id_col, vector)
     diversity = t.select(id_col, F.when(F.col("n") > 1, F.col("total") / (F.col("n") - 1)).otherwise(1.0).alias("diversity"))
     p = purity(a, df.select(id_col, label, vector), k, "cosine", id_col, vector, label, exclude_self=False).select(id_col, "purity")
     enemy = nearest(a, df, 1, "cosine", id_col, id_col, vector, label, label, same=False).select(F.col("q").alias(id_col), F.exp(-2.0 * (1 - F.col("score"))).alias("hardness"))
-    # The deviation needs sums of distances and of their squares over the class: one pass of the class against its few anchors.
-    pairs = df.select(F.col(label).alias("__l"), F.col(vector).alias("__v")).join(a, F.col("__l") == F.col(label))
-    stability = pairs.groupBy(id_col).agg((1 / (1 + F.stddev_pop(1 - cosine(F.col(vector), F.col("__v"))))).alias("stability"))
+    stability = cosine_spread(a, df, id_col, vector, label).select(F.col("id").alias(id_col), (1 / (1 + F.col("deviation"))).alias("stability"))
     out = a.select(id_col, label).join(diversity, id_col).join(p, id_col).join(enemy, id_col, "left").join(stability, id_col).na.fill({"hardness": 0.0})
     score = sum(w * F.col(c) for w, c in zip(weights, ("diversity", "purity", "hardness", "stability"), strict=True))
     out = out.withColumn("score", score)

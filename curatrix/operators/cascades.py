@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from curatrix.functions import text as T
 from curatrix.functions.vectors import argmax, cosine, euclidean, margin, mean_vector
 from curatrix.operators.dedup import greedy_keep
-from curatrix.operators.neighbors import nearest
+from curatrix.operators.neighbors import nearest, pair_distances
 
 
 def nearest_other(df: DataFrame, label: str, centroids: DataFrame, vector: str = "embedding", name: str = "other_sim") -> DataFrame:
@@ -169,28 +169,6 @@ def discriminator_weight(p_synthetic: Column, threshold: float = 0.7, upper: flo
 
 
 def class_diversity(df: DataFrame, label: str = "label", id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """(label, diversity): mean Euclidean distance of the pairs of a class, exact, in blocks of rows against all."""
-    from collections.abc import Iterator
-
-    import numpy as np
-    import pyarrow as pa
-
-    from curatrix.operators.neighbors import _blocks, _matrix, _scores
-
-    right = df.select(F.col(id_col).cast("long").alias("id"), F.col(label).cast("string").alias("g"), F.col(vector).cast("array<double>").alias("v"))
-    out = None
-    for block in _blocks(right, ["id", "g", "v"]):
-        ids, groups, q = np.asarray(block.column("id")), np.asarray(block.column("g").to_pylist(), object), _matrix(block.column("v").combine_chunks())
-
-        def run(batches: Iterator[pa.RecordBatch], ids=ids, groups=groups, q=q) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                if b.num_rows and len(ids):
-                    s = -_scores(_matrix(b.column(2)), q, "euclidean")
-                    g = np.asarray(b.column(1).to_pylist(), object)
-                    s = np.where((g[:, None] == groups[None, :]) & (np.asarray(b.column(0))[:, None] < ids[None, :]), s, np.nan)
-                    n = np.isfinite(s).sum(1)
-                    yield pa.RecordBatch.from_arrays([b.column(1), pa.array(np.nansum(s, axis=1)), pa.array(n)], names=["g", "t", "n"])
-
-        part = right.mapInArrow(run, "g string, t double, n long")
-        out = part if out is None else out.unionByName(part)
-    return out.groupBy(F.col("g").cast(df.schema[label].dataType).alias(label)).agg((F.sum("t") / F.nullif(F.sum("n"), F.lit(0))).alias("diversity"))
+    """(label, diversity): mean Euclidean distance of the pairs of a class, exact, in cells of blocks."""
+    sums = pair_distances(df, vector, label, id_col)
+    return sums.select(F.nullif("g", F.lit("\0")).cast(df.schema[label].dataType).alias(label), (F.col("total") / F.nullif(F.col("n"), F.lit(0))).alias("diversity"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from curatrix.functions import text as T
 from curatrix.functions.ladders import whole
 from curatrix.functions.vectors import cosine, euclidean, mean_vector
-from curatrix.operators.neighbors import purity
+from curatrix.operators.neighbors import distance_sums, purity
 
 
 def dataset_profile(df: DataFrame, label: str) -> DataFrame:
@@ -68,34 +68,14 @@ def anchor_quality(df: DataFrame, label: str = "label", vector: str = "embedding
 
 
 def silhouette(df: DataFrame, cluster: str = "label", id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """(id_col, cluster, silhouette) by Euclidean distance, exact; 0 for a cluster of one. Sums of distances to clusters are taken in blocks of rows against all."""
-    import numpy as np
-    import pyarrow as pa
-
-    from curatrix.operators.neighbors import _blocks, _matrix, _scores
-
-    right = df.select(F.col(id_col).cast("long").alias("id"), F.col(cluster).cast("string").alias("g"), F.col(vector).cast("array<double>").alias("v"))
-    out = None
-    for block in _blocks(right, ["id", "v"]):
-        ids, q = np.asarray(block.column("id")), _matrix(block.column("v").combine_chunks())
-
-        def run(batches, ids=ids, q=q):
-            for b in batches:
-                if b.num_rows and len(ids):
-                    names, at = np.unique(np.asarray(b.column(1).to_pylist(), object).astype(str), return_inverse=True)
-                    total = np.zeros((len(names), len(ids)))
-                    np.add.at(total, at, -_scores(_matrix(b.column(2)), q, "euclidean"))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.tile(ids, len(names))), pa.array(np.repeat(names, len(ids)).tolist(), pa.string()), pa.array(total.reshape(-1))], names=["id", "other", "total"])
-
-        part = right.select("id", "g", "v").mapInArrow(run, "id long, other string, total double")
-        out = part if out is None else out.unionByName(part)
-    sums = out.groupBy("id", "other").agg(F.sum("total").alias("total"))
-    sizes = right.groupBy(F.col("g").alias("other")).agg(F.count(F.lit(1)).alias("n"))
-    both = sums.join(F.broadcast(sizes), "other").join(right.select("id", "g"), "id")
+    """(id_col, cluster, silhouette) by Euclidean distance, exact; 0 for a cluster of one. Sums of distances to clusters are taken in cells of blocks."""
+    sums = distance_sums(df, id_col, vector, cluster)
+    sizes = df.filter(F.col(vector).isNotNull()).groupBy(F.coalesce(F.col(cluster).cast("string"), F.lit("\0")).alias("other")).agg(F.count(F.lit(1)).alias("n"))
+    both = sums.join(sizes, "other")
     own = F.col("other") == F.col("g")
     each = both.groupBy("id", "g").agg(F.max(F.when(own, F.col("total") / F.nullif(F.col("n") - 1, F.lit(0)))).alias("a"), F.min(F.when(~own, F.col("total") / F.col("n"))).alias("b"))
     s = F.coalesce((F.col("b") - F.col("a")) / F.nullif(F.greatest("a", "b"), F.lit(0.0)), F.lit(0.0))
-    return each.select(F.col("id").alias(id_col), F.col("g").alias(cluster), s.alias("silhouette"))
+    return each.select(F.col("id").alias(id_col), F.nullif("g", F.lit("\0")).alias(cluster), s.alias("silhouette"))
 
 
 def coherence(df: DataFrame, cluster: str, vector: str = "embedding") -> DataFrame:

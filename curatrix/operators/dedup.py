@@ -56,10 +56,10 @@ def greedy_keep(nodes: DataFrame, pairs: DataFrame, id_col: str, order: str | No
 
 def greedy_dedup(df: DataFrame, threshold: float, id_col: str = "vec_id", vector: str = "embedding", metric: str = "cosine", group: str | None = None, component: str | None = None) -> DataFrame:
     """df with kept: greedy first-come by similarity over the threshold; within groups only, or between components only, where the smaller component wins."""
-    pairs = similar_pairs(df, threshold, metric, id_col, vector)
-    if group or component:
-        key = df.select(F.col(id_col).alias("i"), F.col(group or component).alias("g"))
-        pairs = pairs.join(key.withColumnsRenamed({"i": "a", "g": "ga"}), "a").join(key.withColumnsRenamed({"i": "b", "g": "gb"}), "b").filter("ga = gb" if group else "ga <> gb")
+    pairs = similar_pairs(df, threshold, metric, id_col, vector, group=group)
+    if component:
+        key = df.select(F.col(id_col).alias("i"), F.col(component).alias("g"))
+        pairs = pairs.join(key.withColumnsRenamed({"i": "a", "g": "ga"}), "a").join(key.withColumnsRenamed({"i": "b", "g": "gb"}), "b").filter("ga <> gb")
     return greedy_keep(df, pairs, id_col, component)
 
 

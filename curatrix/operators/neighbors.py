@@ -1,106 +1,189 @@
 """Exact nearest neighbours and similar pairs.
 
-Queries are taken in blocks of at most BLOCK rows (so what is broadcast has a fixed bound);
-each block is one pass over the corpus with Arrow batches and a matrix product, keeping the
-best k per query and partition; a window merges the partitions. Nothing of the corpus is
-shuffled or collected.
+Both sides are dealt into blocks of about BLOCK rows by a hash; a cell is a pair of blocks. Rows
+are sent to the cells of their block, and each cell compares its two blocks by matrix products
+in one Arrow task of bounded memory: at most about 2 BLOCK rows and a score matrix of TILE
+queries by BLOCK rows. The plan has one cogroup whatever the sizes; nothing of the data passes the
+driver. Where only rows of one group meet, cells are made within groups: a group over BLOCK rows
+gets blocks of its own, smaller ones share cells. A window merges the cells' best k.
+
+Exact search compares all rows with all, so a row travels once to each block of the other side:
+the shuffle grows with n² / BLOCK.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK = 4096
+#: Rows of a block, and of one in a small table, which is cut finer so that all cores work.
+BLOCK, SMALL = 8192, 512
+#: Queries whose scores are held at a time.
+TILE = 512
+#: Tables of one row a large group are broadcast up to so many bytes, at so many a row.
+BROADCAST_BYTES, ROW_BYTES = 32 << 20, 64
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
+def matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     values = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     return values.reshape(len(column), -1) if len(column) else values.reshape(0, 0)
 
 
-def _scores(x: np.ndarray, q: np.ndarray, metric: str) -> np.ndarray:
-    """Larger is nearer: cosine similarity or negative Euclidean distance; rows of x by rows of q. A zero vector has no cosine."""
+def scores(q: np.ndarray, x: np.ndarray, metric: str) -> np.ndarray:
+    """Larger is nearer: cosine similarity or negative Euclidean distance; rows of q by rows of x. A zero vector has no cosine."""
     if metric == "cosine":
         with np.errstate(invalid="ignore", divide="ignore"):
-            out = (x / np.linalg.norm(x, axis=1, keepdims=True)) @ (q / np.linalg.norm(q, axis=1, keepdims=True)).T
-        return np.round(np.where(np.isfinite(out), out, -np.inf), 12)
+            out = (q / np.linalg.norm(q, axis=1, keepdims=True)) @ (x / np.linalg.norm(x, axis=1, keepdims=True)).T
+        out[~np.isfinite(out)] = -np.inf
+        return np.round(out, 12, out=out)
     if metric == "euclidean":
-        square = (x * x).sum(1)[:, None] + (q * q).sum(1)[None, :] - 2 * x @ q.T
+        square = (q * q).sum(1)[:, None] + (x * x).sum(1)[None, :] - 2 * q @ x.T
         return -np.round(np.sqrt(np.maximum(square, 0)), 12)
     raise ValueError(f"metric: {metric!r}")
 
 
-def _blocks(queries: DataFrame, columns: list[str]) -> Iterator[pa.Table]:
-    n = 1 + queries.count() // BLOCK
-    for i in range(n):
-        part = queries if n == 1 else queries.filter(F.pmod(F.xxhash64(columns[0]), F.lit(n)) == i)
-        yield part.select(*columns).toArrow()
+def vectors(df: DataFrame, id_col: str, vector: str, group: str | None = None, value: str | None = None) -> DataFrame:
+    """(id, g, v, value) of the rows with a vector; a null group is a group."""
+    kind = "array<float>" if df.schema[vector].dataType.simpleString() == "array<float>" else "array<double>"
+    g = F.coalesce(F.col(group).cast("string"), F.lit("\0")) if group else F.lit("")
+    return df.filter(F.col(vector).isNotNull()).select(F.col(id_col).cast("long").alias("id"), g.alias("g"), F.col(vector).cast(kind).alias("v"), *([F.col(value).alias("value")] if value else []))
+
+
+def _blocks(n: Column | int, partitions: int) -> Column:
+    """Blocks for n rows: of BLOCK rows, finer where that leaves cores idle."""
+    n = F.lit(n) if isinstance(n, int) else n
+    return F.greatest(F.lit(1), F.ceil(n / BLOCK), F.least(F.ceil(n / SMALL), F.lit(math.isqrt(partitions)))).cast("int")
+
+
+def cells(left: DataFrame, right: DataFrame | None, work: Callable[[pa.Table, pa.Table], pa.Table], schema: str, grouped: bool = False) -> DataFrame:
+    """work(rows of a left block, rows of a right block) of every cell; left and right from vectors().
+
+    right None: pairs of left with itself, each pair of blocks once. grouped: only rows of the
+    same g need to meet, though work may be given others. Empty sides give no cells.
+    """
+    spark, own = left.sparkSession, right is None
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    many = left.count()
+    total = many if own else right.count()
+    if grouped:
+        n = left.groupBy("g").agg(F.count(F.lit(1)).alias("nl"), F.lit(0).alias("nr"))
+        n = n.withColumn("nr", F.col("nl")) if own else n.unionByName(right.groupBy("g").agg(F.lit(0).alias("nl"), F.count(F.lit(1)).alias("nr"))).groupBy("g").agg(F.sum("nl").alias("nl"), F.sum("nr").alias("nr"))
+        # Large groups are at most (many + total) / BLOCK.
+        large = n.filter(F.greatest("nl", "nr") > BLOCK).select(F.col("g").alias("lg"), *(F.ceil(F.col(c) / BLOCK).cast("int").alias(c) for c in ("nl", "nr")))
+        large = F.broadcast(large) if (many + total) // BLOCK * ROW_BYTES <= BROADCAST_BYTES else large
+        shared = max(1, -(-max(many, total) // BLOCK), min(partitions, -(-max(many, total) // SMALL)))
+
+        def counted(df: DataFrame) -> DataFrame:
+            d = df.join(large, F.col("g") == F.col("lg"), "left")
+            cell = F.when(F.col("lg").isNull(), F.pmod(F.xxhash64("g"), F.lit(shared))).otherwise(F.xxhash64("g"))
+            return d.withColumns({"p": cell, "nl": F.greatest(F.coalesce("nl", F.lit(1)), F.lit(1)), "nr": F.greatest(F.coalesce("nr", F.lit(1)), F.lit(1))}).drop("lg")
+    else:
+
+        def counted(df: DataFrame) -> DataFrame:
+            return df.withColumns({"p": F.lit(0).cast("long"), "nl": _blocks(many, partitions), "nr": _blocks(total, partitions)})
 
+    at = lambda n: F.pmod(F.xxhash64("id", "v"), F.col(n)).cast("int")
+    a = counted(left).withColumn("i", at("nl"))
+    a = a.withColumn("j", F.explode(F.sequence(F.col("i") if own else F.lit(0), F.col("nr") - 1))).drop("nl", "nr")
+    b = counted(left if own else right).withColumn("j", at("nr"))
+    b = b.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("j") if own else F.col("nl") - 1))).drop("nl", "nr")
+    b = b.select(*(F.col(c).alias(c) for c in b.columns))  # columns of its own, where both sides are one table
 
-def nearest(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "cosine", query_id: str = "vec_id", corpus_id: str = "vec_id", vector: str = "embedding", query_group: str | None = None, corpus_group: str | None = None, same: bool = True, exclude_self: bool = True) -> DataFrame:
+    def meet(key: tuple, x: pa.Table, y: pa.Table) -> pa.Table:
+        if own and key[1].as_py() == key[2].as_py():
+            return work(x, None)
+        return work(x, y)
+
+    return a.groupBy("p", "i", "j").cogroup(b.groupBy("p", "i", "j")).applyInArrow(meet, schema)
+
+
+def _codes(x: pa.Table, y: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the groups of both sides."""
+    both = pa.chunked_array([*x.column("g").chunks, *y.column("g").chunks], pa.string()).combine_chunks().dictionary_encode()
+    codes = (both.combine_chunks() if isinstance(both, pa.ChunkedArray) else both).indices.to_numpy(zero_copy_only=False)
+    return codes[: x.num_rows], codes[x.num_rows :]
+
+
+def best(s: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of the k largest finite scores of each row, ties by the columns' identifiers."""
+    if s.shape[1] > k:
+        least = -np.partition(-s, k - 1, axis=1)[:, k - 1]
+        row, col = np.nonzero((s >= least[:, None]) & np.isfinite(s))
+    else:
+        row, col = np.nonzero(np.isfinite(s))
+    order = np.lexsort((ids[col], -s[row, col], row))
+    row, col = row[order], col[order]
+    keep = np.arange(len(row)) - np.searchsorted(row, row) < k
+    return row[keep], col[keep]
+
+
+def nearest(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "cosine", query_id: str = "vec_id", corpus_id: str = "vec_id", vector: str = "embedding", query_group: str | None = None, corpus_group: str | None = None, same: bool = True, exclude_self: bool = True, query_value: str | None = None, corpus_value: str | None = None) -> DataFrame:
     """(q, c, score, rank): the k nearest corpus rows of each query, nearest first, ties by identifier.
 
     score is the cosine similarity or the Euclidean distance. With groups, only corpus rows of
     the query's group count (same) or of other groups (not same). exclude_self leaves out the
-    corpus row with the query's identifier. Null vectors are left out.
+    corpus row with the query's identifier. Null vectors are left out. query_value and
+    corpus_value name columns that come along as q_value and c_value.
     """
-    right = corpus.filter(F.col(vector).isNotNull()).select(F.col(corpus_id).cast("long").alias("id"), (F.col(corpus_group) if corpus_group else F.lit(0)).cast("string").alias("g"), F.col(vector).cast("array<double>").alias("v"))
-    left = queries.filter(F.col(vector).isNotNull()).select(F.col(query_id).cast("long").alias("id"), (F.col(query_group) if query_group else F.lit(0)).cast("string").alias("g"), F.col(vector).cast("array<double>").alias("v"))
-    out = None
-    for block in _blocks(left, ["id", "g", "v"]):
-        ids, groups = np.asarray(block.column("id")), np.asarray(block.column("g").to_pylist(), object)
-        q = _matrix(block.column("v").combine_chunks())
-
-        def run(batches: Iterator[pa.RecordBatch], ids=ids, groups=groups, q=q) -> Iterator[pa.RecordBatch]:
-            best_s, best_i = np.full((len(ids), 0), -np.inf), np.zeros((len(ids), 0), np.int64)
-            for b in batches:
-                if not b.num_rows or not len(ids):
-                    continue
-                c = np.asarray(b.column(0))
-                s = _scores(_matrix(b.column(2)), q, metric).T
-                if query_group or corpus_group:
-                    match = groups[:, None] == np.asarray(b.column(1).to_pylist(), object)[None, :]
-                    s = np.where(match if same else ~match, s, -np.inf)
-                if exclude_self:
-                    s = np.where(ids[:, None] == c[None, :], -np.inf, s)
-                s = np.concatenate([best_s, s], axis=1)
-                i = np.concatenate([best_i, np.broadcast_to(c, (len(ids), len(c)))], axis=1)
-                order = np.lexsort((i, -s), axis=1)[:, :k]
-                best_s, best_i = np.take_along_axis(s, order, 1), np.take_along_axis(i, order, 1)
-            at, col = np.nonzero(np.isfinite(best_s))
-            yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(best_i[at, col]), pa.array(best_s[at, col])], names=["q", "c", "score"])
-
-        part = right.mapInArrow(run, "q long, c long, score double")
-        out = part if out is None else out.unionByName(part)
+    left, right = vectors(queries, query_id, vector, query_group, query_value), vectors(corpus, corpus_id, vector, corpus_group, corpus_value)
+    by_group = bool(query_group or corpus_group)
+    carried = [(side, frame.schema["value"].dataType.simpleString()) for side, frame, c in (("q_value", left, query_value), ("c_value", right, corpus_value)) if c]
+
+    def work(x: pa.Table, y: pa.Table) -> pa.Table:
+        qs, cs, rows, cols = x.column("id").to_numpy(), y.column("id").to_numpy(), [], []
+        points, found = matrix(y.column("v")), []
+        codes = _codes(x, y) if by_group and len(qs) and len(cs) else None
+        v = matrix(x.column("v"))
+        for i in range(0, len(qs) if len(cs) else 0, TILE):
+            s = scores(v[i : i + TILE], points, metric)
+            if codes is not None:
+                match = codes[0][i : i + TILE, None] == codes[1][None, :]
+                s[~match if same else match] = -np.inf
+            if exclude_self:
+                s[qs[i : i + TILE, None] == cs[None, :]] = -np.inf
+            row, col = best(s, cs, k)
+            found.append(s[row, col])
+            rows.append(row + i)
+            cols.append(col)
+        row, col = (np.concatenate(z) if z else np.zeros(0, np.int64) for z in (rows, cols))
+        out = {"q": qs[row], "c": cs[col], "score": np.concatenate(found) if found else np.zeros(0)}
+        out |= {name: (x if name == "q_value" else y).column("value").take(pa.array(row if name == "q_value" else col)) for name, _ in carried}
+        return pa.table(out)
+
+    schema = "q long, c long, score double" + "".join(f", {name} {kind}" for name, kind in carried)
+    out = cells(left, right, work, schema, by_group and same)
     ranked = out.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(F.col("score").desc(), "c"))).filter(F.col("rank") <= k)
     return ranked.withColumn("score", F.abs("score") if metric == "euclidean" else F.col("score"))
 
 
-def similar_pairs(df: DataFrame, threshold: float, metric: str = "cosine", id_col: str = "vec_id", vector: str = "embedding", strict: bool = True) -> DataFrame:
-    """(a, b, score), a < b: pairs whose similarity is over the threshold (or reaches it); Euclidean: 1 - distance."""
-    right = df.filter(F.col(vector).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
-    out = None
-    for block in _blocks(right, ["id", "v"]):
-        ids, q = np.asarray(block.column("id")), _matrix(block.column("v").combine_chunks())
+def similar_pairs(df: DataFrame, threshold: float, metric: str = "cosine", id_col: str = "vec_id", vector: str = "embedding", strict: bool = True, group: str | None = None) -> DataFrame:
+    """(a, b, score), a < b: pairs (of a group) whose similarity is over the threshold (or reaches it); Euclidean: 1 - distance."""
 
-        def run(batches: Iterator[pa.RecordBatch], ids=ids, q=q) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                if not b.num_rows or not len(ids):
-                    continue
-                c = np.asarray(b.column(0))
-                s = _scores(_matrix(b.column(1)), q, metric)
-                s = s if metric == "cosine" else 1 + s
-                i, j = np.nonzero((s > threshold if strict else s >= threshold) & (c[:, None] < ids[None, :]))
-                yield pa.RecordBatch.from_arrays([pa.array(c[i]), pa.array(ids[j]), pa.array(s[i, j])], names=["a", "b", "score"])
+    def work(x: pa.Table, y: pa.Table | None) -> pa.Table:
+        other = x if y is None else y
+        left, right, out = x.column("id").to_numpy(), other.column("id").to_numpy(), []
+        v, points = matrix(x.column("v")), matrix(other.column("v"))
+        codes = _codes(x, other) if group and len(left) and len(right) else None
+        for i in range(0, len(left) if len(right) else 0, TILE):
+            s = scores(v[i : i + TILE], points, metric)
+            s = s if metric == "cosine" else 1 + s
+            hit = s > threshold if strict else s >= threshold
+            if codes is not None:
+                hit &= codes[0][i : i + TILE, None] == codes[1][None, :]
+            ids = left[i : i + TILE]
+            hit &= ids[:, None] < right[None, :] if y is None else ids[:, None] != right[None, :]
+            r, c = np.nonzero(hit)
+            out.append((np.minimum(ids[r], right[c]), np.maximum(ids[r], right[c]), s[r, c]))
+        a, b, s = (np.concatenate(z) for z in zip(*out, strict=True)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        return pa.table({"a": a, "b": b, "score": s})
 
-        part = right.mapInArrow(run, "a long, b long, score double")
-        out = part if out is None else out.unionByName(part)
-    return out
+    return cells(vectors(df, id_col, vector, group), None, work, "a long, b long, score double", bool(group))
 
 
 def mean_distance(df: DataFrame, k: int, metric: str = "euclidean", id_col: str = "vec_id", vector: str = "embedding", group: str | None = None) -> DataFrame:
@@ -111,9 +194,92 @@ def mean_distance(df: DataFrame, k: int, metric: str = "euclidean", id_col: str
 
 
 def purity(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "cosine", id_col: str = "vec_id", vector: str = "embedding", label: str = "label", exclude_self: bool = True) -> DataFrame:
-    """(id_col, label, purity): share of a query's k nearest corpus rows that have its label."""
-    found = nearest(queries, corpus, k, metric, id_col, id_col, vector, exclude_self=exclude_self)
-    mine = queries.select(F.col(id_col).cast("long").alias("q"), F.col(label).alias("__mine"))
-    theirs = corpus.select(F.col(id_col).cast("long").alias("c"), F.col(label).alias("__theirs"))
-    both = found.join(mine, "q").join(theirs, "c")
-    return both.groupBy(F.col("q").alias(id_col), F.col("__mine").alias(label)).agg(F.avg((F.col("__mine") == F.col("__theirs")).cast("double")).alias("purity"))
+    """(id_col, label, purity): share of a query's k nearest corpus rows that have its label. Labels travel with the vectors."""
+    found = nearest(queries, corpus, k, metric, id_col, id_col, vector, exclude_self=exclude_self, query_value=label, corpus_value=label)
+    return found.groupBy(F.col("q").alias(id_col), F.col("q_value").alias(label)).agg(F.avg((F.col("q_value") == F.col("c_value")).cast("double")).alias("purity"))
+
+
+def distance_sums(df: DataFrame, id_col: str, vector: str, group: str) -> DataFrame:
+    """(id, g, other, total): sum of Euclidean distances of each row to the rows of each group."""
+
+    def work(x: pa.Table, y: pa.Table) -> pa.Table:
+        ids, v, points, out = x.column("id").to_numpy(), matrix(x.column("v")), matrix(y.column("v")), []
+        names = y.column("g").combine_chunks().dictionary_encode()
+        codes = names.indices.to_numpy(zero_copy_only=False)
+        order = np.argsort(codes, kind="stable")
+        first = np.searchsorted(codes[order], np.arange(len(names.dictionary)))
+        for i in range(0, len(ids) if len(order) else 0, TILE):
+            total = np.add.reduceat(-scores(v[i : i + TILE], points, "euclidean")[:, order], first, axis=1)
+            n = len(total)
+            out.append(pa.table({"id": np.repeat(ids[i : i + TILE], len(first)), "g": x.column("g").slice(i, n).take(pa.array(np.repeat(np.arange(n), len(first)))), "other": names.dictionary.take(pa.array(np.tile(np.arange(len(first)), n))), "total": total.reshape(-1)}))
+        return pa.concat_tables(out) if out else pa.table({"id": pa.array([], pa.int64()), "g": pa.array([], pa.string()), "other": pa.array([], pa.string()), "total": pa.array([], pa.float64())})
+
+    rows = vectors(df, id_col, vector, group)
+    return cells(rows, rows, work, "id long, g string, other string, total double").groupBy("id", "g", "other").agg(F.sum("total").alias("total"))
+
+
+def pair_distances(df: DataFrame, vector: str, group: str, id_col: str) -> DataFrame:
+    """(g, total, n): sum of the Euclidean distances of the pairs of each group, and their number."""
+
+    def work(x: pa.Table, y: pa.Table | None) -> pa.Table:
+        other, sums = x if y is None else y, {}
+        xs = x.column("g").combine_chunks()
+        v, points, left, right = matrix(x.column("v")), matrix(other.column("v")), x.column("id").to_numpy(), other.column("id").to_numpy()
+        a, b = _codes(x, other) if len(left) and len(right) else (np.zeros(0), np.zeros(0))
+        for code in np.intersect1d(a, b):
+            at, to = np.flatnonzero(a == code), np.flatnonzero(b == code)
+            t, n = sums.get(xs[int(at[0])].as_py(), (0.0, 0))
+            for i in range(0, len(at), TILE):
+                d = -scores(v[at[i : i + TILE]], points[to], "euclidean")
+                hit = left[at[i : i + TILE], None] < right[None, to] if y is None else left[at[i : i + TILE], None] != right[None, to]
+                t, n = t + float(d[hit].sum()), n + int(hit.sum())
+            sums[xs[int(at[0])].as_py()] = (t, n)
+        return pa.table({"g": pa.array(list(sums), pa.string()), "total": pa.array([s[0] for s in sums.values()], pa.float64()), "n": pa.array([s[1] for s in sums.values()], pa.int64())})
+
+    return cells(vectors(df, id_col, vector, group), None, work, "g string, total double, n long", True).groupBy("g").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
+
+
+def moments(df: DataFrame, vector: str, group: str) -> DataFrame:
+    """(g, m): the sum of (1, u)(1, u)ᵀ over the unit vectors u of each group, flattened. Summed in each task first, then by component: linear in the rows. Zero vectors are left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[str, np.ndarray] = {}
+        for b in batches:
+            v, names = matrix(b.column("v")), b.column("g").dictionary_encode()
+            size = np.linalg.norm(v, axis=1)
+            u = np.concatenate([np.ones((len(v), 1)), v / np.where(size > 0, size, 1)[:, None]], axis=1)
+            codes = names.indices.to_numpy(zero_copy_only=False)
+            for c, name in enumerate(names.dictionary.to_pylist()):
+                x = u[(codes == c) & (size > 0)]
+                sums[name] = sums.get(name, 0) + x.T @ x
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array([m.reshape(-1) for m in sums.values()], pa.list_(pa.float64()))], names=["g", "m"])
+
+    each = df.filter(F.col(vector).isNotNull()).select(F.coalesce(F.col(group).cast("string"), F.lit("\0")).alias("g"), F.col(vector).cast("array<double>").alias("v"))
+    parts = each.mapInArrow(run, "g string, m array<double>").select("g", F.posexplode("m").alias("i", "x")).groupBy("g", "i").agg(F.sum("x").alias("x"))
+    return parts.groupBy("g").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("m"))
+
+
+def cosine_spread(df: DataFrame, classes: DataFrame, id_col: str, vector: str, group: str) -> DataFrame:
+    """(id, mean, deviation) of the cosine similarities of each row to the rows of its group in classes, from the group's moments()."""
+    left = vectors(df, id_col, vector, group)
+    right = moments(classes, vector, group).select(F.lit(0).cast("long").alias("id"), "g", F.col("m").alias("v"))
+
+    def work(x: pa.Table, y: pa.Table) -> pa.Table:
+        ids, mean, spread, at = x.column("id").to_numpy(), [], [], []
+        v = matrix(x.column("v"))
+        if len(ids) and y.num_rows:
+            size = np.linalg.norm(v, axis=1, keepdims=True)
+            u = np.divide(v, size, out=np.full_like(v, np.nan), where=size > 0)
+            a, b = _codes(x, y)
+            for code, m in zip(b, matrix(y.column("v")).reshape(y.num_rows, v.shape[1] + 1, -1), strict=True):
+                who = np.flatnonzero(a == code)
+                m = m / m[0, 0] if m[0, 0] else m * np.nan
+                first = u[who] @ m[0, 1:]
+                second = np.einsum("ij,jk,ik->i", u[who], m[1:, 1:], u[who])
+                at.append(ids[who])
+                mean.append(first)
+                spread.append(np.sqrt(np.maximum(second - first * first, 0)))
+        cat = lambda z, kind: np.concatenate(z) if z else np.zeros(0, kind)
+        return pa.table({"id": cat(at, np.int64), "mean": cat(mean, float), "deviation": cat(spread, float)})
+
+    return cells(left, right, work, "id long, mean double, deviation double", True)

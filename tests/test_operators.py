@@ -82,7 +82,9 @@ def test_class_edges(spark):
 def test_neighbours_in_blocks(spark, emb, monkeypatch):
     want = N.nearest(emb, emb, 3).orderBy("q", "rank").collect()
     monkeypatch.setattr(N, "BLOCK", 100)
+    monkeypatch.setattr(N, "TILE", 7)
     assert N.nearest(emb, emb, 3).orderBy("q", "rank").collect() == want
+    assert N.nearest(emb, emb, 3)._jdf.queryExecution().optimizedPlan().toString().count("FlatMapCoGroupsInArrow") == 1
     x = np.array([r.embedding for r in emb.orderBy("vec_id").collect()], float)
     ids = [r.vec_id for r in emb.orderBy("vec_id").collect()]
     s = np.corrcoef(x) * 0 + (x / np.linalg.norm(x, axis=1, keepdims=True)) @ (x / np.linalg.norm(x, axis=1, keepdims=True)).T
@@ -90,6 +92,27 @@ def test_neighbours_in_blocks(spark, emb, monkeypatch):
     assert [r.c for r in want if r["rank"] == 1] == [ids[i] for i in s.argmax(1)]
     pairs = {(r.a, r.b) for r in N.similar_pairs(emb, 0.35).collect()}
     assert pairs == {(ids[i], ids[j]) for i, j in zip(*np.nonzero(np.triu(s, 1) > 0.35), strict=True)}
+    # Groups larger and smaller than a block, and one without a name.
+    g = emb.withColumn("g", F.when(F.col("vec_id") % 2 == 0, "big").when(F.col("vec_id") % 3 > 0, F.concat(F.lit("s"), F.col("vec_id") % 7)))
+    of = {r.vec_id: r.g for r in g.collect()}
+    at = {i: k for k, i in enumerate(ids)}
+    for same in (True, False):
+        got = {r.q: r.c for r in N.nearest(g, g, 1, query_group="g", corpus_group="g", same=same).collect()}
+        for i in ids:
+            fit = [j for j in ids if j != i and (of[i] == of[j]) == same]
+            assert got[i] == max(fit, key=lambda j, i=i: (round(s[at[i], at[j]], 12), -j))
+    pairs = {(r.a, r.b) for r in N.similar_pairs(g, 0.3, group="g").collect()}
+    assert pairs == {(a, b) for a in ids for b in ids if a < b and of[a] == of[b] and s[at[a], at[b]] > 0.3}
+    total = {r.g: (r.total, r.n) for r in N.pair_distances(g, "embedding", "g", "vec_id").collect()}
+    big = [at[i] for i in ids if of[i] == "big"]
+    d = [np.linalg.norm(x[p] - x[q]) for p in big for q in big if p < q]
+    assert total["big"][1] == len(d) and abs(total["big"][0] - sum(d)) < 1e-6
+    spread = {r.id: r.deviation for r in N.cosine_spread(g, g, "vec_id", "embedding", "g").collect()}
+    cos = x / np.linalg.norm(x, axis=1, keepdims=True)
+    for i in ids[:60]:
+        assert abs(spread[i] - np.std([cos[at[i]] @ cos[at[j]] for j in ids if of[j] == of[i]])) < 1e-9
+    ties = spark.createDataFrame([(i, [1.0, 0.0]) for i in range(30)] + [(99, None), (98, [0.0, 0.0])], "vec_id long, embedding array<float>")
+    assert {r.q: r.c for r in N.nearest(ties, ties, 1).collect()} == {i: int(i == 0) for i in range(30)}
     assert N.nearest(emb.limit(0), emb, 3).count() == 0 and N.nearest(emb, emb.limit(0), 3).count() == 0
 
 
