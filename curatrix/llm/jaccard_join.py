@@ -1,18 +1,21 @@
 """N-gram Jaccard join by grouped prefixes, and the components of its links.
 
 1. Every text becomes the set of its word shingles (64-bit hashes). Shingles are ordered by a
-   rough document frequency, rare first: counters of a fixed number, 2^COUNTER_BITS, summed by
-   chunk and broadcast as one byte each. Any order gives right results; rare first keeps
-   prefixes selective and sends what many documents share to the end.
-2. Equal sets collapse to one representative, their smallest identifier. Sets with identical
-   prefixes and size collapse into one group; only groups are posted under their prefix shingles.
+   rough frequency, rare first: counters, one for every LOAD words of the corpus within bounds,
+   summed by chunk and broadcast as one byte each. Any order gives right results; rare first
+   keeps prefixes selective and sends what many documents share to the end.
+2. Equal sets collapse to one node, numbered by the smallest identifier (where several sets
+   have the same, by a hash). Sets with identical prefixes and size collapse into one group; only
+   groups are posted under their prefix shingles. Sets too small to link with any other but
+   equal ones aren't posted.
 3. Postings are filtered by class: size and position in the prefix decide what overlap is still
-   possible, so pairs of (size, position) classes under a shingle are ruled out before any
-   pair of sets is looked at. What is left is expanded to the groups' members.
+   possible, so pairs of (size, position) classes under a shingle are ruled out first.
 4. Members are verified exactly against the leads of the classes they may match (stars: linear
-   in the postings), twice, with connected components in between; then every pair of members
-   that may match and is not yet in one component is verified. A large family of near copies
-   is thus linked through its leads, without all of its pairs, and no link is lost.
+   in the postings), twice, with connected components in between. A large family of near copies
+   is thus linked through its leads, without all of its pairs.
+5. What may match and is not yet in one component: pairs of groups, filtered by the overlap of
+   their prefixes and the rest that is possible, then expanded to pairs of members in different
+   components, which are verified. So no link is lost.
 
 Equal or nearly equal copies are pre-aggregated before each shuffle. Components come from
 alternating large-star and small-star steps on DataFrames; nothing of documents' size is
@@ -32,7 +35,9 @@ from pyspark.sql import functions as F
 from .common import bucketed, small_batches, stored, table
 from .wordhash import Words, buffers, mix, ngrams, pieces
 
-COUNTER_BITS, CHUNK_BITS = 22, 16
+#: Counters: at least and at most 2^these (64 MB broadcast), and words of the corpus for each in between.
+COUNTER_BITS, MOST_BITS, LOAD = 22, 26, 256
+CHUNK_BITS = 16
 STARS = 2
 #: A lead with over 1/HOT_SHARE of a round's pairs, and HOT_ROWS at least, is hot.
 HOT_SHARE, HOT_ROWS = 1000, 64
@@ -68,16 +73,23 @@ def shingles(column: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
     return h, np.searchsorted(d, np.arange(count + 1))
 
 
-def _frequencies(docs: DataFrame, n: int) -> np.ndarray:
-    """A byte for each counter: 0 for rare shingles, growing with the logarithm of the frequency."""
+def _bits(docs: DataFrame) -> int:
+    """Counters' number as a power of two, for the corpus: a word is taken as 6 bytes."""
+    size = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    return min(MOST_BITS, max(COUNTER_BITS, (size // (6 * LOAD)).bit_length()))
+
+
+def _frequencies(docs: DataFrame, n: int, bits: int) -> np.ndarray:
+    """A byte for each of 2^bits counters: 0 for rare shingles, growing with the logarithm of the frequency."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
         for b in pieces(batches, 1):
             words = Words(*buffers(b.column(1), lower=True))
             h = ngrams(words.hashes(), n)[words.doc[: max(0, len(words) - n + 1)] == words.doc[n - 1 :]]  # every occurrence: an order needs no better
-            part = np.bincount((mix(h) >> np.uint64(64 - COUNTER_BITS)).astype(np.int64), minlength=1 << COUNTER_BITS)
-            total = part.astype(np.int32) if total is None else total + part.astype(np.int32)
+            total = np.zeros(1 << bits, np.int32) if total is None else total
+            at, times = np.unique(mix(h) >> np.uint64(64 - bits), return_counts=True)
+            total[at.astype(np.int64)] += times.astype(np.int32)
         if total is not None:
             rows = [(i, pa.compress(x.tobytes(), codec="zstd", asbytes=True)) for i, x in enumerate(total.reshape(-1, 1 << CHUNK_BITS)) if x.any()]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["chunk", "counts"])
@@ -86,7 +98,7 @@ def _frequencies(docs: DataFrame, n: int) -> np.ndarray:
         total = sum(np.frombuffer(pa.decompress(x.as_py(), 4 << CHUNK_BITS, codec="zstd", asbytes=True), np.int32).astype(np.int64) for x in group.column("counts"))
         return pa.table({"chunk": [group.column("chunk")[0].as_py()], "level": [_level(total).tobytes()]}, schema=pa.schema([("chunk", pa.int32()), ("level", pa.binary())]))
 
-    out = np.zeros((1 << (COUNTER_BITS - CHUNK_BITS), 1 << CHUNK_BITS), np.uint8)
+    out = np.zeros((1 << (bits - CHUNK_BITS), 1 << CHUNK_BITS), np.uint8)
     for r in docs.mapInArrow(count, "chunk int, counts binary").groupBy("chunk").applyInArrow(add, "chunk int, level binary").collect():
         out[r.chunk] = np.frombuffer(r.level, np.uint8)
     return out.reshape(-1)
@@ -165,26 +177,18 @@ def _verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     return both.filter(F.size(F.array_intersect("a_s", "b_s")) >= need).select("a", "b")
 
 
-def jaccard_components(df: DataFrame, id_col: str = "doc_id", text: str = "text", n: int = 3, num: int = 9, den: int = 10) -> DataFrame:
-    """One row for each row of df: id_col (long), n_shingles long, component_id long.
-
-    A-Z are lower-cased; words are runs of characters other than U+0020 and U+0009 to U+000D; a
-    text's set holds its n-word shingles, with fewer words the whole sequence. Two rows link
-    when overlap / union >= num / den. component_id is the smallest identifier reachable by
-    links. A null or blank text has no shingle and links with nothing. A row with a null
-    identifier links with nothing and has a null component. Repeated rows get equal answers;
-    rows that share an identifier but not a text are each placed by their own text. An empty
-    table gives an empty result. Other columns of df are ignored.
-    """
+def _classify(df: DataFrame, id_col: str, text: str, n: int, num: int, den: int) -> DataFrame:
+    """(id, hash, n, component, first): of each row the identifier, its text's hash, the size of its set, the smallest identifier of its component and the hash of the row that has it (the smallest, if several do)."""
     spark = df.sparkSession
     small_batches(spark)
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(text, F.lit("")).alias("text")).withColumn("hash", F.xxhash64("text"))
-    levels = spark.sparkContext.broadcast(_frequencies(docs, n))
+    bits = _bits(docs)
+    levels = spark.sparkContext.broadcast(_frequencies(docs, n, bits))
 
     def sets_of(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
         """Shingles, offsets, sizes and prefixes of a batch's texts."""
         h, off = shingles(b.column(1), n)
-        level = levels.value[(mix(h) >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)]
+        level = levels.value[(mix(h) >> np.uint64(64 - bits)).astype(np.int64)]
         size = np.diff(off)
         by = h[np.lexsort((h, level, np.repeat(np.arange(len(size)), size)))].view(np.int64)
         take = np.where(size > 0, size - -(-size * num // den) + 1, 0)
@@ -203,10 +207,16 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text: str = "text"
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size), pa.array(prefix, pa.list_(pa.int64())), pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(h.view(np.int64)))], names=["rep", "n", "prefix", "shingles"])
 
     rows = stored(docs.mapInArrow(describe, "id long, hash long, n long, digest binary, grp binary, prefix array<long>"), "jaccard-rows")
-    reps = rows.filter("digest is not null and id is not null").groupBy("digest").agg(F.min(F.struct("id", "hash")).alias("r"), F.first("n").alias("n"), F.first("grp").alias("grp"), F.first("prefix").alias("prefix"))
-    reps = stored(reps.select("digest", F.col("r.id").alias("rep"), "r.hash", "n", "grp", "prefix"), "jaccard-sets")
+    reps = rows.filter("digest is not null and id is not null").groupBy("digest").agg(F.min(F.struct("id", "hash")).alias("r"), F.first("n").alias("n"), F.first("grp").alias("grp"), F.first("prefix").alias("prefix"), F.count(F.lit(1)).alias("rows"))
+    reps = stored(reps.select("digest", F.col("r.id").alias("id"), "r.hash", "n", "grp", "prefix", "rows"), "jaccard-sets")
+    # Sets are nodes. An identifier that several sets start from numbers none of them.
+    shared = stored(reps.groupBy("id").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("id", F.lit(True).alias("shared")), "jaccard-shared")
+    shared = F.broadcast(shared) if ROW_BYTES * shared.count() <= BROADCAST_BYTES else shared
+    reps = reps.join(shared, "id", "left").withColumn("rep", F.when(F.col("shared"), F.xxhash64("digest")).otherwise(F.col("id"))).drop("shared")
     groups = reps.groupBy("grp").agg(F.min("rep").alias("g"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.count(F.lit(1)).alias("c"))
-    posts = groups.select("g", F.col("n").cast("int").alias("n"), F.col("c").cast("int").alias("c"), F.posexplode("prefix").alias("p", "s"))
+    # A set of n shingles links with one of n + 1 at best.
+    able = groups.filter(F.col("n") * (den - num) >= num)
+    posts = able.select("g", F.col("n").cast("int").alias("n"), F.col("c").cast("int").alias("c"), F.posexplode("prefix").alias("p", "s"))
     alive = posts.groupBy("s").agg(F.sum("c").alias("t")).filter("t > 1").select("s")
     posts = stored(posts.join(alive, "s"), "jaccard-postings")
     classes = posts.groupBy("s", "n", "p").agg(F.sum("c").alias("c"))
@@ -218,12 +228,12 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text: str = "text"
     used = pairs.select("s", F.col("x").alias("k")).unionByName(pairs.select("s", F.col("y").alias("k"))).distinct()
     of_group = reps.select("grp", "rep").join(groups.filter("c > 1").select("grp", "g"), "grp").select("g", "rep")
     led = posts.withColumn("k", F.struct("n", "p")).join(used, ["s", "k"]).select("s", "k", "g", "c")
-    members = led.filter("c = 1").select("s", "k", F.col("g").alias("rep")).unionByName(led.filter("c > 1").join(of_group, "g").select("s", "k", "rep"))
+    members = led.filter("c = 1").select("s", "k", "g", F.col("g").alias("rep")).unionByName(led.filter("c > 1").join(of_group, "g").select("s", "k", "g", "rep"))
     members = stored(members, "jaccard-members")
-    wanted = stored(members.select("rep").distinct().join(reps.select("rep", "hash"), "rep").select(F.col("rep").alias("id"), "hash"), "jaccard-wanted")
+    wanted = stored(members.select("rep").distinct().join(reps.select("rep", "id", "hash"), "rep"), "jaccard-wanted")
     picked = F.broadcast(wanted) if ROW_BYTES * wanted.count() <= BROADCAST_BYTES else wanted
     # A repeated row comes twice here, which at worst finds a link twice.
-    sets = bucketed(docs.join(picked, ["id", "hash"], "left_semi").select("id", "text").mapInArrow(texts_of, "rep long, n long, prefix array<long>, shingles array<long>"), "jaccard_texts", "rep")
+    sets = bucketed(docs.join(picked, ["id", "hash"]).select("rep", "text").mapInArrow(texts_of, "rep long, n long, prefix array<long>, shingles array<long>"), "jaccard_texts", "rep")
     comps, links = None, None
     for star in range(STARS + 1):
         if comps is None:
@@ -238,26 +248,71 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text: str = "text"
             sides = open_.select("s", F.col(f"x{lead}").alias("lead"), F.col("y").alias("k")).unionByName(open_.select("s", F.col(f"y{lead}").alias("lead"), F.col("x").alias("k"))).distinct()
             found = sides.join(state, ["s", "k"]).filter("lead.comp <> comp").select(F.col("lead.rep").alias("a"), F.col("rep").alias("b"))
         else:
-            left, right = (state.select("s", F.col("k").alias(k), F.col("rep").alias(r), F.col("comp").alias(c)) for k, r, c in (("x", "a", "ca"), ("y", "b", "cb")))
-            found = open_.select("s", "x", "y").join(left, ["s", "x"]).join(right, ["s", "y"]).filter("ca <> cb").select("a", "b")
+            found = _of_groups(open_, state, groups, num, den)
         found = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         new = stored(_verify(found, sets, num, den), "jaccard-links")
         if new.isEmpty() and comps is not None:
             continue
         links = new if links is None else links.unionByName(new)
         comps = components(links)
-    of_set = reps.join(comps, reps["rep"] == comps["node"], "left").select("digest", F.coalesce("component", "rep").alias("__component"))
-    out = rows.select("id", "n", "digest").join(of_set, "digest", "left")
-    component = F.when(F.col("id").isNull(), F.lit(None)).otherwise(F.coalesce("__component", "id"))
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.cast("long").alias("component_id"))
-
-
-def keep_one(df: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """df with one document of each component, the one with the smallest identifier (of rows that share it, all whose own component it is); rows with a null identifier stay."""
-    found = jaccard_components(df, id_col, **options).filter(f"`{id_col}` <> component_id").select(F.col(id_col).alias("__gone")).distinct()
-    found = stored(found, "jaccard-gone")
-    gone = F.broadcast(found) if ROW_BYTES * found.count() <= BROADCAST_BYTES else found
-    return df.join(gone, df[id_col] == gone["__gone"], "left_anti")
+    # A component is named by the smallest (identifier, hash) of its sets.
+    linked = stored(comps.withColumnRenamed("node", "rep").join(reps.select("rep", "id", "hash", "digest", "rows"), "rep"), "jaccard-linked")
+    names = linked.groupBy("component").agg(F.min(F.struct("id", "hash")).alias("best"))
+    of_set = linked.join(names, "component").select("digest", "rows", "best").unionByName(reps.join(linked.select("digest"), "digest", "left_anti").filter("rows > 1").select("digest", "rows", F.struct("id", "hash").alias("best")))
+    of_set = stored(of_set.select("digest", "rows", F.col("best.id").alias("component"), F.col("best.hash").alias("first")), "jaccard-named")
+    # Digests of over 1/HOT_SHARE of all rows meet theirs by broadcast: fewer than HOT_SHARE of them. Rows without a set meet nothing, and a set of one row that links with nothing is its own.
+    limit = max(HOT_ROWS, rows.count() // HOT_SHARE)
+    many = F.broadcast(of_set.filter(F.col("rows") > limit).select("digest", F.col("component").alias("hc"), F.col("first").alias("hf")))
+    few = of_set.filter(F.col("rows") <= limit).drop("rows")
+    lean = rows.select("id", "hash", "n", "digest")
+    marked = lean.filter("digest is not null and id is not null").join(many, "digest", "left")
+    hot = marked.filter("hc is not null").select("id", "hash", "n", F.col("hc").alias("component"), F.col("hf").alias("first"))
+    rest = marked.filter("hc is null").select("id", "hash", "n", "digest").join(few, "digest", "left").select("id", "hash", "n", F.coalesce("component", "id").alias("component"), F.coalesce("first", "hash").alias("first"))
+    alone = lean.filter("digest is null or id is null").select("id", "hash", "n", F.col("id").alias("component"), F.col("hash").alias("first"))
+    return hot.unionByName(rest).unionByName(alone)
+
+
+def _of_groups(open_: DataFrame, state: DataFrame, groups: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) of sets that may match and aren't in one component: pairs of groups first, filtered by what their prefixes and the rests behind them allow, then of their members."""
+    spread = state.groupBy("s", "k", "g").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    side = lambda k, z: spread.select("s", F.col("k").alias(k), *(F.col(c).alias(f"{z}_{c}") for c in ("g", "lo", "hi")))
+    met = open_.select("s", "x", "y").join(side("x", "a"), ["s", "x"]).join(side("y", "b"), ["s", "y"]).filter("least(a_lo, b_lo) <> greatest(a_hi, b_hi)")
+    couples = stored(met.select(F.least("a_g", "b_g").alias("ga"), F.greatest("a_g", "b_g").alias("gb")).distinct(), "jaccard-groups")
+    told = lambda k, z: groups.select(F.col("g").alias(k), F.col("n").alias(f"{z}_n"), F.col("prefix").alias(f"{z}_prefix"))
+    both = couples.join(told("ga", "a"), "ga").join(told("gb", "b"), "gb")
+    rest = F.greatest(F.col("a_n") - F.size("a_prefix"), F.col("b_n") - F.size("b_prefix"))
+    both = both.filter(F.size(F.array_intersect("a_prefix", "b_prefix")) + rest >= _needed(F.col("a_n"), F.col("b_n"), num, den)).select("ga", "gb")
+    sets = state.select("g", "rep", "comp").distinct()
+    one = lambda k, r, c: sets.select(F.col("g").alias(k), F.col("rep").alias(r), F.col("comp").alias(c))
+    return both.join(one("ga", "a", "ca"), "ga").join(one("gb", "b", "cb"), "gb").filter("ca <> cb").select("a", "b")
+
+
+def jaccard_components(df: DataFrame, id_col: str = "doc_id", text: str = "text", n: int = 3, num: int = 9, den: int = 10) -> DataFrame:
+    """One row for each row of df: id_col (long), n_shingles long, component_id long.
+
+    A-Z are lower-cased; words are runs of characters other than U+0020 and U+0009 to U+000D; a
+    text's set holds its n-word shingles, with fewer words the whole sequence. Two rows link
+    when overlap / union >= num / den. component_id is the smallest identifier reachable by
+    links. A null or blank text has no shingle and links with nothing. A row with a null
+    identifier links with nothing and has a null component. Repeated rows get equal answers;
+    rows that share an identifier but not a text are each placed by their own text. An empty
+    table gives an empty result. Other columns of df are ignored.
+    """
+    out = _classify(df, id_col, text, n, num, den)
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
+
+
+def keep_one(df: DataFrame, id_col: str = "doc_id", text: str = "text", n: int = 3, num: int = 9, den: int = 10) -> DataFrame:
+    """df with one document of each component, the one with the smallest identifier.
+
+    If rows of a component share that identifier but not the text, the one with the smallest
+    hash of text stays; repeated rows (equal identifier and text) share one verdict. Rows with a
+    null identifier stay, those without words too. Columns may have any name.
+    """
+    told = _classify(df, id_col, text, n, num, den).filter("id <> component or hash <> first")
+    gone = stored(told.select("id", "hash").distinct(), "jaccard-gone")
+    gone = F.broadcast(gone) if ROW_BYTES * gone.count() <= BROADCAST_BYTES else gone
+    return df.join(gone, (df[id_col].cast("long") == gone["id"]) & (F.xxhash64(F.coalesce(df[text], F.lit(""))) == gone["hash"]), "left_anti")
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -55,6 +55,26 @@ def test_edges(spark):
     assert jaccard_components(df.limit(0)).count() == 0
 
 
+def test_shared_identifiers(spark):
+    """Rows are placed by their texts, not by their identifiers."""
+    t = " ".join(f"w{i}" for i in range(60))
+    docs = [(3, t), (5, t + " more"), (5, "quite another text of some words here"), (7, t + " more"), (7, "q r s t u v"), (7, "q r s t u v"), (9, "x " + t), (9, t + " y"), (None, t), (None, None), (11, None)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").withColumns({"gone": df_lit(1), "id": df_lit("x"), "hash": df_lit(2)})
+    got = sorted((x.doc_id or 0, x.n_shingles, x.component_id or 0) for x in jaccard_components(df).collect())
+    assert got == sorted([(3, 58, 3), (5, 59, 3), (5, 5, 5), (7, 59, 3), (7, 4, 7), (7, 4, 7), (9, 59, 3), (9, 59, 3), (0, 58, 0), (0, 0, 0), (11, 0, 11)])
+    kept = sorted((x.doc_id or 0, x.text or "") for x in keep_one(df).collect())
+    assert kept == sorted([(3, t), (5, docs[2][1]), (7, "q r s t u v"), (7, "q r s t u v"), (0, t), (0, ""), (11, "")])
+    assert keep_one(df).columns == df.columns
+    # One identifier, several linked texts: the smallest hash stays.
+    assert keep_one(spark.createDataFrame([(1, t), (1, t + " a"), (1, t + " b")], "doc_id long, text string")).count() == 1
+
+
+def df_lit(x):
+    from pyspark.sql import functions as F
+
+    return F.lit(x)
+
+
 def test_components(spark):
     r = random.Random(1)
     edges = [(i, i + 1) for i in range(40)] + [(100, 7), (200, 201), (201, 200)] + [(r.randrange(300, 320), r.randrange(300, 320)) for _ in range(12)]
