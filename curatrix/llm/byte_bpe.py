@@ -20,9 +20,8 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from .common import small_batches, table
+from .common import numbered, quoted, small_batches, table
 from .wordhash import pieces
 
 #: Distinct pre-tokens that a worker remembers as the newer half; the half before it is kept too, older ones are encoded again.
@@ -128,7 +127,7 @@ def byte_bpe(df: DataFrame, rank_file: bytes, pattern: str, text: str = "text",
     spark = df.sparkSession
     small_batches(spark)
     made = pa.schema([("n_tokens", pa.int64()), *[("token_ids", pa.binary())] * ids, ("ids_sha256", pa.string()), ("decoded_sha256", pa.string()), ("round_trip", pa.bool_())])
-    kept = [c for c in (keep if keep is not None else df.columns) if c not in made.names]
+    kept = [c for c in (keep if keep is not None else df.columns) if c.lower() not in made.names]
     given = spark.sparkContext.broadcast((rank_file, pattern))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,7 +145,7 @@ def byte_bpe(df: DataFrame, rank_file: bytes, pattern: str, text: str = "text",
 
     kinds = {"n_tokens": LongType(), "token_ids": BinaryType(), "round_trip": BooleanType()}
     schema = StructType([*(df.schema[c] for c in kept), *(StructField(n, kinds.get(n, StringType())) for n in made.names)])
-    return df.select(*(F.col(f"`{c}`") for c in kept), F.col(text).alias("__text")).mapInArrow(run, schema)
+    return numbered(df, kept, quoted(text)).mapInArrow(run, schema)
 
 
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

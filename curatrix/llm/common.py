@@ -35,26 +35,79 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+#: What stored() and bucketed() have written: path -> table's name, or None.
+_WRITTEN: dict[str, str | None] = {}
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it again: cuts lineage, survives lost executors, and is computed once."""
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    _WRITTEN[path] = None
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def written() -> set[str]:
+    """What the operators have written so far and not discarded."""
+    return {*_WRITTEN}
+
+
+def discard(spark: SparkSession, *paths: str) -> None:
+    """Delete such folders, with their tables. Results that haven't been computed yet read from them."""
+    for path in paths:
+        if path in _WRITTEN:
+            if (name := _WRITTEN.pop(path)) is not None:
+                spark.sql(f"DROP TABLE IF EXISTS {name}")
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def source_of(df: DataFrame) -> set[str]:
+    """The folder that stored() gave df."""
+    return {p for p in _WRITTEN for f in df.inputFiles()[:1] if f"{p.split(':', 1)[-1].lstrip('/')}/" in f}
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, made longer until df has no column of that name in any case."""
+    have = {c.lower() for c in df.columns}
+    out = []
+    for n in names:
+        while n.lower() in have:
+            n += "_"
+        have.add(n.lower())
+        out.append(n)
+    return out
+
+
+def others(df: DataFrame, *names: str) -> list[str]:
+    """df's columns without those of such names, in any case."""
+    return [c for c in df.columns if c.lower() not in {n.lower() for n in names}]
+
+
+def quoted(name: str) -> Column:
+    """The column of exactly that name, whatever is in it."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
     """Like stored(), in a table bucketed by key: joins on it don't move its rows. The table's files are in the shared folder too."""
     name = f"{name}_{uuid.uuid4().hex}"
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/{name}"
     df.write.bucketBy(shuffle_partitions(df.sparkSession), key).option("path", path).option("compression", "zstd").format("parquet").saveAsTable(name)
+    _WRITTEN[path] = name
     return df.sparkSession.table(name)
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Arrow batches of few rows, so that a batch of very long texts stays small in a Python worker."""
+    """Arrow batches of few rows, so that a batch of very long texts stays small in a Python worker. The session keeps the setting: plans read it when they run."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def numbered(df: DataFrame, names: list[str], *more: Column) -> DataFrame:
+    """The columns of those names as c0, c1, ..., then more: input of a function on Arrow batches, which can't name every column."""
+    return df.select(*(quoted(c).alias(f"c{i}") for i, c in enumerate(names)), *(c.alias(f"c{len(names) + i}") for i, c in enumerate(more)))

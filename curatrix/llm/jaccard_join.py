@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bucketed, small_batches, stored, table
+from .common import bucketed, discard, small_batches, source_of, stored, table
 from .wordhash import Words, buffers, mix, ngrams, pieces
 
 #: Counters: at least and at most 2^these (64 MB broadcast), and words of the corpus for each in between.
@@ -128,15 +128,20 @@ def components(edges: DataFrame) -> DataFrame:
     table of one row a key: by broadcast if that is small, else in a join that can be split.
     """
     edges = stored(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "edges")
+    spent: list[DataFrame] = []
 
     def lowest(e: DataFrame) -> DataFrame:
         low = stored(e.groupBy("u").agg(F.min("v").alias("m")), "edges-low")
+        spent.append(low)
         return F.broadcast(low) if ROW_BYTES * low.count() <= BROADCAST_BYTES else low
 
     while True:
-        before = edges
+        for old in spent:
+            discard(edges.sparkSession, *source_of(old))
+        before, spent = edges, [edges]
         large = edges.join(lowest(edges).withColumnRenamed("u", "v"), "v", "left").select("u", F.coalesce("m", "v").alias("v")).filter("u <> v").distinct()
         large = stored(large, "edges")
+        spent.append(large)
         low = lowest(large)
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.withColumnRenamed("m", "v")).filter("u <> v").distinct()
         edges = stored(small, "edges")

@@ -6,7 +6,7 @@ each window), and every occurrence but the first has its lines covered. Overlapp
 merge, covered lines go. Windows are judged on the input, not on what is left.
 
 Hot windows: those held by over 1/HOT_SHARE of all repeated occurrences (so fewer than
-HOT_SHARE of them, which bounds the broadcast) meet their occurrences in a broadcast join;
+HOT_SHARE of them, at about 100 bytes, which bounds the broadcast to 1 MB) meet their occurrences in a broadcast join;
 the rest meet in a shuffled join, whose keys are then small.
 """
 
@@ -15,10 +15,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import others, quoted, stored, table, unused
 
 LINES = 3
-HOT_SHARE, HOT_ROWS = 100_000, 64
+HOT_SHARE, HOT_ROWS = 10_000, 64
 EDGES = " \t\n\x0b\x0c\r"
 
 
@@ -45,10 +45,11 @@ def line_dedup(df: DataFrame, id_col: str = "doc_id", text: str = "text", n: int
     that share an identifier but not a text are ordered by the text's digest. If all lines
     go, the text is empty. An empty table stays empty. Other columns stay as they are.
     """
-    keep = [F.col(f"`{c}`") for c in df.columns if c not in (text, "n_lines", "n_removed")]
-    key = F.struct(F.col(id_col).alias("id"), F.md5(F.coalesce(F.col(text), F.lit(""))).alias("m"))
-    lines = F.transform(F.split(F.col(text), "\n"), lambda x: F.btrim(x, F.lit(EDGES)))
-    occurs = df.filter(F.instr(text, "\n") > 0).select(key.alias("__k"), lines.alias("__lines")).select("__k", F.explode(_windows("__lines", n)).alias("__w"))
+    keep = [quoted(c) for c in others(df, text, "n_lines", "n_removed")]
+    id_of, text_of = quoted(id_col), quoted(text)
+    key = F.struct(id_of.alias("id"), F.md5(F.coalesce(text_of, F.lit(""))).alias("m"))
+    lines = F.transform(F.split(text_of, "\n"), lambda x: F.btrim(x, F.lit(EDGES)))
+    occurs = df.filter(F.instr(text_of, "\n") > 0).select(key.alias("__k"), lines.alias("__lines")).select("__k", F.explode(_windows("__lines", n)).alias("__w"))
     occurs = occurs.select(F.col("__w.h").alias("__h"), F.struct("__k", "__w.at").alias("__p"))
     ends = occurs.groupBy("__h").agg(F.min("__p").alias("__first"), F.max("__p").alias("__last"), F.count(F.lit(1)).alias("__n"))
     repeated = stored(ends.filter(F.col("__first") != F.col("__last")).drop("__last"), "line-windows")
@@ -60,14 +61,17 @@ def line_dedup(df: DataFrame, id_col: str = "doc_id", text: str = "text", n: int
     gone = covered.groupBy("__k").agg(F.collect_set("at").alias("__at"))
     gone = gone.select(F.col("__k.id").alias("__id"), F.col("__k.m").alias("__m"), F.flatten(F.transform("__at", lambda i: F.sequence(i, i + n - 1))).alias("__gone"))
     # The lines cross the join in place of the text, so that they are split once.
-    whole = df.select(*keep, F.col(id_col).alias("__key"), F.split(F.col(text), "\n").alias("__raw"), F.md5(F.coalesce(F.col(text), F.lit(""))).alias("__m2"))
-    both = whole.join(gone, whole["__key"].eqNullSafe(gone["__id"]) & (whole["__m2"] == gone["__m"]), "left")
-    left = F.array_except(F.sequence(F.lit(0), F.size("__raw") - 1), F.col("__gone"))
-    thin = F.transform(left, lambda i: F.element_at("__raw", i + 1))
+    k, raw, m = unused(df, "__key", "__raw", "__m2")
+    gone_id, gone_m, at = unused(df.select("*", F.lit(0).alias(k), F.lit(0).alias(raw), F.lit(0).alias(m)), "__id", "__m", "__gone")
+    gone = gone.select(F.col("__id").alias(gone_id), F.col("__m").alias(gone_m), F.col("__gone").alias(at))
+    whole = df.select(*keep, id_of.alias(k), F.split(text_of, "\n").alias(raw), F.md5(F.coalesce(text_of, F.lit(""))).alias(m))
+    both = whole.join(gone, F.col(k).eqNullSafe(F.col(gone_id)) & (F.col(m) == F.col(gone_m)), "left")
+    left = F.array_except(F.sequence(F.lit(0), F.size(raw) - 1), F.col(at))
+    thin = F.transform(left, lambda i: F.element_at(raw, i + 1))
     count = lambda x: F.coalesce(x, F.lit(0)).cast("long")
     return both.select(
-        *keep, F.array_join(F.when(F.col("__gone").isNull(), F.col("__raw")).otherwise(thin), "\n").alias(text),
-        count(F.when(F.col("__raw").isNotNull(), F.size("__raw"))).alias("n_lines"), count(F.when(F.col("__gone").isNotNull(), F.size(F.array_distinct("__gone")))).alias("n_removed"),
+        *keep, F.array_join(F.when(F.col(at).isNull(), F.col(raw)).otherwise(thin), "\n").alias(text),
+        count(F.when(F.col(raw).isNotNull(), F.size(raw))).alias("n_lines"), count(F.when(F.col(at).isNotNull(), F.size(F.array_distinct(at)))).alias("n_removed"),
     )
 
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, table
+from .common import numbered, others, quoted, small_batches, table
 from .wordhash import Words, buffers, mix, ngrams, pieces
 
 BITS = 20
@@ -90,7 +90,12 @@ def fit(examples: list[tuple[np.ndarray, np.ndarray, int]], bits: int = BITS, ep
 
 
 def train(labelled: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "quality", bits: int = BITS, sample: int = SAMPLE, epochs: int = EPOCHS) -> np.ndarray:
-    """Weights from at most `sample` rows with a label of 0 or 1, those with the smallest hash of identifier. Rows of one label or none give zero weights (score 0.5)."""
+    """Weights from at most `sample` rows with a label of 0 or 1, those with the smallest hash of identifier.
+
+    Rows of one label or none, and an empty table, give zero weights (score 0.5). Null texts
+    count as empty, very long ones are whole; rows without a label of 0 or 1 are left out,
+    repeated ones count as often as they come. Ties of the hash go by label, then text.
+    """
     small_batches(labelled.sparkSession)
     rows = labelled.filter(F.col(label).isin(0, 1)).select(F.xxhash64(id_col).alias("k"), F.col(label).cast("int").alias("y"), F.col(text).alias("t"))
     keyed = rows.orderBy("k", "y", F.xxhash64("t")).limit(sample)
@@ -108,8 +113,8 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text: str = "text", label
     return np.frombuffer(found[0], np.float32) if found else np.zeros(1 << bits, np.float32)
 
 
-def score(df: DataFrame, weights: np.ndarray, text: str = "text") -> DataFrame:
-    """df with the column score double, the chance that the text's label is 1.
+def score(df: DataFrame, weights: np.ndarray, text: str = "text", out: str = "score") -> DataFrame:
+    """df with the column `out` double, the chance that the text's label is 1.
 
     A column of that name is replaced. A null text counts as empty; empty texts get the
     intercept's score. Repeated rows get equal scores; an empty table stays empty.
@@ -118,19 +123,19 @@ def score(df: DataFrame, weights: np.ndarray, text: str = "text") -> DataFrame:
     small_batches(spark)
     bits = len(weights).bit_length() - 1
     given = spark.sparkContext.broadcast(weights)
-    kept = [c for c in df.columns if c != "score"]
+    kept = others(df, out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches, len(kept)):
             at, x, off = features(b.column(len(kept)), bits)
             total = np.add.reduceat(given.value[at] * x, off[:-1])
             p = 1 / (1 + np.exp(-np.clip(total, -35, 35)))
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(kept))), pa.array(p)], names=[*kept, "score"])
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(kept))), pa.array(p)], names=[*kept, out])
 
     from pyspark.sql.types import DoubleType, StructField, StructType
 
-    schema = StructType([*(df.schema[c] for c in kept), StructField("score", DoubleType())])
-    return df.select(*(F.col(f"`{c}`") for c in kept), F.col(text).alias("__text")).mapInArrow(run, schema)
+    schema = StructType([*(df.schema[c] for c in kept), StructField(out, DoubleType())])
+    return numbered(df, kept, quoted(text)).mapInArrow(run, schema)
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE, held_out: bool = True) -> DataFrame:

@@ -17,7 +17,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import others, quoted, table, unused
 
 SLOTS, MAX_SLOTS = 65_537, 1_000_003
 #: The shards of the registered query; one has double weight.
@@ -61,12 +61,13 @@ def shard(df: DataFrame, key: str, shards: Sequence[str] | Mapping[str, int], sl
     """
     names, entry = list(shards), fill(shards, slots)
     lookup = F.split(F.lit(",".join(map(str, entry))), ",")
+    at, name = unused(df, "__slot", "__shard")
     claimed = df.sparkSession.range(0, slots, 1, 1).select(
-        F.col("id").cast("int").alias("__slot"), F.element_at(F.split(F.lit(",".join(names)), ","), F.element_at(lookup, F.col("id").cast("int") + 1).cast("int") + 1).alias("__shard")
+        F.col("id").cast("int").alias(at), F.element_at(F.split(F.lit(",".join(names)), ","), F.element_at(lookup, F.col("id").cast("int") + 1).cast("int") + 1).alias(name)
     )
-    keep = [F.col(f"`{c}`") for c in df.columns if c not in ("slot", "shard")]
-    placed = df.withColumn("__slot", slot_of(F.col(key), slots))
-    return placed.join(F.broadcast(claimed), "__slot").select(*keep, F.col("__slot").alias("slot"), F.col("__shard").alias("shard"))
+    keep = [quoted(c) for c in others(df, "slot", "shard")]
+    placed = df.withColumn(at, slot_of(quoted(key), slots))
+    return placed.join(F.broadcast(claimed), at).select(*keep, F.col(at).alias("slot"), F.col(name).alias("shard"))
 
 
 def op2_shard_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:

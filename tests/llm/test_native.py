@@ -1,11 +1,13 @@
 import random
 from collections import defaultdict
 
+import numpy as np
 import pytest
 from oracle import assert_same
 
 from curatrix.llm.exact_dedup import exact_dedup
 from curatrix.llm.line_dedup import line_dedup
+from curatrix.llm.quality import score
 from curatrix.llm.registry import ORACLES, QUERIES
 from curatrix.llm.sharding import fill, shard
 
@@ -63,6 +65,22 @@ def test_line_dedup_cases(spark):
     assert line_dedup(df.limit(0)).count() == 0
 
 
+NAMES = ["__key", "__raw", "__m2", "__gone", "__id", "__m", "__k", "__h", "__w", "__lines", "__slot", "__shard", "__text", "__TEXT", "id", "raw", "h", "salt", "head", "best", "size", "sha", "keep", "total", "N_LINES", "n_removed", "a.b", "Score", "slot", "ids_sha256"]
+
+
+@pytest.mark.parametrize("name", NAMES)
+def test_no_name_clashes(spark, name):
+    rows = [(1, "a\nb\nc\nd", "x"), (2, "A\na\nb\nc", None), (None, None, "y")]
+    df = spark.createDataFrame(rows, f"doc_id long, text string, `{name}` string")
+    assert sorted(r.n_removed for r in line_dedup(df).collect()) == [0, 0, 3]
+    assert exact_dedup(df).count() == 3 and shard(df, "doc_id", ["p", "q"], 7).count() == 3
+    assert [r[-1] for r in score(df, np.zeros(16, np.float32)).collect()] == [0.5] * 3
+    given = {str(r[0]): r[2] for r in df.collect()}
+    if name not in ("N_LINES", "n_removed", "slot"):
+        for out in (line_dedup(df), shard(df, "doc_id", ["p", "q"], 7)):
+            assert {str(r.doc_id): r[name] for r in out.collect()} == given
+
+
 def test_shards(spark):
     names = [f"s{i}" for i in range(20)]
     a, b = fill(names, 1009), fill(names[:-1], 1009)
