@@ -3,14 +3,23 @@
 Texts become token sequences: A-Z, À-Þ lower-cased, punctuation dropped. Three canonical forms
 are made: numbers and the units that follow them as placeholders; besides that names, once
 capitalised words inside a sentence, once all capitalised words that aren't function words, as
-names open sentences and lines too. Windows of WINDOW tokens of the benchmark's items are
-hash-joined with those of the documents. Where they meet, slots must be consistent: every
-value of an item's slot stands for one value in the document; windows against the majority
-value don't count, unless they have the item's own values. A document holds an item if SHARE
-of the item's windows count, or RUN tokens in a row do; first without the third form, then
-with it. Numbers are tokens with a digit and number words. A window with names needs no number
-of literals: one without any is not looked up by itself but counts where it continues a hit,
-and an item whose counted tokens are other names for the most part (RENAMED) is not held.
+names open sentences and lines too. Numbers are tokens with a digit and number words.
+
+Windows of WINDOW tokens of the benchmark's items are hash-joined with those of the documents by
+seeds: of every GROUP consecutive windows of an item the one with a literal that is rarest in
+the benchmark, so a hit of SHARE of an item's windows or of RUN tokens holds a seed. A window of
+numbers and units alone is joined by its own values. A seed that an item repeats is joined at
+its first place in the item, with the first of each stretch of its places in a document. Seeds that
+meet give a diagonal (item and document in step); along it all windows of the item are compared in
+every form, those of placeholders alone too. A window of the item that no diagonal has counts
+at its place nearest to one. So the work is linear in the windows and diagonals.
+
+Slots must be consistent: every value of an item's slot stands for one value in the document;
+windows against the majority value don't count, unless they have the item's own values. A
+document holds an item if SHARE of the item's windows count, or RUN tokens in a row do; first
+without the third form, then with it. An item whose counted tokens are other names for the most
+part (RENAMED) is not held. An item of fewer than WINDOW tokens is held where a sentence or a line
+has just its words.
 
 The item side is joined as a broadcast sorted hash index. Its size is checked: items are cut
 into blocks of at most INDEX_BYTES of text and each block is run against all documents, so no
@@ -27,10 +36,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, table
+from .common import numbered, quoted, small_batches, table
 from .wordhash import TO_LOWER, Words, buffers, ngrams, pieces
 
 WINDOW, SHARE, RUN = 5, 0.8, 13
+#: Of so many consecutive windows one is a seed: RUN tokens hold a whole group, and fewer than 1 - SHARE of the windows can't be all seeds.
+GROUP = 4
 #: An item with more than this share of its counted tokens renamed is not held: such are lists of names.
 RENAMED = 0.6
 INDEX_BYTES, PIECE_BYTES = 16 << 20, 1 << 20
@@ -90,26 +101,37 @@ class Templates:
         plain = np.where(number, _NUM, np.where(unit, _UNIT, h))
         n = len(words) - WINDOW + 1
         whole = words.doc[:n] == words.doc[WINDOW - 1 :] if n > 0 else np.zeros(0, bool)
-        self.at = np.flatnonzero(whole)
         first = ngrams(plain, WINDOW)
-        self.plain, self.whole = first[self.at], whole
-
-        def form(name: np.ndarray, salt: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-            """Places and hashes of the windows that hold a name and a literal; all windows' hashes; which hold no literal."""
-            other, literal = ngrams(np.where(name, _NAME, plain), WINDOW), count((self.slot == 0) & ~name)
-            bare = whole & (literal[WINDOW : WINDOW + len(whole)] == literal[: len(whole)])
-            some = self.at[(other != first)[self.at] & ~bare[self.at]]
-            return some, other[some] ^ np.uint64(salt), other, bare
-
-        self.named_at, self.named, *strict = form(self.name, 0x5851F42D4C957F2D)
-        self.wide_at, self.wide, *every = form(wide, 0x14057B7EF767814F)
-        self.forms = (strict, every)
+        self.whole = whole
+        exact = ngrams(h, WINDOW)
+        self.exact_words = h
+
+        def bare(name: np.ndarray) -> np.ndarray:
+            """Which windows hold no literal."""
+            literal = count((self.slot == 0) & ~name)
+            return whole & (literal[WINDOW : WINDOW + len(whole)] == literal[: len(whole)])
+
+        nothing = np.zeros(len(words), bool)
+        #: The windows' hashes in each form, and those to join by; zero where the form has nothing of its own.
+        self.forms, self.joined, self.bare = [first], [np.where(bare(nothing), exact ^ np.uint64(0x2545F4914F6CDD1D), first)], bare(wide | self.name)
+        for name, salt in ((self.name, 0x5851F42D4C957F2D), (wide, 0x14057B7EF767814F)):
+            other = ngrams(np.where(name, _NAME, plain), WINDOW)
+            self.forms.append(other)
+            self.joined.append(np.where((other != first) & ~bare(name), other ^ np.uint64(salt), np.uint64(0)))
         self.name = self.name | wide
         self.begin = np.searchsorted(words.doc, np.arange(len(offsets)), side="left")
+        self.opens = np.flatnonzero(opens | np.concatenate([[True], words.doc[1:] != words.doc[:-1]])) if len(words) else np.zeros(0, np.int64)
 
     def value(self, i: int) -> bytes:
         return self.words.data[self.words.starts[i] : self.words.ends[i]].tobytes()
 
+    def sentences(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """First tokens and hashes of the sentences and lines of 1, 2, ... WINDOW - 1 tokens."""
+        size = np.diff(np.append(self.opens, len(self.words)))
+        for n in range(1, WINDOW):
+            at = self.opens[size == n]
+            yield at, ngrams(self.exact_words, n)[at] if len(at) else np.zeros(0, np.uint64)
+
 
 def _hashes_of(names: list[str]) -> np.ndarray:
     data, offsets = buffers(pa.array(names))
@@ -125,42 +147,96 @@ UNIT_HASHES, NUMBER_HASHES, FUNCTION_HASHES = (_hashes_of(x) for x in (UNITS, NU
 
 
 class Index:
-    """Window hashes of benchmark items, sorted, with the item and window of each."""
+    """Seeds of benchmark items by hash, sorted, for each form, and the items' windows."""
 
     def __init__(self, items: list[tuple[int, str]]):
         self.ids = [i for i, _ in items]
         t = Templates(pa.array([x for _, x in items], pa.string()))
-        hashes = np.concatenate([t.plain, t.named, t.wide])
-        at = np.concatenate([t.at, t.named_at, t.wide_at])
-        order = np.argsort(hashes, kind="stable")
-        self.hashes, self.at = hashes[order], at[order]
-        self.item = t.words.doc[self.at]
         self.windows = np.maximum(np.diff(t.begin) - WINDOW + 1, 0)
-        self.begin = t.begin
-        # Windows without a literal, by form: place and hash.
-        self.bare = [{int(i): int(h[i]) for i in np.flatnonzero(bare)} for h, bare in t.forms]
+        self.begin, self.forms, self.bare = t.begin, t.forms, t.bare
         self.slots = {int(i): (int(t.slot[i]) or 3, t.value(int(i))) for i in np.flatnonzero((t.slot > 0) | t.name)}
+        self.short = {n: {} for n in range(1, WINDOW)}
+        size = np.diff(t.begin)
+        for i in np.flatnonzero((size > 0) & (size < WINDOW)):
+            key = int(ngrams(t.exact_words[t.begin[i] : t.begin[i + 1]], int(size[i]))[0])
+            self.short[int(size[i])].setdefault(key, []).append(int(i))
+        # The rarest window with a literal of each group of windows of an item.
+        at = np.flatnonzero(t.whole)
+        item = t.words.doc[at]
+        _, back, times = np.unique(t.joined[0][at], return_inverse=True, return_counts=True)
+        group = (at - t.begin[item]) // GROUP
+        order = np.lexsort((at, times[back], t.bare[at], group, item))
+        new = np.ones(len(order), bool)
+        new[1:] = (item[order][1:] != item[order][:-1]) | (group[order][1:] != group[order][:-1])
+        seeds = np.sort(at[order[new]]) if len(at) else at
+        self.seeds = []
+        for joined in t.joined:
+            own = seeds[joined[seeds] != 0]
+            by = np.lexsort((own, t.words.doc[own], joined[own]))
+            h, place, of = joined[own][by], own[by], t.words.doc[own][by]
+            first = np.ones(len(h), bool)
+            first[1:] = (h[1:] != h[:-1]) | (of[1:] != of[:-1])
+            # (hash, place, item) of the first of equal seeds of an item; hashes that an item repeats.
+            self.seeds.append((h[first], place[first], of[first], np.unique(h[~first])))
 
     def find(self, t: Templates) -> Iterator[tuple[int, int, int, int, float]]:
         """(document, item number, first and end token in the document, share of the item's windows)."""
-        strict, every = ({}, {})
-        for into, at, h in ((strict, t.at, t.plain), (strict, t.named_at, t.named), (every, t.wide_at, t.wide)):
-            lo, hi = np.searchsorted(self.hashes, h, "left"), np.searchsorted(self.hashes, h, "right")
-            for k in np.flatnonzero(hi > lo):
-                for j in range(lo[k], hi[k]):
-                    into.setdefault((int(t.words.doc[at[k]]), int(self.item[j])), set()).add((int(at[k]), int(self.at[j])))
-        for doc, item in dict.fromkeys([*strict, *every]):
-            pairs: set[tuple[int, int]] = set()
-            for more, bare, (hashes, _) in zip((strict, every), self.bare, t.forms, strict=True):
-                before = len(pairs)
-                pairs |= more.get((doc, item), set())
-                if bare:
-                    _extend(pairs, bare, hashes, t.whole, self.begin[item], self.begin[item + 1])
-                if len(pairs) > before and (row := self._held(t, item, pairs)):
+        for n, (at, h) in enumerate(t.sentences(), 1):
+            if self.short[n] and len(at):
+                seen = set()
+                for k in np.flatnonzero(np.isin(h, np.fromiter(self.short[n], np.uint64))):
+                    doc = int(t.words.doc[at[k]])
+                    for item in self.short[n][int(h[k])]:
+                        if (doc, item) not in seen:
+                            seen.add((doc, item))
+                            start = int(at[k] - t.begin[doc])
+                            yield doc, item, start, start + n, 1.0
+        steps: dict[tuple[int, int], set[int]] = defaultdict(set)
+        for (have, place, of, repeated), joined in zip(self.seeds, t.joined, strict=True):
+            if not len(have) or not len(joined):
+                continue
+            at = np.flatnonzero(t.whole & (joined[: len(t.whole)] != 0) & _among(joined[: len(t.whole)], have))
+            at = at[~_stretched(joined[at], at, t.words.doc[at], repeated)]
+            lo, hi = np.searchsorted(have, joined[at], "left"), np.searchsorted(have, joined[at], "right")
+            for d, i, j in zip(at.tolist(), lo.tolist(), hi.tolist(), strict=True):
+                doc = int(t.words.doc[d])
+                for k in range(i, j):
+                    steps[doc, int(of[k])].add(d - int(place[k]))
+        for (doc, item), by in steps.items():
+            strict, every = self._pairs(t, doc, item, sorted(by))
+            for pairs in (strict, every) if len(every) > len(strict) else (strict,):
+                if pairs and (row := self._held(t, item, pairs)):
                     start = int(t.begin[doc])
                     yield doc, item, row[0] - start, row[1] - start, row[2]
                     break
 
+    def _pairs(self, t: Templates, doc: int, item: int, steps: list[int]) -> tuple[set[tuple[int, int]], set[tuple[int, int]]]:
+        """The places (document, item) where windows of both are equal in the first two forms, and in any."""
+        first, n = int(self.begin[item]), int(self.windows[item])
+        begin, end = int(t.begin[doc]), int(np.searchsorted(t.words.doc, doc, side="right")) - WINDOW + 1
+        found: tuple[set, set] = (set(), set())
+        for step in steps:
+            i, j = max(first, begin - step), min(first + n, end - step)
+            if i >= j:
+                continue
+            same = [f[i + step : j + step] == g[i:j] for f, g in zip(t.forms, self.forms, strict=True)]
+            for into, hit in zip(found, (same[0] | same[1], same[0] | same[1] | same[2]), strict=True):
+                into.update((int(x) + step, int(x)) for x in np.flatnonzero(hit) + i)
+        for into, forms in zip(found, ((0, 1), (0, 1, 2)), strict=True):
+            have = {i for _, i in into}
+            rest = [i for i in range(first, first + n) if i not in have and not self.bare[i]]
+            for f in forms if rest else ():
+                mine = t.forms[f][begin:end]
+                order = np.argsort(mine, kind="stable")
+                values = self.forms[f][rest]
+                lo, hi = np.searchsorted(mine[order], values, "left"), np.searchsorted(mine[order], values, "right")
+                for x, i, j in zip(rest, lo.tolist(), hi.tolist(), strict=True):
+                    if i < j:
+                        places = order[i:j] + begin
+                        away = np.abs(places[:, None] - x - np.array(steps)[None, :]).min(axis=1) if (j - i) * len(steps) <= 1 << 20 else np.abs(places - x - steps[0])
+                        into.add((int(places[int(np.argmin(away))]), x))
+        return found
+
     def _held(self, t: Templates, item: int, pairs: set[tuple[int, int]]) -> tuple[int, int, float] | None:
         """First and end token and share, if these pairs of windows suffice."""
         most = len({i for _, i in pairs}) / self.windows[item]
@@ -185,14 +261,15 @@ class Index:
         return None
 
 
-def _extend(pairs: set[tuple[int, int]], bare: dict[int, int], hashes: np.ndarray, whole: np.ndarray, first: int, end: int) -> None:
-    """Add the windows without a literal that continue the pairs of one item (tokens first to end)."""
-    for d, i in list(pairs):
-        for step in (-1, 1):
-            x, y = d + step, i + step
-            while first <= y < end and 0 <= x < len(whole) and whole[x] and (x, y) not in pairs and bare.get(y) == int(hashes[x]):
-                pairs.add((x, y))
-                x, y = x + step, y + step
+def _stretched(h: np.ndarray, at: np.ndarray, doc: np.ndarray, repeated: np.ndarray) -> np.ndarray:
+    """Which windows (hash, place, document) an item repeats and the document had at most 2 WINDOW places before."""
+    out = np.zeros(len(h), bool)
+    if not len(h) or not len(repeated):
+        return out
+    order = np.lexsort((at, doc, h))
+    close = (h[order][1:] == h[order][:-1]) & (doc[order][1:] == doc[order][:-1]) & (at[order][1:] - at[order][:-1] <= 2 * WINDOW)
+    out[order[1:]] = close
+    return out & _among(h, repeated)
 
 
 def _longest(pairs: set[tuple[int, int]]) -> int:
@@ -209,13 +286,15 @@ def _longest(pairs: set[tuple[int, int]]) -> int:
 def leaks(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", index_bytes: int = INDEX_BYTES) -> DataFrame:
     """One row for each document and item it holds: id_col, item_id, start_token, end_token, share.
 
-    Null and empty texts hold nothing; an item under WINDOW tokens, a null one or one without
-    identifier is never held. Rows with a null identifier are reported with it. Repeated rows
+    Null and empty texts hold nothing; a null or empty item or one without identifier is never
+    held. An item under WINDOW tokens is held (share 1) by a text with a sentence or line of
+    just its words. Slots with equally many votes for two values take the item's own, then the
+    smallest. Rows with a null identifier are reported with it. Repeated rows
     of documents or items give repeated rows. An empty table gives an empty result; other
     columns are ignored.
     """
     small_batches(df.sparkSession)
-    docs = df.select(F.col(id_col).cast("long").alias("__id"), F.col(text).alias("__text"))
+    docs = df.select(quoted(id_col).cast("long").alias("id"), quoted(text).alias("text"))
     out = None
     for index in _indices(benchmark, item_id, item_text, index_bytes):
 
@@ -239,9 +318,14 @@ def _indices(benchmark: DataFrame, item_id: str, item_text: str, index_bytes: in
 
 
 def decontaminate(df: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", index_bytes: int = INDEX_BYTES) -> DataFrame:
-    """df without the rows whose text holds an item; a map for each block of items, no shuffle."""
+    """df without the rows whose text holds an item, as leaks() tells; a map for each block of items, no shuffle.
+
+    Rows with a null or empty text stay, as do all if the benchmark is empty; a null identifier
+    doesn't matter. Repeated rows share one verdict, repeated items change nothing, an empty
+    table stays empty. Columns may have any name.
+    """
     small_batches(df.sparkSession)
-    at, names, schema = df.columns.index(text), df.columns, df.schema
+    at, schema = df.columns.index(text), df.schema
     for index in _indices(benchmark, item_id, item_text, index_bytes):
 
         def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
@@ -249,8 +333,8 @@ def decontaminate(df: DataFrame, benchmark: DataFrame, text: str = "text", item_
                 held = {r[0] for r in index.find(Templates(b.column(at)))}
                 yield b.filter(pa.array([i not in held for i in range(b.num_rows)])) if held else b
 
-        df = df.mapInArrow(run, schema)
-    return df.select(*(f"`{c}`" for c in names))
+        df = numbered(df, df.columns).mapInArrow(run, schema)
+    return df
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

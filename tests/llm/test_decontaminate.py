@@ -71,3 +71,37 @@ def test_names_number_words_and_lists(spark):
     ]
     df = spark.createDataFrame(docs, "doc_id long, text string")
     assert {(r.doc_id, r.item_id) for r in leaks(df, spark.createDataFrame(items, "item_id long, text string")).collect()} == {(1, 0), (2, 1), (4, 2)}
+
+
+def test_short_items(spark):
+    items = [(0, "Red kites circle!"), (1, "Why"), (2, "the old mill road"), (3, "!"), (4, "Chapter 3 begins"), (5, "red kites circle")]
+    docs = [(1, "Dusk. Red kites circle. Then night."), (2, "Red kites circle over us"), (3, "why\nnot"), (4, "We took the old mill road."), (5, "chapter 4 begins"), (6, "Chapter 3 begins\nwhy. Why?"), (7, "The Old Mill Road")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = sorted((r.doc_id, r.item_id, r.start_token, r.end_token) for r in leaks(df, spark.createDataFrame(items, "item_id long, text string")).collect())
+    assert got == [(1, 0, 1, 4), (1, 5, 1, 4), (3, 1, 0, 1), (6, 1, 3, 4), (6, 4, 0, 3), (7, 2, 0, 4)]
+
+
+def test_tables_of_numbers_and_repeats_are_linear():
+    """10^5 numbers, zeros and repeated words against items of a tenth of that."""
+    import time
+
+    import pyarrow as pa
+
+    from curatrix.llm.decontaminate import Index, Templates
+
+    r = random.Random(2)
+    numbers, zeros, words = " ".join(str(r.randrange(10**6)) for _ in range(100_000)), "0 " * 100_000, "ab cd " * 50_000
+    items = [" ".join(numbers.split()[500:10_500]), "0 " * 10_000, "ab cd " * 5_000, " ".join(str(r.randrange(10**6)) for _ in range(10_000)), "0 " * 9 + "end of it all then " + "0 " * 9]
+    start = time.time()
+    found = {(d, i) for d, i, *_ in Index(list(enumerate(items))).find(Templates(pa.array([numbers, zeros, words, "so " + "0 " * 40 + "end of it all then " + "0 " * 40])))}
+    assert found == {(0, 0), (1, 1), (2, 2), (3, 4), (3, 1)}  # forty zeros are a run of item 1
+    assert time.time() - start < 40
+
+
+def test_pieces_out_of_step(spark):
+    """Words put in shift the rest of an item: every piece counts."""
+    r = random.Random(3)
+    item = [f"word{r.randrange(10**6)}" for _ in range(60)]
+    docs = [(1, item[:30] + ["put", "in"] + item[30:]), (2, item[30:] + item[:30]), (3, item[:20] + ["x"] + item[20:40] + ["y"] + item[40:]), (4, [x for k in range(0, 60, 4) for x in [*item[k : k + 4], "z"]]), (5, item[:13]), (6, item[:12])]
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in docs], "doc_id long, text string")
+    assert {x.doc_id for x in leaks(df, spark.createDataFrame([(0, " ".join(item))], "item_id long, text string")).collect()} == {1, 2, 3, 5}
