@@ -9,9 +9,13 @@ cover are then removed from the texts.
 Shuffled: about (window + run - 1) / run words per window, run near (window - mer + 2) / 2,
 compressed, then the texts once. Strings that repeat inside one map partition are resolved
 there (only the earliest travels), so a passage in a third of all documents sends one row a
-partition to its bucket. Buckets are as many as the total size asks for; their memory is
-bounded by BUCKET_BYTES times the unevenness of minimisers. Windows are compared by two
-independent 64-bit hashes of their words.
+partition to its bucket. Buckets are as many as the total size asks for. Their sizes are counted
+in a first pass; a bucket over HOT times the size meant for one (a phrase of low hash in
+very many different texts) is split: its strings travel as windows, by two independent 64-bit
+hashes of their words, to as many parts as its size asks for, chosen by that hash. Equal windows have
+equal hashes, so each part alone is exact too, and of equal windows in a map partition only
+the earliest travels. So a worker holds at most about HOT BUCKET_BYTES of strings, or as
+much of windows.
 """
 
 from __future__ import annotations
@@ -23,13 +27,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shuffle_partitions, small_batches, table
+from .common import shuffle_partitions, small_batches, stored, table
 from .wordhash import BASES, Words, buffers, mix, ngrams, pieces, powers, ranges, release
 
 WINDOW, MER = 20, 4
 #: Packed bytes that a bucket is meant for, that a mapper gathers before it sends, and text bytes that it works on at a time.
 BUCKET_BYTES, PACK_BYTES, PIECE_BYTES = 8 << 20, 24 << 20, 1 << 20
 LEVEL = 5
+#: A bucket of over so many times BUCKET_BYTES is split. The list of such buckets is sent to all tasks; if it were over LIST_BYTES, at 16 a bucket, twice as many times would count.
+HOT, LIST_BYTES = 3, 32 << 20
 _INVERSE = pow(BASES[0], -1, 1 << 64)
 NO_ID = np.iinfo(np.int64).min
 
@@ -40,6 +46,7 @@ def _pack(columns: dict[str, np.ndarray]) -> bytes:
 
 
 _PACKED = {"doc": np.int64, "row": np.int64, "start": np.int32, "words": np.int32, "bytes": np.int32, "text": np.uint8}
+_WINDOWS = {"doc": np.int64, "row": np.int64, "start": np.int32, "one": np.uint64, "two": np.uint64}
 _COVER = {"doc": np.int64, "row": np.int64, "start": np.int32, "words": np.int32}
 
 
@@ -77,8 +84,48 @@ def _spans(n: int) -> Iterator[tuple[int, bool]]:
         have += step
 
 
-def _strings(b: pa.RecordBatch, window: int, mer: int, buckets: int) -> dict[str, np.ndarray] | None:
-    """The super-k-mers of a batch (identifier, row, text), with their bucket, two keys and packed words."""
+class Hot:
+    """Buckets that are split, ascending, and the number of parts of each; a part is a bucket by itself, numbered after all others."""
+
+    def __init__(self, buckets: int, which: np.ndarray, parts: np.ndarray):
+        self.buckets, self.which, self.parts = buckets, which, parts
+        self.first = buckets + np.cumsum(parts) - parts
+
+    def among(self, bucket: np.ndarray) -> np.ndarray:
+        if not len(self.which):
+            return np.zeros(len(bucket), bool)
+        return self.which[np.minimum(np.searchsorted(self.which, bucket), len(self.which) - 1)] == bucket
+
+    def part(self, bucket: np.ndarray, h: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(self.which, bucket)
+        return self.first[at] + (mix(h) % self.parts[at].astype(np.uint64)).astype(np.int64)
+
+
+def _sizes(batches: Iterator[pa.RecordBatch], window: int, mer: int, buckets: int) -> Iterator[pa.RecordBatch]:
+    """Bytes of strings for each bucket."""
+    total: dict[int, int] = {}
+    for b in pieces(batches, 0, PIECE_BYTES):
+        words = Words(*buffers(b.column(0)))
+        first, count, low = super_kmers(words.hashes(), words.doc, window, mer)
+        if len(first):
+            at, back = np.unique((mix(low) % np.uint64(buckets)).astype(np.int64), return_inverse=True)
+            size = np.bincount(back, weights=words.ends[first + count + window - 2] - words.starts[first])
+            for k, v in zip(at.tolist(), size.tolist(), strict=True):
+                total[k] = total.get(k, 0) + int(v)
+    yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array(list(total.values()), pa.int64())], names=["bucket", "bytes"])
+
+
+def hot_buckets(docs: DataFrame, window: int, mer: int, buckets: int, bucket_bytes: int) -> Hot:
+    sizes = stored(docs.select("text").mapInArrow(lambda it: _sizes(it, window, mer, buckets), "bucket long, bytes long").groupBy("bucket").agg(F.sum("bytes").alias("bytes")), "substring-sizes")
+    most = HOT * bucket_bytes
+    while 16 * sizes.filter(F.col("bytes") > most).count() > LIST_BYTES:
+        most *= 2
+    found = sorted((r.bucket, r.bytes) for r in sizes.filter(F.col("bytes") > most).collect())
+    return Hot(buckets, np.array([k for k, _ in found], np.int64), np.array([-(-v // bucket_bytes) for _, v in found], np.int64))
+
+
+def _strings(b: pa.RecordBatch, window: int, mer: int, hot: Hot) -> tuple[dict[str, np.ndarray], dict[str, np.ndarray]] | None:
+    """Of a batch (identifier, row, text): the super-k-mers with their bucket, two keys and packed words, and the windows of those in buckets that are split."""
     ids = b.column(0).fill_null(int(NO_ID)).to_numpy(zero_copy_only=False).astype(np.int64)
     rows = b.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
     data, offsets = buffers(b.column(2))
@@ -86,51 +133,82 @@ def _strings(b: pa.RecordBatch, window: int, mer: int, buckets: int) -> dict[str
     first, count, low = super_kmers(h := words.hashes(), words.doc, window, mer)
     if not len(first):
         return None
+    begin = np.searchsorted(words.doc, np.arange(len(ids)), side="left")
+    bucket = (mix(low) % np.uint64(hot.buckets)).astype(np.int64)
+    second = words.hashes(1)
+    split = hot.among(bucket)
+    at = ranges(first[split], count[split])
+    one, two = (ngrams(x, window)[at] if len(at) else np.zeros(0, np.uint64) for x in (h, second))
+    of = words.doc[at]
+    singles = {"doc": ids[of], "row": rows[of], "start": (at - begin[of]).astype(np.int32), "bucket": hot.part(np.repeat(bucket[split], count[split]), one), "one": one, "two": two}
+    first, count, bucket = first[~split], count[~split], bucket[~split]
     length = count + window - 1
     doc = words.doc[first]
-    start = first - np.searchsorted(words.doc, np.arange(len(ids)), side="left")[doc]
     left, size = words.starts[first], words.ends[first + length - 1] - words.starts[first]
-    out = {"doc": ids[doc], "row": rows[doc], "start": start.astype(np.int32), "words": length.astype(np.int32), "bytes": size.astype(np.int32), "bucket": (mix(low) % np.uint64(buckets)).astype(np.int64)}
+    out = {"doc": ids[doc], "row": rows[doc], "start": (first - begin[doc]).astype(np.int32), "words": length.astype(np.int32), "bytes": size.astype(np.int32), "bucket": bucket}
     up, down = powers(BASES[0], len(h) + 1), powers(_INVERSE, len(h) + 1)
-    for k, x in (("one", h), ("two", words.hashes(1))):
+    for k, x in (("one", h), ("two", second)):
         total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(x * up[:-1], dtype=np.uint64)])
         out[k] = mix((total[first + length] - total[first]) * down[first] + length.astype(np.uint64))
-    return out | {"text": data[ranges(left, size)]}
+    return out | {"text": data[ranges(left, size)]}, singles
 
 
-def _map(batches: Iterator[pa.RecordBatch], window: int, mer: int, buckets: int) -> Iterator[pa.RecordBatch]:
-    held: list[dict[str, np.ndarray]] = []
+def _map(batches: Iterator[pa.RecordBatch], window: int, mer: int, hot: Hot) -> Iterator[pa.RecordBatch]:
+    held: list[tuple[dict[str, np.ndarray], dict[str, np.ndarray]]] = []
+    size = 0
     for b in pieces(batches, 2, PIECE_BYTES):
-        if (x := _strings(b, window, mer, buckets)) is not None:
+        if (x := _strings(b, window, mer, hot)) is not None:
             held.append(x)
-        if sum(len(x["text"]) for x in held) >= PACK_BYTES:
-            yield _by_bucket(held)
-            held = []
-    if held:
-        yield _by_bucket(held)
+            size += len(x[0]["text"]) + 44 * len(x[1]["doc"])
+        if size >= PACK_BYTES:
+            yield from _by_bucket(held, window)
+            size = 0
+    yield from _by_bucket(held, window)
 
 
-def _by_bucket(held: list[dict[str, np.ndarray]]) -> pa.RecordBatch:
-    """A row of packed strings for each bucket. Of equal strings only the earliest travels; what the others cover is settled here."""
-    x = {k: np.concatenate([p[k] for p in held]) for k in held[0]}
-    held.clear()
-    at = np.cumsum(x["bytes"].astype(np.int64)) - x["bytes"]
+def _earliest(x: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Rows that come first of those with equal keys (one, two), and rows that repeat an earlier one elsewhere."""
     order = np.lexsort((x["start"], x["row"], x["doc"], x["two"], x["one"]))
     key = x["one"][order], x["two"][order]
-    head = np.concatenate([[True], (key[0][1:] != key[0][:-1]) | (key[1][1:] != key[1][:-1])])
+    head = np.ones(len(order), bool)
+    head[1:] = (key[0][1:] != key[0][:-1]) | (key[1][1:] != key[1][:-1])
     lead = order[np.maximum.accumulate(np.where(head, np.arange(len(order)), 0))]
     same = (x["doc"][order] == x["doc"][lead]) & (x["row"][order] == x["row"][lead]) & (x["start"][order] == x["start"][lead])
-    settled, sent = np.sort(order[~head & ~same]), np.sort(order[head])
-    sent = sent[np.argsort(x["bucket"][sent], kind="stable")]
+    return np.sort(order[head]), np.sort(order[~head & ~same])
+
+
+def _stretches(x: dict[str, np.ndarray], who: np.ndarray, window: int) -> dict[str, np.ndarray]:
+    """The stretches of words that these windows cover, neighbours as one."""
+    who = who[np.lexsort((x["start"][who], x["row"][who], x["doc"][who]))]
+    doc, row, start = (x[k][who] for k in ("doc", "row", "start"))
+    cut = np.ones(len(who), bool)
+    cut[1:] = (doc[1:] != doc[:-1]) | (row[1:] != row[:-1]) | (start[1:] > start[:-1] + 1)
+    head = np.flatnonzero(cut)
+    last = np.append(head[1:], len(who))[: len(head)] - 1
+    return {"doc": doc[head], "row": row[head], "start": start[head], "words": (start[last] - start[head] + window).astype(np.int32)}
+
+
+def _by_bucket(held: list[tuple[dict[str, np.ndarray], dict[str, np.ndarray]]], window: int) -> Iterator[pa.RecordBatch]:
+    """A row of packed strings or windows for each bucket. Of equal ones only the earliest travels; what the others cover is settled here."""
+    if not held:
+        return
+    x, singles = ({k: np.concatenate([p[i][k] for p in held]) for k in held[0][i]} for i in (0, 1))
+    held.clear()
+    at = np.cumsum(x["bytes"].astype(np.int64)) - x["bytes"]
     out = []
-    cuts = np.flatnonzero(np.diff(x["bucket"][sent], prepend=-1, append=-1))
-    for i, j in zip(cuts[:-1], cuts[1:], strict=True):
-        who = sent[i:j]
-        parts = {k: x[k][who] for k in ("doc", "row", "start", "words", "bytes")} | {"text": x["text"][ranges(at[who], x["bytes"][who].astype(np.int64))]}
-        out.append((int(x["bucket"][who[0]]), _pack(parts), None))
-    if len(settled):
-        out.append((int(x["bucket"][settled[0]]), None, _pack({k: x[k][settled] for k in _COVER})))
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "packed", "cover"])
+    for y, text in ((x, True), (singles, False)):
+        sent, settled = _earliest(y)
+        sent = sent[np.argsort(y["bucket"][sent], kind="stable")]
+        cuts = np.flatnonzero(np.diff(y["bucket"][sent], prepend=-1, append=-1))
+        for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+            who = sent[i:j]
+            parts = {k: y[k][who] for k in (_PACKED if text else _WINDOWS) if k != "text"}
+            parts |= {"text": x["text"][ranges(at[who], x["bytes"][who].astype(np.int64))]} if text else {}
+            out.append((int(y["bucket"][who[0]]), _pack(parts), text, None))
+        if len(settled):
+            out.append((int(y["bucket"][settled[0]]), None, None, _pack({k: y[k][settled] for k in _COVER} if text else _stretches(y, settled, window))))
+    kinds = (pa.int64(), pa.binary(), pa.bool_(), pa.binary())
+    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["bucket", "packed", "strings", "cover"])
 
 
 def later_windows(parts: list[dict[str, np.ndarray]], window: int) -> dict[str, np.ndarray]:
@@ -144,30 +222,24 @@ def later_windows(parts: list[dict[str, np.ndarray]], window: int) -> dict[str,
     words = Words(data, np.concatenate([[0], np.cumsum(size)]))
     n = len(words) - window + 1
     at = np.flatnonzero(words.doc[:n] == words.doc[window - 1 :])
-    one, two = (ngrams(words.hashes(w), window)[at] for w in (0, 1))
     run = words.doc[at]
     first_word = np.searchsorted(words.doc, np.arange(len(size)), side="left")
-    where = start[run] + (at - first_word[run])
-    by = np.lexsort((np.arange(len(at)), two, one))
-    again = np.zeros(len(at), bool)
-    if len(by) > 1:
-        group = np.concatenate([[True], (one[by][1:] != one[by][:-1]) | (two[by][1:] != two[by][:-1])])
-        head = by[np.maximum.accumulate(np.where(group, np.arange(len(by)), 0))]
-        r, f = run[by], run[head]
-        again[by] = (doc[r] != doc[f]) | (row[r] != row[f]) | (where[by] != where[head])
-    hit = np.flatnonzero(again)
-    cut = np.concatenate([[True], (run[hit][1:] != run[hit][:-1]) | (where[hit][1:] != where[hit][:-1] + 1)]) if len(hit) else np.zeros(0, bool)
-    head = np.flatnonzero(cut)
-    many = np.diff(np.append(head, len(hit)))
-    who = hit[head]
-    return {"doc": doc[run[who]], "row": row[run[who]], "start": where[who].astype(np.int32), "words": (many + window - 1).astype(np.int32)}
+    one, two = (ngrams(words.hashes(w), window)[at] for w in (0, 1))
+    return again({"doc": doc[run], "row": row[run], "start": (start[run] + (at - first_word[run])).astype(np.int32), "one": one, "two": two}, window)
+
+
+def again(x: dict[str, np.ndarray], window: int) -> dict[str, np.ndarray]:
+    """The stretches that windows (doc, row, start, one, two) cover which also start earlier."""
+    return _stretches(x, _earliest(x)[1], window)
 
 
 def _reduce(group: pa.Table, window: int) -> pa.Table:
-    packed = [_unpack(x, _PACKED) for x in group.column("packed").to_pylist() if x is not None]
+    packed = [(_unpack(x, _PACKED if s else _WINDOWS), s) for x, s in zip(group.column("packed").to_pylist(), group.column("strings").to_pylist(), strict=True) if x is not None]
     covers = [_unpack(x, _COVER) for x in group.column("cover").to_pylist() if x is not None]
-    if packed:
-        covers.append(later_windows(packed, window))
+    if strings := [x for x, s in packed if s]:
+        covers.append(later_windows(strings, window))
+    if singles := [x for x, s in packed if not s]:
+        covers.append(again({k: np.concatenate([x[k] for x in singles]) for k in _WINDOWS}, window))
     x = {k: np.concatenate([c[k] for c in covers]) for k in _COVER}
     ids = pa.array(x["doc"], mask=x["doc"] == NO_ID)
     release()
@@ -201,7 +273,8 @@ def substring_dedup(df: DataFrame, id_col: str = "doc_id", text: str = "text", w
     docs = df.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("row"), F.coalesce(text, F.lit("")).alias("text"))
     size = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     buckets = max(1, 3 * size // bucket_bytes)
-    packed = docs.mapInArrow(lambda it: _map(it, window, mer, buckets), "bucket long, packed binary, cover binary")
+    hot = hot_buckets(docs, window, mer, buckets, bucket_bytes)
+    packed = docs.mapInArrow(lambda it: _map(it, window, mer, hot), "bucket long, packed binary, strings boolean, cover binary")
     tasks = max(shuffle_partitions(spark), min(buckets, 3 * size // (64 << 20)))
     covers = packed.repartition(tasks, "bucket").groupBy("bucket").applyInArrow(lambda g: _reduce(g, window), "doc long, row long, start int, words int")
     spans = covers.groupBy("doc", "row").agg(F.collect_set(F.struct("start", "words")).alias("spans"))

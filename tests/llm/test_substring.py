@@ -5,6 +5,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+from curatrix.llm import substring_dedup as S
 from curatrix.llm.substring_dedup import op6_substring_dedup, substring_dedup
 from curatrix.llm.wordhash import Words, buffers, pieces
 
@@ -54,3 +55,29 @@ def test_cases(spark, window, mer):
     got = sorted((x.doc_id or -1, x.n_removed) for x in substring_dedup(same, window=window, mer=mer).collect())
     assert got == [(-1, 0), (1, 7), (1, 7), (1, 7), (2, 0)]
     assert substring_dedup(df.limit(0)).count() == 0
+
+
+def test_a_phrase_in_every_text_is_split(spark):
+    """Texts with nothing in common but four words of low hash: their strings share a minimiser."""
+    r = random.Random(8)
+    low = min((tuple(r.choice("abcdefgh") + str(r.randrange(99)) for _ in range(4)) for _ in range(20_000)), key=lambda w: int(S.ngrams(Words(*buffers(pa.array([" ".join(w)]))).hashes(), 4)[0]))
+    docs = [(i, " ".join([*(f"u{r.randrange(10**9)}" for _ in range(25)), *low, *(f"u{r.randrange(10**9)}" for _ in range(25))])) for i in range(3000)]
+    docs += [(5000 + i, docs[i][1] + " z") for i in range(0, 3000, 100)]
+    df = spark.createDataFrame([(i, 0, t) for i, t in docs], "doc long, row long, text string").repartition(8)
+    size = sum(len(t) for _, t in docs)
+    buckets, meant = 16, size // 16
+    hot = S.hot_buckets(df, 20, 4, buckets, meant)
+    assert len(hot.which) >= 1 and hot.parts.max() > 3
+
+    def most(hot):
+        packed = df.mapInArrow(lambda it: S._map(it, 20, 4, hot), "bucket long, packed binary, strings boolean, cover binary")
+        held = {}
+        for x in packed.filter("packed is not null").collect():
+            y = S._unpack(x.packed, S._PACKED if x.strings else S._WINDOWS)
+            held[x.bucket] = held.get(x.bucket, 0) + (len(y["text"]) if x.strings else 20 * len(y["doc"]))
+        return max(held.values())
+
+    whole = most(S.Hot(buckets, np.zeros(0, np.int64), np.zeros(0, np.int64)))
+    assert whole > 3 * S.HOT * meant and most(hot) <= S.HOT * meant
+    got = {x.doc_id: x.n_removed for x in substring_dedup(df.withColumnRenamed("doc", "doc_id"), bucket_bytes=meant).collect()}
+    assert got == {i: x[1] for i, x in brute(docs).items()}
