@@ -89,11 +89,11 @@ def quoted(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
-def bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
+def bucketed(df: DataFrame, name: str, key: str, buckets: int | None = None) -> DataFrame:
     """Like stored(), in a table bucketed by key: joins on it don't move its rows. The table's files are in the shared folder too."""
     name = f"{name}_{uuid.uuid4().hex}"
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/{name}"
-    df.write.bucketBy(shuffle_partitions(df.sparkSession), key).option("path", path).option("compression", "zstd").format("parquet").saveAsTable(name)
+    df.write.bucketBy(buckets or shuffle_partitions(df.sparkSession), key).option("path", path).option("compression", "zstd").format("parquet").saveAsTable(name)
     _WRITTEN[path] = name
     return df.sparkSession.table(name)
 
