@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,14 +37,27 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: What stored() and bucketed() have written: path -> table's name, or None.
 _WRITTEN: dict[str, str | None] = {}
 
 
+@contextlib.contextmanager
+def _tidy(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of what is written meanwhile go once it is: nothing reads them again."""
+    before = spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_CLEANUP, before)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it again: cuts lineage, survives lost executors, and is computed once."""
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    with _tidy(df.sparkSession):
+        df.write.option("compression", "zstd").parquet(path)
     _WRITTEN[path] = None
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -93,7 +108,8 @@ def bucketed(df: DataFrame, name: str, key: str, buckets: int | None = None) ->
     """Like stored(), in a table bucketed by key: joins on it don't move its rows. The table's files are in the shared folder too."""
     name = f"{name}_{uuid.uuid4().hex}"
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/{name}"
-    df.write.bucketBy(buckets or shuffle_partitions(df.sparkSession), key).option("path", path).option("compression", "zstd").format("parquet").saveAsTable(name)
+    with _tidy(df.sparkSession):
+        df.write.bucketBy(buckets or shuffle_partitions(df.sparkSession), key).option("path", path).option("compression", "zstd").format("parquet").saveAsTable(name)
     _WRITTEN[path] = name
     return df.sparkSession.table(name)
 
