@@ -167,14 +167,24 @@ def _map(batches: Iterator[pa.RecordBatch], window: int, mer: int, hot: Hot) ->
 
 
 def _earliest(x: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Rows that come first of those with equal keys (one, two), and rows that repeat an earlier one elsewhere."""
-    order = np.lexsort((x["start"], x["row"], x["doc"], x["two"], x["one"]))
-    key = x["one"][order], x["two"][order]
+    """Rows that come first of those with equal keys (one, two), and rows that repeat an earlier one elsewhere; both ascending."""
+    doc, row, start = x["doc"], x["row"], x["start"]
+    later = (doc[1:] > doc[:-1]) | (doc[1:] == doc[:-1]) & ((row[1:] > row[:-1]) | (row[1:] == row[:-1]) & (start[1:] >= start[:-1]))
+    by = None if later.all() else np.lexsort((start, row, doc))
+    one, two, doc, row, start = (v if by is None else v[by] for v in (x["one"], x["two"], doc, row, start))
+    order = np.argsort(one)
     head = np.ones(len(order), bool)
-    head[1:] = (key[0][1:] != key[0][:-1]) | (key[1][1:] != key[1][:-1])
-    lead = order[np.maximum.accumulate(np.where(head, np.arange(len(order)), 0))]
-    same = (x["doc"][order] == x["doc"][lead]) & (x["row"][order] == x["row"][lead]) & (x["start"][order] == x["start"][lead])
-    return np.sort(order[head]), np.sort(order[~head & ~same])
+    head[1:] = one[order[1:]] != one[order[:-1]]
+    first = np.minimum.reduceat(order, np.flatnonzero(head)) if len(order) else order
+    lead = first[np.cumsum(head) - 1]
+    if not (two[order] == two[lead]).all():  # equal by the first key alone
+        order = np.lexsort((two, one))
+        head[1:] = (one[order[1:]] != one[order[:-1]]) | (two[order[1:]] != two[order[:-1]])
+        first = np.minimum.reduceat(order, np.flatnonzero(head))
+        lead = first[np.cumsum(head) - 1]
+    same = (doc[order] == doc[lead]) & (row[order] == row[lead]) & (start[order] == start[lead])
+    again = order[~same]
+    return (np.sort(first), np.sort(again)) if by is None else (np.sort(by[first]), np.sort(by[again]))
 
 
 def _stretches(x: dict[str, np.ndarray], who: np.ndarray, window: int) -> dict[str, np.ndarray]:

@@ -51,3 +51,54 @@ def test_held_out(spark):
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in rows)
     held = [r for r in rows if r.held_out and r.doc_id in label]
     assert len(held) > 80 and sum(r.predicted == label[r.doc_id] for r in held) / len(held) > 0.93
+
+
+def test_query_by_plain_dictionaries(spark, sf):
+    """The whole query again: features by name, weights in dictionaries, one coordinate at a time."""
+    from collections import Counter, defaultdict
+
+    from pyspark.sql import functions as F
+
+    from curatrix.llm.quality import ALPHA, BETA, BITS, EPOCHS, L1, L2, shape_hashes
+    from curatrix.llm.wordhash import Words, buffers
+
+    m64 = (1 << 64) - 1
+
+    def mix(x):
+        x &= m64
+        x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & m64
+        x = (x ^ x >> 27) * 0x94D049BB133111EB & m64
+        return x ^ x >> 31
+
+    pair = lambda a, b: mix((a * 0x2545F4914F6CDD1D + b & m64) + 2)
+    seen = {}
+
+    def of(word):
+        if word not in seen:
+            w = Words(*buffers(pa.array([word])))
+            seen[word] = int(w.hashes()[0]), int(shape_hashes(w)[0])
+        return seen[word]
+
+    def vector(text):
+        words = [of(w.decode()) for w in (text or "").encode().split()]
+        near = list(zip(words, words[1:], strict=False))
+        names = [(0, w) for w, _ in words] + [(1, s) for _, s in words] + [(2, pair(a[0], b[0])) for a, b in near] + [(3, pair(a[1], b[1])) for a, b in near] + [(4, mix(5 + (a[0] == b[0]))) for a, b in near]
+        counts = Counter([0] + [mix(h + k) >> 64 - BITS for k, h in names])
+        return {i: math.sqrt(c / sum(counts.values())) for i, c in counts.items()}
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", F.xxhash64("doc_id").alias("k")).collect()
+    label = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    learn = [(vector(r.text), label[r.doc_id]) for r in sorted(docs, key=lambda r: r.k) if r.doc_id in label and zlib.crc32(str(r.doc_id).encode()) % 3 != 1]
+    z, n = defaultdict(float), defaultdict(float)
+    weight = lambda i: 0.0 if abs(z[i]) <= L1 else -(z[i] - math.copysign(L1, z[i])) / ((BETA + math.sqrt(n[i])) / ALPHA + L2)
+    for _ in range(EPOCHS):
+        for x, y in learn:
+            w = {i: weight(i) for i in x}
+            p = 1 / (1 + math.exp(-sum(w[i] * v for i, v in x.items())))
+            for i, v in x.items():
+                g = (p - y) * v
+                z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / ALPHA * w[i]
+                n[i] += g * g
+    want = {r.doc_id: 1 / (1 + math.exp(-sum(weight(i) * v for i, v in vector(r.text).items()))) for r in docs}
+    got = {r.doc_id: r.score for r in op4_quality(spark, sf).collect()}
+    assert got.keys() == want.keys() and all(math.isclose(got[i], want[i], abs_tol=1e-4) for i in want)

@@ -81,3 +81,15 @@ def test_a_phrase_in_every_text_is_split(spark):
     assert whole > 3 * S.HOT * meant and most(hot) <= S.HOT * meant
     got = {x.doc_id: x.n_removed for x in substring_dedup(df.withColumnRenamed("doc", "doc_id"), bucket_bytes=meant).collect()}
     assert got == {i: x[1] for i, x in brute(docs).items()}
+
+
+def test_earliest():
+    r = np.random.default_rng(4)
+    for two in (np.zeros(400, np.uint64), r.integers(0, 3, 400).astype(np.uint64)):
+        x = {"doc": r.integers(0, 9, 400), "row": r.integers(0, 2, 400), "start": r.integers(0, 30, 400).astype(np.int32), "one": r.integers(0, 40, 400).astype(np.uint64), "two": two}
+        place = list(zip(x["doc"].tolist(), x["row"].tolist(), x["start"].tolist(), strict=True))
+        key = list(zip(x["one"].tolist(), x["two"].tolist(), strict=True))
+        first = {k: min(p for p, q in zip(place, key, strict=True) if q == k) for k in key}
+        sent, again = S._earliest(x)
+        assert [i for i in range(400) if place[i] != first[key[i]]] == again.tolist()
+        assert sorted(key[i] for i in sent) == sorted(first) and all(place[i] == first[key[i]] for i in sent)
