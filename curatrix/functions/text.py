@@ -47,19 +47,25 @@ def strip_tag(line: Column, tags: Sequence[str]) -> Column:
     return F.regexp_replace(line, rf"(?i)^\s*[\[\(]?({'|'.join(tags)})[\]\)]?\s*[:\-]?\s*", "")
 
 
-def shingles(text: Column, n: int = 3) -> Column:
-    """Distinct word n-grams of the lower-cased text; fewer words: the distinct words.
+def _windows(w: Column, n: int) -> Column:
+    """Structs w0, w1, ... of each n neighbouring words: zipped with their shifts, as a slice inside a lambda would be made anew for every n-gram."""
+    shifted = (F.slice(w, i + 1, F.greatest(F.size(w) - i, F.lit(0))).alias(f"w{i}") for i in range(1, n))
+    return F.slice(F.arrays_zip(w.alias("w0"), *shifted), 1, F.greatest(F.size(w) - n + 1, F.lit(0)))
 
-    The words are zipped with their shifts: a slice inside a lambda would split the text anew
-    for every n-gram.
-    """
+
+def shingles(text: Column, n: int = 3) -> Column:
+    """Distinct word n-grams of the lower-cased text; fewer words: the distinct words."""
     w = words(F.lower(text))
-    shifted = (F.slice(w, i + 1, F.greatest(F.size(w) - i, F.lit(0))).alias(f"w{i}") for i in range(1, n))
-    zipped = F.slice(F.arrays_zip(w.alias("w0"), *shifted), 1, F.greatest(F.size(w) - n + 1, F.lit(0)))
-    grams = F.transform(zipped, lambda z: F.concat_ws(" ", *(z[f"w{i}"] for i in range(n))))
+    grams = F.transform(_windows(w, n), lambda z: F.concat_ws(" ", *(z[f"w{i}"] for i in range(n))))
     return F.array_distinct(F.when(F.size(w) < n, w).otherwise(grams))
 
 
+def shingle_hashes(w: Column, n: int = 3) -> Column:
+    """The shingles of a column of words as 64-bit hashes. Give the words as a column of their own, or they are split once for every use."""
+    grams = F.transform(_windows(w, n), lambda z: F.xxhash64(*(z[f"w{i}"] for i in range(n))))
+    return F.array_distinct(F.when(F.size(w) < n, F.transform(w, lambda x: F.xxhash64(x))).otherwise(grams))
+
+
 def jaccard(a: Column, b: Column) -> Column:
     """Share of common elements of two sets; 0 if either is empty."""
     empty = (F.size(a) == 0) | (F.size(b) == 0)

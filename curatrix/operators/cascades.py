@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from curatrix.functions import text as T
 from curatrix.functions.vectors import argmax, cosine, euclidean, margin, mean_vector
-from curatrix.operators.dedup import greedy_keep
+from curatrix.operators.dedup import greedy_keep, shingle_pairs
 from curatrix.operators.neighbors import nearest, pair_distances
 
 
@@ -68,12 +68,8 @@ def main_cascade(df: DataFrame, tokens: str = "tokens", sim: str = "sim", anchor
 
 
 def batch_duplicates(df: DataFrame, batch: str, id_col: str, order: str, text: str = "text", n: int = 3, threshold: float = 0.85) -> DataFrame:
-    """df with kept: within a batch, in order, a row goes if its shingles are nearly those of a kept one. Pairs come from an equi-join on shingles within the batch."""
-    s = df.select(F.col(batch).alias("__b"), F.col(id_col).alias("__i"), T.shingles(F.col(text), n).alias("s")).select("__b", "__i", F.size("s").alias("__m"), F.explode("s").alias("__g"))
-    x, y = s.alias("x"), s.alias("y")
-    on = (F.col("x.__b") == F.col("y.__b")) & (F.col("x.__g") == F.col("y.__g")) & (F.col("x.__i") < F.col("y.__i"))
-    k = x.join(y, on).groupBy(F.col("x.__i").alias("a"), F.col("y.__i").alias("b")).agg(F.count(F.lit(1)).alias("k"), F.first("x.__m").alias("m"), F.first("y.__m").alias("n"))
-    return greedy_keep(df, k.filter(F.col("k") / (F.col("m") + F.col("n") - F.col("k")) > threshold).select("a", "b"), id_col, order)
+    """df with kept: within a batch, in order, a row goes if its shingles are nearly those of a kept one."""
+    return greedy_keep(df, shingle_pairs(df, batch, id_col, text, n, threshold).select("a", "b"), id_col, order)
 
 
 def grace(df: DataFrame, spec: str, id_col: str, k: int = 1, tokens: str = "tokens", sim: str = "sim", anchor: str = "anchor_sim", neighbour: str = "neighbour_sim", proba: str = "proba", target: str = "target", other: str = "other_sim", min_tokens: int = 15, max_tokens: int = 180, least_anchor: float = 0.35, least_score: float = 0.45, least_conf: float = 0.35, least_margin: float = 0.10, repel: float = 0.60) -> DataFrame:

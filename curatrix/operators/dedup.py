@@ -17,15 +17,57 @@ def exact_keep_first(df: DataFrame, text: str, order: list[Column]) -> DataFrame
     return df.withColumn("__r", F.row_number().over(first)).filter("__r = 1").drop("__r")
 
 
+def shingle_sets(df: DataFrame, key: dict[str, str], text: str, n: int) -> DataFrame:
+    """The columns of key (new name -> column), s: the hashed shingles of the text, m: how many."""
+    w = df.select(*(F.col(c).alias(k) for k, c in key.items()), T.words(F.lower(F.col(text))).alias("w"))
+    return w.select(*key, T.shingle_hashes(F.col("w"), n).alias("s")).withColumn("m", F.size("s"))
+
+
+def _prefixes(sets: DataFrame, rare: DataFrame, on: list[str], threshold: float) -> DataFrame:
+    """Postings of those shingles of each set that one of two sets this similar must share: without the threshold's share of the most frequent. rare: how often a shingle is on the other side (c); others come before all."""
+    posts = sets.select(*[c for c in on if c != "g"], "i", "m", F.explode("s").alias("g")).join(rare, on)
+    mine = Window.partitionBy("i")
+    ranked = posts.withColumns({"r": F.row_number().over(mine.orderBy("c", "g")), "k": F.count(F.lit(1)).over(mine)})
+    return ranked.filter((F.col("k") > threshold * F.col("m")) & (F.col("m") - F.col("k") + F.col("r") <= F.col("m") - F.floor(F.col("m") * threshold))).select(*on, "i", "m")
+
+
+def _jaccard(pairs: DataFrame, left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, jaccard) of the pairs of sets over the threshold."""
+    both = pairs.join(left.select(F.col("i").alias("a"), F.col("s").alias("x")), "a").join(right.select(F.col("i").alias("b"), F.col("s").alias("y")), "b")
+    k = both.withColumn("k", F.size(F.array_intersect("x", "y"))).select("a", "b", (F.col("k") / (F.size("x") + F.size("y") - F.col("k"))).alias("jaccard"))
+    return k.filter(F.col("jaccard") > threshold).groupBy("a", "b").agg(F.max("jaccard").alias("jaccard"))
+
+
+def _similar_size(threshold: float):
+    return (F.col("x.m") > threshold * F.col("y.m")) & (F.col("y.m") > threshold * F.col("x.m"))
+
+
 def shingle_join(left: DataFrame, right: DataFrame, left_id: str, right_id: str, text: str = "text", n: int = 3, threshold: float = 0.85) -> DataFrame:
-    """(left_id, right_id, jaccard) of pairs over the threshold: an equi-join on hashed shingles, counted with partial aggregation. Rows without a common shingle never meet."""
-    def sets(df, key):
-        s = df.select(F.col(key), T.shingles(F.col(text), n).alias("s"))
-        return s.select(key, F.size("s").alias(f"n_{key}"), F.explode("s").alias("g")).withColumn("g", F.xxhash64("g"))
-
-    a, b = sets(left, left_id), sets(right, right_id)
-    both = a.join(b, "g").groupBy(left_id, right_id).agg(F.count(F.lit(1)).alias("k"), F.first(f"n_{left_id}").alias("x"), F.first(f"n_{right_id}").alias("y"))
-    return both.withColumn("jaccard", F.col("k") / (F.col("x") + F.col("y") - F.col("k"))).filter(F.col("jaccard") > threshold).select(left_id, right_id, "jaccard")
+    """(left_id, right_id, jaccard) of pairs over the threshold.
+
+    Shingles are counted on the right side. Left rows with too few of them go in one pass; of the
+    others and of the right rows only the rarest shingles are joined (prefix filter), with a
+    filter by size, and what meets is verified on the whole sets. A frequent shingle thus
+    multiplies nothing unless it is among the rarest of its set.
+    """
+    a, b = shingle_sets(left, {"i": left_id}, text, n), shingle_sets(right, {"i": right_id}, text, n)
+    rare = stored(b.select(F.explode("s").alias("g")).groupBy("g").agg(F.count(F.lit(1)).alias("c")), "shingles")
+    able = a.select("i", "m", F.explode("s").alias("g")).join(rare, "g").groupBy("i").agg(F.count(F.lit(1)).alias("k"), F.max("m").alias("m")).filter(F.col("k") > threshold * F.col("m"))
+    able = stored(able.select(F.col("i").alias("__able")), "shingle-candidates")
+    few = shingle_sets(left.join(able, F.col(left_id) == F.col("__able"), "left_semi"), {"i": left_id}, text, n)
+    x, y = _prefixes(few, rare, ["g"], threshold).alias("x"), _prefixes(b, rare, ["g"], threshold).alias("y")
+    pairs = x.join(y, (F.col("x.g") == F.col("y.g")) & _similar_size(threshold)).select(F.col("x.i").alias("a"), F.col("y.i").alias("b")).distinct()
+    return _jaccard(pairs, few, b, threshold).select(F.col("a").alias(left_id), F.col("b").alias(right_id), "jaccard")
+
+
+def shingle_pairs(df: DataFrame, group: str, id_col: str, text: str = "text", n: int = 3, threshold: float = 0.85) -> DataFrame:
+    """(a, b, jaccard), a < b: pairs of a group over the threshold, by the rarest shingles of each row within its group, as in shingle_join()."""
+    sets = shingle_sets(df, {"b": group, "i": id_col}, text, n)
+    rare = sets.select("b", F.explode("s").alias("g")).groupBy("b", "g").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
+    posts = stored(_prefixes(sets, rare, ["b", "g"], threshold), "shingle-prefixes")
+    x, y = posts.alias("x"), posts.alias("y")
+    met = x.join(y, (F.col("x.b") == F.col("y.b")) & (F.col("x.g") == F.col("y.g")) & (F.col("x.i") < F.col("y.i")) & _similar_size(threshold))
+    return _jaccard(met.select(F.col("x.i").alias("a"), F.col("y.i").alias("b")).distinct(), sets, sets, threshold)
 
 
 def greedy_keep(nodes: DataFrame, pairs: DataFrame, id_col: str, order: str | None = None) -> DataFrame:

@@ -119,7 +119,11 @@ def _(spark, d):
     return rounded(D.delta_distances(experiments(spark, d), "config", "seed", "delta"))
 
 
-@query("dv02_max_min_selection")
+@query("dv02_max_min_selection", f"""WITH {X}, v AS (SELECT config, seed, sum(delta) AS delta FROM x GROUP BY config, seed), s AS (SELECT config, avg(delta) AS m FROM x GROUP BY config),
+t AS (SELECT a.config AS a, b.config AS b, sqrt(greatest(0, any_value(a.q) + any_value(b.q) - 2 * coalesce(sum(va.delta * vb.delta), 0))) AS d FROM (SELECT config, sum(delta * delta) AS q FROM v GROUP BY config) a JOIN (SELECT config, sum(delta * delta) AS q FROM v GROUP BY config) b ON a.config <> b.config LEFT JOIN v va ON va.config = a.config LEFT JOIN v vb ON vb.config = b.config AND vb.seed = va.seed GROUP BY a.config, b.config),
+p0 AS (SELECT config FROM s ORDER BY m DESC, config LIMIT 1), p1 AS (SELECT t.a AS config FROM t JOIN p0 ON t.b = p0.config ORDER BY round(d, 9) DESC, t.a LIMIT 1),
+p2 AS (SELECT t.a AS config FROM t WHERE t.b IN (SELECT config FROM p0 UNION SELECT config FROM p1) AND t.a NOT IN (SELECT config FROM p0 UNION SELECT config FROM p1) GROUP BY t.a ORDER BY round(min(d), 9) DESC, t.a LIMIT 1)
+SELECT 0::INTEGER AS place, config FROM p0 UNION ALL SELECT 1::INTEGER, config FROM p1 UNION ALL SELECT 2::INTEGER, config FROM p2""")
 def _(spark, d):
     x = experiments(spark, d)
     scores = {r.config: r.m for r in x.groupBy("config").agg(F.avg("delta").alias("m")).collect()}
@@ -304,16 +308,112 @@ def _(spark, d):
     return cache.get_or_compute(key, lambda: emb(spark, d)).agg(F.count(F.lit(1)).alias("n"), F.sum("vec_id").alias("ids"))
 
 
-@query("xt01_encoder", "SELECT doc_id, round(1.0, 6)::DOUBLE AS length FROM documents WHERE length(text) > 0")
+def _fresh(spark, name: str) -> str:
+    import uuid
+
+    from curatrix.sources.storage import shared_dir
+
+    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+@query("io02_split_scan", "SELECT CASE WHEN doc_id % 5 = 0 THEN 'test' ELSE 'train' END AS part, lang AS label, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS chars FROM documents WHERE length(text) > 0 AND text NOT LIKE '%' || chr(13) || '%' GROUP BY ALL")
+def _(spark, d):
+    from curatrix.sources.corpus import read_split, write_synthetic
+
+    at, t = _fresh(spark, "split"), table(spark, d, "documents").filter("length(text) > 0 and instr(text, '\r') = 0").select("doc_id", c("lang").alias("label"), "text")
+    for part, test in (("train", "doc_id % 5 <> 0"), ("test", "doc_id % 5 = 0")):
+        write_synthetic(t.filter(test).drop("doc_id"), f"{at}/{part}")
+    return read_split(spark, f"{at}/train", f"{at}/test").groupBy("part", "label").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars"))
+
+
+@query("io03_overrides", "SELECT lang AS label, count(*) AS n FROM documents GROUP BY lang")
+def _(spark, d):
+    from curatrix.sources.corpus import read_overrides
+
+    at = _fresh(spark, "overrides")
+    n = table(spark, d, "documents").groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    n.agg(F.map_from_entries(F.collect_list(F.struct("lang", F.struct("n")))).alias("m")).select(F.to_json(F.struct(c("m").alias("overrides"))).alias("value")).coalesce(1).write.text(at)
+    return spark.createDataFrame([(k, v["n"]) for k, v in read_overrides(spark, at).items()], "label string, n long")
+
+
+@query("io04_cache_entries", "SELECT 'a' AS key, count(*) AS n, true AS kept, false AS after FROM embeddings WHERE label < 5 UNION ALL SELECT 'b', count(*), true, false FROM embeddings WHERE label >= 5")
+def _(spark, d):
+    from curatrix.sources.corpus import EmbeddingCache
+
+    cache, rows = EmbeddingCache(spark, _fresh(spark, "cache")), []
+    for key, test in (("a", "label < 5"), ("b", "label >= 5")):
+        cache.save(key, emb(spark, d).filter(test))
+    entries, size = cache.list(), cache.stats()
+    rows = [(k, cache.load(k).count(), cache.has(k) and size["entries"] == 2 and size["bytes"] > 0) for k in entries]
+    cache.clear()
+    return spark.createDataFrame([(*r, cache.has(r[0])) for r in rows], "key string, n long, kept boolean, after boolean")
+
+
+@query("io07_synthetic_csv", "SELECT lang AS label, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS chars, count(*) FILTER (doc_id % 3 = 0) AS empty FROM documents GROUP BY lang")
+def _(spark, d):
+    from curatrix.sources.corpus import write_synthetic
+
+    at = _fresh(spark, "synthetic")
+    t = table(spark, d, "documents").select(c("lang").alias("label"), F.regexp_replace("text", r"[\r\n]", " ").alias("text"), "n_chars", F.when(c("doc_id") % 3 != 0, 0.5).alias("knn_similarity"))
+    write_synthetic(t, at)
+    back = spark.read.csv(at, header=True, quote='"', escape='"', multiLine=True)
+    return back.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.sum(c("n_chars").cast("long")).alias("chars"), F.sum(c("knn_similarity").isNull().cast("long")).alias("empty"))
+
+
+RUNS = "WITH r AS (SELECT 'CMB' || r_regionkey AS config, s AS seed, CAST(r_regionkey * 10 + s AS DOUBLE) / 8 AS f1 FROM region, unnest([1, 2]) AS t(s))"
+
+
+def _runs(spark, d, at: str) -> None:
+    """A result file for each region and seed, named by them."""
+    from curatrix.sources.corpus import write_metrics
+
+    fs, path = None, spark._jvm.org.apache.hadoop.fs.Path
+    for r in table(spark, d, "region").collect():
+        for s in (1, 2):
+            part = f"{at}/.one"
+            write_metrics(spark.range(1).select(F.lit((r.r_regionkey * 10 + s) / 8).alias("f1"), F.lit(None).cast("double").alias("p"), F.create_map(F.lit("a"), F.lit(s)).alias("per_class")).coalesce(1), part)
+            fs = fs or path(part).getFileSystem(spark._jsc.hadoopConfiguration())
+            found = next(x.getPath() for x in fs.listStatus(path(part)) if x.getPath().getName().startswith("part-"))
+            fs.rename(found, path(f"{at}/CMB{r.r_regionkey}_s{s}_20240131.json"))
+    fs.delete(path(f"{at}/.one"), True)
+
+
+@query("io08_metrics_json", f"{RUNS} SELECT count(*) AS n, round(sum(f1), 6) AS f1, 0::BIGINT AS p, CAST(sum(seed) AS BIGINT) AS a FROM r")
+def _(spark, d):
+    at = _fresh(spark, "metrics")
+    _runs(spark, d, at)
+    back = spark.read.schema("f1 double, p double, per_class map<string, long>").json(at)
+    return back.agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("f1"), 6).alias("f1"), F.count("p").alias("p"), F.sum(F.element_at("per_class", "a")).alias("a"))
+
+
+@query("io09_result_files", f"{RUNS} SELECT config, CAST(seed AS INTEGER) AS seed, '20240131' AS date, round(f1, 6) AS f1 FROM r")
+def _(spark, d):
+    from curatrix.sources.corpus import read_results
+
+    at = _fresh(spark, "results")
+    _runs(spark, d, at)
+    return rounded(read_results(spark, at).select("config", "seed", "date", "f1"))
+
+
+@query("io10_compiled_results", f"{RUNS} SELECT category, config, count(*) AS n, round(avg(f1), 6) AS f1 FROM r, unnest(['one', 'two']) AS t(category) GROUP BY category, config")
+def _(spark, d):
+    from curatrix.sources.corpus import compile_results
+
+    at = _fresh(spark, "compiled")
+    for category in ("one", "two"):
+        _runs(spark, d, f"{at}/{category}")
+    return rounded(compile_results(spark, at, ["one", "two"]).groupBy("category", "config").agg(F.count(F.lit(1)).alias("n"), F.avg("f1").alias("f1")))
+
+
+@query("xt01_encoder", "SELECT doc_id, round(a / l, 4) AS x, round(b / l, 4) AS y, round(1 / l, 4) AS z FROM (SELECT *, sqrt(a * a + b * b + 1) AS l FROM (SELECT doc_id, length(text)::DOUBLE AS a, (length(text) - length(replace(text, ' ', '')))::DOUBLE AS b FROM documents WHERE length(text) > 0))")
 def _(spark, d):
-    from curatrix.functions.vectors import norm
     from curatrix.sources.generators import encode
 
     def make():
         return lambda texts: [[float(len(t)), float(t.count(" ")), 1.0] for t in texts]
 
     e = encode(table(spark, d, "documents").filter(F.length("text") > 0), "text", make)
-    return e.select("doc_id", F.round(norm(c("embedding")), 5).alias("length"))
+    return e.select("doc_id", *(F.round(F.get("embedding", F.lit(i)).cast("double"), 4).alias(n) for i, n in enumerate("xyz")))
 
 
 @query("xt02_generated_candidates", "SELECT DISTINCT lang, CAST(k AS INTEGER) AS pos FROM documents, unnest([1, 2, 3, 4, 5]) AS t(k)")

@@ -175,10 +175,14 @@ def _(spark, d):
     return spark.createDataFrame([(K.choose_k(emb(spark, d)),)], "k int")
 
 
-@query("cl08_interpolated_pairs")
+@query("cl08_interpolated_pairs", f"""WITH {SIMS}, a AS (SELECT vec_id, v, row_number() OVER (ORDER BY vec_id) - 1 AS a, count(*) OVER () AS m FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY round(sim, 9) DESC, vec_id) AS r FROM s) WHERE r = 1),
+n AS (SELECT a.vec_id AS anchor, a.v AS p, e.vec_id AS neighbour, e.v AS q, row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_distance(a.v, e.v), 12), e.vec_id) - 1 AS r FROM a JOIN e ON e.vec_id <> a.vec_id),
+t AS (SELECT i, vec_id AS anchor, ('0x' || substr(md5('neighbour/42/' || i), 1, 8))::BIGINT % 5 AS r, ('0x' || substr(md5('share/42/' || i), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS w FROM range(50) x(i) JOIN a ON a.a = i % a.m)
+SELECT i, anchor, neighbour, round(w, 6) AS "by", round(list_sum(list_transform(list_zip(p, q), lambda z: z[1] + w * (z[2] - z[1]))), 5) AS total, round(p[1] + w * (q[1] - p[1]), 6) AS first FROM t JOIN n USING (anchor, r)""")
 def _(spark, d):
     e = emb(spark, d)
-    return K.smote_pairs(e, A.centroid_nearest(e, "label"), 50).select("i", "anchor", "neighbour", "by", F.size("synthetic").alias("n"))
+    x = K.smote_pairs(e, A.centroid_nearest(e, "label"), 50)
+    return x.select("i", "anchor", "neighbour", F.round("by", 6).alias("by"), F.round(F.aggregate("synthetic", F.lit(0.0), lambda s, y: s + y), 5).alias("total"), F.round(F.get("synthetic", F.lit(0)), 6).alias("first"))
 
 
 @query("cl09_weighted_support", f"""WITH {NC}, w AS (SELECT q, k, r, 1 / (1 - s + 0.01) AS w FROM nc WHERE r <= 8), x AS (SELECT q, k, r, greatest(1, least(3, CAST(floor(round(w / sum(w) OVER (PARTITION BY q) * 8 * 2, 9)) AS INTEGER))) AS n FROM w),
@@ -190,12 +194,12 @@ def _(spark, d):
 
 @query("cl10_mixup")
 def _(spark, d):
-    return K.mixup(emb(spark, d), 5).select("label", "a", "b", "by")
+    return rounded(K.mixup(emb(spark, d), 5).select("label", "a", "b", "by", F.posexplode("synthetic").alias("i", "x")))
 
 
 @query("cl11_contrastive_refinement")
 def _(spark, d):
-    return K.contrastive(emb(spark, d)).select("vec_id", F.size("refined").alias("n"))
+    return rounded(K.contrastive(emb(spark, d)).select("vec_id", F.posexplode("refined").alias("i", "x")))
 
 
 @query("an01_centroid_anchor", f"WITH {SIMS} SELECT label, vec_id, round(sim, 6) AS sim FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY round(sim, 9) DESC, vec_id) AS r FROM s) WHERE r = 1")
@@ -230,7 +234,10 @@ def _(spark, d):
     return rounded(A.diverse_midband(emb(spark, d), "label"))
 
 
-@query("an07_farthest_first")
+_FAR = "d{k} AS (SELECT s.vec_id, s.label, s.v, least(s.d, round(1 - list_cosine_similarity(s.v, c.v), 12)) AS d FROM d{j} s JOIN x{j} ON x{j}.label = s.label JOIN e c ON c.vec_id = x{j}.vec_id WHERE s.vec_id <> c.vec_id), x{k} AS (SELECT label, vec_id FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY d DESC, vec_id) AS r FROM d{k}) WHERE r = 1)"
+
+
+@query("an07_farthest_first", f"WITH {EMB}, d0 AS (SELECT vec_id, label, v, 4.0::DOUBLE AS d FROM e), x0 AS (SELECT label, min(vec_id) AS vec_id FROM e GROUP BY label), {', '.join(_FAR.format(k=k, j=k - 1) for k in (1, 2, 3))} SELECT label, vec_id, CAST(step AS INTEGER) AS step FROM ({' UNION ALL '.join(f'SELECT *, {k} AS step FROM x{k}' for k in range(4))})")
 def _(spark, d):
     return A.farthest_first(emb(spark, d), "label", 4)
 
