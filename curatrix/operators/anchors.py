@@ -13,6 +13,7 @@ from curatrix.functions.ladders import uniform
 from curatrix.functions.vectors import cosine, mean_vector
 from curatrix.operators.dedup import greedy_keep
 from curatrix.operators.neighbors import cosine_spread, nearest, purity, similar_pairs
+from curatrix.operators.ranks import numbered, quantiles, with_totals
 from curatrix.sources.storage import stored
 
 
@@ -48,7 +49,7 @@ def medoid(df: DataFrame, group: str, id_col: str = "vec_id", vector: str = "emb
 
 def quality_gated(df: DataFrame, group: str, text: str, id_col: str = "vec_id", vector: str = "embedding", least: float = 0.5) -> DataFrame:
     """(group, id, sim): the most central row; in a group whose mean similarity is low, the most central readable one if there is any."""
-    d = to_centroid(df, group, vector).withColumn("__m", F.avg("sim").over(Window.partitionBy(group)))
+    d = with_totals(to_centroid(df, group, vector), group, {"__m": F.avg("sim")})
     ok = F.when(F.col("__m") < least, T.readable(F.col(text)).cast("int")).otherwise(F.lit(1))
     return first_by(d.withColumn("__ok", ok), group, F.col("__ok").desc(), F.round("sim", 9).desc(), id_col).select(group, id_col, "sim")
 
@@ -63,8 +64,8 @@ def purity_gated(df: DataFrame, group: str, label: str, id_col: str = "vec_id",
 
 def diverse_midband(df: DataFrame, group: str, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(group, id, diversity): of rows between the quartiles of distance to the centroid, the one with the largest mean distance to its group."""
-    d = to_centroid(df, group, vector).withColumn("__d", 1 - F.col("sim"))
-    q = d.groupBy(group).agg(F.percentile("__d", 0.25).alias("__l"), F.percentile("__d", 0.75).alias("__h"))
+    d = stored(to_centroid(df, group, vector).withColumn("__d", 1 - F.col("sim")), "midband")
+    q = quantiles(d, [group], "__d", {"__l": 0.25, "__h": 0.75}).drop("__n")
     mid = d.join(F.broadcast(q), group).filter("__d >= __l - 1e-12 and __d <= __h + 1e-12").select(group, id_col)
     t = _total_distance(df, group, id_col, vector).withColumn("diversity", F.col("total") / F.col("n"))
     return first_by(t.join(mid, [group, id_col]), group, F.round("diversity", 9).desc(), id_col).select(group, id_col, "diversity")
@@ -131,18 +132,18 @@ def ensemble_scores(anchors: DataFrame, df: DataFrame, label: str = "label", id_
 
 def central(df: DataFrame, group: str, id_col: str = "vec_id", vector: str = "embedding", ratio: float = 0.7, method: str = "iqr", threshold: float = 1.5, least: int = 3) -> DataFrame:
     """(group, id, sim, rank): the most central rows after outliers below the interquartile (or z-score) bound go; small groups are taken whole."""
-    d = to_centroid(df, group, vector)
-    g = d.groupBy(group).agg(F.count(F.lit(1)).alias("__n"), F.percentile("sim", 0.25).alias("__l"), F.percentile("sim", 0.75).alias("__h"), F.avg("sim").alias("__m"), F.stddev_pop("sim").alias("__s"))
+    d = stored(to_centroid(df, group, vector), "central")
+    g = d.groupBy(group).agg(F.count(F.lit(1)).alias("__n"), F.avg("sim").alias("__m"), F.stddev_pop("sim").alias("__s"))
+    g = g.join(quantiles(d, [group], "sim", {"__l": 0.25, "__h": 0.75}).drop("__n"), group)
     d = d.join(F.broadcast(g), group)
     if method not in ("iqr", "zscore"):
         raise ValueError(f"method: {method!r}")
     inside = F.col("sim") >= (F.col("__l") - threshold * (F.col("__h") - F.col("__l")) if method == "iqr" else F.col("__m") - threshold * F.col("__s"))
-    w = Window.partitionBy(group)
-    d = d.withColumn("__in", inside).withColumns({"__k": F.sum(F.col("__in").cast("int")).over(w)})
+    d = with_totals(d.withColumn("__in", inside), group, {"__k": F.sum(F.col("__in").cast("int"))})
     d = d.withColumn("__in", F.when(F.col("__k") < least, F.lit(True)).otherwise(F.col("__in")))
-    r = F.row_number().over(w.orderBy(F.col("__in").desc(), F.round("sim", 9).desc(), id_col))
+    d = numbered(d, [group], [~F.col("__in"), -F.round("sim", 9), F.col(id_col)], "rank", "__size")
     many = F.when(F.col("__n") <= least, F.col("__n")).when(F.col("__k") < least, F.lit(least)).otherwise(F.greatest(F.lit(least), F.floor(F.col("__k") * ratio)))
-    return d.withColumns({"rank": r}).filter(F.col("rank") <= many).select(group, id_col, "sim", "rank")
+    return d.filter(F.col("rank") <= many).select(group, id_col, "sim", "rank")
 
 
 def ensemble_metrics(ranked: DataFrame, strategy: str) -> DataFrame:

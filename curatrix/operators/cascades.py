@@ -14,6 +14,8 @@ from curatrix.functions import text as T
 from curatrix.functions.vectors import argmax, cosine, euclidean, margin, mean_vector
 from curatrix.operators.dedup import greedy_keep, shingle_pairs
 from curatrix.operators.neighbors import nearest, pair_distances
+from curatrix.operators.ranks import quantiles, with_totals
+from curatrix.sources.storage import stored
 
 
 def nearest_other(df: DataFrame, label: str, centroids: DataFrame, vector: str = "embedding", name: str = "other_sim") -> DataFrame:
@@ -75,7 +77,7 @@ def batch_duplicates(df: DataFrame, batch: str, id_col: str, order: str, text: s
 def grace(df: DataFrame, spec: str, id_col: str, k: int = 1, tokens: str = "tokens", sim: str = "sim", anchor: str = "anchor_sim", neighbour: str = "neighbour_sim", proba: str = "proba", target: str = "target", other: str = "other_sim", min_tokens: int = 15, max_tokens: int = 180, least_anchor: float = 0.35, least_score: float = 0.45, least_conf: float = 0.35, least_margin: float = 0.10, repel: float = 0.60) -> DataFrame:
     """Of specs with no accepted row (column reason), the k best rejected rows by 0.6 nearest + 0.4 centroid similarity that pass relaxed tests."""
     to = F.greatest(anchor, neighbour)
-    d = df.withColumns({"grace_score": 0.6 * to + 0.4 * F.col(sim), "__any": F.max((F.col("reason") == "accepted").cast("int")).over(Window.partitionBy(spec))})
+    d = with_totals(df.withColumn("grace_score", 0.6 * to + 0.4 * F.col(sim)), spec, {"__any": F.max((F.col("reason") == "accepted").cast("int"))})
     ok = F.col(tokens).between(min_tokens, max_tokens) & ((to >= least_anchor) | (F.col("grace_score") >= least_score)) & classifier_ok(F.col(proba), F.col(target), F.lit(1.0), least_conf, 1.0, least_margin) & F.coalesce(F.col(other) < repel, F.lit(True))
     rank = F.row_number().over(Window.partitionBy(spec).orderBy(F.round("grace_score", 9).desc(), id_col))
     return d.filter((F.col("__any") == 0) & ok).withColumn("grace_rank", rank).filter(F.col("grace_rank") <= k).drop("__any")
@@ -96,7 +98,8 @@ def knn_similarity(df: DataFrame, corpus: DataFrame, k: int, label: str = "label
 
 def hard_filters(df: DataFrame, group: str, distance: str, sim: str, knn: str, least_sim: float = 0.63, most_knn: float = 0.5, quantile: float = 0.90, drop_share: float | None = None, id_col: str = "vec_id") -> DataFrame:
     """df with reason of the hard cascade: distance under its group's quantile, similarity, neighbour distance, and (if asked) a share rejected by hash."""
-    q = df.groupBy(group).agg(F.percentile(distance, quantile).alias("__q"))
+    df = stored(df, "hard-filters")
+    q = quantiles(df, [group], distance, {"__q": quantile}).drop("__n")
     tests = [("length", F.round(distance, 9) < F.round("__q", 9)), ("similarity", F.col(sim) > least_sim), ("knn", F.coalesce(F.col(knn) <= most_knn, F.lit(True)))]
     if drop_share is not None:
         from curatrix.functions.ladders import uniform
@@ -108,14 +111,14 @@ def hard_filters(df: DataFrame, group: str, distance: str, sim: str, knn: str, l
 def quality_scores(df: DataFrame, group: str, distance: str, sim: str, knn: str, to_centroid: str, how: str = "product") -> DataFrame:
     """df with score of a candidate: product (of exponential neighbour scores), geometric (mean of the four) or reciprocal (of the candidate alone)."""
     d, s, n, c = map(F.col, (distance, sim, knn, to_centroid))
-    w = Window.partitionBy(group)
-    length, conf = 1 - d / (F.max(distance).over(w) + 1e-6), 1 - c / (F.max(to_centroid).over(w) + 1e-6)
+    df = with_totals(df, group, {"__md": F.max(distance), "__mc": F.max(to_centroid)})
+    length, conf = 1 - d / (F.col("__md") + 1e-6), 1 - c / (F.col("__mc") + 1e-6)
     inside = F.greatest(F.lit(0.0), F.least(F.lit(1.0), s))
     out = {
         "product": length * inside * F.coalesce(F.exp(-n), F.lit(0.5)) * conf, "geometric": F.pow(length * inside * F.coalesce(1 / (1 + n), F.lit(0.0)) * F.coalesce(conf, F.lit(0.5)), F.lit(0.25)),
         "reciprocal": F.pow(1 / (1 + d) * F.greatest(F.lit(0.0), s) * F.coalesce(1 / (1 + n), F.lit(0.5)) * (1 / (1 + c)), F.lit(0.25)),
     }[how]
-    return df.withColumn("score", out)
+    return df.withColumn("score", out).drop("__md", "__mc")
 
 
 def top_quota(df: DataFrame, group: str, score: str, k: int, floor: float | None = None, id_col: str = "vec_id") -> DataFrame:
@@ -127,7 +130,8 @@ def top_quota(df: DataFrame, group: str, score: str, k: int, floor: float | None
 def percentile_cascade(df: DataFrame, group: str, steps: list[tuple[str, str, float]]) -> DataFrame:
     """Rows that survive steps (column, "under" | "from", quantile) in turn, each quantile taken over the survivors of the step before."""
     for column, side, q in steps:
-        limit = df.groupBy(group).agg(F.percentile(column, q).alias("__q"))
+        df = stored(df, "percentiles")
+        limit = quantiles(df, [group], column, {"__q": q}).drop("__n")
         a, b = F.round(column, 9), F.round("__q", 9)
         df = df.join(F.broadcast(limit), group).filter(a < b if side == "under" else a >= b).drop("__q")
     return df

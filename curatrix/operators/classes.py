@@ -9,6 +9,8 @@ from curatrix.functions import text as T
 from curatrix.functions.ladders import whole
 from curatrix.functions.vectors import cosine, euclidean, mean_vector
 from curatrix.operators.neighbors import distance_sums, purity
+from curatrix.operators.ranks import quantiles
+from curatrix.sources.storage import stored
 
 
 def dataset_profile(df: DataFrame, label: str) -> DataFrame:
@@ -88,7 +90,8 @@ def coherence(df: DataFrame, cluster: str, vector: str = "embedding") -> DataFra
 
 def confidence_floor(df: DataFrame, label: str, p_true: str, q: float = 0.2) -> DataFrame:
     """(label, floor): a quantile of the true class's probability; under 5 rows the least less 0.2, but 0.4 at least."""
-    g = df.groupBy(label).agg(F.count(F.lit(1)).alias("n"), F.percentile(p_true, q).alias("__q"), F.min(p_true).alias("__m"))
+    df = stored(df.select(label, p_true), "floors")
+    g = df.groupBy(label).agg(F.count(F.lit(1)).alias("n"), F.min(p_true).alias("__m")).join(quantiles(df, [label], p_true, {"__q": q}).drop("__n"), label, "left")
     return g.select(label, "n", F.when(F.col("n") < 5, F.greatest(F.lit(0.4), F.col("__m") - 0.2)).otherwise(F.col("__q")).alias("floor"))
 
 
@@ -128,5 +131,6 @@ def rejections(df: DataFrame, label: str, reason: str) -> DataFrame:
 
 def distribution(df: DataFrame, value: Column, by: list[str]) -> DataFrame:
     """Mean, deviation, least, most and quartiles of a value by group."""
-    d = df.select(*by, value.alias("x"))
-    return d.groupBy(*by).agg(F.count("x").alias("n"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"), F.min("x").alias("least"), F.max("x").alias("most"), F.percentile("x", 0.25).alias("q25"), F.percentile("x", 0.5).alias("q50"), F.percentile("x", 0.75).alias("q75"))
+    d = stored(df.select(*by, value.alias("x")), "distribution")
+    g = d.groupBy(*by).agg(F.count("x").alias("n"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"), F.min("x").alias("least"), F.max("x").alias("most"))
+    return g.join(quantiles(d, by, "x", {"q25": 0.25, "q50": 0.5, "q75": 0.75}).drop("__n"), by, "left")

@@ -12,16 +12,19 @@ from pyspark.sql import functions as F
 from curatrix.functions.ladders import clip, whole
 from curatrix.functions.vectors import interpolate
 from curatrix.operators.neighbors import mean_distance, nearest
+from curatrix.operators.ranks import quantiles
+from curatrix.sources.storage import stored
 
 
 def by_density(df: DataFrame, k: int = 5, quantile: float = 0.85, keep: str = "dense", group: str | None = None, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """df's rows whose mean distance to their k nearest is up to the quantile ("dense") or from it on ("sparse"), by group; a group of at most k rows stays whole."""
     g = group or "__g"
     d = df if group else df.withColumn(g, F.lit(0))
-    d = d.join(mean_distance(d, k, "euclidean", id_col, vector, g), id_col, "left")
-    q = d.groupBy(g).agg(F.percentile("mean_distance", quantile).alias("__q"), F.count(F.lit(1)).alias("__n"))
+    d = stored(d.join(mean_distance(d, k, "euclidean", id_col, vector, g), id_col, "left"), "density")
+    n = d.groupBy(F.col(g).alias("__g1")).agg(F.count(F.lit(1)).alias("__n"))
+    q = n.join(quantiles(d, [g], "mean_distance", {"__q": quantile}).select(F.col(g).alias("__g2"), "__q"), F.col("__g1").eqNullSafe(F.col("__g2")), "left")
     test = F.round("mean_distance", 9) <= F.round("__q", 9) if keep == "dense" else F.round("mean_distance", 9) >= F.round("__q", 9)
-    return d.join(F.broadcast(q), g).filter((F.col("__n") <= k) | test).select(*df.columns, "mean_distance")
+    return d.join(F.broadcast(q), F.col(g).eqNullSafe(F.col("__g1"))).filter((F.col("__n") <= k) | test).select(*df.columns, "mean_distance")
 
 
 def kmeans(df: DataFrame, k: int, seed: int = 42, vector: str = "embedding", steps: int = 20) -> tuple[DataFrame, list[list[float]], float]:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from curatrix.functions import text as T
 from curatrix.functions.ladders import uniform
 from curatrix.operators.neighbors import similar_pairs
+from curatrix.operators.ranks import numbered
 from curatrix.sources.storage import stored
 
 
@@ -137,6 +138,5 @@ def class_balanced(df: DataFrame, group: str, score: str, tie: str, k: int) -> D
 def weighted_sample(df: DataFrame, component: str, id_col: str, weights: dict, share: float = 0.8) -> DataFrame:
     """share × weight of each component's rows, without replacement, in hash order."""
     w = F.coalesce(*(F.when(F.col(component) == k, F.lit(float(v))) for k, v in weights.items()), F.lit(0.0))
-    order = Window.partitionBy(component).orderBy(uniform(F.col(id_col)), id_col)
-    n = F.count(F.lit(1)).over(Window.partitionBy(component))
-    return df.withColumns({"__r": F.row_number().over(order), "__n": n}).filter(F.col("__r") <= F.floor(F.col("__n") * share * w)).drop("__r", "__n")
+    d = numbered(df, [component], [uniform(F.col(id_col)), F.col(id_col)], "__r", "__n")
+    return d.filter(F.col("__r") <= F.floor(F.col("__n") * share * w)).drop("__r", "__n")

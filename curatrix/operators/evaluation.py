@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from curatrix.functions.ladders import uniform
+from curatrix.operators.ranks import numbered, with_totals
 
 
 def verdict_scores(df: DataFrame, verdict: str) -> DataFrame:
@@ -22,15 +23,14 @@ def verdict_scores(df: DataFrame, verdict: str) -> DataFrame:
 
 def stratified_split(df: DataFrame, label: str, key: str, share: float = 0.2, at_least: int = 1) -> DataFrame:
     """df with test boolean: the first share of each class in hash order, at least so many where the class has more rows than that."""
-    n = F.count(F.lit(1)).over(Window.partitionBy(label))
-    r = F.row_number().over(Window.partitionBy(label).orderBy(uniform(F.col(key)), key))
-    return df.withColumn("test", F.when(n > at_least, r <= F.greatest(F.lit(at_least), F.floor(n * share))).otherwise(F.lit(False)))
+    n, r = F.col("__n"), F.col("__r")
+    d = numbered(df, [label], [uniform(F.col(key)), F.col(key)], "__r", "__n")
+    return d.withColumn("test", F.when(n > at_least, r <= F.greatest(F.lit(at_least), F.floor(n * share))).otherwise(F.lit(False))).drop("__r", "__n")
 
 
 def safe_split(df: DataFrame, label: str, key: str, share: float = 0.2, rare: int = 2) -> DataFrame:
     """(…, part): train or test; rows of classes with fewer than `rare` rows are in both parts."""
-    n = F.count(F.lit(1)).over(Window.partitionBy(label))
-    split = stratified_split(df, label, key, share).withColumn("__n", n)
+    split = with_totals(stratified_split(df, label, key, share), label, {"__n": F.count(F.lit(1))})
     parts = F.when(F.col("__n") < rare, F.array(F.lit("train"), F.lit("test"))).otherwise(F.array(F.when(F.col("test"), "test").otherwise("train")))
     return split.withColumn("part", F.explode(parts)).drop("test", "__n")
 
@@ -39,7 +39,7 @@ def folds(df: DataFrame, label: str, key: str, k: int = 5, repeats: int = 1) ->
     """df for each repeat with its fold, 0 to k - 1: rows of a class are dealt round in hash order."""
     each = df.withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
     order = uniform(F.concat_ws("/", "repeat", F.col(key).cast("string")))
-    return each.withColumn("fold", (F.row_number().over(Window.partitionBy("repeat", label).orderBy(order, key)) - 1) % k)
+    return numbered(each, ["repeat", label], [order, F.col(key)], "__r", "__n").withColumn("fold", (F.col("__r") - 1) % k).drop("__r", "__n")
 
 
 def paired(df: DataFrame, by: list[str], delta: str) -> DataFrame:

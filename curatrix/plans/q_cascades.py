@@ -118,11 +118,11 @@ def _(spark, d):
     return k.select("vec_id", F.round("knn", 6).alias("knn_sim"), (F.round("knn", 9) >= 0.2).alias("passes"))
 
 
-@query("fl05_batch_duplicates", f"""WITH RECURSIVE {SH.format("documents")}, x AS (SELECT doc_id, lang, hash(unnest(s)) AS g, len(s) AS n FROM sh JOIN documents USING (doc_id)),
-p AS (SELECT a.doc_id AS a, b.doc_id AS b FROM x a JOIN x b ON a.g = b.g AND a.lang = b.lang AND a.doc_id < b.doc_id AND a.n > 0.85 * b.n AND b.n > 0.85 * a.n GROUP BY a.doc_id, b.doc_id HAVING count(*) / (any_value(a.n) + any_value(b.n) - count(*)) > 0.85),
-o AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS k FROM documents), n AS (SELECT o.doc_id, o.k, list(p.a) AS before FROM o LEFT JOIN p ON p.b = o.doc_id GROUP BY o.doc_id, o.k),
-w AS (SELECT 0::BIGINT AS k, CAST([] AS BIGINT[]) AS kept UNION ALL SELECT n.k, CASE WHEN list_has_any(w.kept, n.before) THEN w.kept ELSE list_append(w.kept, n.doc_id) END FROM w JOIN n ON n.k = w.k + 1)
-SELECT doc_id, list_contains((SELECT kept FROM w ORDER BY k DESC LIMIT 1), doc_id) AS kept FROM documents""")
+@query("fl05_batch_duplicates", f"""WITH RECURSIVE {SH.format("documents")}, x AS MATERIALIZED (SELECT doc_id, lang, hash(unnest(s)) AS g, len(s) AS n FROM sh JOIN documents USING (doc_id)),
+p AS MATERIALIZED (SELECT a.doc_id AS a, b.doc_id AS b FROM x a JOIN x b ON a.g = b.g AND a.lang = b.lang AND a.doc_id < b.doc_id AND a.n > 0.85 * b.n AND b.n > 0.85 * a.n GROUP BY a.doc_id, b.doc_id HAVING count(*) / (any_value(a.n) + any_value(b.n) - count(*)) > 0.85),
+o AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS k FROM (SELECT b AS doc_id FROM p GROUP BY b)), n AS MATERIALIZED (SELECT o.doc_id, o.k, list(p.a) AS before FROM o JOIN p ON p.b = o.doc_id GROUP BY o.doc_id, o.k),
+w AS (SELECT 0::BIGINT AS k, CAST([] AS BIGINT[]) AS gone UNION ALL SELECT n.k, CASE WHEN len(list_filter(n.before, lambda y: NOT list_contains(w.gone, y))) > 0 THEN list_append(w.gone, n.doc_id) ELSE w.gone END FROM w JOIN n ON n.k = w.k + 1)
+SELECT doc_id, NOT list_contains((SELECT gone FROM w ORDER BY k DESC LIMIT 1), doc_id) AS kept FROM documents""")
 def _(spark, d):
     return X.batch_duplicates(table(spark, d, "documents"), "lang", "doc_id", "doc_id").select("doc_id", "kept")
 

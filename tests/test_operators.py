@@ -116,6 +116,23 @@ def test_neighbours_in_blocks(spark, emb, monkeypatch):
     assert N.nearest(emb.limit(0), emb, 3).count() == 0 and N.nearest(emb, emb.limit(0), 3).count() == 0
 
 
+def test_numbers_and_quantiles(spark):
+    from curatrix.operators.ranks import numbered, quantiles, with_totals
+
+    r = random.Random(6)
+    rows = [(i, r.choice("aaaaab") if i % 9 else None, r.choice([0.5, 1.0, 2.25, None]) if i % 4 else r.random()) for i in range(400)]
+    df = spark.createDataFrame(rows, "id long, g string, x double").repartition(5)
+    got = {x.id: (x["rank"], x["size"]) for x in numbered(df, ["g"], [-F.col("id")]).collect()}
+    for g in ("a", "b", None):
+        ids = sorted((i for i, h, _ in rows if h == g), reverse=True)
+        assert [got[i] for i in ids] == [(k + 1, len(ids)) for k in range(len(ids))]
+    want = {g: np.percentile([x for _, h, x in rows if h == g and x is not None], [0, 20, 50, 99]) for g in ("a", "b", None)}
+    for x in quantiles(df, ["g"], "x", {"q0": 0.0, "q2": 0.2, "q5": 0.5, "q9": 0.99}).collect():
+        assert np.allclose([x.q0, x.q2, x.q5, x.q9], want[x.g])
+    assert {x.g: x.t for x in with_totals(df, "g", {"t": F.count(F.lit(1))}).collect()} == {g: sum(h == g for _, h, _ in rows) for g in ("a", "b", None)}
+    assert numbered(df.limit(0), ["g"], ["id"]).count() == 0 and quantiles(df.limit(0), ["g"], "x", {"q": 0.5}).count() == 0
+
+
 def test_greedy_is_the_ordered_walk(spark):
     r = random.Random(4)
     for n, m in ((30, 60), (50, 40), (10, 0)):
