@@ -288,7 +288,7 @@ def substring_dedup(df: DataFrame, id_col: str = "doc_id", text: str = "text", w
     tasks = max(shuffle_partitions(spark), min(buckets, 3 * size // (64 << 20)))
     covers = packed.repartition(tasks, "bucket").groupBy("bucket").applyInArrow(lambda g: _reduce(g, window), "doc long, row long, start int, words int")
     spans = covers.groupBy("doc", "row").agg(F.collect_set(F.struct("start", "words")).alias("spans"))
-    spans = spans.withColumnsRenamed({"doc": "d", "row": "r"})
+    spans = stored(spans.withColumnsRenamed({"doc": "d", "row": "r"}), "substring-spans")
     joined = docs.join(spans, docs["doc"].eqNullSafe(spans["d"]) & (docs["row"] == spans["r"]), "left").select("doc", "text", "spans.start", "spans.words")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
