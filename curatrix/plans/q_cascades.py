@@ -14,15 +14,14 @@ from curatrix.plans.registry import CENTROIDS, EMB, query, rounded, table
 
 c = F.col
 
-#: Candidates are every fifth vector; a hash stands in for a model's probabilities.
+#: Every vector is a candidate, all others are its references; a hash stands in for a model's probabilities.
 U = "('0x' || substr(md5('{}/' || vec_id), 1, 8))::BIGINT / 4294967296.0::DOUBLE"
-CAND = f"""{CENTROIDS}, cand AS (SELECT e.*, list_cosine_similarity(e.v, c.cv) AS sim, list_distance(e.v, c.cv) AS dist, CAST(10 + vec_id % 180 AS INTEGER) AS tokens, {U.format('a')} AS p0, {U.format('b')} AS p1 FROM e JOIN c USING (label) WHERE vec_id % 5 = 0),
-rl AS (SELECT * FROM e WHERE vec_id % 5 <> 0),
-ne AS (SELECT a.vec_id, b.label = a.label AS own, b.vec_id AS k, list_cosine_similarity(a.v, b.v) AS s, list_distance(a.v, b.v) AS d FROM cand a, rl b),
+CAND = f"""{CENTROIDS}, cand AS (SELECT e.*, list_cosine_similarity(e.v, c.cv) AS sim, list_distance(e.v, c.cv) AS dist, CAST(10 + vec_id % 180 AS INTEGER) AS tokens, {U.format('a')} AS p0, {U.format('b')} AS p1 FROM e JOIN c USING (label)),
+ne AS (SELECT a.vec_id, b.label = a.label AS own, b.vec_id AS k, list_cosine_similarity(a.v, b.v) AS s, list_distance(a.v, b.v) AS d FROM cand a JOIN e b ON a.vec_id <> b.vec_id),
 nx AS (SELECT vec_id, max(s) AS nearest_sim FROM ne GROUP BY vec_id),
 kn AS (SELECT vec_id, avg(s) AS knn_sim FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY round(s, 12) DESC, k) AS r FROM ne WHERE own) WHERE r <= 15 GROUP BY vec_id),
 kd AS (SELECT vec_id, avg(d) AS knn_dist FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY round(d, 12), k) AS r FROM ne WHERE own) WHERE r <= 10 GROUP BY vec_id),
-ot AS (SELECT vec_id, max(list_cosine_similarity(v, cv)) AS other_sim FROM e JOIN c ON e.label <> c.label WHERE vec_id % 5 = 0 GROUP BY vec_id),
+ot AS (SELECT vec_id, max(list_cosine_similarity(v, cv)) AS other_sim FROM e JOIN c ON e.label <> c.label GROUP BY vec_id),
 nb AS (SELECT cand.vec_id, list_cosine_similarity(cand.v, b.v) AS anchor_sim FROM cand JOIN e b ON b.vec_id = cand.vec_id + 1),
 f AS (SELECT cand.*, nearest_sim, knn_sim, knn_dist, other_sim, coalesce(anchor_sim, -1) AS anchor_sim FROM cand JOIN nx USING (vec_id) JOIN kn USING (vec_id) JOIN kd USING (vec_id) JOIN ot USING (vec_id) LEFT JOIN nb USING (vec_id))"""
 
@@ -39,12 +38,11 @@ def features(spark, d):
     """Candidates with all measures of the cascades."""
     e = emb(spark, d)
     cents = V.mean_vector(e, ["label"], "embedding")
-    base = X.centroid_features(e, "label").filter("vec_id % 5 = 0").withColumnRenamed("distance", "dist")
+    base = X.centroid_features(e, "label").withColumnRenamed("distance", "dist")
     base = base.withColumns({"tokens": (10 + c("vec_id") % 180).cast("int"), "p0": uniform("a"), "p1": uniform("b")})
-    real = e.filter("vec_id % 5 <> 0")
-    near = N.nearest(base, real, 1).select(c("q").alias("vec_id"), c("score").alias("nearest_sim"))
-    knn = X.knn_similarity(base, real, 15).withColumnRenamed("knn", "knn_sim")
-    dist = X.knn_similarity(base, real, 10, metric="euclidean").withColumnRenamed("knn", "knn_dist")
+    near = N.nearest(e, e, 1).select(c("q").alias("vec_id"), c("score").alias("nearest_sim"))
+    knn = X.knn_similarity(e, e, 15).withColumnRenamed("knn", "knn_sim")
+    dist = X.knn_similarity(e, e, 10, metric="euclidean").withColumnRenamed("knn", "knn_dist")
     neighbour = e.select((c("vec_id") - 1).alias("vec_id"), c("embedding").alias("nv"))
     base = X.nearest_other(base, "label", cents).join(near, "vec_id").join(knn, "vec_id").join(dist, "vec_id").join(neighbour, "vec_id", "left")
     return base.withColumn("anchor_sim", F.coalesce(V.cosine(c("embedding"), c("nv")), F.lit(-1.0))).drop("nv")
@@ -90,7 +88,7 @@ def _(spark, d):
 def _(spark, d):
     from curatrix.operators.classes import distribution
 
-    return rounded(distribution(X.centroid_features(emb(spark, d)).filter("vec_id % 5 = 0"), c("sim"), ["label"]))
+    return rounded(distribution(X.centroid_features(emb(spark, d)), c("sim"), ["label"]))
 
 
 @query("fl02_similarity_test", f"WITH {CAND} SELECT vec_id, round(sim, 9) >= greatest(0.10, 0.15::DOUBLE) OR round(anchor_sim, 9) >= 0.2 AS passes FROM f")
@@ -114,7 +112,7 @@ def _(spark, d):
 @query("fl04_knn_test", f"WITH {CAND} SELECT vec_id, round(knn_sim, 6) AS knn_sim, round(knn_sim, 9) >= 0.2 AS passes FROM kn")
 def _(spark, d):
     e = emb(spark, d)
-    k = X.knn_similarity(e.filter("vec_id % 5 = 0"), e.filter("vec_id % 5 <> 0"), 15)
+    k = X.knn_similarity(e, e, 15)
     return k.select("vec_id", F.round("knn", 6).alias("knn_sim"), (F.round("knn", 9) >= 0.2).alias("passes"))
 
 
@@ -182,7 +180,7 @@ def _(spark, d):
 
 @query("wn09_ratio_to_max", f"WITH {CAND} SELECT vec_id, round(1 - dist / max(dist) OVER (PARTITION BY label), 6) AS ratio FROM cand")
 def _(spark, d):
-    f = X.centroid_features(emb(spark, d)).filter("vec_id % 5 = 0")
+    f = X.centroid_features(emb(spark, d))
     return rounded(f.select("vec_id", (1 - c("distance") / F.max("distance").over(Window.partitionBy("label"))).alias("ratio")))
 
 
@@ -190,14 +188,14 @@ def _(spark, d):
 u AS (SELECT label, best, (SELECT max(t) FROM (SELECT unnest([0.3, 0.2, 0.1])::DOUBLE AS t) WHERE t <= kth) AS t FROM g)
 SELECT vec_id, CASE WHEN t IS NOT NULL THEN t WHEN best >= 0.1 THEN 0.1::DOUBLE END AS used FROM k JOIN u USING (label) WHERE CASE WHEN t IS NOT NULL THEN r <= 4 WHEN best >= 0.1 THEN sim >= 0.1 ELSE r <= 4 END""")
 def _(spark, d):
-    f = X.centroid_features(emb(spark, d)).filter("vec_id % 5 = 0")
+    f = X.centroid_features(emb(spark, d))
     return X.relaxed(f, "label", "sim", F.lit(0.3), 4, 0.1).select("vec_id", "used")
 
 
 @query("fl12_max_similarity", f"WITH {CAND} SELECT vec_id, round(max(s), 6) AS nearest_sim FROM ne WHERE own GROUP BY vec_id HAVING round(max(s), 9) >= 0.25")
 def _(spark, d):
     e = emb(spark, d)
-    near = N.nearest(e.filter("vec_id % 5 = 0"), e.filter("vec_id % 5 <> 0"), 1, query_group="label", corpus_group="label")
+    near = N.nearest(e, e, 1, query_group="label", corpus_group="label")
     return near.filter(F.round("score", 9) >= 0.25).select(c("q").alias("vec_id"), F.round("score", 6).alias("nearest_sim"))
 
 
@@ -337,9 +335,9 @@ def _(spark, d):
     return rounded(x.select("vec_id", "focal", "weight"))
 
 
-@query("wt06_stage_two_weights", f"SELECT vec_id, round(p * 0.5 / (avg(p * 0.5) OVER () + 1e-8) * 0.5, 6) AS weight FROM (SELECT vec_id, {U.format('a')} AS p FROM embeddings WHERE vec_id % 5 = 0)")
+@query("wt06_stage_two_weights", f"SELECT vec_id, round(p * 0.5 / (avg(p * 0.5) OVER () + 1e-8) * 0.5, 6) AS weight FROM (SELECT vec_id, {U.format('a')} AS p FROM embeddings)")
 def _(spark, d):
-    return rounded(W.stage_two(emb(spark, d).filter("vec_id % 5 = 0").withColumn("p", uniform("a")), "p").select("vec_id", "weight"))
+    return rounded(W.stage_two(emb(spark, d).withColumn("p", uniform("a")), "p").select("vec_id", "weight"))
 
 
 @query("jn01_class_lookup", f"WITH {F1S} SELECT vec_id, round(coalesce(CASE WHEN f1.label < 5 THEN f1 END, 0.5), 6) AS f1 FROM embeddings JOIN f1 USING (label)")

@@ -91,10 +91,10 @@ def _(spark, d):
     return rounded(class_diversity(emb(spark, d)))
 
 
-@query("ag22_semantic_drift", f"WITH {EMB}, x AS (SELECT b.vec_id, b.label, min({DIST.format('a', 'b')}) AS d FROM e a, e b WHERE a.vec_id % 5 <> 0 AND b.vec_id % 5 = 0 GROUP BY b.vec_id, b.label) SELECT label, round(avg(d), 6) AS drift FROM x GROUP BY label")
+@query("ag22_semantic_drift", f"WITH {EMB}, x AS (SELECT b.vec_id, b.label, min({DIST.format('a', 'b')}) AS d FROM e a JOIN e b ON a.vec_id <> b.vec_id GROUP BY b.vec_id, b.label) SELECT label, round(avg(d), 6) AS drift FROM x GROUP BY label")
 def _(spark, d):
     e = emb(spark, d)
-    near = N.nearest(e.filter("vec_id % 5 = 0"), e.filter("vec_id % 5 <> 0"), 1, "euclidean")
+    near = N.nearest(e, e, 1, "euclidean")
     return rounded(near.join(e.select(c("vec_id").alias("q"), "label"), "q").groupBy("label").agg(F.avg("score").alias("drift")))
 
 
@@ -128,10 +128,10 @@ def _(spark, d):
     return x.select("vec_id", F.round("confuser_sim", 6).alias("confuser_sim"), (F.round("confuser_sim", 9) <= F.round("sim", 9)).alias("passes"))
 
 
-@query("jn06_semantic_duplicates", f"WITH {EMB} SELECT b.vec_id, round(max({COS.format('a', 'b')}), 6) AS nearest_sim, round(max({COS.format('a', 'b')}), 9) >= 0.35 AS duplicate FROM e a, e b WHERE a.vec_id % 5 <> 0 AND b.vec_id % 5 = 0 GROUP BY b.vec_id")
+@query("jn06_semantic_duplicates", f"WITH {EMB} SELECT b.vec_id, round(max({COS.format('a', 'b')}), 6) AS nearest_sim, round(max({COS.format('a', 'b')}), 9) >= 0.35 AS duplicate FROM e a JOIN e b ON a.vec_id <> b.vec_id GROUP BY b.vec_id")
 def _(spark, d):
     e = emb(spark, d)
-    near = N.nearest(e.filter("vec_id % 5 = 0"), e.filter("vec_id % 5 <> 0"), 1)
+    near = N.nearest(e, e, 1)
     return near.select(c("q").alias("vec_id"), F.round("score", 6).alias("nearest_sim"), (F.round("score", 9) >= 0.35).alias("duplicate"))
 
 
