@@ -42,7 +42,7 @@ def estimator(kind: str, classes: int, width: int, reg: float = 0.0, seed: int =
     if kind == "rf":
         return RandomForestClassifier(numTrees=50, seed=seed, weightCol="__w", **common)
     if kind in ("svc", "gbt"):
-        return OneVsRest(classifier=LinearSVC(maxIter=30) if kind == "svc" else GBTClassifier(maxIter=5, seed=seed), **common)
+        return OneVsRest(classifier=LinearSVC(maxIter=30) if kind == "svc" else GBTClassifier(maxIter=5, seed=seed), parallelism=min(classes, 8), **common)
     raise ValueError(f"kind: {kind!r}; kernel machines and third-party boosters aren't in Spark ML")
 
 
@@ -54,6 +54,35 @@ def fit(df: DataFrame, weight: str | None = None, kind: str = "lr", c: float = 1
     return Pipeline(stages=[scale, estimator(kind, int(one.k) + 1, one.m, 1 / (c * one.w), seed)]).fit(d)
 
 
+def early_stopped(df: DataFrame, validation: DataFrame | None = None, hidden: tuple[int, ...] = (512, 256, 128), most: int = 100, step: int = 10, least: float = 0.001, patience: int = 10, vector: str = "embedding", label: str = "y", seed: int = 42) -> tuple[PipelineModel, list[float]]:
+    """A network trained step iterations at a time until the log loss hasn't fallen by least for patience iterations, or most are done; the best one, and the losses.
+
+    Losses are those of the validation rows, or of the training rows where none are given. Each step
+    goes on from the last one's weights; only weights and losses pass the driver. Rows without a
+    vector or label are left out; no rows at all are an error.
+    """
+    prepared = lambda x: features(x.filter(F.col(vector).isNotNull() & F.col(label).isNotNull()), vector).select("__raw", F.col(label).cast("double").alias("y"))
+    d = prepared(df)
+    one = d.agg(F.max("y").alias("k"), F.max(F.size(vector_to_array("__raw"))).alias("m")).first()
+    if one.k is None:
+        raise ValueError("no rows to learn from")
+    scale = StandardScaler(inputCol="__raw", outputCol="__x", withMean=True).fit(d)
+    train = stored(scale.transform(d).select("y", "__x"), "network")
+    check = train if validation is None else stored(scale.transform(prepared(validation)).select("y", "__x"), "network-validation")
+    network = MultilayerPerceptronClassifier(layers=[one.m, *hidden, int(one.k) + 1], seed=seed, maxIter=step, featuresCol="__x", labelCol="y")
+    best, losses, lowest, stale = None, [], float("inf"), 0
+    for _ in range(0, most, step):
+        model = network.fit(train)
+        network = network.setInitialWeights(model.weights)
+        true = F.coalesce(F.get(vector_to_array("probability"), F.col("y").cast("int")), F.lit(0.0))
+        losses.append(model.transform(check).agg(F.avg(-F.log(F.greatest(true, F.lit(1e-15))))).first()[0])
+        if best is None or losses[-1] < lowest - least:
+            best, lowest, stale = model, losses[-1], 0
+        elif (stale := stale + step) >= patience:
+            break
+    return PipelineModel([scale, best]), losses
+
+
 def predict(model: PipelineModel, df: DataFrame, vector: str = "embedding") -> DataFrame:
     """df with predicted (and proba where the model has it)."""
     out = model.transform(features(df, vector))
@@ -141,7 +170,8 @@ def hold_out(train: DataFrame, test: DataFrame, augment: DataFrame | None = None
 
 
 def zoo(train: DataFrame, test: DataFrame, kinds: tuple[str, ...] = ("lr", "rf", "svc", "mlp"), vector: str = "embedding") -> DataFrame:
-    """(kind, macro_f1) of several classifiers."""
+    """(kind, macro_f1) of several classifiers, on rows stored once."""
+    train, test = stored(train, "zoo-train"), stored(test, "zoo-test")
     rows = [(k, macro_f1(fit(train, kind=k, vector=vector), test, vector)) for k in kinds]
     return train.sparkSession.createDataFrame(rows, "kind string, macro_f1 double")
 

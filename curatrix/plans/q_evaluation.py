@@ -215,6 +215,26 @@ def _(spark, d):
     return edges(spark).join(confusers_of(edges(spark), 3), ["label", "other"]).filter("label = 'INFP'").select("label", "place", "other")
 
 
+LETTERS = "l AS (SELECT a || b || c || d AS label FROM (VALUES ('I'), ('E')) w(a), (VALUES ('N'), ('S')) x(b), (VALUES ('F'), ('T')) y(c), (VALUES ('P'), ('J')) z(d))"
+
+
+@query("st06_primary", f"WITH {LETTERS} SELECT label, CASE WHEN label[1] = 'I' THEN 'E' ELSE 'I' END || label[2:] AS other FROM l")
+def _(spark, d):
+    from curatrix.operators.cascades import confusers_of
+    from curatrix.operators.confusers import edges
+
+    return confusers_of(edges(spark), 1)
+
+
+@query("st06_descriptions", f"WITH {LETTERS} SELECT label, 'How ' || label || ' differs from the classes near it:' || chr(10) || '  - Not like ' || CASE WHEN label[1] = 'I' THEN 'E' ELSE 'I' END || label[2:] || ': first letter' || chr(10) || '  - At its core: ' || lower(label) AS description FROM l")
+def _(spark, d):
+    from curatrix.operators.cascades import confusers_of
+    from curatrix.operators.confusers import descriptions, edges
+
+    one = confusers_of(edges(spark), 1)
+    return descriptions(one.withColumn("trait", F.lit("first letter")).unionByName(one.select("label", F.lit(None).cast("string").alias("other"), F.lower("label").alias("trait"))))
+
+
 @query("ml06_soft_vote", "WITH p AS (SELECT vec_id, m, ('0x' || substr(md5(m || '/' || vec_id), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS p FROM embeddings, unnest([1, 2, 3]) AS t(m)), w AS (SELECT m, exp(5 * (m / 10.0::DOUBLE - 0.3)) AS e FROM unnest([1, 2, 3]) AS t(m)) SELECT vec_id, round(sum(p * e) / (SELECT sum(e) FROM w), 6) AS p0, CAST(CASE WHEN sum(p * e) / (SELECT sum(e) FROM w) >= 0.5 THEN 0 ELSE 1 END AS INTEGER) AS predicted FROM p JOIN w USING (m) GROUP BY vec_id")
 def _(spark, d):
     m = emb(spark, d).select("vec_id", F.explode(F.array(*map(F.lit, (1, 2, 3)))).alias("m"))
@@ -245,7 +265,7 @@ def _(spark, d):
 @query("ml02_focal_training")
 def _(spark, d):
     x = E.stratified_split(labelled(spark, d), "label", "vec_id")
-    return rounded(M.evaluate(M.focal_training(x.filter("not test"), 2), x.filter("test")))
+    return rounded(M.evaluate(M.focal_training(x.filter("not test")), x.filter("test")))
 
 
 @query("ml03_two_stage")
@@ -259,7 +279,24 @@ def _(spark, d):
 @query("ml04_classifier_zoo")
 def _(spark, d):
     x = E.stratified_split(labelled(spark, d), "label", "vec_id")
-    return rounded(M.zoo(x.filter("not test"), x.filter("test"), ("lr", "rf", "svc", "mlp")))
+    return rounded(M.zoo(x.filter("not test"), x.filter("test"), ("lr", "rf", "svc", "gbt", "mlp")))
+
+
+@query("ml05_early_stopped_network")
+def _(spark, d):
+    x = E.stratified_split(labelled(spark, d), "label", "vec_id")
+    model, losses = M.early_stopped(x.filter("not test"))
+    return rounded(M.evaluate(model, x.filter("test")).withColumn("steps", F.lit(len(losses))))
+
+
+@query("ml06_seed_ensemble")
+def _(spark, d):
+    from curatrix.operators.clusters import mixup
+
+    x = E.stratified_split(labelled(spark, d), "label", "vec_id")
+    train, test = x.filter("not test"), x.filter("test")
+    more = lambda t, s: mixup(t, 4, label="y", seed=s).select("y", c("synthetic").alias("embedding"))
+    return M.seed_ensemble(train, test, test, more).select("vec_id", "predicted")
 
 
 @query("fl13_discriminator")
@@ -279,7 +316,7 @@ def _(spark, d):
 @query("ev02_cross_validation")
 def _(spark, d):
     x = labelled(spark, d)
-    return rounded(M.cross_validate(x.filter("vec_id % 5 <> 0"), x.filter("vec_id % 5 = 0"), k=2))
+    return rounded(M.cross_validate(x.filter("vec_id % 5 <> 0"), x.filter("vec_id % 5 = 0")))
 
 
 @query("ev03_hold_out")

@@ -34,14 +34,23 @@ def read_split(spark: SparkSession, train: str, test: str) -> DataFrame:
 
 
 def read_overrides(spark: SparkSession, path: str | None) -> dict[str, dict]:
-    """Settings by class from a JSON document, at its top level or under "overrides"; {} without a path or if it isn't a map."""
+    """Settings by class from a JSON document, or a YAML one if the path ends so, at its top level or under "overrides"; {} without a path or if it isn't a map."""
     if not path:
         return {}
-    data = json.loads("\n".join(r.value for r in spark.read.text(path, wholetext=True).collect()))
+    text = "\n".join(r.value for r in spark.read.text(path, wholetext=True).collect())
+    data = _yaml(text) if path.rstrip("/").endswith((".yaml", ".yml")) else json.loads(text)
     found = data.get("overrides", data) if isinstance(data, dict) else {}
     return found if isinstance(found, dict) else {}
 
 
+def _yaml(text: str):
+    try:
+        import yaml
+    except ImportError as e:
+        raise ValueError("YAML overrides need the yaml package; give them as JSON") from e
+    return yaml.safe_load(text)
+
+
 def write_synthetic(df: DataFrame, path: str, header: bool = True) -> None:
     """Synthetic rows as CSV, all quality columns kept even where they are null."""
     df.write.mode("overwrite").csv(path, header=header, quote='"', escape='"', quoteAll=True)

@@ -61,6 +61,20 @@ def test_schemes(spark, data):
     assert near.agg(F.avg("p_synthetic")).first()[0] < 0.5 < 0.9 < far.agg(F.avg("p_synthetic")).first()[0]
 
 
+def test_early_stopping(spark, data):
+    train, test = data
+    model, losses = M.early_stopped(train.withColumn("embedding", F.when(F.col("vec_id") >= 0, F.col("embedding"))), test, hidden=(16,), most=200, step=5, patience=10)
+    assert M.macro_f1(model, test) > 0.95 and len(losses) < 40
+    best = min(losses)
+    assert losses[-3] - best < 0.001 <= losses[0] - best and best < 0.2  # the last two steps brought nothing
+    p = [r.proba[int(r.y)] for r in M.predict(model, test).collect()]
+    assert -np.mean(np.log(p)) < best + 0.001
+    one, few = M.early_stopped(train.withColumn("embedding", F.when(F.col("vec_id") % 3 > 0, F.col("embedding"))), hidden=(8,), most=10)
+    assert len(few) == 1 and M.predict(one, test).count() == test.count()
+    with pytest.raises(ValueError):
+        M.early_stopped(train.limit(0))
+
+
 def test_evaluation(spark, data):
     train, test = data
     folds = M.cross_validate(train, blobs(spark, 30, 5), k=3).collect()

@@ -11,6 +11,7 @@ from curatrix.operators import anchors as A
 from curatrix.operators import cascades as X
 from curatrix.operators import classes as C
 from curatrix.operators import clusters as K
+from curatrix.operators import confusers
 from curatrix.operators import dedup as D
 from curatrix.operators import evaluation as E
 from curatrix.operators import gates as G
@@ -189,6 +190,15 @@ def test_cascade_paths(spark):
     assert {(r.vec_id, r.used) for r in relaxed.collect()} == {(1, 0.4), (2, 0.4), (4, None)}
 
 
+def test_confusers(spark):
+    assert confusers.primary("infp") == "ENFP" and confusers.primary("x") is None and confusers.confusers("INFP", 2) == ["ENFP", "INTP"]
+    assert all(len(v) == 4 and k not in v and {*v} <= {*confusers.CONFUSERS} for k, v in confusers.CONFUSERS.items())
+    rows = [("infp", None, "core"), ("INFP", "INTP", "heart"), ("INFP", "ENFP", "quiet"), ("INFP", "ENFP", "quiet"), ("INFP", "XXXX", "other"), ("INFP", "ISFP", None), (None, "ENFP", "x"), ("new", "old", "y")]
+    got = {r.label: r.description for r in confusers.descriptions(spark.createDataFrame(rows, "label string, other string, trait string")).collect()}
+    assert got == {"INFP": "How INFP differs from the classes near it:\n  - Not like ENFP: quiet\n  - Not like INTP: heart\n  - Not like XXXX: other\n  - At its core: core", "NEW": "How NEW differs from the classes near it:\n  - Not like OLD: y"}
+    assert confusers.descriptions(spark.createDataFrame([], "label string, other string, trait string")).count() == 0
+
+
 def test_sources(spark, tmp_path):
     (tmp_path / "a.csv").write_text('type,posts\nx,"one, two"\ny,\nz,"three\nlines"\n')
     got = corpus.read_corpus(spark, str(tmp_path / "a.csv")).collect()
@@ -198,6 +208,12 @@ def test_sources(spark, tmp_path):
     assert corpus.read_split(spark, str(tmp_path / "a.csv"), str(tmp_path / "a.csv")).count() == 4
     (tmp_path / "o.json").write_text('{"overrides": {"x": {"cap": 3}}}')
     assert corpus.read_overrides(spark, str(tmp_path / "o.json")) == {"x": {"cap": 3}} and corpus.read_overrides(spark, None) == {}
+    pytest.importorskip("yaml")
+    for name, text in (("o.yaml", "overrides:\n  x:\n    cap: 3\n"), ("p.yml", "x: {cap: 3}\n")):
+        (tmp_path / name).write_text(text)
+        assert corpus.read_overrides(spark, str(tmp_path / name)) == {"x": {"cap": 3}}
+    (tmp_path / "q.yml").write_text("- 1\n")
+    assert corpus.read_overrides(spark, str(tmp_path / "q.yml")) == {}
     (tmp_path / "r" / "one").mkdir(parents=True)
     (tmp_path / "r" / "one" / "V2_high_s42_20250101.json").write_text('{"delta": 0.5}')
     r = corpus.compile_results(spark, str(tmp_path / "r"), ["one"]).first()
