@@ -256,21 +256,28 @@ def labelled(spark, d):
     return M.encode(emb(spark, d).withColumn("embedding", shift))
 
 
+def parted(spark, d):
+    """labelled() with test, stored as fits read it many times."""
+    from curatrix.sources.storage import stored
+
+    return stored(E.stratified_split(labelled(spark, d), "label", "vec_id"), "parted")
+
+
 @query("ml01_weighted_regression")
 def _(spark, d):
-    x = E.stratified_split(labelled(spark, d), "label", "vec_id")
+    x = parted(spark, d)
     return rounded(M.evaluate(M.fit(x.filter("not test")), x.filter("test")))
 
 
 @query("ml02_focal_training")
 def _(spark, d):
-    x = E.stratified_split(labelled(spark, d), "label", "vec_id")
+    x = parted(spark, d)
     return rounded(M.evaluate(M.focal_training(x.filter("not test")), x.filter("test")))
 
 
 @query("ml03_two_stage")
 def _(spark, d):
-    x = E.stratified_split(labelled(spark, d), "label", "vec_id")
+    x = parted(spark, d)
     train = x.filter("not test")
     model, stage = M.two_stage(train.filter("vec_id % 5 <> 0"), train.filter("vec_id % 5 = 0").withColumn("confidence", F.lit(0.9)), x.filter("test"))
     return rounded(M.evaluate(model, x.filter("test")).withColumn("stage", F.lit(stage)))
@@ -278,13 +285,13 @@ def _(spark, d):
 
 @query("ml04_classifier_zoo")
 def _(spark, d):
-    x = E.stratified_split(labelled(spark, d), "label", "vec_id")
+    x = parted(spark, d)
     return rounded(M.zoo(x.filter("not test"), x.filter("test"), ("lr", "rf", "svc", "gbt", "mlp")))
 
 
 @query("ml05_early_stopped_network")
 def _(spark, d):
-    x = E.stratified_split(labelled(spark, d), "label", "vec_id")
+    x = parted(spark, d)
     model, losses = M.early_stopped(x.filter("not test"))
     return rounded(M.evaluate(model, x.filter("test")).withColumn("steps", F.lit(len(losses))))
 
@@ -293,7 +300,7 @@ def _(spark, d):
 def _(spark, d):
     from curatrix.operators.clusters import mixup
 
-    x = E.stratified_split(labelled(spark, d), "label", "vec_id")
+    x = parted(spark, d)
     train, test = x.filter("not test"), x.filter("test")
     more = lambda t, s: mixup(t, 4, label="y", seed=s).select("y", c("synthetic").alias("embedding"))
     return M.seed_ensemble(train, test, test, more).select("vec_id", "predicted")
@@ -307,7 +314,7 @@ def _(spark, d):
 
 @query("gb20_validation_gate")
 def _(spark, d):
-    x = E.stratified_split(labelled(spark, d), "label", "vec_id")
+    x = parted(spark, d)
     train = x.filter("not test")
     taken, change = M.gate_by_validation(train.filter("vec_id % 5 <> 0"), train.filter("vec_id % 5 = 0"), x.filter("test"))
     return spark.createDataFrame([(taken, change)], "taken boolean, change double")
@@ -321,7 +328,7 @@ def _(spark, d):
 
 @query("ev03_hold_out")
 def _(spark, d):
-    x = E.stratified_split(labelled(spark, d), "label", "vec_id")
+    x = parted(spark, d)
     train = x.filter("not test")
     return rounded(M.hold_out(train.filter("vec_id % 5 <> 0"), x.filter("test"), train.filter("vec_id % 5 = 0"), (1, 2)))
 
