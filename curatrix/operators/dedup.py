@@ -51,11 +51,11 @@ def shingle_join(left: DataFrame, right: DataFrame, left_id: str, right_id: str,
     filter by size, and what meets is verified on the whole sets. A frequent shingle thus
     multiplies nothing unless it is among the rarest of its set.
     """
-    a, b = shingle_sets(left, {"i": left_id}, text, n), shingle_sets(right, {"i": right_id}, text, n)
+    a, b = shingle_sets(left, {"i": left_id}, text, n), stored(shingle_sets(right, {"i": right_id}, text, n), "shingle-sets")
     rare = stored(b.select(F.explode("s").alias("g")).groupBy("g").agg(F.count(F.lit(1)).alias("c")), "shingles")
     able = a.select("i", "m", F.explode("s").alias("g")).join(rare, "g").groupBy("i").agg(F.count(F.lit(1)).alias("k"), F.max("m").alias("m")).filter(F.col("k") > threshold * F.col("m"))
     able = stored(able.select(F.col("i").alias("__able")), "shingle-candidates")
-    few = shingle_sets(left.join(able, F.col(left_id) == F.col("__able"), "left_semi"), {"i": left_id}, text, n)
+    few = stored(shingle_sets(left.join(able, F.col(left_id) == F.col("__able"), "left_semi"), {"i": left_id}, text, n), "shingle-sets")
     x, y = _prefixes(few, rare, ["g"], threshold).alias("x"), _prefixes(b, rare, ["g"], threshold).alias("y")
     pairs = x.join(y, (F.col("x.g") == F.col("y.g")) & _similar_size(threshold)).select(F.col("x.i").alias("a"), F.col("y.i").alias("b")).distinct()
     return _jaccard(pairs, few, b, threshold).select(F.col("a").alias(left_id), F.col("b").alias(right_id), "jaccard")
