@@ -24,9 +24,14 @@ def shingle_sets(df: DataFrame, key: dict[str, str], text: str, n: int) -> DataF
     return w.select(*key, T.shingle_hashes(F.col("w"), n).alias("s")).withColumn("m", F.size("s"))
 
 
+def _each() -> Column:
+    """A row for each shingle. Of a plain column Catalyst would infer a filter on its size, push it to the scan and split the text again for it."""
+    return F.explode(F.when(F.col("m") > 0, F.col("s")))
+
+
 def _prefixes(sets: DataFrame, rare: DataFrame, on: list[str], threshold: float) -> DataFrame:
     """Postings of those shingles of each set that one of two sets this similar must share: without the threshold's share of the most frequent. rare: how often a shingle is on the other side (c); others come before all."""
-    posts = sets.select(*[c for c in on if c != "g"], "i", "m", F.explode("s").alias("g")).join(rare, on)
+    posts = sets.select(*[c for c in on if c != "g"], "i", "m", _each().alias("g")).join(rare, on)
     mine = Window.partitionBy("i")
     ranked = posts.withColumns({"r": F.row_number().over(mine.orderBy("c", "g")), "k": F.count(F.lit(1)).over(mine)})
     return ranked.filter((F.col("k") > threshold * F.col("m")) & (F.col("m") - F.col("k") + F.col("r") <= F.col("m") - F.floor(F.col("m") * threshold))).select(*on, "i", "m")
@@ -52,8 +57,8 @@ def shingle_join(left: DataFrame, right: DataFrame, left_id: str, right_id: str,
     multiplies nothing unless it is among the rarest of its set.
     """
     a, b = shingle_sets(left, {"i": left_id}, text, n), stored(shingle_sets(right, {"i": right_id}, text, n), "shingle-sets")
-    rare = stored(b.select(F.explode("s").alias("g")).groupBy("g").agg(F.count(F.lit(1)).alias("c")), "shingles")
-    able = a.select("i", "m", F.explode("s").alias("g")).join(rare, "g").groupBy("i").agg(F.count(F.lit(1)).alias("k"), F.max("m").alias("m")).filter(F.col("k") > threshold * F.col("m"))
+    rare = stored(b.select(_each().alias("g")).groupBy("g").agg(F.count(F.lit(1)).alias("c")), "shingles")
+    able = a.select("i", "m", _each().alias("g")).join(rare, "g").groupBy("i").agg(F.count(F.lit(1)).alias("k"), F.max("m").alias("m")).filter(F.col("k") > threshold * F.col("m"))
     able = stored(able.select(F.col("i").alias("__able")), "shingle-candidates")
     few = stored(shingle_sets(left.join(able, F.col(left_id) == F.col("__able"), "left_semi"), {"i": left_id}, text, n), "shingle-sets")
     x, y = _prefixes(few, rare, ["g"], threshold).alias("x"), _prefixes(b, rare, ["g"], threshold).alias("y")
@@ -64,7 +69,7 @@ def shingle_join(left: DataFrame, right: DataFrame, left_id: str, right_id: str,
 def shingle_pairs(df: DataFrame, group: str, id_col: str, text: str = "text", n: int = 3, threshold: float = 0.85) -> DataFrame:
     """(a, b, jaccard), a < b: pairs of a group over the threshold, by the rarest shingles of each row within its group, as in shingle_join()."""
     sets = shingle_sets(df, {"b": group, "i": id_col}, text, n)
-    rare = sets.select("b", F.explode("s").alias("g")).groupBy("b", "g").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
+    rare = sets.select("b", _each().alias("g")).groupBy("b", "g").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
     posts = stored(_prefixes(sets, rare, ["b", "g"], threshold), "shingle-prefixes")
     x, y = posts.alias("x"), posts.alias("y")
     met = x.join(y, (F.col("x.b") == F.col("y.b")) & (F.col("x.g") == F.col("y.g")) & (F.col("x.i") < F.col("y.i")) & _similar_size(threshold))
