@@ -8,6 +8,7 @@ from .jaccard_join import op5_jaccard_join
 from .line_dedup import OP9_SQL, op9_line_dedup
 from .quality import op4_quality
 from .sharding import OP2_SQL, op2_shard_lookup
+from .simhash import op11_simhash
 from .substring_dedup import op6_substring_dedup
 from .suffix_tree import op1_suffix_tree
 
@@ -22,5 +23,6 @@ QUERIES = {
     "op8_byte_bpe": op8_byte_bpe,
     "op9_line_dedup": op9_line_dedup,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_simhash": op11_simhash,
 }
 ORACLES: dict[str, str] = {"op2_shard_lookup": OP2_SQL, "op9_line_dedup": OP9_SQL, "op10_exact_dedup": OP10_SQL}
