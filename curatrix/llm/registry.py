@@ -9,8 +9,10 @@ from .line_dedup import OP9_SQL, op9_line_dedup
 from .quality import op4_quality
 from .sharding import OP2_SQL, op2_shard_lookup
 from .simhash import op11_simhash
+from .spelling import op13_spelling
 from .substring_dedup import op6_substring_dedup
 from .suffix_tree import op1_suffix_tree
+from .whitening import op12_whitening
 
 QUERIES = {
     "op1_suffix_tree": op1_suffix_tree,
@@ -24,5 +26,7 @@ QUERIES = {
     "op9_line_dedup": op9_line_dedup,
     "op10_exact_dedup": op10_exact_dedup,
     "op11_simhash": op11_simhash,
+    "op12_whitening": op12_whitening,
+    "op13_spelling": op13_spelling,
 }
 ORACLES: dict[str, str] = {"op2_shard_lookup": OP2_SQL, "op9_line_dedup": OP9_SQL, "op10_exact_dedup": OP10_SQL}
