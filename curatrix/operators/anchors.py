@@ -12,7 +12,8 @@ from curatrix.functions import text as T
 from curatrix.functions.ladders import uniform
 from curatrix.functions.vectors import cosine, mean_vector
 from curatrix.operators.dedup import greedy_keep
-from curatrix.operators.neighbors import cosine_spread, nearest, purity, similar_pairs
+from curatrix.operators.index import similar_pairs
+from curatrix.operators.neighbors import cosine_spread, nearest, purity
 from curatrix.operators.ranks import numbered, quantiles, with_totals
 from curatrix.sources.storage import stored
 
@@ -66,7 +67,7 @@ def diverse_midband(df: DataFrame, group: str, id_col: str = "vec_id", vector: s
     """(group, id, diversity): of rows between the quartiles of distance to the centroid, the one with the largest mean distance to its group."""
     d = stored(to_centroid(df, group, vector).withColumn("__d", 1 - F.col("sim")), "midband")
     q = quantiles(d, [group], "__d", {"__l": 0.25, "__h": 0.75}).drop("__n")
-    mid = d.join(F.broadcast(q), group).filter("__d >= __l - 1e-12 and __d <= __h + 1e-12").select(group, id_col)
+    mid = d.join(q, group).filter("__d >= __l - 1e-12 and __d <= __h + 1e-12").select(group, id_col)
     t = _total_distance(df, group, id_col, vector).withColumn("diversity", F.col("total") / F.col("n"))
     return first_by(t.join(mid, [group, id_col]), group, F.round("diversity", 9).desc(), id_col).select(group, id_col, "diversity")
 
@@ -135,7 +136,7 @@ def central(df: DataFrame, group: str, id_col: str = "vec_id", vector: str = "em
     d = stored(to_centroid(df, group, vector), "central")
     g = d.groupBy(group).agg(F.count(F.lit(1)).alias("__n"), F.avg("sim").alias("__m"), F.stddev_pop("sim").alias("__s"))
     g = g.join(quantiles(d, [group], "sim", {"__l": 0.25, "__h": 0.75}).drop("__n"), group)
-    d = d.join(F.broadcast(g), group)
+    d = d.join(g, group)
     if method not in ("iqr", "zscore"):
         raise ValueError(f"method: {method!r}")
     inside = F.col("sim") >= (F.col("__l") - threshold * (F.col("__h") - F.col("__l")) if method == "iqr" else F.col("__m") - threshold * F.col("__s"))

@@ -105,7 +105,7 @@ def hard_filters(df: DataFrame, group: str, distance: str, sim: str, knn: str, l
         from curatrix.functions.ladders import uniform
 
         tests.append(("confidence", uniform(F.col(id_col)) >= drop_share))
-    return df.join(F.broadcast(q), group).withColumn("reason", reason(tests)).drop("__q")
+    return df.join(q, group).withColumn("reason", reason(tests)).drop("__q")
 
 
 def quality_scores(df: DataFrame, group: str, distance: str, sim: str, knn: str, to_centroid: str, how: str = "product") -> DataFrame:
@@ -129,11 +129,11 @@ def top_quota(df: DataFrame, group: str, score: str, k: int, floor: float | None
 
 def percentile_cascade(df: DataFrame, group: str, steps: list[tuple[str, str, float]]) -> DataFrame:
     """Rows that survive steps (column, "under" | "from", quantile) in turn, each quantile taken over the survivors of the step before."""
+    df = stored(df, "percentiles")
     for column, side, q in steps:
-        df = stored(df, "percentiles")
         limit = quantiles(df, [group], column, {"__q": q}).drop("__n")
         a, b = F.round(column, 9), F.round("__q", 9)
-        df = df.join(F.broadcast(limit), group).filter(a < b if side == "under" else a >= b).drop("__q")
+        df = df.join(limit, group).filter(a < b if side == "under" else a >= b).drop("__q")
     return df
 
 

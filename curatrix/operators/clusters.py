@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
@@ -11,10 +15,16 @@ from pyspark.sql import functions as F
 
 from curatrix.functions.ladders import clip, whole
 from curatrix.functions.vectors import interpolate
-from curatrix.operators.neighbors import mean_distance, nearest
+from curatrix.operators.index import PER_CELL, build, lloyd
+from curatrix.operators.neighbors import matrix, mean_distance, nearest, vectors
 from curatrix.operators.ranks import quantiles
 from curatrix.sources.storage import stored
 
+#: Rows of a coreset: bounds what an elbow's fits hold on the driver.
+CORESET = 20_000
+#: Rows of a cell that one task clusters, and centroids under which a larger one is dealt again.
+CELL, FAN, LEVELS = 4096, 256, 4
+
 
 def by_density(df: DataFrame, k: int = 5, quantile: float = 0.85, keep: str = "dense", group: str | None = None, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """df's rows whose mean distance to their k nearest is up to the quantile ("dense") or from it on ("sparse"), by group; a group of at most k rows stays whole."""
@@ -24,7 +34,7 @@ def by_density(df: DataFrame, k: int = 5, quantile: float = 0.85, keep: str = "d
     n = d.groupBy(F.col(g).alias("__g1")).agg(F.count(F.lit(1)).alias("__n"))
     q = n.join(quantiles(d, [g], "mean_distance", {"__q": quantile}).select(F.col(g).alias("__g2"), "__q"), F.col("__g1").eqNullSafe(F.col("__g2")), "left")
     test = F.round("mean_distance", 9) <= F.round("__q", 9) if keep == "dense" else F.round("mean_distance", 9) >= F.round("__q", 9)
-    return d.join(F.broadcast(q), F.col(g).eqNullSafe(F.col("__g1"))).filter((F.col("__n") <= k) | test).select(*df.columns, "mean_distance")
+    return d.join(q, F.col(g).eqNullSafe(F.col("__g1"))).filter((F.col("__n") <= k) | test).select(*df.columns, "mean_distance")
 
 
 def kmeans(df: DataFrame, k: int, seed: int = 42, vector: str = "embedding", steps: int = 20) -> tuple[DataFrame, list[list[float]], float]:
@@ -52,19 +62,96 @@ def assign(df: DataFrame, centroids: DataFrame, vector: str = "embedding", centr
     return df.join(F.broadcast(every)).withColumn("__near", near).withColumns({"cluster": F.col("__near.k"), "distance": F.col("__near.d")}).drop("__near", "__cs")
 
 
-def choose_k(df: DataFrame, low: int = 2, high: int = 15, seed: int = 42, vector: str = "embedding") -> int:
-    """The elbow of the inertia over k: where its second difference is largest; 1 under `low` rows."""
-    n = df.count()
+def coreset(df: DataFrame, size: int = CORESET, seed: int = 42, vector: str = "embedding") -> tuple[np.ndarray, np.ndarray]:
+    """(vectors, weights): about `size` rows at most that stand for all, for k-means with any k.
+
+    Half of a row's chance is even, half goes by its share of the squared distances to the mean, so
+    far rows aren't missed; its weight is one over its chance. Rows are drawn by a seeded hash.
+    All rows, with weight 1, where there are no more than `size`.
+    """
+    d = df.filter(F.col(vector).isNotNull()).select(F.col(vector).cast("array<double>").alias("v"))
+    parts = d.mapInArrow(lambda batches: _sums(batches, None), "n long, s array<double>, q double")
+    n, mean, _ = _totals(parts)
+    if not n:
+        return np.zeros((0, 0)), np.zeros(0)
+    if n <= size:
+        return matrix(d.toArrow().column("v")), np.ones(n)
+    _, _, spread = _totals(d.mapInArrow(lambda batches: _sums(batches, mean), "n long, s array<double>, q double"))
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            v = matrix(b.column("v")) if b.num_rows else np.zeros((0, len(mean)))
+            chance = np.minimum(1.0, size * (0.5 / n + 0.5 * ((v - mean) ** 2).sum(axis=1) / spread if spread else 1 / n))
+            take = (b.column("h").to_numpy() + 0.5) / (1 << 30) < chance
+            yield pa.RecordBatch.from_arrays([b.column("v").filter(pa.array(take)), pa.array(1 / chance[take])], names=["v", "w"])
+
+    # Equal vectors are told apart by their place in the table, so that they aren't drawn together.
+    drawn = d.withColumn("h", F.pmod(F.xxhash64(F.lit(seed), "v", F.monotonically_increasing_id()), F.lit(1 << 30))).mapInArrow(draw, "v array<double>, w double").toArrow()
+    return matrix(drawn.column("v")), drawn.column("w").to_numpy()
+
+
+def _sums(batches: Iterator[pa.RecordBatch], mean: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+    """One row a task: rows, sum of the vectors, sum of squared distances to the mean."""
+    n, s, q = 0, None, 0.0
+    for b in batches:
+        if b.num_rows:
+            v = matrix(b.column("v"))
+            n, s = n + len(v), v.sum(axis=0) + (0 if s is None else s)
+            q += 0.0 if mean is None else float(((v - mean) ** 2).sum())
+    yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([s if s is not None else []], pa.list_(pa.float64())), pa.array([q])], names=["n", "s", "q"])
+
+
+def _totals(parts: DataFrame) -> tuple[int, np.ndarray, float]:
+    parts = stored(parts, "coreset-sums")
+    one = parts.agg(F.sum("n").alias("n"), F.sum("q").alias("q")).first()
+    s = parts.select(F.posexplode("s").alias("i", "x")).groupBy("i").agg(F.sum("x").alias("x")).orderBy("i").collect()  # one row a dimension
+    return one.n or 0, np.array([r.x for r in s]) / max(1, one.n or 0), one.q or 0.0
+
+
+def weighted_kmeans(x: np.ndarray, w: np.ndarray, k: int, seed: int = 42, steps: int = 20, tries: int = 3) -> tuple[np.ndarray, float]:
+    """(centroids, inertia) of weighted rows: the best of some runs from centroids drawn far apart."""
+    best: tuple[np.ndarray, float] | None = None
+    for t in range(tries):
+        rng = np.random.default_rng([seed, t])
+        c = x[[rng.choice(len(x), p=w / w.sum())]]
+        d = ((x - c[0]) ** 2).sum(axis=1)
+        while len(c) < k:
+            p = w * d
+            c = np.vstack([c, x[rng.choice(len(x), p=p / p.sum() if p.sum() > 0 else None)]])
+            d = np.minimum(d, ((x - c[-1]) ** 2).sum(axis=1))
+        for _ in range(steps):
+            at = ((x * x).sum(1)[:, None] + (c * c).sum(1)[None, :] - 2 * x @ c.T).argmin(axis=1)
+            of = np.zeros((len(x), k))
+            of[np.arange(len(x)), at] = w
+            n = of.sum(axis=0)
+            new = np.where(n[:, None] > 0, of.T @ x / np.where(n > 0, n, 1)[:, None], c)
+            if np.array_equal(new, c):
+                break
+            c = new
+        inertia = float((w * np.maximum(((x * x).sum(1)[:, None] + (c * c).sum(1)[None, :] - 2 * x @ c.T).min(axis=1), 0)).sum())
+        if best is None or inertia < best[1]:
+            best = c, inertia
+    return best
+
+
+def elbow(inertia: list[float], low: int, high: int) -> int:
+    """Where the second difference of the inertias of low to high clusters is largest."""
+    if len(inertia) < 3:
+        return low
+    best = low + int(np.argmax(np.diff(inertia, 2))) + 1
+    return min(3, high) if best < 3 else high if best > high - 2 else best
+
+
+def choose_k(df: DataFrame, low: int = 2, high: int = 15, seed: int = 42, vector: str = "embedding", size: int = CORESET) -> int:
+    """The elbow of the inertia over k, 1 under `low` rows. One coreset serves all k: the rows are read for its draw only, and fits run on the draw."""
+    x, w = coreset(df, size, seed, vector)
+    n = round(w.sum())
     if n < low:
         return 1
     high = min(high, n)
     if high <= low:
         return low
-    inertia = [kmeans(df, k, seed, vector)[2] for k in range(low, high + 1)]
-    if len(inertia) < 3:
-        return low
-    best = low + int(np.argmax(np.diff(inertia, 2))) + 1
-    return min(3, high) if best < 3 else high if best > high - 2 else best
+    return elbow([weighted_kmeans(x, w, k, seed)[1] for k in range(low, high + 1)], low, high)
 
 
 def final_k(elbow: Column, n: Column, least: int = 6, most: int = 12, size: int = 60) -> Column:
@@ -149,16 +236,74 @@ def contrastive(df: DataFrame, label: str = "label", id_col: str = "vec_id", vec
     return done.unionByName(rest)
 
 
-def representatives(df: DataFrame, share: float = 0.1, method: str = "centroid", id_col: str = "vec_id", vector: str = "embedding", seed: int = 42) -> DataFrame:
-    """(cluster, id): of n × share clusters one row each, the nearest to the centroid or the first."""
-    from curatrix.functions.vectors import euclidean
-
-    k = max(1, int(df.count() * share))
-    d, centroids, _ = kmeans(df, k, seed, vector)
-    c = df.sparkSession.createDataFrame(list(enumerate(centroids)), "cluster int, centroid array<double>")
-    d = d.join(F.broadcast(c), "cluster").withColumn("distance", euclidean(F.col(vector), F.col("centroid")))
-    order = [F.round("distance", 9), id_col] if method == "centroid" else [id_col]
-    return d.withColumn("r", F.row_number().over(Window.partitionBy("cluster").orderBy(*order))).filter("r = 1").select("cluster", id_col)
-
-
-__all__ = ["assign", "by_density", "choose_k", "contrastive", "final_k", "kmeans", "mixup", "representatives", "smote_pairs", "vector_to_array", "weighted_support"]
+def cells_of(df: DataFrame, most: int = CELL, id_col: str = "vec_id", vector: str = "embedding", seed: int = 42) -> DataFrame:
+    """(id, g, v) of the rows with a vector; g names a cell of at most `most` rows near each other.
+
+    Coarse centroids deal the rows out; cells that hold more are dealt again under centroids of
+    their own, fitted on a hash sample of each (in its own task), until none is left. Equal vectors,
+    and what LEVELS such rounds couldn't part, are dealt by a hash of the identifier.
+    """
+    every = vectors(df, id_col, vector)
+    n = every.count()
+    index = build(df, "euclidean", max(1, -(-2 * n // most)), id_col, vector, None, seed) if n else None
+    at, done, depth = (index.lists if index else every).select("id", "g", "v"), None, 0
+    kind = at.schema["v"].dataType.simpleString()
+    while True:
+        h = F.xxhash64("v")
+        sizes = stored(at.groupBy("g").agg(F.count(F.lit(1)).alias("c"), F.min(h).alias("lo"), F.max(h).alias("hi")), "cell-sizes")
+        full = sizes.filter(F.col("c") > most).select(F.col("g").alias("fg"), "c", ((F.col("lo") == F.col("hi")) | F.lit(depth >= LEVELS)).alias("equal"))
+        fits = at.join(full, F.col("g") == F.col("fg"), "left_anti")
+        done = fits if done is None else done.unionByName(fits)
+        if full.isEmpty():
+            return done
+        depth += 1
+        over = stored(at.join(full, F.col("g") == F.col("fg")), "cells-over")
+        salt = F.pmod(F.xxhash64(F.lit(seed + depth), "id", "v"), F.lit(1 << 30))
+        by_hash = over.filter("equal").withColumn("g", F.concat_ws(".", "g", F.pmod(salt, F.ceil(2 * F.col("c") / most)).cast("string")))
+        fan = lambda c: F.least(F.lit(FAN), F.ceil(2 * c / most))
+        sample = over.filter(~F.col("equal")).filter(salt < fan(F.col("c")) * PER_CELL / F.col("c") * (1 << 30)).select("g", "v", fan(F.col("c")).alias("k"))
+
+        def centres(t: pa.Table) -> pa.Table:
+            x = matrix(t.column("v"))
+            c = lloyd(x, min(len(x), t.column("k")[0].as_py()), seed)
+            return pa.table({"cg": pa.array([t.column("g")[0].as_py()], pa.string()), "cs": pa.array([c.tolist()], pa.list_(pa.list_(pa.float64())))})
+
+        told = stored(sample.groupBy("g").applyInArrow(centres, "cg string, cs array<array<double>>"), "cell-centres")  # at most FAN a cell
+
+        def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                v, names = (matrix(b.column("v")) if b.num_rows else None), b.column("g").to_pylist()
+                out, held = [], {}
+                for i, (g, cs) in enumerate(zip(names, b.column("cs"), strict=True)):
+                    if g not in held:
+                        held[g] = np.array(cs.as_py() or [[0.0] * v.shape[1]])
+                    out.append(f"{g}.{((held[g] - v[i]) ** 2).sum(axis=1).argmin()}")
+                yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(out, pa.string()), b.column("v")], names=["id", "g", "v"])
+
+        dealt = over.filter(~F.col("equal")).join(told, F.col("g") == F.col("cg"), "left").select("id", "g", "v", "cs").mapInArrow(near, f"id long, g string, v {kind}")
+        at = stored(dealt.unionByName(by_hash.select("id", "g", "v")), "cells")
+
+
+def representatives(df: DataFrame, share: float = 0.1, method: str = "centroid", id_col: str = "vec_id", vector: str = "embedding", seed: int = 42, most: int = CELL) -> DataFrame:
+    """(cluster, id): of about n × share clusters one row each, the nearest to the centroid or the first.
+
+    Two levels: cells of at most `most` rows (cells_of), and clusters of a share of its rows within each
+    cell, each cell in a task of its own. No centroid of a cluster leaves its task.
+    """
+
+    def run(t: pa.Table) -> pa.Table:
+        t = t.take(pc.sort_indices(t, sort_keys=[("id", "ascending")], null_placement="at_start"))
+        x = matrix(t.column("v"))
+        c = lloyd(x, max(1, round(len(x) * share)), seed)
+        d = np.round(np.sqrt(np.maximum((x * x).sum(1)[:, None] + (c * c).sum(1)[None, :] - 2 * x @ c.T, 0)), 9)
+        at, low = d.argmin(axis=1), d.min(axis=1)
+        order = np.lexsort((np.arange(len(x)), low if method == "centroid" else np.zeros(len(x)), at))
+        first = order[np.unique(at[order], return_index=True)[1]]
+        name = t.column("g")[0].as_py()
+        return pa.table({"cluster": pa.array([f"{name}/{k}" for k in at[first]], pa.string()), "id": t.column("id").take(pa.array(first))})
+
+    found = cells_of(df, most, id_col, vector, seed).groupBy("g").applyInArrow(run, "cluster string, id long")
+    return found.select("cluster", F.col("id").alias(id_col))
+
+
+__all__ = ["assign", "by_density", "cells_of", "choose_k", "contrastive", "coreset", "elbow", "final_k", "kmeans", "mixup", "representatives", "smote_pairs", "vector_to_array", "weighted_kmeans", "weighted_support"]

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from curatrix.functions import text as T
 from curatrix.functions.ladders import uniform
-from curatrix.operators.neighbors import similar_pairs
+from curatrix.operators.graphs import SMALL, greedy_dropped
+from curatrix.operators.index import similar_pairs
+from curatrix.operators.neighbors import similar_pairs as grouped_pairs
 from curatrix.operators.ranks import numbered
 from curatrix.sources.storage import stored
 
@@ -76,35 +78,27 @@ def shingle_pairs(df: DataFrame, group: str, id_col: str, text: str = "text", n:
     return _jaccard(met.select(F.col("x.i").alias("a"), F.col("y.i").alias("b")).distinct(), sets, sets, threshold)
 
 
-def greedy_keep(nodes: DataFrame, pairs: DataFrame, id_col: str, order: str | None = None) -> DataFrame:
+def greedy_keep(nodes: DataFrame, pairs: DataFrame, id_col: str, order: str | None = None, small: int = SMALL) -> DataFrame:
     """nodes with kept boolean: walking in order, a row is kept unless a kept earlier row is paired with it.
 
-    pairs: (a, b) of identifiers, in any direction. Done as a fixpoint of joins: rows whose
-    earlier partners are all dropped are kept, partners after kept rows are dropped. order: a
-    column to walk by (ties by identifier); default the identifier.
+    pairs: (a, b) of identifiers, in any direction. order: a column to walk by (ties by
+    identifier); default the identifier. See graphs.greedy_dropped for the rounds.
     """
-    rank = nodes.select(F.col(id_col).alias("id"), F.struct(F.col(order or id_col), F.col(id_col).alias("i")).alias("o"))
-    r = lambda k, o: rank.withColumnsRenamed({"id": k, "o": o})
-    both = pairs.select("a", "b").join(r("a", "oa"), "a").join(r("b", "ob"), "b")
-    edges = stored(both.select(F.when(F.col("oa") < F.col("ob"), F.col("a")).otherwise(F.col("b")).alias("first"), F.when(F.col("oa") < F.col("ob"), F.col("b")).otherwise(F.col("a")).alias("second")).filter("first <> second").distinct(), "greedy-edges")
-    dropped = None
-    while not edges.isEmpty():
-        # A row that is nobody's second among the open edges is kept; its partners go, and with them their edges.
-        seconds = edges.select(F.col("second").alias("first")).distinct()
-        heads = edges.select("first").distinct().join(seconds, "first", "left_anti")
-        out = stored(edges.join(heads, "first").select(F.col("second").alias("id")).distinct(), "greedy-out")
-        dropped = out if dropped is None else dropped.unionByName(out)
-        gone = lambda k: out.withColumnRenamed("id", k)
-        edges = stored(edges.join(gone("first"), "first", "left_anti").join(gone("second"), "second", "left_anti").join(heads, "first", "left_anti"), "greedy-edges")
-    if dropped is None:
-        return nodes.withColumn("kept", F.lit(True))
-    d = dropped.distinct().select(F.col("id").alias("__gone"))
+    if order is None:
+        edges = pairs.filter("a <> b").select(F.least("a", "b").alias("first"), F.greatest("a", "b").alias("second"), F.lit(0).alias("place"))
+    else:
+        rank = nodes.select(F.col(id_col).alias("id"), F.col(order).alias("o"))
+        r = lambda k, o: rank.withColumnsRenamed({"id": k, "o": o})
+        both = pairs.filter("a <> b").select("a", "b").join(r("a", "oa"), "a").join(r("b", "ob"), "b")
+        before = F.struct("oa", "a") < F.struct("ob", "b")
+        edges = both.select(F.when(before, F.col("a")).otherwise(F.col("b")).alias("first"), F.when(before, F.col("b")).otherwise(F.col("a")).alias("second"), F.when(before, F.col("ob")).otherwise(F.col("oa")).alias("place"))
+    d = greedy_dropped(edges, small)[0].select(F.col("id").alias("__gone"))
     return nodes.join(d, nodes[id_col] == d["__gone"], "left").withColumn("kept", F.col("__gone").isNull()).drop("__gone")
 
 
 def greedy_dedup(df: DataFrame, threshold: float, id_col: str = "vec_id", vector: str = "embedding", metric: str = "cosine", group: str | None = None, component: str | None = None) -> DataFrame:
     """df with kept: greedy first-come by similarity over the threshold; within groups only, or between components only, where the smaller component wins."""
-    pairs = similar_pairs(df, threshold, metric, id_col, vector, group=group)
+    pairs = grouped_pairs(df, threshold, metric, id_col, vector, group=group) if group else similar_pairs(df, threshold, metric, id_col, vector)
     if component:
         key = df.select(F.col(id_col).alias("i"), F.col(component).alias("g"))
         pairs = pairs.join(key.withColumnsRenamed({"i": "a", "g": "ga"}), "a").join(key.withColumnsRenamed({"i": "b", "g": "gb"}), "b").filter("ga <> gb")

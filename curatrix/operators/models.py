@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from curatrix.operators.classes import averages, prf
 from curatrix.operators.evaluation import folds, paired
+from curatrix.operators.learners import Fourier, boost, boosted, network, networked
 from curatrix.operators.weights import class_weights, focal, to_mean_one
 from curatrix.sources.storage import stored
 
@@ -32,7 +33,7 @@ def features(df: DataFrame, vector: str = "embedding") -> DataFrame:
 
 
 def estimator(kind: str, classes: int, width: int, reg: float = 0.0, seed: int = 42):
-    """A classifier by name: lr, rf, svc, gbt, mlp or mlp_large."""
+    """A Spark ML classifier by name: lr, rf, svc, gbt, mlp or mlp_large."""
     common = {"featuresCol": "__x", "labelCol": "y"}
     layers = {"mlp": [width, 64, classes], "mlp_large": [width, 256, 128, classes]}
     if kind in layers:
@@ -43,14 +44,32 @@ def estimator(kind: str, classes: int, width: int, reg: float = 0.0, seed: int =
         return RandomForestClassifier(numTrees=50, seed=seed, weightCol="__w", **common)
     if kind in ("svc", "gbt"):
         return OneVsRest(classifier=LinearSVC(maxIter=30) if kind == "svc" else GBTClassifier(maxIter=5, seed=seed), parallelism=min(classes, 8), **common)
-    raise ValueError(f"kind: {kind!r}; kernel machines and third-party boosters aren't in Spark ML")
+    raise ValueError(f"kind: {kind!r}")
 
 
-def fit(df: DataFrame, weight: str | None = None, kind: str = "lr", c: float = 1.0, vector: str = "embedding", label: str = "y", seed: int = 42) -> PipelineModel:
-    """Standard scaling and a classifier, with row weights."""
+def fit(df: DataFrame, weight: str | None = None, kind: str = "lr", c: float = 1.0, vector: str = "embedding", label: str = "y", seed: int = 42, **options) -> PipelineModel:
+    """Standard scaling and a classifier, with row weights.
+
+    Kinds of estimator(), and from learners: rbf (random Fourier features of the kernel
+    exp(-|x - y|² / dimensions) under linear support vectors; options: width, gamma), boosted
+    (softmax boosting on histograms, unscaled; options of learners.boost) and network
+    (rectified units with dropout; options of learners.network).
+    """
     d = features(df, vector).withColumn("__w", F.col(weight).cast("double") if weight else F.lit(1.0)).withColumn("y", F.col(label).cast("double"))
     one = d.agg(F.sum("__w").alias("w"), F.max("y").alias("k"), F.max(F.size(vector)).alias("m")).first()
     scale = StandardScaler(inputCol="__raw", outputCol="__x", withMean=True)
+    rows = lambda x, at: x.select(vector_to_array(at).alias("x"), F.col("y").cast("int").alias("y"), F.col("__w").alias("w"))
+    if kind == "boosted":
+        return PipelineModel([boosted(boost(rows(d, "__raw"), **options), "__raw")])
+    if kind == "network":
+        scaled = scale.fit(d)
+        return PipelineModel([scaled, networked(network(rows(scaled.transform(d), "__x"), seed=seed, **options)[0], "__x")])
+    if kind == "rbf":
+        scaled = scale.fit(d)
+        kernel = Fourier(one.m, options.get("width", 1024), options.get("gamma") or 1 / one.m, "__x", "__z", seed)
+        svc = LinearSVC(maxIter=100, regParam=1 / (c * one.w), standardization=False)
+        z = stored(kernel.transform(scaled.transform(d)).select("__z", "y", "__w"), "fourier")
+        return PipelineModel([scaled, kernel, OneVsRest(classifier=svc, featuresCol="__z", labelCol="y", weightCol="__w", parallelism=min(int(one.k) + 1, 8)).fit(z)])
     return Pipeline(stages=[scale, estimator(kind, int(one.k) + 1, one.m, 1 / (c * one.w), seed)]).fit(d)
 
 

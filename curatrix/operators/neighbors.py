@@ -110,6 +110,15 @@ def _codes(x: pa.Table, y: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return codes[: x.num_rows], codes[x.num_rows :]
 
 
+def shared_groups(x: pa.Table, y: pa.Table) -> Iterator[tuple[pa.Array, pa.Array]]:
+    """Row numbers of x and of y of each group that both have."""
+    if x.num_rows and y.num_rows:
+        a, b = _codes(x, y)
+        oa, ob = np.argsort(a, kind="stable"), np.argsort(b, kind="stable")
+        for code in np.intersect1d(a, b):
+            yield tuple(pa.array(o[np.searchsorted(c, code, "left", o) : np.searchsorted(c, code, "right", o)]) for c, o in ((a, oa), (b, ob)))
+
+
 def best(s: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """(row, column) of the k largest finite scores of each row, ties by the columns' identifiers."""
     if s.shape[1] > k:
@@ -158,8 +167,13 @@ def nearest(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "cosine
 
     schema = "q long, c long, score double" + "".join(f", {name} {kind}" for name, kind in carried)
     out = cells(left, right, work, schema, by_group and same)
-    ranked = out.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(F.col("score").desc(), "c"))).filter(F.col("rank") <= k)
-    return ranked.withColumn("score", F.abs("score") if metric == "euclidean" else F.col("score"))
+    return ranked(out, k, metric)
+
+
+def ranked(found: DataFrame, k: int, metric: str) -> DataFrame:
+    """found (q, c, score, ...) with rank, the k best of each query; distances are positive."""
+    out = found.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(F.col("score").desc(), "c"))).filter(F.col("rank") <= k)
+    return out.withColumn("score", F.abs("score") if metric == "euclidean" else F.col("score"))
 
 
 def similar_pairs(df: DataFrame, threshold: float, metric: str = "cosine", id_col: str = "vec_id", vector: str = "embedding", strict: bool = True, group: str | None = None) -> DataFrame:
