@@ -39,10 +39,7 @@ class _Model(Transformer):
 
         @F.pandas_udf("array<double>")
         def proba(v: pd.Series) -> pd.Series:
-            out, there = pd.Series([None] * len(v), dtype=object), v.notna().to_numpy()
-            if there.any():
-                out[there] = list(score(np.stack(v[there].to_list())))
-            return out
+            return pd.Series(list(score(np.stack(v.to_list()))) if len(v) else [], dtype=object)
 
         best = F.array_position("__p", F.array_max("__p")) - 1
         return df.withColumn("__p", proba(vector_to_array(self.inputs))).withColumns({"probability": array_to_vector("__p"), "prediction": best.cast("double")}).drop("__p")
@@ -244,9 +241,11 @@ def boost(df: DataFrame, rounds: int = 100, depth: int = 5, rate: float = 0.1, b
                 hist, loss = histograms(b, y, w, f, new, open_, bins)
                 return best_of(hist), loss / w.sum()
 
-            return boosting_rounds(sums, classes, rounds, depth, rate, reg)
+            trees, losses = boosting_rounds(sums, classes, rounds, depth, rate, reg)
+            return [[(x.feature, x.bin, x.left, x.value) for x in round_] for round_ in trees], losses
 
-        return Boosted(edges, prior, *_one_task(data, whole))
+        trees, losses = _one_task(data, whole)
+        return Boosted(edges, prior, [[Tree(*x) for x in round_] for round_ in trees], losses)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:

@@ -296,6 +296,25 @@ def _(spark, d):
     return rounded(M.evaluate(model, x.filter("test")).withColumn("steps", F.lit(len(losses))))
 
 
+@query("ml04b_kernel_and_boosting")
+def _(spark, d):
+    """A kernel machine by random features and 100 rounds of softmax boosting."""
+    x = parted(spark, d)
+    return rounded(M.zoo(x.filter("not test"), x.filter("test"), ("rbf", "boosted")))
+
+
+@query("ml05b_rectified_network")
+def _(spark, d):
+    """A network of rectified units with dropout; early stop on a tenth of the training rows."""
+    from curatrix.operators.learners import network, networked
+
+    x = parted(spark, d).select(c("embedding").cast("array<double>").alias("x"), c("y").cast("int").alias("y"), F.lit(1.0).alias("w"), "test", "vec_id", "label", "embedding")
+    train, held = x.filter("not test and vec_id % 10 <> 0"), x.filter("not test and vec_id % 10 = 0")
+    ws, losses = network(train, held)
+    scored = networked(ws, "__raw").transform(M.features(x.filter("test"))).withColumn("predicted", c("prediction"))
+    return rounded(C.prf(scored, "y", "predicted").withColumn("epochs", F.lit(len(losses))))
+
+
 @query("ml06_seed_ensemble")
 def _(spark, d):
     from curatrix.operators.clusters import mixup
@@ -468,6 +487,58 @@ def _(spark, d):
     return candidates(generate(prompts, "prompt", EchoGenerator, (0.7, 1.0, 1.3), concurrency=4), ["lang"]).select("lang", "pos")
 
 
+@query("io05b_row_cache", "SELECT 'first' AS run, count(DISTINCT text) AS encoded, count(text) AS rows FROM documents WHERE doc_id % 10 <> 0 UNION ALL SELECT 'second', (SELECT count(*) FROM (SELECT text FROM documents WHERE text IS NOT NULL EXCEPT SELECT text FROM documents WHERE doc_id % 10 <> 0)), (SELECT count(text) FROM documents) UNION ALL SELECT 'third', 0, (SELECT count(text) FROM documents)")
+def _(spark, d):
+    """Vectors of nine tenths of the documents, then of all, then again: what each run encodes, and the rows it gives vectors to."""
+    from curatrix.sources.vector_cache import VectorCache
+
+    def make():
+        return lambda texts: [[float(len(t)), 1.0] for t in texts]
+
+    docs, rows = table(spark, d, "documents").select("doc_id", "text"), []
+    cache = VectorCache(spark, "lengths", _fresh(spark, "vectors"))
+    for name, part in (("first", docs.filter("doc_id % 10 <> 0")), ("second", docs), ("third", docs)):
+        rows.append((name, cache.fill(part, "text", make), cache.get(part, "text", make).filter("embedding is not null").count()))
+    return spark.createDataFrame(rows, "run string, encoded long, rows long")
+
+
+@query("xt03_resumed_generation", "SELECT lang, doc_id % 50 AS part, count(DISTINCT t) AS answers, count(DISTINCT t) AS calls_answered FROM documents, unnest([0.7, 1.0]) AS x(t) GROUP BY ALL")
+def _(spark, d):
+    """A prompt for each language and part; every call's first attempt fails, the run is stopped after a wave and goes on in another ledger object."""
+    from curatrix.sources.generators import EchoGenerator
+    from curatrix.sources.ledger import Ledger
+
+    prompts = table(spark, d, "documents").select("lang", (c("doc_id") % 50).alias("part")).distinct().withColumn("prompt", F.concat_ws(" ", F.lit("Write about"), "lang", "part"))
+    make, root = _flaky(EchoGenerator), _fresh(spark, "ledger")
+    options = {"root": root, "wait": 0.01, "wave": max(1, prompts.count())}
+    Ledger(spark, "run", **options).run(prompts, "prompt", make, (0.7, 1.0), waves=1)
+    rest = Ledger(spark, "run", **options)
+    rest.run(prompts, "prompt", make, (0.7, 1.0))
+    calls = rest.results().filter("error is null").groupBy("digest").agg(F.count(F.lit(1)).alias("good"))
+    found = rest.answered(prompts, "prompt").filter("response like '%of some words'").groupBy("lang", "part", F.sha2("prompt", 256).alias("digest")).agg(F.countDistinct("temperature").alias("answers"))
+    return found.join(calls, "digest").select("lang", "part", "answers", c("good").alias("calls_answered"))
+
+
+def _flaky(kind):
+    """A generator whose every other call of a prompt fails."""
+
+    def make():
+        from collections import Counter
+
+        seen, inner = Counter(), kind()
+
+        class Flaky:
+            def generate(self, prompt, temperature=1.0):
+                seen[prompt, temperature] += 1
+                if seen[prompt, temperature] % 2:
+                    raise TimeoutError(prompt)
+                return inner.generate(prompt, temperature)
+
+        return Flaky()
+
+    return make
+
+
 @query("rollup_overall", "SELECT lang, count(*) AS n, round(avg(n_chars), 6) AS chars FROM documents GROUP BY ROLLUP (lang)")
 def _(spark, d):
     return rounded(table(spark, d, "documents").rollup("lang").agg(F.count(F.lit(1)).alias("n"), F.avg("n_chars").alias("chars")))

@@ -7,8 +7,10 @@ from curatrix.functions import vectors as V
 from curatrix.operators import anchors as A
 from curatrix.operators import classes as C
 from curatrix.operators import clusters as K
+from curatrix.operators import index as I
 from curatrix.operators import neighbors as N
 from curatrix.plans.registry import CENTROIDS, EMB, query, rounded, table
+from curatrix.sources.storage import stored
 
 c = F.col
 
@@ -140,6 +142,57 @@ def _(spark, d):
     return rounded(N.nearest(emb(spark, d), emb(spark, d), 5))
 
 
+def _every_50th(spark, d):
+    return emb(spark, d).filter("vec_id % 50 = 0")
+
+
+def _indexed(spark, d, k, value=None, same=None):
+    """(index, found, exact) of every 50th row against all, with as many probes as the exact neighbours of a sample of queries ask for."""
+    e = emb(spark, d)
+    index = I.build(e, value=value)
+    probes = I.tune(index, e, k)
+    found = stored(I.search(index, _every_50th(spark, d), k, probes, value=value, same=same), "indexed")
+    exact = N.nearest(_every_50th(spark, d), e, k, query_group=value if same is not None else None, corpus_group=value if same is not None else None, same=bool(same))
+    return index, found, exact
+
+
+@query("jn07b_indexed_knn")
+def _(spark, d):
+    """The 10 nearest rows of every 50th row by inverted lists, and the recall of the whole result against the exact one."""
+    _, found, exact = _indexed(spark, d, 10)
+    return rounded(found.join(F.broadcast(I.recall(found, exact).select("recall"))))
+
+
+@query("ag08b_indexed_purity")
+def _(spark, d):
+    """Purity of the 10 nearest of every 50th row by inverted lists and exactly, by class."""
+    _, found, _ = _indexed(spark, d, 10, "label")
+    near = found.groupBy(c("q").alias("vec_id"), c("q_value").alias("label")).agg(F.avg((c("q_value") == c("c_value")).cast("double")).alias("purity"))
+    exact = N.purity(_every_50th(spark, d), emb(spark, d), 10).select("vec_id", c("purity").alias("exact"))
+    return rounded(near.join(exact, "vec_id").groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.avg("purity").alias("purity"), F.avg("exact").alias("exact_purity")))
+
+
+@query("an08b_indexed_hard_anchors")
+def _(spark, d):
+    """The nearest row of another class of every 50th row by inverted lists, and the recall of the whole result."""
+    _, found, exact = _indexed(spark, d, 1, "label", same=False)
+    return rounded(found.join(F.broadcast(I.recall(found, exact).select("recall"))).select("q", "c", "q_value", "c_value", (1 - c("score")).alias("distance"), "recall"))
+
+
+@query("jn06b_pairs_by_reach", f"WITH {EMB} SELECT a.vec_id AS a, b.vec_id AS b, round({COS.format('a', 'b')}, 6) AS score FROM e a JOIN e b ON a.vec_id < b.vec_id WHERE round({COS.format('a', 'b')}, 12) > 0.35")
+def _(spark, d):
+    return rounded(I.similar_pairs(emb(spark, d), 0.35, dense=1.0))
+
+
+@query("jn06c_cells_visited")
+def _(spark, d):
+    """How many cells rows are sent to by threshold, of all vectors and of them with a copy of every 10th row moved a little."""
+    e = emb(spark, d).select("vec_id", c("embedding").cast("array<double>").alias("embedding"))
+    copies = e.filter("vec_id % 10 = 0").select((c("vec_id") + 10_000_000_000).alias("vec_id"), F.transform("embedding", lambda x, i: x + F.when(i == 0, 0.02).otherwise(0.0)).alias("embedding"))
+    rows = [(t, p.rows, p.cells, p.visits, p.share) for t in (0.35, 0.9, 0.99) for p in [I.visits(e.unionByName(copies), t)]]
+    return rounded(spark.createDataFrame(rows, "threshold double, rows long, cells int, visits long, share double"))
+
+
 @query("wn01_nearest_to_centroid", f"WITH {SIMS} SELECT label, vec_id, CAST(r AS INTEGER) AS rank FROM (SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY round(sim, 9) DESC, vec_id) AS r FROM s) WHERE r <= 3")
 def _(spark, d):
     x = A.to_centroid(emb(spark, d), "label")
