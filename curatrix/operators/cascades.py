@@ -138,17 +138,18 @@ def percentile_cascade(df: DataFrame, group: str, steps: list[tuple[str, str, fl
 
 
 def relaxed(df: DataFrame, group: str, sim: str, start: Column, k: int = 5, floor: float = 0.40, step: float = 0.10, id_col: str = "vec_id") -> DataFrame:
-    """The k most similar rows of each group at the first threshold, from `start` down by steps to the floor, that k rows reach; otherwise all at the floor; otherwise the k best. With used: the threshold."""
-    w = Window.partitionBy(group)
-    kth = F.max(F.when(F.col("rank") == k, F.col(sim))).over(w)
-    best = F.max(sim).over(w)
-    d = df.withColumn("__s", start).withColumn("rank", F.row_number().over(w.orderBy(F.round(sim, 9).desc(), id_col)))
-    d = d.withColumns({"__kth": kth, "__best": best})
+    """The k most similar rows of each group at the first threshold, from `start` down by steps to the floor, that k rows reach; otherwise all at the floor; otherwise the k best. With used: the threshold. start is one value for each group."""
+    df = stored(df, "relaxed")
+    first = F.row_number().over(Window.partitionBy(group).orderBy(F.round(sim, 9).desc(), id_col))
+    top = df.withColumn("__rank", first).filter(F.col("__rank") <= k)  # cut before the shuffle
+    least = top.withColumn("__s", start).groupBy(F.col(group).alias("__g")).agg(F.max("__s").alias("__s"), F.max(F.when(F.col("__rank") == k, F.col(sim))).alias("__kth"), F.max(sim).alias("__best"))
     tries = F.transform(F.sequence(F.lit(0), F.lit(20)), lambda i: F.round(F.col("__s") - i * step, 6))
     fit = F.array_max(F.filter(tries, lambda t: (t >= floor - 1e-6) & (F.col("__kth") >= t)))
     used = F.when(fit.isNotNull(), fit).when(F.col("__best") >= floor, F.lit(floor)).otherwise(F.lit(None))
-    d = d.withColumn("used", used)
-    return d.filter(F.when(fit.isNotNull(), F.col("rank") <= k).when(F.col("__best") >= floor, F.col(sim) >= floor).otherwise(F.col("rank") <= k)).drop("__s", "__kth", "__best")
+    least = stored(least.select("__g", used.alias("used"), (fit.isNull() & (F.col("__best") >= floor)).alias("__all")), "relaxed-groups")
+    with_used = lambda d: d.join(least, d[group].eqNullSafe(F.col("__g")))
+    best, rest = with_used(top).filter(~F.coalesce("__all", F.lit(False))), with_used(df).filter(F.col("__all") & (F.col(sim) >= floor))
+    return best.select(*df.columns, "used").unionByName(rest.select(*df.columns, "used"))
 
 
 def centroid_features(df: DataFrame, label: str = "label", id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:

@@ -17,7 +17,7 @@ from curatrix.functions.ladders import clip, whole
 from curatrix.functions.vectors import interpolate
 from curatrix.operators.index import PER_CELL, build, lloyd
 from curatrix.operators.neighbors import matrix, mean_distance, nearest, vectors
-from curatrix.operators.ranks import quantiles
+from curatrix.operators.ranks import numbered, quantiles
 from curatrix.sources.storage import stored
 
 #: Rows of a coreset: bounds what an elbow's fits hold on the driver.
@@ -162,9 +162,9 @@ def final_k(elbow: Column, n: Column, least: int = 6, most: int = 12, size: int
 def smote_pairs(df: DataFrame, anchors: DataFrame, n: int, k: int = 5, id_col: str = "vec_id", vector: str = "embedding", group: str | None = None, seed: int = 42) -> DataFrame:
     """(i, anchor, neighbour, by, synthetic): n interpolations, anchors in turn, a neighbour and a share each drawn by a hash of (seed, i)."""
     draw = lambda what: F.conv(F.substring(F.md5(F.concat_ws("/", F.lit(what), F.lit(str(seed)), F.col("i").cast("string"))), 1, 8), 16, 10).cast("long")
-    ranked = anchors.select(F.col(id_col).alias("anchor")).withColumn("a", F.row_number().over(Window.orderBy("anchor")) - 1)  # anchors are few
+    ranked = numbered(anchors.select(F.col(id_col).alias("anchor")), [], ["anchor"], "a", "m").select("anchor", (F.col("a") - 1).alias("a"))
     count = ranked.agg(F.count(F.lit(1)).alias("m"))
-    turns = df.sparkSession.range(n).select(F.col("id").alias("i")).join(F.broadcast(count)).withColumn("a", F.col("i") % F.col("m")).join(F.broadcast(ranked), "a")
+    turns = df.sparkSession.range(n).select(F.col("id").alias("i")).join(F.broadcast(count)).withColumn("a", F.col("i") % F.col("m")).join(ranked, "a")
     near = nearest(df.join(anchors.select(id_col), id_col, "left_semi"), df, k, "euclidean", id_col, id_col, vector, group, group).select(F.col("q").alias("anchor"), F.col("c").alias("neighbour"), (F.col("rank") - 1).alias("r"), F.count(F.lit(1)).over(Window.partitionBy("q")).alias("m"))
     both = turns.drop("m").withColumn("x", draw("neighbour")).join(near, "anchor").filter(F.col("x") % F.col("m") == F.col("r")).withColumn("by", draw("share") / 4294967296.0)
     v = lambda name, c: df.select(F.col(id_col).alias(name), F.col(vector).alias(c))
@@ -216,7 +216,7 @@ def contrastive(df: DataFrame, label: str = "label", id_col: str = "vec_id", vec
     places = sorted({x for d in draws for x in d if x is not None})
     of = [int(np.searchsorted(ends, x, side="right")) for x in places]
     keys = df.sparkSession.createDataFrame([(sizes[c][0], x - int(ends[c]) + sizes[c][1] + 1, x) for x, c in zip(places, of, strict=True)], "kl string, kr long, place long")
-    ranked = pool.withColumn("r", F.row_number().over(Window.partitionBy("l").orderBy("i")))
+    ranked = numbered(pool, ["l"], ["i"], "r", "m")
     few = ranked.join(F.broadcast(keys), F.col("l").eqNullSafe(F.col("kl")) & (F.col("r") == F.col("kr"))).select("i", "place")
 
     def run(p: pd.DataFrame) -> pd.DataFrame:

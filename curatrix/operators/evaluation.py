@@ -132,8 +132,9 @@ def correlations(df: DataFrame, target: str, metrics: list[str], ranks: bool = F
     """(metric, r) by size of r: Pearson's, or Spearman's over average ranks."""
     if ranks:
         for c in [target, *metrics]:
-            w = Window.orderBy(c)
-            df = df.withColumn(f"__{c}", F.rank().over(w) + (F.count(F.lit(1)).over(Window.partitionBy(c)) - 1) / 2)
+            df = numbered(df, [], [c], "rank__", "size__")
+            mean = df.groupBy(F.col(c).alias("value__")).agg(F.avg("rank__").alias(f"__{c}"))
+            df = df.join(mean, F.col(c).eqNullSafe(F.col("value__"))).drop("rank__", "size__", "value__")
         df = df.select(*(F.col(f"__{c}").alias(c) for c in [target, *metrics]))
     one = df.agg(*(F.corr(m, target).alias(m) for m in metrics))
     return one.select(F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).alias("r")) for m in metrics))).alias("x")).select("x.*").orderBy(F.abs("r").desc(), "metric")

@@ -479,12 +479,13 @@ def _(spark, d):
     return e.select("doc_id", *(F.round(F.get("embedding", F.lit(i)).cast("double"), 4).alias(n) for i, n in enumerate("xyz")))
 
 
-@query("xt02_generated_candidates", "SELECT DISTINCT lang, CAST(k AS INTEGER) AS pos FROM documents, unnest([1, 2, 3, 4, 5]) AS t(k)")
+@query("xt02_generated_candidates", """WITH p AS (SELECT DISTINCT lang, source FROM documents), x AS (SELECT lang, source, t, i, 'text ' || substr(md5('Write about ' || lang || ' ' || source || '/' || t), 1 + i * 4, 8) || ' of some words' AS text FROM p, unnest(['0.7', '1', '1.3']) AS a(t), unnest([0, 1, 2]) AS b(i))
+SELECT lang, source, CAST(pos AS INTEGER) AS pos, text FROM (SELECT *, row_number() OVER (PARTITION BY lang, source ORDER BY CAST(t AS DOUBLE), i) AS pos FROM x) WHERE pos <= 5""")
 def _(spark, d):
     from curatrix.sources.generators import EchoGenerator, candidates, generate
 
-    prompts = table(spark, d, "documents").select("lang").distinct().withColumn("prompt", F.concat(F.lit("Write about "), "lang"))
-    return candidates(generate(prompts, "prompt", EchoGenerator, (0.7, 1.0, 1.3), concurrency=4), ["lang"]).select("lang", "pos")
+    prompts = table(spark, d, "documents").select("lang", "source").distinct().withColumn("prompt", F.concat_ws(" ", F.lit("Write about"), "lang", "source"))
+    return candidates(generate(prompts, "prompt", EchoGenerator, (0.7, 1.0, 1.3), concurrency=4), ["lang", "source"]).select("lang", "source", "pos", "text")
 
 
 @query("io05b_row_cache", "SELECT 'first' AS run, count(DISTINCT text) AS encoded, count(text) AS rows FROM documents WHERE doc_id % 10 <> 0 UNION ALL SELECT 'second', (SELECT count(*) FROM (SELECT text FROM documents WHERE text IS NOT NULL EXCEPT SELECT text FROM documents WHERE doc_id % 10 <> 0)), (SELECT count(text) FROM documents) UNION ALL SELECT 'third', 0, (SELECT count(text) FROM documents)")
