@@ -9,16 +9,17 @@ page a class is valid if its tokens come in the class's order, round after round
 nested: each of its rounds lies between two neighbouring tokens of every class with wider rounds.
 
 Text blocks of valid classes are the host's template. What is left lies in slots, and slots in
-the template's containers (elements that every page of theirs holds once), which nest. From the
-top down, the slots of a container's parts are compared over all pages of the host: parts
+the template's containers, which nest: elements that every page of theirs holds once or, if all hold them
+equally often, the first, the second and so on in roles of their own (so plain divisions are told apart
+too). From the top down, the slots of a container's parts are compared over all pages of the host: parts
 mostly of links go; if less than SIDE of a container's slot text lies outside its parts, the
 parts kept are those from the one with the heading (or the first large one) to the last large
 one, a large one holding SIDE of the container's slot text. So the article is the innermost part
 of the template that leaves out no large slot. Tags, roles and names only label parts: menus,
-headers, footers, sidebars, notices, adverts, forms and comments go, and where a page says which
-element is its article (article or main, not of comments), its slots are taken.
-A host with fewer than SUPPORT different pages has no template; then lists of links around the
-text go and the rest stays.
+headers, footers, sidebars, notices, adverts, forms and comments go.
+A host with fewer than SUPPORT different pages has no template; then the slots of the element that says it
+is the article (article or main, not of comments) are taken, or, without one, lists of links around the text
+go and the rest stays.
 
 Occurrence vectors are never gathered: a vector is told by two sums over pages of hashes of
 (page, count), which partial aggregation adds up, so a host with a third of all pages is no
@@ -103,6 +104,10 @@ class Element:
     def token(self) -> int:
         return int.from_bytes(self.key, "big", signed=True)
 
+    def role(self, nth: int) -> int:
+        """The token of the nth of the elements with this one's path."""
+        return int.from_bytes(_key(self.key, f"[{nth}]"), "big", signed=True)
+
     @property
     def apart(self) -> bool:
         return bool(self.names) or self.tag in OUT_TAGS
@@ -269,7 +274,7 @@ def _measure(elements: list[Element], blocks: list[Block]) -> None:
 
 
 class Known:
-    """What is known of recurring tokens: their class, place in it, whether every page holds them once, whether their class may be a template's text, and whether a container's slots are kept (-1: undecided)."""
+    """What is known of recurring tokens: their class, place in it, how often every page of theirs holds them (0: not all as often), whether their class may be a template's text, and whether a container's slots are kept (-1: undecided). Containers told apart by their place have rows of their own for that."""
 
     FIELDS = ("token", "cls", "place", "once", "template", "size", "kept")
 
@@ -301,20 +306,30 @@ class Template:
 
     def __init__(self, elements: list[Element], blocks: list[Block], known: Known | None):
         self.text: set[int] = set()
-        self.once: dict[int, int] = {}  # id of an element -> kept: 1, 0 or -1
+        self.once: dict[int, tuple[int, int]] = {}  # id of an element -> (the token of its role, kept: 1, 0 or -1)
         if known is None or not len(known):
             return
         n = len(elements)
         hit, of = known.find([x.token for x in (*elements, *blocks)])
         seen: dict[int, list] = defaultdict(list)  # class -> (place on the page, place in the class, block or -1)
         template: dict[int, int] = {}  # class that may be a template's text -> its tokens
+        nth: dict[int, int] = defaultdict(int)
+        roles: list[tuple[Element, int]] = []
         for k, i in enumerate(hit):
             x = elements[i] if i < n else blocks[i - n]
             seen[of["cls"][k]].append((x.at, of["place"][k], i - n if i >= n else -1))
-            if i < n and of["once"][k]:
-                self.once[id(x)] = of["kept"][k]
+            if i < n and of["once"][k] == 1:
+                self.once[id(x)] = x.token, of["kept"][k]
+            elif i < n and of["once"][k] and x.tag in CONTAINERS:
+                # Every page has as many of them: the first, the second and so on play roles of their own.
+                roles.append((x, x.role(nth[x.token])))
+                nth[x.token] += 1
             elif i >= n and of["template"][k]:
                 template[of["cls"][k]] = of["size"][k]
+        self.once |= {id(x): (role, -1) for x, role in roles}
+        decided, of_roles = known.find([role for _, role in roles])
+        for k, i in enumerate(decided):
+            self.once[id(roles[i][0])] = roles[i][1], of_roles["kept"][k]
         rounds = {c: r for c in seen if (r := _rounds(sorted(seen[c]))) is not None} if template else {}
         widest = lambda c: max(r[-1][0] - r[0][0] for r in rounds[c])
         wider: list[list[int]] = []
@@ -364,16 +379,20 @@ def labelled(elements: list[Element]) -> list[Element]:
 
 
 def slots(elements: list[Element], blocks: list[Block], template: Template | None = None) -> list[tuple[int, bool]]:
-    """(block, main) of the blocks that lie in slots: those that aren't the template's; main: it is of the article."""
+    """(block, main) of the blocks that lie in slots: those that aren't the template's; main: it is of the article.
+
+    The article is what the host's template leaves; only a page without a template is asked for an element that says it is the article.
+    """
     _measure(elements, blocks)
     held = template.text if template else ()
     data = [i for i in range(len(blocks)) if i not in held]
     good = [i for i in data if not blocks[i].element.out]
-    if tops := {id(e) for e in labelled(elements)}:
+    if template and template.once:
+        gone = {e for e, (_, kept) in template.once.items() if kept == 0}
+        main = set(_without_link_lists(blocks, [i for i in good if not any(id(e) in gone for e in blocks[i].element.up())]))
+    elif tops := {id(e) for e in labelled(elements)}:
         main = {i for i in good if any(id(e) in tops for e in blocks[i].element.up())}
     else:
-        if template:
-            good = [i for i in good if all(template.once.get(id(e)) != 0 for e in blocks[i].element.up())]
         main = set(_without_link_lists(blocks, good))
     return [(i, i in main) for i in data]
 
@@ -383,8 +402,8 @@ def article(elements: list[Element], blocks: list[Block], template: Template | N
     return " ".join(blocks[i].text for i, main in slots(elements, blocks, template) if main)
 
 
-def parts(elements: list[Element], blocks: list[Block], template: Template) -> Iterator[tuple[int, int, int, int, int, int, int]]:
-    """(part, container, slot text of the part, of the container, of it linked, whether it holds the heading, place) of the template's containers on a page."""
+def parts(elements: list[Element], blocks: list[Block], template: Template) -> Iterator[tuple[int, int, int, int, int, int, int, int]]:
+    """(part, its path's token, container, slot text of the part, of the container, of it linked, whether it holds the heading, place) of the template's containers on a page."""
     _measure(elements, blocks)
     size, linked, top = defaultdict(int), defaultdict(int), set()
     good = [b for i, b in enumerate(blocks) if i not in template.text and not b.element.out]
@@ -399,7 +418,7 @@ def parts(elements: list[Element], blocks: list[Block], template: Template) -> I
         if id(e) in template.once and size[id(e)] and e.tag in CONTAINERS and not e.out:
             for c in e.parent.up():
                 if id(c) in template.once and c.tag in CONTAINERS:
-                    yield e.token, c.token, size[id(e)], size[id(c)], linked[id(e)], int(id(e) in top), e.at
+                    yield template.once[id(e)][0], e.token, template.once[id(c)][0], size[id(e)], size[id(c)], linked[id(e)], int(id(e) in top), e.at
                     break
 
 
@@ -432,17 +451,17 @@ def templates(pages: DataFrame, support: int = SUPPORT) -> DataFrame:
     # Pages that come twice count once; then tokens are added up over pages. Both combine before they shuffle.
     once = found.groupBy("token", "page").agg(*(F.max(c).alias(c) for c in ("n", "place", "is_text", "apart", "size", "whole")))
     mark = F.xxhash64("page", "n")
-    each = once.groupBy("token").agg(F.sum(F.shiftright(mark, 32)).alias("s1"), F.sum(mark.bitwiseAND(F.lit(0xFFFFFFFF))).alias("s2"), F.count(F.lit(1)).alias("pages"), F.max("n").alias("n"), F.avg("place").alias("place"), *(F.max(c).alias(c) for c in ("is_text", "apart")), *(F.sum(c).alias(c) for c in ("size", "whole")))
+    each = once.groupBy("token").agg(F.sum(F.shiftright(mark, 32)).alias("s1"), F.sum(mark.bitwiseAND(F.lit(0xFFFFFFFF))).alias("s2"), F.count(F.lit(1)).alias("pages"), F.max("n").alias("n"), F.min("n").alias("least"), F.avg("place").alias("place"), *(F.max(c).alias(c) for c in ("is_text", "apart")), *(F.sum(c).alias(c) for c in ("size", "whole")))
     each = stored(each.filter(F.col("pages") >= support), "tokens")
     classes = each.groupBy("s1", "s2").agg(F.count(F.lit(1)).cast("int").alias("members"), F.max("apart").alias("counts"), F.sum(F.when(F.col("is_text"), F.col("size")).otherwise(0)).alias("texts"))
     both = each.join(classes, ["s1", "s2"])
     template = F.col("is_text") & F.col("counts") & (2 * F.col("texts") <= F.col("whole"))
-    return both.select("token", F.xxhash64("s1", "s2").alias("cls"), "place", (F.col("n") == 1).alias("once"), template.alias("template"), F.col("members").alias("size"))
+    return both.select("token", F.xxhash64("s1", "s2").alias("cls"), "place", F.when(F.col("n") == F.col("least"), F.col("n")).otherwise(0).cast("int").alias("once"), template.alias("template"), F.col("members").alias("size"))
 
 
 def decisions(found: DataFrame) -> DataFrame:
-    """(token, kept): whether a part's slots are kept, from parts() of all pages."""
-    each = found.groupBy("token", "container").agg(F.sum("v").alias("v"), F.sum("vc").alias("vc"), F.sum("linked").alias("linked"), F.avg("heading").alias("heading"), F.avg("place").alias("place"))
+    """(token, via, kept): whether a part's slots are kept, from parts() of all pages; via: the token of its path."""
+    each = found.groupBy("token", "container").agg(F.max("via").alias("via"), F.sum("v").alias("v"), F.sum("vc").alias("vc"), F.sum("linked").alias("linked"), F.avg("heading").alias("heading"), F.avg("place").alias("place"))
     w = Window.partitionBy("container")
     d = each.withColumns({"share": F.col("v") / F.col("vc"), "links": 2 * F.col("linked") > F.col("v")})
     d = d.withColumns({"outside": 1 - F.sum("share").over(w), "most": F.max(F.when(~F.col("links"), F.struct("v", -F.col("place")))).over(w)})
@@ -452,13 +471,13 @@ def decisions(found: DataFrame) -> DataFrame:
     first = F.col("large") | ~F.col("links") & (2 * F.col("heading") >= 1) & (F.col("place") <= F.col("main_place"))
     d = d.withColumn("start", F.min(F.when(first, F.col("place"))).over(w))
     inside = (F.col("outside") >= SIDE) | F.col("most").isNull() | F.col("place").between(F.col("start"), F.col("end"))
-    return d.select("token", F.when(F.col("most").isNotNull() & F.col("links"), 0).otherwise(inside.cast("int")).alias("kept"))
+    return d.select("token", "via", F.when(F.col("most").isNotNull() & F.col("links"), 0).otherwise(inside.cast("int")).alias("kept"))
 
 
 def _meet(rows: DataFrame, known: DataFrame):
     """Rows with what is known of their tokens, and a function that reads it from a batch (whose last column may be made for it): one broadcast table if it is small, else a list for each page."""
     if known.count() * TOKEN_BYTES <= BROADCAST_BYTES:
-        given = rows.sparkSession.sparkContext.broadcast(Known.read(known.toArrow()).of)
+        given = rows.sparkSession.sparkContext.broadcast(Known.read(known.drop("via").toArrow()).of)
 
         def every(b: pa.RecordBatch) -> Iterator[Known]:
             one = Known(given.value, True)
@@ -469,20 +488,24 @@ def _meet(rows: DataFrame, known: DataFrame):
     def tokens_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches, 2):
             held = [(page, t) for page, host, source in zip(*(c.to_pylist() for c in b.columns), strict=True) for t in {x.token for part in parse(source, host) for x in part}]
-            yield _columns(held, _FOUND[:2])
+            yield _columns(held, [("page", pa.int64()), ("via", pa.int64())])
 
     def each(b: pa.RecordBatch) -> Iterator[Known | None]:
         lists = b.column(b.num_columns - 1)
         yield from (Known.read(x.values) if x.is_valid else None for x in lists)
 
-    mine = rows.select("page", "host", "html").mapInArrow(tokens_of, "page long, token long").distinct()
-    lists = mine.join(known, "token").groupBy("page").agg(F.collect_list(F.struct(*Known.FIELDS)).alias("known"))
+    mine = rows.select("page", "host", "html").mapInArrow(tokens_of, "page long, via long").distinct()
+    lists = mine.join(known, "via").groupBy("page").agg(F.collect_list(F.struct(*Known.FIELDS)).alias("known"))
     return rows.join(lists, "page", "left"), each
 
 
 def _lookup(known: DataFrame, kept: DataFrame | None) -> DataFrame:
-    both = known.withColumn("kept", F.lit(-1)) if kept is None else known.join(kept, "token", "left").withColumn("kept", F.coalesce("kept", F.lit(-1)))
-    return both.select(*Known.FIELDS)
+    """What is known of tokens, and of roles of containers; via: the token under which a page finds the row."""
+    if kept is None:
+        return known.select(F.col("token").alias("via"), *Known.FIELDS[:-1], F.lit(-1).alias("kept"))
+    both = known.join(kept.withColumnRenamed("via", "path"), "token", "full")
+    rest = {"cls": F.lit(0), "place": F.lit(0.0), "once": F.lit(0), "template": F.lit(False), "size": F.lit(0), "kept": F.lit(-1)}
+    return both.select(F.coalesce("path", "token").alias("via"), "token", *(F.coalesce(k, v).alias(k) for k, v in rest.items()))
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url: str = "url", source: str = "html", support: int = SUPPORT) -> DataFrame:
@@ -501,8 +524,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url: str = "url", source:
     host = F.lower(F.regexp_extract(F.coalesce(F.col(url), F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
     rows = pages.select(F.col(id_col).alias("__id"), F.col(url).alias("__url"), host.alias("host"), F.coalesce(source, F.lit("")).alias("html")).withColumn("page", F.xxhash64("host", "html"))
     known = stored(templates(rows.select("page", "host", "html"), support), "templates")
-    # Pages that say which element is their article don't ask for the slots' sizes.
-    unlabelled, told = _meet(rows.filter(~F.col("html").rlike("(?i)<(article|main)[\\s>/]")), _lookup(known, None))
+    weighed, told = _meet(rows, _lookup(known, None))
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches, 2):
@@ -510,9 +532,9 @@ def extract(pages: DataFrame, id_col: str = "page_id", url: str = "url", source:
             for host, page, k in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), told(b), strict=True):
                 elements, blocks = parse(page, host)
                 found += parts(elements, blocks, Template(elements, blocks, k))
-            yield _columns(found, [(n, pa.int64()) for n in ("token", "container", "v", "vc", "linked", "heading", "place")])
+            yield _columns(found, [(n, pa.int64()) for n in ("token", "via", "container", "v", "vc", "linked", "heading", "place")])
 
-    sizes = unlabelled.select("page", "host", "html", "known").mapInArrow(weigh, "token long, container long, v long, vc long, linked long, heading long, place long")
+    sizes = weighed.select("page", "host", "html", "known").mapInArrow(weigh, "token long, via long, container long, v long, vc long, linked long, heading long, place long")
     met, known_of = _meet(rows, _lookup(known, stored(decisions(sizes), "slots")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

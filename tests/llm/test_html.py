@@ -100,3 +100,25 @@ def test_neutral_pages_need_the_template(spark, small, monkeypatch):
     # Slots hold what isn't the template's, the article's and the rest.
     texts = [s.text for s in got[4].slots]
     assert not {"Daily things", "Tap to enlarge"} & {*texts} and len([s for s in got[4].slots if s.main]) < len(texts)
+
+
+def plain_divisions(source):
+    """A given page with article, nav, footer and the like as plain divisions, classes and ids as names that say nothing."""
+    for tag in ("nav", "aside", "footer", "header", "article", "main", "section", "form"):
+        source = re.sub(rf"<(/?){tag}\b", r"<\1div", source, flags=re.I)
+    return re.sub(r'(class|id)="([^"]*)"', lambda m: f'{m[1]}="z{sum(map(ord, m[2])) % 97}"', source)
+
+
+def test_given_pages_as_plain_divisions(spark):
+    sf = "/root/testdata/sf0.01"
+    pages = spark.read.parquet(f"{sf}/pages.parquet")
+    want = {r.page_id: r.text for r in op7_html_extract(spark, sf).collect()}
+    plain = spark.createDataFrame([(r.page_id, r.url, plain_divisions(r.html)) for r in pages.collect()], "page_id long, url string, html string")
+    hosts = {}
+    for r in pages.collect():
+        hosts.setdefault(re.sub(r"^\w+://([^/?#]*).*", r"\1", r.url), set()).add(r.page_id)
+    told = set().union(*(ids for ids in hosts.values() if len(ids) >= html_extract.SUPPORT))
+    got = {r.page_id: r.text for r in extract(plain).collect()}
+    assert len(told) > 0.5 * len(want) and sum(got[i] == want[i] for i in told) >= 0.95 * len(told)
+    off = {r.page_id: r.text for r in extract(plain, support=1 << 30).collect()}
+    assert sum(off[i] == want[i] for i in told) < 0.05 * len(told)
