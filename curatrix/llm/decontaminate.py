@@ -233,8 +233,7 @@ class Index:
                 for x, i, j in zip(rest, lo.tolist(), hi.tolist(), strict=True):
                     if i < j:
                         places = order[i:j] + begin
-                        away = np.abs(places[:, None] - x - np.array(steps)[None, :]).min(axis=1) if (j - i) * len(steps) <= 1 << 20 else np.abs(places - x - steps[0])
-                        into.add((int(places[int(np.argmin(away))]), x))
+                        into.add((int(places[int(np.argmin(_away(places - x, np.array(steps))))]), x))
         return found
 
     def _held(self, t: Templates, item: int, pairs: set[tuple[int, int]]) -> tuple[int, int, float] | None:
@@ -272,6 +271,12 @@ def _stretched(h: np.ndarray, at: np.ndarray, doc: np.ndarray, repeated: np.ndar
     return out & _among(h, repeated)
 
 
+def _away(values: np.ndarray, steps: np.ndarray) -> np.ndarray:
+    """How far each value is from the nearest of some sorted steps."""
+    at = np.searchsorted(steps, values)
+    return np.minimum(np.abs(values - steps[np.maximum(at - 1, 0)]), np.abs(values - steps[np.minimum(at, len(steps) - 1)]))
+
+
 def _longest(pairs: set[tuple[int, int]]) -> int:
     best = 0
     for d, i in pairs:
@@ -286,6 +291,8 @@ def _longest(pairs: set[tuple[int, int]]) -> int:
 def leaks(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", index_bytes: int = INDEX_BYTES) -> DataFrame:
     """One row for each document and item it holds: id_col, item_id, start_token, end_token, share.
 
+    Units, number words and the function words that may open a sentence are English; in other languages numbers are
+    told by digits, names by capitals within a sentence, and literal windows as everywhere.
     Null and empty texts hold nothing; a null or empty item or one without identifier is never
     held. An item under WINDOW tokens is held (share 1) by a text with a sentence or line of
     just its words. Slots with equally many votes for two values take the item's own, then the

@@ -189,10 +189,10 @@ class Model:
 
 def _cut(uniq: np.ndarray, values: np.ndarray, level: int, block_id: int, buckets: int) -> Iterator[tuple]:
     """Sorted hashes and their values, cut so that each part belongs to one bucket."""
-    edges = np.array([(i << 64) // buckets for i in range(1, buckets)], np.uint64)
-    cuts = np.concatenate([[0], np.searchsorted(uniq, edges), [len(uniq)]])
-    for b in np.flatnonzero(np.diff(cuts)):
-        yield level, int(b), block_id, _press(uniq[cuts[b] : cuts[b + 1]], values[cuts[b] : cuts[b + 1]])
+    bucket = (uniq >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
+    cuts = np.append(np.flatnonzero(np.diff(bucket, prepend=np.uint64(buckets))), len(uniq)) if len(uniq) else np.zeros(1, np.int64)
+    for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        yield level, int(bucket[i]), block_id, _press(uniq[i:j], values[i:j])
 
 
 def _words(b: Block, block_id: int, buckets: int) -> Iterator[tuple]:

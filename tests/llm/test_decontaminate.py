@@ -105,3 +105,14 @@ def test_pieces_out_of_step(spark):
     docs = [(1, item[:30] + ["put", "in"] + item[30:]), (2, item[30:] + item[:30]), (3, item[:20] + ["x"] + item[20:40] + ["y"] + item[40:]), (4, [x for k in range(0, 60, 4) for x in [*item[k : k + 4], "z"]]), (5, item[:13]), (6, item[:12])]
     df = spark.createDataFrame([(i, " ".join(w)) for i, w in docs], "doc_id long, text string")
     assert {x.doc_id for x in leaks(df, spark.createDataFrame([(0, " ".join(item))], "item_id long, text string")).collect()} == {1, 2, 3, 5}
+
+
+def test_nearest_step_at_any_size():
+    import numpy as np
+
+    from curatrix.llm.decontaminate import _away
+
+    r = np.random.default_rng(3)
+    for n in (1, 2, 50, 2000):
+        steps, values = np.unique(r.integers(-9999, 9999, n)), r.integers(-20_000, 20_000, 700)
+        assert (_away(values, steps) == np.abs(values[:, None] - steps[None]).min(axis=1)).all()

@@ -98,3 +98,21 @@ def test_query(spark):
     compare(rows, brute(docs, DEPTH, LEAST, MU, GAIN))
     held = [r for r in rows if r.held_out]
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
+
+
+def test_cut_takes_time_by_its_hashes():
+    import time
+
+    import numpy as np
+
+    from curatrix.llm.suffix_tree import _cut, _unpress
+
+    uniq = np.sort(np.random.default_rng(1).integers(0, 1 << 64, 5000, np.uint64))
+    for buckets in (1, 7, 4096, 1 << 31):
+        parts = list(_cut(uniq, np.arange(5000, dtype=np.uint32), 2, 0, buckets))
+        assert [p[1] for p in parts] == sorted({p[1] for p in parts}) and all(0 <= p[1] < buckets for p in parts)
+        assert (np.concatenate([_unpress(p[3], np.uint64, np.uint32)[0] for p in parts]) == uniq).all()
+        assert all(p[1] == int(x) * buckets >> 64 or p[1] == (int(x) >> 32) * buckets >> 32 for p in parts for x in _unpress(p[3], np.uint64, np.uint32)[0])
+    began = time.time()
+    assert len(list(_cut(uniq[::100], np.arange(50, dtype=np.uint32), 2, 0, 62_500))) == 50 and time.time() - began < 0.05
+    assert list(_cut(uniq[:0], np.zeros(0, np.uint32), 2, 0, 9)) == []
