@@ -177,3 +177,13 @@ def _(spark, d):
     n = df.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
     both = df.join(F.broadcast(n), "lang").withColumn("limit", G.cap(c("n"), 0.15, 12))
     return G.quota(both, [c("n_chars").desc(), c("doc_id")], "lang", c("limit"), "source", F.lit(2)).select("doc_id")
+
+
+@query("ma04_ladders", """SELECT p_partkey, greatest(10, least(30, p_size)) AS clipped, CAST(trunc((p_size - 25) / 7.0::DOUBLE) AS BIGINT) AS towards_zero,
+CASE WHEN p_size < 10 THEN 'low' WHEN p_size < 25 THEN 'mid' ELSE 'high' END AS below, CASE WHEN p_size >= 40 THEN 3 WHEN p_size >= 20 THEN 2 ELSE 1 END AS reached FROM part""")
+def _(spark, d):
+    from curatrix.functions import ladders as L
+
+    size = c("p_size")
+    steps = L.below(size, [(10, "low"), (25, "mid")], "high"), L.at_least(size, [(40, 3), (20, 2)], 1)
+    return table(spark, d, "part").select("p_partkey", L.clip(size, 10, 30).alias("clipped"), L.whole((size - 25) / 7.0).alias("towards_zero"), steps[0].alias("below"), steps[1].alias("reached"))

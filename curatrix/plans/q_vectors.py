@@ -107,6 +107,13 @@ def _(spark, d):
     return rounded(C.silhouette(emb(spark, d)).groupBy("label").agg(F.avg("silhouette").alias("silhouette")))
 
 
+@query("ag23b_squared_silhouette", f"""WITH {EMB}, n AS (SELECT label, count(*) AS n FROM e GROUP BY label), s AS (SELECT a.vec_id, a.label, b.label AS other, sum(pow({DIST.format('a', 'b')}, 2)) AS t FROM e a, e b GROUP BY a.vec_id, a.label, b.label),
+x AS (SELECT vec_id, s.label, max(CASE WHEN s.label = other THEN t / (n - 1) END) AS a, min(CASE WHEN s.label <> other THEN t / n END) AS b FROM s JOIN n ON n.label = other GROUP BY vec_id, s.label)
+SELECT vec_id, CAST(label AS VARCHAR) AS label, round((b - a) / greatest(a, b), 6) AS silhouette FROM x""")
+def _(spark, d):
+    return rounded(C.silhouette_squared(emb(spark, d)))
+
+
 @query("ag24_coherence", f"WITH {CENTROIDS}, x AS (SELECT label, 1.0 / (1.0 + avg(list_distance(v, cv))) AS x FROM e JOIN c USING (label) GROUP BY label) SELECT label, round(x, 6) AS coherence, round(0.6 + (x - 0.5) * 0.6, 6) AS rescaled FROM x")
 def _(spark, d):
     return rounded(C.coherence(emb(spark, d), "label"))
