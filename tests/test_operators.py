@@ -292,6 +292,6 @@ def test_elbow_query_searches_the_default_range(spark, monkeypatch):
     from curatrix.plans import registry
 
     tried = []
-    monkeypatch.setattr(K, "kmeans", lambda df, k, *a: (tried.append(k), (None, None, 1.0 / k))[1])
+    monkeypatch.setattr(K, "weighted_kmeans", lambda x, w, k, *a: (tried.append(k), (None, 1.0 / k))[1])
     assert registry.QUERIES["cl04_elbow_k"](spark, "/root/testdata/sf0.001").count() == 1
     assert tried == list(range(2, 16))
