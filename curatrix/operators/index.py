@@ -225,9 +225,15 @@ def visits(df: DataFrame, threshold: float, metric: str = "cosine", cells: int |
 
 
 def similar_pairs(df: DataFrame, threshold: float, metric: str = "cosine", id_col: str = "vec_id", vector: str = "embedding", strict: bool = True, cells: int | None = None, dense: float = DENSE) -> DataFrame:
-    """neighbors.similar_pairs(), with rows sent only to cells they can reach. Where they reach more than the share `dense` of all cells, as vectors without clusters at a low threshold do, blocks of all pairs give the same rows with fewer copies."""
+    """neighbors.similar_pairs(), with rows sent only to cells they can reach.
+
+    Where they reach more than the share `dense` of all cells, as vectors without clusters at a low threshold do, blocks of
+    all pairs give the same rows with fewer copies; so they do where all rows are one block. With dense 1, cells are always used.
+    """
+    if dense < 1 and df.filter(F.col(vector).isNotNull()).limit(N.BLOCK + 1).count() <= N.BLOCK:
+        return N.similar_pairs(df, threshold, metric, id_col, vector, strict)
     plan = visits(df, threshold, metric, cells, id_col, vector)
-    if plan.share > dense or not plan.rows:
+    if dense < 1 and plan.share > dense or not plan.rows:
         return N.similar_pairs(df, threshold, metric, id_col, vector, strict)
 
     def work(x: pa.Table, y: pa.Table) -> pa.Table:

@@ -69,8 +69,9 @@ def cells(left: DataFrame, right: DataFrame | None, work: Callable[[pa.Table, pa
     """
     spark, own = left.sparkSession, right is None
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    many = left.count()
-    total = many if own else right.count()
+    sizes = left.agg(F.lit("l").alias("side"), F.count(F.lit(1)).alias("n"))
+    sizes = dict(map(tuple, (sizes if own else sizes.unionByName(right.agg(F.lit("r").alias("side"), F.count(F.lit(1)).alias("n")))).collect()))
+    many, total = sizes["l"], sizes.get("r", sizes["l"])
     if grouped:
         n = left.groupBy("g").agg(F.count(F.lit(1)).alias("nl"), F.lit(0).alias("nr"))
         n = n.withColumn("nr", F.col("nl")) if own else n.unionByName(right.groupBy("g").agg(F.lit(0).alias("nl"), F.count(F.lit(1)).alias("nr"))).groupBy("g").agg(F.sum("nl").alias("nl"), F.sum("nr").alias("nr"))
