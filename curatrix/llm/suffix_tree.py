@@ -1,7 +1,7 @@
 """Language-model scoring with a probabilistic suffix tree over words.
 
-States are contexts of up to DEPTH words (BEGIN counts as one). A context seen often enough in
-training (LEAST times, or the square root of the training tokens over GROWTH if that is more) is a candidate. It is retained if its next-word distribution diverges from that of
+States are contexts of up to DEPTH words (BEGIN counts as one). A context seen LEAST times in training, whatever the
+corpus's size, is a candidate. It is retained if its next-word distribution diverges from that of
 the context one word shorter: the log likelihood ratio of the two, summed over its training
 occurrences (each rounded to 1/256) with the occurrence itself left out of every count, must
 reach GAIN nats. A context whose shorter one was always followed by one word can't diverge from it and
@@ -39,9 +39,7 @@ from pyspark.sql import functions as F
 from .common import bucketed, quoted, shuffle_partitions, small_batches, table
 from .wordhash import Words, buffers, mix, pieces, release
 
-DEPTH, LEAST, GAIN = 4, 2, 1.5
-#: Candidates must be seen sqrt(N / GROWTH) times where that is more than LEAST: the more text, the more n-grams repeat by chance.
-GROWTH = 4e6
+DEPTH, LEAST, GAIN = 4, 5, 1.5
 #: Weight of the shorter context's distribution by context length (the last holds for longer ones), picked with LEAST and GAIN by the score of a tenth of the training rows left out of training: one word says little about the next, more often stand in a copied passage.
 MU = (2000.0, 5.0, 2.0)
 BLOCK_BYTES, BUCKET_BYTES, FILE_BYTES = 5 << 20, 16 << 20, 64 << 20
@@ -242,7 +240,7 @@ _REQUEST = "level int, bucket int, block long, blob binary"
 _ANSWER = "block long, level int, bucket int, blob binary, tokens long, types long"
 
 
-def score(df: DataFrame, train: Column, id_col: str = "doc_id", text: str = "text", depth: int = DEPTH, least: int = LEAST, mu: tuple[float, ...] = MU, gain: float = GAIN, growth: float = GROWTH, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def score(df: DataFrame, train: Column, id_col: str = "doc_id", text: str = "text", depth: int = DEPTH, least: int = LEAST, mu: tuple[float, ...] = MU, gain: float = GAIN, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row for each row of df: id_col (long), train boolean, n_tokens, n_known, train_tokens long, base_score, score double, mean_depth double.
 
     train: whether a row is learned from (null: it is not). Tokens are the text's words, A-Z
@@ -312,7 +310,6 @@ def score(df: DataFrame, train: Column, id_col: str = "doc_id", text: str = "tex
     first = ask(lambda at, block, _: _words(block, at, buckets))
     model = Model(depth, least, mu, bits, *first.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("types"), F.lit(0))).first())
 
-    model.least = max(least, int((model.n_tokens / growth) ** 0.5))
     # Round k asks for k-grams; the last one that does, for those a word longer too. Divergences follow as soon as they can be told.
     last = max(depth, 2)
 
