@@ -11,8 +11,7 @@ from pyspark.sql import functions as F
 from curatrix.functions import text as T
 from curatrix.functions.ladders import uniform
 from curatrix.functions.vectors import cosine, mean_vector
-from curatrix.operators.dedup import greedy_keep
-from curatrix.operators.index import similar_pairs
+from curatrix.operators.dedup import greedy_similar
 from curatrix.operators.neighbors import cosine_spread, nearest, purity
 from curatrix.operators.ranks import numbered, quantiles, with_totals
 from curatrix.sources.storage import stored
@@ -108,8 +107,7 @@ def random_anchors(df: DataFrame, group: str, k: int, id_col: str = "vec_id", se
 
 def dedup_anchors(anchors: DataFrame, rank: str, threshold: float = 0.95, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """anchors with kept: in order of rank, an anchor goes if a kept one is as similar as the threshold."""
-    pairs = similar_pairs(anchors, threshold, "cosine", id_col, vector, strict=False)
-    return greedy_keep(anchors, pairs, id_col, rank)
+    return greedy_similar(anchors, threshold, "cosine", id_col, vector, strict=False, order=rank)
 
 
 def ensemble_scores(anchors: DataFrame, df: DataFrame, label: str = "label", id_col: str = "vec_id", vector: str = "embedding", k: int = 15, weights: tuple[float, float, float, float] = (0.3, 0.3, 0.2, 0.2)) -> DataFrame:

@@ -80,3 +80,27 @@ def test_quantiles(spark, small, bins):
     every = quantiles(spark.createDataFrame(rows, "g string, v double").filter("v is not null and not isnan(v)"), [], "v", {"m": 0.5}, small, bins).collect()
     assert every[0].m == pytest.approx(exact_quantile([v for vs in groups.values() for v in vs if v == v], 0.5), rel=1e-12)
     assert quantiles(spark.createDataFrame([], "g string, v double"), ["g"], "v", wanted).count() == 0
+
+
+@pytest.mark.parametrize("head,how", [(40, "group"), (40, "component"), (40, "order"), (7, None), (100_000, None)])
+def test_greedy_similar_equals_walk_without_pairs(spark, monkeypatch, head, how):
+    r = random.Random(head)
+    rows = [(i * 3, r.choice([1, 2, 3, None]), [r.gauss(0, 1) for _ in range(4)]) for i in range(300)]
+    rows += [(2000 + i, 2, list(rows[i][2])) for i in range(0, 90, 3)] + [(5000, 1, [0.0] * 4), (5001, 1, None)]
+    df = spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>")
+    unit = {i: [x / (sum(y * y for y in v) ** 0.5 or 1) for x in v] for i, _, v in rows if v}
+    place = lambda x: ((-1 if x[1] is None else x[1]) if how in ("order", "component") else 0, x[0])
+    ok = {"group": lambda a, b: a == b, "component": lambda a, b: None not in (a, b) and a != b}.get(how, lambda a, b: True)
+    kept = []
+    for x in sorted(rows, key=place):
+        if x[2] is None or not any(y[2] and ok(x[1], y[1]) and round(sum(p * q for p, q in zip(unit[x[0]], unit[y[0]], strict=True)), 12) > 0.8 for y in kept):
+            kept.append(x)
+
+    def none(*_, **__):
+        raise AssertionError("pairs are made")
+
+    monkeypatch.setattr(D, "greedy_dropped", none)
+    args = {how: "label"} if how else {}
+    out = D.greedy_similar(df, 0.8, order="label" if how == "component" else None, head=head, **args) if how != "order" else D.greedy_similar(df, 0.8, order="label", head=head)
+    out = out.collect()
+    assert len(out) == len(rows) and {x.vec_id for x in out if x.kept} == {x[0] for x in kept}
