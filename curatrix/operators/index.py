@@ -31,6 +31,8 @@ MOST_CELLS, PER_CELL = 4096, 32
 STEPS = 10
 #: Queries of the sample that tunes the probes.
 TUNING = 256
+#: Visits that a task holds at a time.
+VISITS = 65_536
 #: Of pairs within a distance: with visits to more than this share of the cells, blocks of all pairs are cheaper.
 DENSE = 0.5
 
@@ -88,9 +90,10 @@ def assigned(df: DataFrame, centroids: np.ndarray, metric: str, probes: int = 1,
     """(id, g, v, value) of rows (id, v, value) once for each of their `probes` nearest cells; g is the cell."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        p = min(probes, len(centroids))
+        each = max(1, 16 * VISITS // max(1, len(centroids)))
+        for b in (whole.slice(i, each) for whole in batches for i in range(0, max(1, whole.num_rows), each)):
             d = _distances(_units(N.matrix(b.column("v")), metric), centroids) if b.num_rows else np.zeros((0, len(centroids)))
-            p = min(probes, len(centroids))
             near = np.argpartition(d, p - 1, axis=1)[:, :p] if p < len(centroids) else np.tile(np.arange(p), (len(d), 1))
             row = pa.array(np.repeat(np.arange(b.num_rows), p))
             yield pa.RecordBatch.from_arrays([b.column("id").take(row), pa.array(near.reshape(-1).astype(str), pa.string()), *(b.column(c).take(row) for c in b.schema.names if c not in ("id", "g"))], names=["id", "g", *(c for c in b.schema.names if c not in ("id", "g"))])
@@ -206,20 +209,28 @@ def visits(df: DataFrame, threshold: float, metric: str = "cosine", cells: int |
     for x in index.lists.mapInArrow(radius, "cell int, r double").groupBy("cell").agg(F.max("r").alias("r")).collect() if index.rows else []:  # one row a cell
         radii[x.cell] = x.r
 
+    def reached(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
+        """(rows, their homes, row, cell) of the visits of few rows at a time, at most about VISITS."""
+        each, at = max(1, VISITS // max(1, len(centroids))), np.arange(len(centroids))[None, :]
+        for whole in batches:
+            for i in range(0, whole.num_rows, each):
+                b = whole.slice(i, each)
+                home = b.column("g").cast(pa.int32()).to_numpy()
+                d = _distances(_units(N.matrix(b.column("v")), metric), centroids)
+                own = d[np.arange(len(home)), home][:, None]
+                yield b, home, *np.nonzero(((d - own <= 2 * r) & (d <= r + radii[None, :]) & (at > home[:, None])) | (at == home[:, None]))
+
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows:
-                continue
-            home = b.column("g").cast(pa.int32()).to_numpy()
-            d = _distances(_units(N.matrix(b.column("v")), metric), centroids)
-            own = d[np.arange(len(home)), home][:, None]
-            row, cell = np.nonzero(((d - own <= 2 * r) & (d <= r + radii[None, :]) & (np.arange(len(centroids))[None, :] > home[:, None])) | (np.arange(len(centroids))[None, :] == home[:, None]))
+        for b, home, row, cell in reached(batches):
             at = pa.array(row)
             yield pa.RecordBatch.from_arrays([b.column("id").take(at), pa.array(cell.astype(str), pa.string()), b.column("v").take(at), pa.array(home[row] == cell)], names=["id", "g", "v", "value"])
 
+    def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield pa.RecordBatch.from_arrays([pa.array([sum(len(row) for _, _, row, _ in reached(batches))], pa.int64())], names=["n"])
+
     homes = index.lists.select("id", "g", "v")
     visitors = homes.mapInArrow(send, f"id long, g string, v {homes.schema['v'].dataType.simpleString()}, value boolean")
-    count = homes.mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array([x.num_rows], pa.int64())], names=["n"]) for x in send(batches)), "n long") if index.rows else None
+    count = homes.mapInArrow(tell, "n long") if index.rows else None
     total = (count.agg(F.sum("n")).first()[0] or 0) if count is not None else 0
     return Visits(visitors, homes, index.rows, len(centroids), total)
 

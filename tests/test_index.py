@@ -71,3 +71,11 @@ def test_empty_cells_take_far_rows():
     x = np.vstack([np.zeros((200, 5)), np.eye(5)])
     c = I.lloyd(x, 6, seed=3)
     assert sorted(map(tuple, c)) == sorted(set(map(tuple, x)))
+
+
+def test_visits_are_sent_few_at_a_time(spark, clustered, monkeypatch):
+    want = I.visits(clustered, 0.3, cells=15)
+    rows = {(x.id, x.g, x.value) for x in want.visitors.collect()}
+    monkeypatch.setattr(I, "VISITS", 30)
+    plan = I.visits(clustered, 0.3, cells=15)
+    assert plan.visits == want.visits == len(rows) and {(x.id, x.g, x.value) for x in plan.visitors.collect()} == rows
