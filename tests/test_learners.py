@@ -232,3 +232,24 @@ def test_ledger_resumes(spark, tmp_path):
     assert len(out) == 122 and sum(r.response is None for r in out) == 2
     n = len(list(calls.iterdir()))
     assert n == 60 * 2 + 2 * 4 and again.run(prompts, "prompt", make, (0.5, 1.0)) == 0 and len(list(calls.iterdir())) == n
+
+
+@pytest.mark.parametrize("part", [8192, 30])
+def test_large_network_keeps_its_weights_off_the_driver(spark, monkeypatch, part):
+    monkeypatch.setattr(L, "PART", part)
+    monkeypatch.setattr(L, "FAN", 2)
+    r = np.random.default_rng(8)
+    x = r.normal(size=(240, 5))
+    y, settings = (x[:, 0] > 0).astype(int), {"epochs": 2, "rate": 0.02, "least": 0.0, "patience": 9}
+    start = L.initial([5, 6, 2], 42)
+    rows = frame(spark, x, y).withColumn("k", F.monotonically_increasing_id()).cache()
+    want, losses = L.descend(start, lambda ws, e, b: L.batch_sums(rows, ws, e, b, 2, 0.0, 42), 2, None, **settings)
+
+    def none(*_):
+        raise AssertionError("gradients reach the driver")
+
+    monkeypatch.setattr(L, "batch_sums", none)
+    ws, got = L._descend_afar(rows, None, start, 240, 2, dropout=0.0, seed=42, **settings)
+    assert got == pytest.approx(losses) and all(np.allclose(a, b) for u, v in zip(ws, want, strict=True) for a, b in zip(u, v, strict=True))
+    ws, got = L.network(frame(spark, x, y), frame(spark, x[:50], y[:50]), hidden=(6,), batches=2, epochs=2, one_task=0)
+    assert len(got) == 2
