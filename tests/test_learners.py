@@ -253,3 +253,16 @@ def test_large_network_keeps_its_weights_off_the_driver(spark, monkeypatch, part
     assert got == pytest.approx(losses) and all(np.allclose(a, b) for u, v in zip(ws, want, strict=True) for a, b in zip(u, v, strict=True))
     ws, got = L.network(frame(spark, x, y), frame(spark, x[:50], y[:50]), hidden=(6,), batches=2, epochs=2, one_task=0)
     assert len(got) == 2
+
+
+def test_boosting_tasks_follow_rows_not_files(spark, monkeypatch):
+    monkeypatch.setattr(L, "FAN", 3)
+    r = np.random.default_rng(4)
+    x = r.normal(size=(60, 3))
+
+    def none(*_, **__):
+        raise AssertionError("sums of many tasks")
+
+    monkeypatch.setattr(L, "added", none)
+    model = L.boost(frame(spark, x, (x[:, 0] > 0).astype(int)).repartition(8), rounds=1, depth=2, bins=8, one_task=0)
+    assert len(model.trees) == 1
