@@ -79,3 +79,21 @@ def test_visits_are_sent_few_at_a_time(spark, clustered, monkeypatch):
     monkeypatch.setattr(I, "VISITS", 30)
     plan = I.visits(clustered, 0.3, cells=15)
     assert plan.visits == want.visits == len(rows) and {(x.id, x.g, x.value) for x in plan.visitors.collect()} == rows
+
+
+@pytest.mark.parametrize("metric", ["cosine", "euclidean"])
+def test_few_are_settled_and_none_is_lost(metric):
+    r = np.random.default_rng(6)
+    x = np.concatenate([r.normal(size=(700, 8)), np.zeros((2, 8))])
+    x[300:340] = x[5]
+    x[400:420] = x[6] * (1 + 1e-14)
+    q, ids = x[:60].copy(), r.permutation(len(x))
+    q[3] = 0
+    s = N.similarities(N.prepared(q, metric), N.prepared(x, metric), metric)
+    s[7] = -np.inf
+    s[np.arange(60), np.arange(60)] = -np.inf
+    for k in (1, 5, 15, 701, 900):
+        row, col, score = N.nearest_of(s, ids, k, metric)
+        full = N.settled(s, metric)
+        want = N.best(full, ids, k)
+        assert (row == want[0]).all() and (col == want[1]).all() and (score == full[want]).all()
