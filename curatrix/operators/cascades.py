@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from curatrix.functions import text as T
 from curatrix.functions.vectors import argmax, cosine, euclidean, margin, mean_vector
-from curatrix.operators.dedup import greedy_keep, shingle_pairs
+from curatrix.operators.dedup import greedy_shingles
 from curatrix.operators.neighbors import nearest, pair_distances
 from curatrix.operators.ranks import quantiles, with_totals
 from curatrix.sources.storage import stored
@@ -71,7 +71,7 @@ def main_cascade(df: DataFrame, tokens: str = "tokens", sim: str = "sim", anchor
 
 def batch_duplicates(df: DataFrame, batch: str, id_col: str, order: str, text: str = "text", n: int = 3, threshold: float = 0.85) -> DataFrame:
     """df with kept: within a batch, in order, a row goes if its shingles are nearly those of a kept one."""
-    return greedy_keep(df, shingle_pairs(df, batch, id_col, text, n, threshold).select("a", "b"), id_col, order)
+    return greedy_shingles(df, batch, id_col, order, text, n, threshold)
 
 
 def grace(df: DataFrame, spec: str, id_col: str, k: int = 1, tokens: str = "tokens", sim: str = "sim", anchor: str = "anchor_sim", neighbour: str = "neighbour_sim", proba: str = "proba", target: str = "target", other: str = "other_sim", min_tokens: int = 15, max_tokens: int = 180, least_anchor: float = 0.35, least_score: float = 0.45, least_conf: float = 0.35, least_margin: float = 0.10, repel: float = 0.60) -> DataFrame:

@@ -104,3 +104,35 @@ def test_greedy_similar_equals_walk_without_pairs(spark, monkeypatch, head, how)
     out = D.greedy_similar(df, 0.8, order="label" if how == "component" else None, head=head, **args) if how != "order" else D.greedy_similar(df, 0.8, order="label", head=head)
     out = out.collect()
     assert len(out) == len(rows) and {x.vec_id for x in out if x.kept} == {x[0] for x in kept}
+
+
+def near_copies(seed, n, groups):
+    """(id, group, place, text): texts of a few originals with a word or two changed, many of them equal, and texts of their own."""
+    r = random.Random(seed)
+    originals, out = [[f"w{r.randrange(400)}" for _ in range(r.choice([2, 30, 60]))] for _ in range(4)], []
+    for i in range(n):
+        words = list(r.choice(originals)) if r.random() < 0.8 else [f"v{r.randrange(90)}" for _ in range(r.randrange(12))]
+        for _ in range(r.choice([0, 0, 1, 2]) if len(words) > 5 else 0):
+            words[r.randrange(len(words))] = f"x{r.randrange(3)}"
+        out.append((i, r.choice(groups), r.choice([None, 0, 1, 2]), " ".join(words) if i % 17 else None))
+    return out
+
+
+@pytest.mark.parametrize("few", [0, 8, 10**6])
+def test_greedy_shingles_equals_walk(spark, few):
+    rows = near_copies(5, 260, ["g", "h", None])
+    words = [(t or "").split() for *_, t in rows]
+    sets = [{tuple(w[k : k + 3]) for k in range(len(w) - 2)} if len(w) >= 3 else set(w) for w in words]
+    pairs = [(a, b) for a in range(len(rows)) for b in range(a) if rows[a][1] is not None and rows[a][1] == rows[b][1] and sets[a] and sets[b] and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) > 0.85]
+    wanted = walk(len(rows), pairs, lambda i: -1 if rows[i][2] is None else rows[i][2])
+    out = D.greedy_shingles(spark.createDataFrame(rows, "i long, g string, o int, text string"), "g", "i", "o", few=few).collect()
+    assert {x.i for x in out if x.kept} == wanted and len(out) == len(rows) and len(pairs) > 400
+
+
+def test_near_copies_do_not_meet_in_pairs(spark, monkeypatch):
+    base = [f"w{i}" for i in range(200)]
+    rows = [(i, "g", " ".join(base[:k] + [f"x{i}"] + base[k + 1 :])) for i, k in ((i, (i * 7) % 200) for i in range(300))]
+    left, met = [], D._met
+    monkeypatch.setattr(D, "_met", lambda posts, *a: (left.append(posts.count()), met(posts, *a))[1])
+    kept = D.greedy_shingles(spark.createDataFrame(rows, "i long, g string, text string"), "g", "i", "i").filter("kept").collect()
+    assert [x.i for x in kept] == [0] and sum(left) < 300
