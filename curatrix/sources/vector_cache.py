@@ -15,9 +15,11 @@ from pyspark.sql import functions as F
 
 from curatrix.sources.corpus import re_safe
 from curatrix.sources.generators import encode
-from curatrix.sources.storage import shared_dir, stored
+from curatrix.sources.storage import discard, shared_dir, source_of, stored
 
 SCHEMA = "digest string, vector array<float>"
+#: Tables of missing digests are broadcast up to so many bytes, at so many a row.
+BROADCAST_BYTES, ROW_BYTES = 32 << 20, 128
 
 
 class VectorCache:
@@ -34,32 +36,45 @@ class VectorCache:
         found = [s.getPath().toString() for s in fs.listStatus(path)] if fs.exists(path) else []
         return sorted(p for p in found if fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(p + "/_SUCCESS")))
 
+    def _every(self) -> DataFrame:
+        """(digest, vector) as appended; of texts that two writers encoded there are two rows."""
+        paths = self.appends()
+        return self.spark.read.schema(SCHEMA).parquet(*paths) if paths else self.spark.createDataFrame([], SCHEMA)
+
     def rows(self) -> DataFrame:
         """(digest, vector) of all cached texts, each once."""
-        paths = self.appends()
-        if not paths:
-            return self.spark.createDataFrame([], SCHEMA)
-        found = self.spark.read.schema(SCHEMA).parquet(*paths)
-        return found.dropDuplicates(["digest"]) if len(paths) > 1 else found
+        return self._every().dropDuplicates(["digest"]) if len(self.appends()) > 1 else self._every()
+
+    def _needed(self, texts: DataFrame) -> tuple[DataFrame, int]:
+        """((digest) of the distinct texts (text) that aren't cached, how many); texts stay where they are."""
+        digests = texts.filter(F.col("text").isNotNull()).select(F.sha2("text", 256).alias("digest")).distinct()
+        need = stored(digests.join(self._every().select("digest"), "digest", "left_anti"), "vectors-missing")
+        return need, need.count()
+
+    def _texts(self, texts: DataFrame, need: DataFrame, n: int) -> DataFrame:
+        """(digest, text) of the needed digests. A text travels once, and only needed ones do where the digests' table is small."""
+        each = texts.filter(F.col("text").isNotNull()).select(F.sha2("text", 256).alias("digest"), "text")
+        return each.join(F.broadcast(need) if n * ROW_BYTES <= BROADCAST_BYTES else need, "digest", "left_semi").groupBy("digest").agg(F.first("text").alias("text"))
 
     def missing(self, texts: DataFrame) -> DataFrame:
         """(digest, text) of the distinct texts (text) that aren't cached; only digests meet the cache."""
-        each = texts.filter(F.col("text").isNotNull()).groupBy(F.sha2("text", 256).alias("digest")).agg(F.first("text").alias("text"))
-        return each.join(self.rows().select("digest"), "digest", "left_anti")
+        return self._texts(texts, *self._needed(texts))
 
     def fill(self, df: DataFrame, text: str, make: Callable[[], Callable[[list[str]], list]], normalize: bool = True) -> int:
-        """Encode and append what is missing of df's texts; how many texts that were. Nothing is written if there is none."""
-        need = stored(self.missing(df.select(F.col(text).alias("text"))), "vectors-missing")
-        n = need.count()
+        """Encode and append what is missing of df's texts; how many texts that were. Nothing is written, and no text travels, if there is none."""
+        texts = df.select(F.col(text).alias("text"))
+        need, n = self._needed(texts)
         if n:
-            encode(need, "text", make, "vector", normalize).select("digest", "vector").write.parquet(f"{self.root}/{uuid.uuid4().hex}")
+            encode(self._texts(texts, need, n), "text", make, "vector", normalize).select("digest", "vector").write.parquet(f"{self.root}/{uuid.uuid4().hex}")
+        discard(self.spark, *source_of(need))
         return n
 
     def get(self, df: DataFrame, text: str, make: Callable[[], Callable[[list[str]], list]], out: str = "embedding", normalize: bool = True) -> DataFrame:
         """df with the vectors of its texts, encoded only where they aren't cached; a null text has none."""
         self.fill(df, text, make, normalize)
         known = self.rows().select(F.col("digest").alias("__digest"), F.col("vector").alias(out))
-        return df.join(known, F.sha2(F.col(text), 256) == F.col("__digest"), "left").drop("__digest")
+        # The digest is a column before the join, or the join would carry the text where nobody asks for it.
+        return df.withColumn("__of", F.sha2(F.col(text), 256)).join(known, F.col("__of") == F.col("__digest"), "left").drop("__of", "__digest")
 
     def compact(self) -> None:
         """One append in place of all. The old ones go once the new one is there, so readers see each text at any time."""

@@ -266,3 +266,18 @@ def test_boosting_tasks_follow_rows_not_files(spark, monkeypatch):
     monkeypatch.setattr(L, "added", none)
     model = L.boost(frame(spark, x, (x[:, 0] > 0).astype(int)).repartition(8), rounds=1, depth=2, bins=8, one_task=0)
     assert len(model.trees) == 1
+
+
+def test_texts_stay_where_nobody_needs_them(spark, tmp_path, monkeypatch):
+    from curatrix.sources import vector_cache
+
+    kept, stored = [], vector_cache.stored
+    monkeypatch.setattr(vector_cache, "stored", lambda df, name: (kept.append(df.columns), stored(df, name))[1])
+    cache = vector_cache.VectorCache(spark, "m", str(tmp_path))
+    df = spark.createDataFrame([(i, f"text {i % 40}" if i % 9 else None) for i in range(120)], "i long, text string")
+    make = lambda: lambda texts: [[float(len(t)), 1.0] for t in texts]
+    assert [cache.fill(part, "text", make) for part in (df.filter("i < 20"), df, df)] == [17, 23, 0]
+    found = cache.get(df, "text", make).filter("embedding is not null").select("i")
+    assert found.count() == df.filter("text is not null").count() and all(c == ["digest"] for c in kept)
+    join = next(x for x in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join LeftOuter" in x or "Join Inner" in x)
+    assert "sha2" not in join and "text#" not in join
