@@ -97,3 +97,24 @@ def test_few_are_settled_and_none_is_lost(metric):
         full = N.settled(s, metric)
         want = N.best(full, ids, k)
         assert (row == want[0]).all() and (col == want[1]).all() and (score == full[want]).all()
+
+
+@pytest.mark.parametrize("metric", ["cosine", "euclidean"])
+@pytest.mark.parametrize("kind", ["plain", "copies", "zeros", "tiny", "huge", "grid"])
+def test_single_precision_loses_none(metric, kind):
+    r = np.random.default_rng(3)
+    x = {"plain": lambda: r.normal(size=(700, 24)), "copies": lambda: np.repeat(r.normal(size=(70, 24)), 10, 0), "zeros": lambda: np.where(r.random((700, 1)) < 0.3, 0, r.normal(size=(700, 24))), "tiny": lambda: 1e-12 * r.normal(size=(700, 24)), "huge": lambda: 1e17 * r.normal(size=(700, 24)), "grid": lambda: r.integers(0, 2, (700, 3)).astype(float)}[kind]()
+    p, ids, mask, doubles = N.prepared(x, metric), r.permutation(700), r.random((256, 700)) < 0.1, []
+    off, light = N._single(p, p, metric), p.astype(np.float32)
+    full = N.scores(x[:256], x, metric) if metric == "cosine" else N.settled(-np.stack([((a - x) ** 2).sum(1) for a in x[:256]]), metric)
+    full[mask] = -np.inf
+
+    def masked(s):
+        doubles.append(s.dtype == np.float64)
+        s[mask] = -np.inf
+
+    for k in (1, 5, 15, 800):
+        row, col, score = N.nearest_rows(p[:256], p, ids, k, metric, None if off is None else (light[:256], light, off[:256]), masked)
+        want = N.best(full, ids, k)
+        assert (row == want[0]).all() and (col == want[1]).all() and np.allclose(score, full[want], rtol=1e-12, atol=1e-7 * max(1e-4, np.abs(p).max()))  # as near as squares in double tell
+    assert kind != "plain" or not any(doubles[:3])
