@@ -118,3 +118,16 @@ def test_single_precision_loses_none(metric, kind):
         want = N.best(full, ids, k)
         assert (row == want[0]).all() and (col == want[1]).all() and np.allclose(score, full[want], rtol=1e-12, atol=1e-7 * max(1e-4, np.abs(p).max()))  # as near as squares in double tell
     assert kind != "plain" or not any(doubles[:3])
+
+
+def test_two_blocks_meet_once_for_both_sides(spark, monkeypatch):
+    r = np.random.default_rng(4)
+    x, g = r.normal(size=(90, 5)), [f"g{i % 4}" if i % 11 else None for i in range(90)]
+    df = spark.createDataFrame([(i, g[i], x[i].tolist()) for i in range(90)], "vec_id long, label string, embedding array<double>")
+    rights, cells = [], N.cells
+    monkeypatch.setattr(N, "cells", lambda left, right, *a: (rights.append(right), cells(left, right, *a))[1])
+    monkeypatch.setattr(N, "BLOCK", 20)
+    got = {(o.id, o.g, o.other): o.total for o in N.distance_sums(df, "vec_id", "embedding", "label").collect()}
+    d, name = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2)), [z or "\0" for z in g]
+    want = {(i, name[i], c): sum(d[i, j] for j in range(90) if name[j] == c) for i in range(90) for c in set(name)}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-6 for k in want) and rights == [None]
