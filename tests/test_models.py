@@ -113,3 +113,19 @@ def test_clusters_and_representatives(spark, data):
         mine = [i for i in x if x[i][1] == x[r.vec_id][1]]
         centre = np.mean([x[i][0] for i in mine], axis=0)
         assert r.vec_id == min(mine, key=lambda i, c=centre: (round(float(np.linalg.norm(x[i][0] - c)), 9), i))
+
+
+def test_folds_are_fitted_together(spark, data):
+    """Several models are fitted at a time, the added rows are read once, and results are those of one after the other."""
+    train, _ = data
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def counted(y):
+        seen.add(1)
+        return y
+
+    more = blobs(spark, 30, 5).withColumn("y", counted(F.col("y").cast("double")))
+    together = M.cross_validate(train, more, k=3, parallelism=3).collect()
+    assert seen.value == 30
+    assert together == M.cross_validate(train, blobs(spark, 30, 5), k=3, parallelism=1).collect()
