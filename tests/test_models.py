@@ -114,6 +114,51 @@ def test_clusters_and_representatives(spark, data):
         centre = np.mean([x[i][0] for i in mine], axis=0)
         assert r.vec_id == min(mine, key=lambda i, c=centre: (round(float(np.linalg.norm(x[i][0] - c)), 9), i))
 
+def test_early_stopped_network_is_sparks(spark, data):
+    """Losses after a few iterations are those of Spark ML's network from the same weights; rows are dealt to all tasks, whatever the files."""
+    from pyspark.ml.classification import MultilayerPerceptronClassifier
+    from pyspark.ml.feature import StandardScaler
+
+    from curatrix.operators.learners import packed
+
+    train = blobs(spark, 384, 6).coalesce(1)  # whole blocks of 128 rows: Spark's losses are means of them
+    _, losses = M.early_stopped(train, hidden=(7, 5), most=6, step=3, least=0.0)
+    d = M.features(train)
+    x = StandardScaler(inputCol="__raw", outputCol="__x", withMean=True).fit(d).transform(d)
+    network, want = MultilayerPerceptronClassifier(layers=[4, 7, 5, 3], seed=42, maxIter=3, featuresCol="__x", labelCol="y"), []
+    for _ in range(2):
+        model = network.fit(x)
+        network = network.setInitialWeights(model.weights)
+        p = [r.probability[int(r.y)] for r in model.transform(x).collect()]
+        want.append(-np.mean(np.log(p)))
+    assert np.allclose(losses, want, rtol=1e-6), (losses, want)
+    rows = blobs(spark, 2000, 7).coalesce(1).select(F.col("embedding").alias("x"), F.col("y").cast("int"))
+    blocks = packed(rows, 2000, "packed-test")
+    sizes = [len(r.y) // 4 for r in blocks.collect()]
+    assert sum(sizes) == 2000 and len(sizes) == spark.sparkContext.defaultParallelism and max(sizes) - min(sizes) < 100
+
+
+def test_sigmoid_sums_and_quasi_newton():
+    from curatrix.operators.learners import _as_shaped, quasi_newton, sigmoid_sums
+
+    r = np.random.default_rng(3)
+    shapes, x, y = [(4, 3), (3, 2)], r.normal(size=(9, 4)), r.integers(0, 2, 9)
+    flat = r.normal(size=4 * 3 + 3 + 3 * 2 + 2)
+    out = sigmoid_sums(_as_shaped(flat, shapes), x, y)
+    for i in range(len(flat)):
+        step = np.eye(len(flat))[i] * 1e-6
+        up, down = (sigmoid_sums(_as_shaped(flat + s, shapes), x, y, False)[1] for s in (step, -step))
+        assert abs((up - down) / 2e-6 - out[2 + i]) < 1e-5
+
+    def valley(v):
+        a, b = v
+        return (1 - a) ** 2 + 100 * (b - a * a) ** 2, np.array([-2 * (1 - a) - 400 * a * (b - a * a), 200 * (b - a * a)])
+
+    start = np.array([-1.2, 1.0])
+    at, value, _ = quasi_newton(valley, (start, *valley(start)), 200, tolerance=1e-12)
+    assert np.allclose(at, 1, atol=1e-4) and value < 1e-8
+    assert (quasi_newton(valley, (start, *valley(start)), 0)[0] == start).all()
+
 
 def test_folds_are_fitted_together(spark, data):
     """Several models are fitted at a time, the added rows are read once, and results are those of one after the other."""
