@@ -12,17 +12,18 @@ of what precedes it.
 
 Neither corpus nor model is ever in one place. The documents are packed once, where they are
 read, into blocks of token numbers (rows of a table in the shared folder, bucketed by block so that
-later joins don't move them). For each n-gram length, every block sends its distinct n-grams
+later joins don't move them). Words are numbered once they have met in their buckets; from then on their
+hashes are neither kept nor sent. For each n-gram length, every block sends its distinct n-grams
 with their training counts, as sorted hashes, to buckets by hash; buckets add up and answer each block in its
 own order. So the tree grows level by level, and is pruned before it is sent: longer n-grams only after
 candidates, and only where no shorter context was always followed by the same word, as then
 all counts follow from the shorter ones. The divergence of each context is added up the same way, with
-later n-grams; the longest n-grams go with those a word shorter. A key comes at most once from each block, so no key is hot,
+later n-grams, that of single words at the end; the longest n-grams go with those a word shorter. A key comes at most once from each block, so no key is hot,
 and nothing is broadcast. A level sends at most blocks times buckets messages, and never more than its
 n-grams.
 
-N-grams of two words and more are compared by hashes of as many bits as the corpus needs for
-any one to be mistaken with a chance of about 2^-MARGIN; words by 64 bits.
+N-grams of two words and more are compared by hashes of as many bits as the corpus needs for any
+one to be mistaken with a chance of about 2^-MARGIN; words by 64 bits.
 """
 
 from __future__ import annotations
@@ -36,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bucketed, quoted, shuffle_partitions, small_batches, table
+from .common import bucketed, discard, quoted, shuffle_partitions, small_batches, source_of, table
 from .wordhash import Words, buffers, mix, pieces, release
 
 DEPTH, LEAST, GAIN = 4, 5, 1.5
@@ -46,6 +47,8 @@ BLOCK_BYTES, BUCKET_BYTES, FILE_BYTES = 5 << 20, 16 << 20, 64 << 20
 MARGIN = 20
 END, BEGIN = np.uint64(0x1B873593CC9E2D51), np.uint64(0xE6546B64B5297A4D)
 _STEP = np.uint64(0x2545F4914F6CDD1D)
+#: Levels: n for n-grams, 100 + n for contexts of n symbols, ONE those of one word; NUMBERS those of words.
+ONE, NUMBERS = 101, 0
 
 
 def _press(*arrays: np.ndarray) -> bytes:
@@ -72,22 +75,26 @@ def _unpress(blob: bytes, *kinds: type) -> list[np.ndarray]:
 
 
 class Block:
-    """The token sequences BEGIN words END of some texts: the number of each token among the block's sorted distinct hashes."""
+    """The token sequences BEGIN words END of some texts: the number of each token among the block's sorted distinct hashes. They are stored by falling frequency, which takes fewer bytes."""
 
     def __init__(self, blob: bytes):
         head = int.from_bytes(blob[:8], "little")
         t = pa.ipc.open_stream(pa.CompressedInputStream(pa.BufferReader(blob[8 : 8 + head]), "zstd")).read_all().combine_chunks()
         self.ids, self.train, self.n_words = t.column(0), t.column(1).to_numpy(), t.column(2).to_numpy()
-        self.uniq, codes = _unpress(blob[8 + head :], np.uint64, np.uint32)
-        self.codes = codes.astype(np.int64)
+        often, ranks = _unpress(blob[8 + head :], np.uint32, np.uint32)
+        self.n_uniq, self.codes = len(often), self._by_frequency(often)[ranks]
         size = self.n_words + 2
         self.doc = np.repeat(np.arange(len(size), dtype=np.int32), size)
         self.place = (np.arange(len(self.codes)) - np.repeat(np.cumsum(size) - size, size)).astype(np.int32)
         self.trained = self.train[self.doc] & (self.place > 0)
 
     @staticmethod
-    def pack(batches: list[pa.RecordBatch]) -> bytes:
-        """Of batches (identifier, whether to learn from it, text)."""
+    def _by_frequency(often: np.ndarray) -> np.ndarray:
+        return np.argsort(-often.astype(np.int64), kind="stable")
+
+    @classmethod
+    def pack(cls, batches: list[pa.RecordBatch]) -> tuple[bytes, bytes]:
+        """Of batches (identifier, whether to learn from it, text): the block, and apart from it its distinct hashes."""
         hashes, counts = [], []
         for b in batches:
             words = Words(*buffers(b.column(2), lower=True))
@@ -102,11 +109,14 @@ class Block:
             out.write_table(t)
         head = sink.getvalue().to_pybytes()
         uniq, codes = np.unique(np.concatenate(hashes), return_inverse=True)
-        return len(head).to_bytes(8, "little") + head + _press(uniq, codes.astype(np.uint32))
+        often = np.bincount(codes, minlength=len(uniq)).astype(np.uint32)
+        ranks = np.empty(len(uniq), np.uint32)
+        ranks[cls._by_frequency(often)] = np.arange(len(uniq), dtype=np.uint32)
+        return len(head).to_bytes(8, "little") + head + _press(often, ranks[codes]), _press(uniq)
 
 
 class Level:
-    """Contexts of n symbols: the places of tokens for which they are asked (ask), there the keys of context and n-gram, and the smoothed probabilities by the context and by the one a symbol shorter (None where the n-grams' counts aren't known yet). n = 0: all tokens by the root."""
+    """Contexts of n symbols: the places of tokens for which they are asked (ask), there the keys of context (one word: its number) and n-gram, and the smoothed probabilities by the context and by the one a symbol shorter (None where the n-grams' counts aren't known yet). n = 0: all tokens by the root."""
 
     __slots__ = ("n", "ask", "context", "gram", "p", "shorter")
 
@@ -122,9 +132,9 @@ class Level:
 
 
 class Model:
-    """What every task needs: the parameters and, once known, training tokens and types."""
+    """What every task needs: the parameters, the bits of n-grams' keys, training tokens and types."""
 
-    def __init__(self, depth: int, least: int, mu: tuple[float, ...], bits: int, n_tokens: int = 0, n_types: int = 0):
+    def __init__(self, depth: int, least: int, mu: tuple[float, ...], bits: int, n_tokens: int, n_types: int):
         self.depth, self.least, self.mu, self.bits, self.n_tokens, self.n_types = depth, least, mu, bits, n_tokens, n_types
 
     def walk(self, b: Block, told: dict[int, np.ndarray], out_one: bool) -> Iterator[Level]:
@@ -138,9 +148,9 @@ class Model:
         p = root.p = (np.maximum(count - one, 0) + 0.1) / (self.n_tokens - one + 0.1 * (self.n_types + 1))
         yield root
         del root
-        count[b.place == 0] = float(told[1][np.searchsorted(b.uniq, END)]) if len(b.uniq) else 0.0  # BEGIN is seen as often as END
+        count[b.place == 0] = float(told[1][b.codes[-1]]) if len(b.codes) else 0.0  # BEGIN is seen as often as END, the last token
         mask = ~np.uint64((1 << (64 - self.bits)) - 1)
-        word = mix(b.uniq)
+        word = mix(told[NUMBERS])
         #: Tokens after a context (shorter than those now looked at) that was always followed by them: counts go on, nothing is asked.
         known = np.zeros(len(count), bool)
 
@@ -156,7 +166,7 @@ class Model:
         for n in range(1, self.depth + 1):
             gram = mix(context * _STEP + each[at] + np.uint64(n)) & mask
             new = ~known[at]
-            level = Level(n, at[new], context[new], gram[new])
+            level = Level(n, at[new], context[new] if n > 1 else told[NUMBERS][b.codes[at[new] - 1]], gram[new])
             ahead = level.longer(at, gram, each, mask) if n == self.depth - 1 else None
             if n + 1 not in told:
                 yield level
@@ -186,17 +196,19 @@ class Model:
 
 
 def _cut(uniq: np.ndarray, values: np.ndarray, level: int, block_id: int, buckets: int) -> Iterator[tuple]:
-    """Sorted hashes and their values, cut so that each part belongs to one bucket."""
-    bucket = (uniq >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
+    """Sorted hashes (of level ONE: numbers of words) and their values, cut so that each part belongs to one bucket."""
+    bucket = uniq >> np.uint64(32)
+    if level != ONE:
+        bucket = bucket * np.uint64(buckets) >> np.uint64(32)
     cuts = np.append(np.flatnonzero(np.diff(bucket, prepend=np.uint64(buckets))), len(uniq)) if len(uniq) else np.zeros(1, np.int64)
     for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
         yield level, int(bucket[i]), block_id, _press(uniq[i:j], values[i:j])
 
 
-def _words(b: Block, block_id: int, buckets: int) -> Iterator[tuple]:
+def _words(b: Block, words: bytes, block_id: int, buckets: int) -> Iterator[tuple]:
     """The block's distinct tokens with their training counts."""
-    seen = np.bincount(b.codes, weights=b.trained, minlength=len(b.uniq))
-    yield from _cut(b.uniq, seen.astype(np.uint32), 1, block_id, buckets)
+    seen = np.bincount(b.codes, weights=b.trained, minlength=b.n_uniq)
+    yield from _cut(_unpress(words, np.uint64)[0], seen.astype(np.uint32), 1, block_id, buckets)
 
 
 def _grams(b: Block, level: Level, block_id: int, buckets: int) -> Iterator[tuple]:
@@ -214,15 +226,18 @@ def _gains(b: Block, level: Level, block_id: int, buckets: int) -> Iterator[tupl
 
 
 def _answers(lists: list[list[dict] | None]) -> dict[int, np.ndarray]:
-    """level -> counts (or whether the context is retained) in the order of the block's sorted keys."""
+    """level -> counts (or whether the context is retained) in the order of the block's sorted keys; NUMBERS -> the words' numbers: bucket and place in it."""
     by: dict[int, list] = {}
     for r in sorted((r for x in lists for r in x or ()), key=lambda r: (r["level"], r["bucket"])):
-        by.setdefault(r["level"], []).append(_unpress(r["blob"], np.uint8 if r["level"] > 100 else np.uint32)[0])
+        found, *place = _unpress(r["blob"], np.uint8 if r["level"] > 100 else np.uint32, *[np.uint64] * (r["level"] == 1))
+        by.setdefault(r["level"], []).append(found)
+        for x in place:
+            by.setdefault(NUMBERS, []).append(x + np.uint64(r["bucket"] << 32))
     return {k: np.concatenate(v) for k, v in by.items()}
 
 
 def _add_up(group: pa.Table, gain: float) -> pa.Table:
-    """Sums of one level and bucket, answered to each block in its own order; and its tokens and types."""
+    """Sums of one level and bucket, answered to each block in its own order, those of words with their place among the bucket's; and its tokens and types."""
     level, bucket = group.column("level")[0].as_py(), group.column("bucket")[0].as_py()
     ids = group.column("block").to_pylist()
     parts = [_unpress(x.as_py(), np.uint64, np.int32 if level > 100 else np.uint32) for x in group.column("blob")]
@@ -230,7 +245,7 @@ def _add_up(group: pa.Table, gain: float) -> pa.Table:
     total = np.bincount(back, weights=np.concatenate([p[1] for p in parts]).astype(np.float64), minlength=len(uniq))
     answer = (total >= 256 * gain).astype(np.uint8) if level > 100 else total.astype(np.uint32)
     cuts = np.cumsum([0, *(len(p[0]) for p in parts)])
-    blobs = [_press(answer[back[i:j]]) for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
+    blobs = [_press(answer[back[i:j]], *[back[i:j].astype(np.uint64)] * (level == 1)) for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
     n = len(ids)
     release()
     return pa.table({"block": ids, "level": pa.array([level] * n, pa.int32()), "bucket": pa.array([bucket] * n, pa.int32()), "blob": pa.array(blobs, pa.binary()), "tokens": pa.array([int(total.sum()) if level == 1 else 0] + [0] * (n - 1), pa.int64()), "types": pa.array([int((total > 0).sum()) if level == 1 else 0] + [0] * (n - 1), pa.int64())})
@@ -265,7 +280,7 @@ def score(df: DataFrame, train: Column, id_col: str = "doc_id", text: str = "tex
         def flush() -> pa.RecordBatch:
             nonlocal at
             at += 1
-            return pa.RecordBatch.from_arrays([pa.array([at - 1], pa.int64()), pa.array([Block.pack(waiting)], pa.binary())], names=["block", "tokens"])
+            return pa.RecordBatch.from_arrays([pa.array([at - 1], pa.int64()), *(pa.array([x], pa.binary()) for x in Block.pack(waiting))], names=["block", "tokens", "words"])
 
         for b in pieces(batches, 2, block_bytes):
             n = pa.compute.sum(pa.compute.binary_length(b.column(2))).as_py() or 0
@@ -277,7 +292,7 @@ def score(df: DataFrame, train: Column, id_col: str = "doc_id", text: str = "tex
         if waiting:
             yield flush()
 
-    blocks = bucketed(rows.mapInArrow(pack, "block long, tokens binary"), "lm_blocks", "block", files)
+    packed = bucketed(rows.mapInArrow(pack, "block long, tokens binary, words binary"), "lm_packed", "block", files)
     answers: list[DataFrame] = []
 
     def meet() -> DataFrame:
@@ -291,42 +306,53 @@ def score(df: DataFrame, train: Column, id_col: str = "doc_id", text: str = "tex
         for i in range(b.num_rows):
             yield b.column(0)[i].as_py(), Block(b.column(1)[i].as_py()), _answers([c[i].as_py() for c in b.columns[2:]])
 
-    def ask(send) -> DataFrame:
+    def ask(of: DataFrame, send) -> DataFrame:
         """One round: each block's requests, added up by bucket and answered. The answers' totals."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                for at, block, told in read(b):
-                    if found := list(send(at, block, told)):
+                for x in send(b):
+                    if found := list(x):
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), (pa.int32(), pa.int32(), pa.int64(), pa.binary()), strict=True)], names=["level", "bucket", "block", "blob"])
             release()
 
-        told = meet().mapInArrow(run, _REQUEST).groupBy("level", "bucket").applyInArrow(lambda g: _add_up(g, gain), _ANSWER)
+        told = of.mapInArrow(run, _REQUEST).groupBy("level", "bucket").applyInArrow(lambda g: _add_up(g, gain), _ANSWER)
         each = told.repartition(files, "block").groupBy("block").agg(F.collect_list(F.struct("level", "bucket", "blob")).alias("answers"), F.sum("tokens").alias("tokens"), F.sum("types").alias("types"))
         kept = bucketed(each, "lm_answers", "block", files)
         answers.append(kept.select("block", "answers"))
         return kept
 
-    first = ask(lambda at, block, _: _words(block, at, buckets))
+    def send_words(b: pa.RecordBatch) -> Iterator[Iterator[tuple]]:
+        for at, tokens, words in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            yield _words(Block(tokens), words, at, buckets)
+
+    first = ask(packed, send_words)
     model = Model(depth, least, mu, bits, *first.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("types"), F.lit(0))).first())
+    blocks = bucketed(packed.select("block", "tokens"), "lm_blocks", "block", files)
+    discard(spark, *source_of(packed))
 
-    # Round k asks for k-grams; the last one that does, for those a word longer too. Divergences follow as soon as they can be told.
+    # Round k asks for k-grams; the last one that does, for those a word longer too. Divergences follow as soon as they can be told, those of single words in the last round.
     last = max(depth, 2)
 
     def send_level(k: int):
-        def send(at: int, block: Block, told: dict[int, np.ndarray]) -> Iterator[tuple]:
+        def found(at: int, block: Block, told: dict[int, np.ndarray]) -> Iterator[tuple]:
             for level in model.walk(block, told, True):
                 if level.n and level.p is None:
                     if k <= last:
                         yield from _grams(block, level, at, buckets)
-                elif level.n and (level.n == k - 2 or k > last and level.n > k - 2):
+                elif level.n and (1 < level.n == k - 2 or k > last and (level.n == 1 or level.n > k - 2)):
                     yield from _gains(block, level, at, buckets)
 
+        def send(b: pa.RecordBatch) -> Iterator[Iterator[tuple]]:
+            for at, block, told in read(b):
+                yield found(at, block, told)
+
         return send
 
-    for k in range(2, last + 2):
-        if ask(send_level(k)).isEmpty():
+    for k in range(2, last + 1):
+        if ask(meet(), send_level(k)).isEmpty():
             break
+    ask(meet(), send_level(last + 1))
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
