@@ -281,3 +281,33 @@ def test_texts_stay_where_nobody_needs_them(spark, tmp_path, monkeypatch):
     assert found.count() == df.filter("text is not null").count() and all(c == ["digest"] for c in kept)
     join = next(x for x in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join LeftOuter" in x or "Join Inner" in x)
     assert "sha2" not in join and "text#" not in join
+
+
+def test_support_vectors_keep_no_features_and_reach_sparks_objective(spark, monkeypatch):
+    from pyspark.ml.classification import LinearSVC, OneVsRest
+
+    rng = np.random.default_rng(3)
+    x, w = rng.normal(0, 1, (240, 4)), rng.uniform(0.5, 2, 240)
+    y = (np.linalg.norm(x, axis=1) > 2).astype(int) + (x[:, 0] > 1)
+    kernel, df, wide = L.Fourier(4, 24, 0.25, "v", "z", 7), frame(spark, x, y, w), []
+    monkeypatch.setattr(L, "BLOCK", 32)
+    monkeypatch.setattr(L, "stored", lambda d, name, f=L.stored: (wide.append(d.schema.simpleString()), f(d, name))[1])
+    afar, near = (L.support_vectors(df, 240, kernel, 3, 0.05, 8, one_task) for one_task in (0, 240))
+    assert wide == ["struct<x:binary,y:binary,w:binary>"]
+    assert np.allclose(afar.coefficients, near.coefficients, atol=1e-8) and np.allclose(afar.intercepts, near.intercepts, atol=1e-8)
+    z, model, inputs = kernel.of(x), L.support_vectors(df, 240, kernel, 3, 0.05), df.withColumn("v", array_to_vector("x"))
+    want = OneVsRest(classifier=LinearSVC(maxIter=12, regParam=0.05, standardization=False), featuresCol="z", labelCol="y", weightCol="w").fit(kernel.transform(inputs).selectExpr("z", "double(y) as y", "w"))
+
+    def objective(k, u, b):
+        return (w * np.maximum(0, 1 - np.where(y == k, 1, -1) * (z @ u + b))).sum() / w.sum() + 0.05 * (u @ u) / 2
+
+    for k in range(3):
+        assert objective(k, model.coefficients[k], model.intercepts[k]) <= objective(k, want.models[k].coefficients.toArray(), want.models[k].intercept) * 1.001
+    got = [r.prediction for r in model.transform(inputs).orderBy("vec_id").collect()]
+    assert got == (z @ model.coefficients.T + model.intercepts).argmax(axis=1).tolist()
+
+
+def test_kernel_machine_is_fitted_without_stored_features(spark, monkeypatch):
+    x, y = rings(160, 1)
+    monkeypatch.setattr(M, "stored", lambda d, name: pytest.fail(f"{name} is stored"))
+    M.fit(frame(spark, x, y), kind="rbf", vector="x", gamma=0.5, width=30)
